@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, maxscore, minhash, packing, sharding
-from .common import table
+from . import decontam, langid, linededup, maxscore, minhash, packing, sharding
+from .common import crc_mod, table
 
 SQL: dict[str, str] = {}
 
@@ -54,6 +54,12 @@ def op6_karmarkar_karp_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 8)
 
 
+def op7_compression_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    told = langid.identify(docs, langid.fit(docs, crc_mod("doc_id", 4) != 2), F.col("doc_id"))
+    return told.select(F.col("n").alias("doc_id"), F.coalesce(crc_mod("n", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -86,4 +92,4 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT)
 FROM j GROUP BY doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_winnowing_decontamination, op6_karmarkar_karp_shards, op8_vector_bin_packing, op9_maxscore_top_k, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_winnowing_decontamination, op6_karmarkar_karp_shards, op7_compression_language_id, op8_vector_bin_packing, op9_maxscore_top_k, op10_line_dedup)}
