@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, maxscore, minhash, packing, sharding
+from . import chat, decontam, langid, linededup, maxscore, minhash, packing, sharding
 from .common import crc_mod, table
 
 SQL: dict[str, str] = {}
@@ -50,6 +50,20 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+def op5_hmm_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as marked transcripts, parsed back and rendered: one row for each recovered turn."""
+    turns = table(spark, sf_dir, "conversations")
+    made = chat.format_chats(turns, chat.fit(turns))
+    return made.select("conv_id", "segment", "n", "role", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("rendered").cast("binary"), 256).alias("rendered_sha256"))
+
+
+SQL["op5_hmm_chat_format"] = """
+SELECT conv_id, CAST(turn // 512 AS BIGINT) AS segment, row_number() OVER (PARTITION BY conv_id, turn // 512 ORDER BY turn) - 1 AS n, role, length(coalesce(text, '')) AS n_chars,
+  sha256('<|' || role || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10)) AS rendered_sha256
+FROM conversations
+"""
+
+
 def op6_karmarkar_karp_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 8)
 
@@ -92,4 +106,4 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT)
 FROM j GROUP BY doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_winnowing_decontamination, op6_karmarkar_karp_shards, op7_compression_language_id, op8_vector_bin_packing, op9_maxscore_top_k, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_winnowing_decontamination, op5_hmm_chat_format, op6_karmarkar_karp_shards, op7_compression_language_id, op8_vector_bin_packing, op9_maxscore_top_k, op10_line_dedup)}
