@@ -36,7 +36,7 @@ SEGMENT, CLASSES = 512, 12
 #: Fixed odds: who opens, who follows whom, and that a line has a marker.
 OPENS = {"system": 0.2, "user": 0.7, "assistant": 0.1}
 FOLLOWS = {"system": (0.02, 0.88, 0.1), "user": (0.02, 0.08, 0.9), "assistant": (0.02, 0.9, 0.08)}
-OWN, OTHER, NONE, INSIDE = 0.9, 0.0001, 0.0999, 0.0005
+OWN, OTHER, NONE, INSIDE = 0.999, 0.000001, 0.000997, 0.0000001
 
 
 @dataclass
