@@ -8,8 +8,8 @@ Work never grows with the square of a bucket. Documents with equal sets are one
 class' smallest document goes on. Each bucket is first tied as a star to its smallest member; then
 only pairs that lie in different components are looked at: the likeliest few of each document first,
 then all the others. Large buckets are dealt out as pairs of chunks. No pair of a bucket goes
-unexamined unless both are in one component by then, or their signatures agree in so few coordinates
-that a similarity at the threshold is ruled out at five standard deviations.
+unexamined unless both are in one component by then, or their longer signatures (FINE coordinates) agree
+in so few that a similarity at the threshold is SIGMAS standard deviations off.
 
 Defined results: null or wordless texts have no shingles and are linked with nothing; a text with fewer
 words than a shingle is one shingle; null ids are returned with a null component and are not kept; rows
@@ -30,9 +30,11 @@ from .graph import components
 
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
+#: Of the longer signature that candidates are compared by before their sets are; sigmas of doubt that it leaves.
+FINE, SIGMAS = 512, 4.5
 CHUNK = 1024
 U32 = np.uint32
-SHIFTS = np.arange(COORDINATES, dtype=U32)[:, None]
+SHIFTS = np.arange(FINE, dtype=U32)[:, None]
 
 
 def shingles(text: bytes | None, k: int) -> np.ndarray:
@@ -44,13 +46,13 @@ def shingles(text: bytes | None, k: int) -> np.ndarray:
     return np.unique(mix(gram_hashes(hashed, min(k, len(hashed))) ^ U64(len(words) if len(words) < k else 0)))
 
 
-def signature(found: np.ndarray) -> np.ndarray:
+def signature(found: np.ndarray, n: int = COORDINATES) -> np.ndarray:
     """The minimum under each shift of the second permutation; the first is in the upper half of the hash."""
     first = (found >> U64(32)).astype(U32)
-    least = np.full(COORDINATES, 0xFFFFFFFF, dtype=U32)
+    least = np.full(n, 0xFFFFFFFF, dtype=U32)
     with np.errstate(over="ignore"):
-        for at in range(0, len(first), 2048):
-            x = first[None, at : at + 2048] + SHIFTS
+        for at in range(0, len(first), 1024):
+            x = first[None, at : at + 1024] + SHIFTS[:n]
             x ^= x >> U32(16)
             x *= U32(0x7FEB352D)
             x ^= x >> U32(15)
@@ -72,25 +74,19 @@ def _signed(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            n, one, two, short, keys = [], [], [], [], []
+            n, one, two, keys = [], [], [], []
             for text in texts:
                 found = shingles(text.as_py(), k)
                 n.append(len(found))
                 with np.errstate(over="ignore"):
                     one.append(np.bitwise_xor.reduce(mix(found ^ U64(0x5851F42D4C957F2D))).view(np.int64) if len(found) else 0)
                     two.append(mix(found).sum(dtype=U64).view(np.int64) if len(found) else 0)
-                if len(found):
-                    least = signature(found)
-                    short.append((least >> U32(8)).astype(np.uint8).tobytes())
-                    keys.append(band_keys(least))
-                else:
-                    short.append(None)
-                    keys.append(np.empty(0, dtype=np.int64))
+                keys.append(band_keys(signature(found)) if len(found) else np.empty(0, dtype=np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(short, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["doc_id", "n_shingles", "k1", "k2", "short", "bands"],
+                [ids, pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                names=["doc_id", "n_shingles", "k1", "k2", "bands"],
             )
 
     return run
@@ -101,7 +97,9 @@ def _sets(k: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingles(x.as_py(), k).tobytes() for x in some.column(1)], pa.binary())], names=["doc_id", "found"])
+                found = [shingles(x.as_py(), k) for x in some.column(1)]
+                fine = [(signature(x, FINE) >> U32(8)).astype(np.uint8).tobytes() for x in found]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([x.tobytes() for x in found], pa.binary()), pa.array(fine, pa.binary())], names=["doc_id", "found", "fine"])
 
     return run
 
@@ -132,13 +130,16 @@ def _linked(percent: int):
 def _crossing(percent: int, top: int | None):
     """Pairs of one bucket that lie in different components and may reach the threshold; top: of each document, only its likeliest."""
     share = percent / 100
-    enough = COORDINATES * (share - 5 * np.sqrt(share * (1 - share) / COORDINATES))
+
+    def enough(n: int) -> float:
+        return n * (share - SIGMAS * np.sqrt(share * (1 - share) / n))
 
     def group(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        doc, comp, n, side, short, band = rows["doc_id"], rows["component"], rows["n_shingles"], rows["side"], rows["short"], int(rows["band"][0])
+        doc, comp, n, side, fine, band = rows["doc_id"], rows["component"], rows["n_shingles"], rows["side"], rows["fine"], int(rows["band"][0])
         names, counts = np.unique(comp, return_counts=True)
         major = names[counts.argmax()]
         split = rows["ci"][0] != rows["cj"][0]
+        short = np.ascontiguousarray(fine[:, :COORDINATES])
         bands = short.view(np.uint32)
         a, b = [], []
         for x in np.flatnonzero(comp != major):
@@ -150,10 +151,12 @@ def _crossing(percent: int, top: int | None):
             if len(at) and band:
                 at = at[~(bands[at, :band] == bands[x, :band]).any(axis=1)]  # they met in an earlier band
             if len(at):
-                alike = (short[at] == short[x]).sum(axis=1)
-                at = at[alike >= enough]
+                at = at[(short[at] == short[x]).sum(axis=1) >= enough(COORDINATES)]
+                alike = (fine[at] == fine[x]).sum(axis=1)
+                near = alike >= enough(FINE)
+                at, alike = at[near], alike[near]
                 if top and len(at) > top:
-                    at = at[np.argsort(-alike[alike >= enough], kind="stable")[:top]]
+                    at = at[np.argsort(-alike, kind="stable")[:top]]
                 a.append(np.full(len(at), doc[x]))
                 b.append(doc[at])
         return (np.concatenate(a), np.concatenate(b)) if a else (doc[:0], doc[:0])
@@ -161,9 +164,9 @@ def _crossing(percent: int, top: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(whole: pa.Table) -> Iterator[pa.RecordBatch]:
             rows = {c: whole.column(c).to_numpy() for c in names}
-            short = np.frombuffer(b"".join(whole.column("short").to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES)
+            fine = np.frombuffer(b"".join(whole.column("fine").to_pylist()), dtype=np.uint8).reshape(-1, FINE)
             new = starts(whole)
-            out = [group({c: v[i:j] for c, v in rows.items()} | {"short": short[i:j]}) for i, j in zip([0, *new], [*new, len(short)], strict=True) if j - i > 1]
+            out = [group({c: v[i:j] for c, v in rows.items()} | {"fine": fine[i:j]}) for i, j in zip([0, *new], [*new, len(fine)], strict=True) if j - i > 1]
             if sum(len(x) for x, _ in out):
                 a, b = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -194,16 +197,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     spark = docs.sparkSession
     scratch = Scratch(spark)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    signed = scratch.write(text.mapInArrow(_signed(words), "doc_id long, n_shingles long, k1 long, k2 long, short binary, bands array<long>"))
+    signed = scratch.write(text.mapInArrow(_signed(words), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"))
     classes = signed.where("n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     reps = signed.join(classes.select(F.col("rep").alias("doc_id"), "n_shingles", "k1", "k2"), ["doc_id", "n_shingles", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
-    reps = scratch.write(reps.select("doc_id", "n_shingles", "short", "bands"))
+    reps = scratch.write(reps.select("doc_id", "bands"))
 
     buckets = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     stars = buckets.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("far"), F.count("*").alias("size")).where("lead <> far")
     shared = scratch.write(buckets.join(stars, "key").select("key", "band", "doc_id", "lead", "size"))
     members = shared.select("doc_id").distinct()
-    sets = scratch.write(text.join(members, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, found binary").dropDuplicates(["doc_id", "found"]))
+    sets = scratch.write(text.join(members, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, found binary, fine binary").dropDuplicates(["doc_id", "found"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         left, right = sets.select(F.col("doc_id").alias("a"), F.col("found").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("found").alias("y"))
@@ -221,8 +224,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         dealt = (
             open_.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), (chunks - 1).cast("int"))))
             .withColumn("ci", F.least("side", "other")).withColumn("cj", F.greatest("side", "other"))
-            .join(reps.select("doc_id", "n_shingles", "short").dropDuplicates(["doc_id"]), "doc_id")
-            .select("key", "band", "ci", "cj", "side", "doc_id", "component", "n_shingles", "short")
+            .join(sets.select("doc_id", (F.octet_length("found") / 8).cast("long").alias("n_shingles"), "fine").dropDuplicates(["doc_id"]), "doc_id")
+            .select("key", "band", "ci", "cj", "side", "doc_id", "component", "n_shingles", "fine")
         )
         pairs = dealt.repartition(parts(spark), "key", "ci", "cj").sortWithinPartitions("key", "ci", "cj", "doc_id").mapInArrow(_crossing(percent, top), "a long, b long")
         more = verified(pairs)
