@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, linededup, maxscore, minhash, packing, sharding
+from . import chat, decontam, langid, linededup, maxscore, minhash, packing, sharding, suffix_dedup
 from .common import crc_mod, table
 
 SQL: dict[str, str] = {}
@@ -50,6 +50,27 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+def op4_bwt_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op4_bwt_repeat_removal"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, CAST(2 * p + 1 AS INTEGER), 100)) AS x FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM d WHERE length(h) >= 100)),
+f AS (SELECT x, min(doc_id) AS first FROM w GROUP BY x HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT doc_id, p FROM w JOIN f USING (x) WHERE doc_id > first),
+e AS (SELECT doc_id, p, p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 IS NOT FALSE AS new FROM g),
+r AS (SELECT doc_id, p, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM e),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM r GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM s),
+t AS (SELECT doc_id, string_agg(substr(h, CAST(2 * since + 1 AS INTEGER), CAST(2 * (a - since) AS INTEGER)), '' ORDER BY a) AS kept, max(b) AS tail, sum(b - a) AS n_removed, count(*) AS n_spans FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, CAST(2 * coalesce(tail, 0) + 1 AS INTEGER)))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
+
 def op5_hmm_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations as marked transcripts, parsed back and rendered: one row for each recovered turn."""
     turns = table(spark, sf_dir, "conversations")
@@ -106,4 +127,4 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT)
 FROM j GROUP BY doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_winnowing_decontamination, op5_hmm_chat_format, op6_karmarkar_karp_shards, op7_compression_language_id, op8_vector_bin_packing, op9_maxscore_top_k, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_winnowing_decontamination, op4_bwt_repeat_removal, op5_hmm_chat_format, op6_karmarkar_karp_shards, op7_compression_language_id, op8_vector_bin_packing, op9_maxscore_top_k, op10_line_dedup)}
