@@ -230,3 +230,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, bound: int = BOUND) ->
     else:
         found = _joined(docs, items)
     return found.select("doc_id", "n_words", covered(F.col("ranges")).alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), "ranges", (F.size("ranges") > 0).alias("contaminated"))
+
+
+def _cleaned(items: list[Item], at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(items)
+        for batch in batches:
+            for some, texts in _chunks(batch, at):
+                yield some.filter(pa.array([not h for h in index.search([split_words(t.encode() if isinstance(t, str) else t) for t in texts])], pa.bool_()))
+
+    return run
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, bound: int = BOUND) -> DataFrame:
+    """The rows of docs without a hit, with all their columns."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).where(F.col("text").isNotNull())
+    if items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0] <= bound:
+        return docs.mapInArrow(_cleaned([(r.item_id, bytes(r.text)) for r in items.collect()], docs.columns.index("text")), docs.schema)
+    hit = contamination(docs, benchmark, bound).where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
+    return docs.join(hit, docs["doc_id"].cast("long") == hit["_hit"], "left_anti")
