@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -51,6 +52,16 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Bounds what a Python worker and its executor hold of a table at once; a smaller setting of the session stays."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        own = re.fullmatch(r"(\d+)b?", spark.conf.get(key) or "")
+        now = int(own[1]) if own else 0
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def parts(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session has them."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, gram_hashes, mix, word_hashes
+from .common import U64, gram_hashes, mix, small_batches, word_hashes
 
 SPAN, K = 10, 4
 W = SPAN - K + 1
@@ -221,6 +221,7 @@ def covered(ranges: Column) -> Column:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, bound: int = BOUND) -> DataFrame:
     """doc_id, n_words, n_hit, items (their ids, sorted), ranges (word ranges), contaminated: a row for each row of docs."""
+    small_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).where(F.col("text").isNotNull())
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
@@ -244,6 +245,7 @@ def _cleaned(items: list[Item], at: int):
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, bound: int = BOUND) -> DataFrame:
     """The rows of docs without a hit, with all their columns."""
+    small_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).where(F.col("text").isNotNull())
     if items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0] <= bound:
         return docs.mapInArrow(_cleaned([(r.item_id, bytes(r.text)) for r in items.collect()], docs.columns.index("text")), docs.schema)

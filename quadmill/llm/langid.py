@@ -28,6 +28,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SAMPLE, SAMPLE_CHARS = 400, 4000
 DICTIONARY_BYTES, PIECE, MARGIN = 200_000, 1500, 0.0001
 SHORT, PADS, PAD_BYTES = 300, 8, 400
@@ -110,6 +112,7 @@ def _identified(model: Model, margin: float):
 
 def identify(docs: DataFrame, model: Model, key: Column, margin: float = MARGIN) -> DataFrame:
     """n (the key, a long), lang_pred, score (0 to 1: how clear the lead is), rejected."""
+    small_batches(docs.sparkSession)
     return docs.select(key.cast("long").alias("n"), F.col("text").cast("string").alias("text")).mapInArrow(_identified(model, margin), "n long, lang_pred string, score double, rejected boolean")
 
 
@@ -127,4 +130,5 @@ def _filtered(model: Model, margin: float, at: int):
 
 def keep_identified(docs: DataFrame, model: Model, margin: float = MARGIN) -> DataFrame:
     """The rows of docs whose language is told, with all their columns."""
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(_filtered(model, margin, docs.columns.index("text")), docs.schema)

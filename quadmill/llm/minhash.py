@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, gram_hashes, mix, parts, word_hashes
+from .common import U64, Scratch, gram_hashes, mix, parts, small_batches, word_hashes
 from .graph import components
 
 BANDS, ROWS = 32, 4
@@ -195,6 +195,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     docs: doc_id and text; words: of a shingle; percent: 100 times the least Jaccard similarity of a link.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     signed = scratch.write(text.mapInArrow(_signed(words), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"))

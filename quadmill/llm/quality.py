@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SAMPLE, TREES, DEPTH, BINS = 10_000, 40, 3, 32
 PENALTIES = (0.01, 0.003, 0.001, 0.0003)
 SIGNS = "|!#%&*$@<>.,;:?"
@@ -57,6 +59,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id and the statistics of the whole text, a row for each row of docs."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_measured, "doc_id long, " + ", ".join(f"{c} double" for c in STATISTICS))
 
 

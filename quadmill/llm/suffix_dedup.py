@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import shared_intervals
-from .common import U64, mix, parts
+from .common import U64, mix, parts, small_batches
 
 K, CHUNK, BLOCK = 16, 1 << 20, 1 << 20
 FLUSH, HOT = 8 << 20, 2048
@@ -336,6 +336,7 @@ def _cut(length: int):
 def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary): a row for each row of docs."""
     spark = docs.sparkSession
+    small_batches(spark)
     n = parts(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.xxhash64("text").bitwiseAND(F.lit(0xFFFF))).cast("int").alias("tag"), F.col("text").cast("binary").alias("text"))
     long_ = texts.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
