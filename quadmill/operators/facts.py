@@ -115,8 +115,12 @@ def diff_many(sides: dict[str, DataFrame]) -> DataFrame:
     names = sorted(sides)
     tagged = reduce(DataFrame.union, [df.select("s", "p", "g", "o", F.lit(n).alias("parser_id")) for n, df in sides.items()])
     own = tagged.groupBy("s", "p", "g").agg(*(F.sort_array(F.collect_set(F.when(F.col("parser_id") == n, F.col("o")))).alias(f"x{i}") for i, n in enumerate(names)))
+
+    def same(i: int):
+        return lambda y: y == F.col(f"x{i}")
+
     sets = F.array(*(F.col(f"x{i}") for i in range(len(names))))
-    alike = F.array(*(F.size(F.filter("sets", lambda y, i=i: y == F.col(f"x{i}"))) for i in range(len(names))))
+    alike = F.array(*(F.size(F.filter("sets", same(i))) for i in range(len(names))))
     counted = own.withColumn("sets", sets).withColumn("alike", alike)
     each = counted.select("s", "p", "g", F.explode(F.array(*(F.struct(F.lit(n).alias("parser_id"), F.col(f"x{i}").alias("objects"), F.element_at("alike", i + 1).alias("n")) for i, n in enumerate(names)))).alias("x"))
     dissent = each.where((F.col("x.n") < len(names)) & (F.col("x.n") * 2 <= len(names)))

@@ -325,7 +325,7 @@ class Compiler:
             return Value(truth=F.when(compatible(a, v[1]), f(plain(a), plain(v[1]))))
         if name in ("STRBEFORE", "STRAFTER"):
             own, mark = plain(a), plain(v[1])
-            at = F.locate(mark, own)
+            at = F.position(mark, own)
             cut = F.substring(own, F.lit(1), at - 1) if name == "STRBEFORE" else F.substring(own, at + F.char_length(mark), F.char_length(own))
             return Value(F.when(compatible(a, v[1]), F.when(at > 0, like(a, cut).term).otherwise(F.lit('""'))))
         if name in ("YEAR", "MONTH", "DAY", "HOURS", "MINUTES"):
