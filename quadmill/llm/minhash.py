@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Scratch, gram_hashes, mix, parts, small_batches, word_hashes
-from .graph import components
+from .graph import components, nearby
 
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
 #: Of the longer signature that candidates are compared by before their sets are; sigmas of doubt that it leaves.
-FINE, SIGMAS = 512, 4.5
+FINE, SIGMAS = 1024, 4.5
 CHUNK = 1024
 U32 = np.uint32
 SHIFTS = np.arange(FINE, dtype=U32)[:, None]
@@ -97,13 +97,19 @@ def _sets(k: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                found = [shingles(x.as_py(), k) for x in some.column(1)]
-                fine = [(signature(x, FINE) >> U32(8)).astype(np.uint8).tobytes() for x in found]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([x.tobytes() for x in found], pa.binary()), pa.array(fine, pa.binary())], names=["doc_id", "found", "fine"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingles(x.as_py(), k).tobytes() for x in some.column(1)], pa.binary())], names=["doc_id", "found"])
 
     return run
 
 
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The size and the longer signature, in bytes, of each set."""
+    for batch in batches:
+        found = [np.frombuffer(x.as_py(), dtype=U64) for x in batch.column(1)]
+        fine = [(signature(x, FINE) >> U32(8)).astype(np.uint8).tobytes() for x in found]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, found), pa.int64()), pa.array(fine, pa.binary())], names=["doc_id", "n_shingles", "fine"])
+
+
 def _linked(percent: int):
     """Pairs whose full sets have 100 * intersection >= percent * union."""
 
@@ -207,30 +213,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     stars = buckets.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("far"), F.count("*").alias("size")).where("lead <> far")
     shared = scratch.write(buckets.join(stars, "key").select("key", "band", "doc_id", "lead", "size"))
     members = shared.select("doc_id").distinct()
-    sets = scratch.write(text.join(members, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, found binary, fine binary").dropDuplicates(["doc_id", "found"]))
+    sets = scratch.write(text.join(members, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, found binary").dropDuplicates(["doc_id", "found"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         left, right = sets.select(F.col("doc_id").alias("a"), F.col("found").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("found").alias("y"))
         return scratch.write(pairs.distinct().join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long"))
 
     edges = verified(shared.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")))
-    labels = scratch.write(components(edges, scratch))
+    labels = scratch.write(nearby(edges))  # what it leaves apart is only looked at again
+    fine = None  # the second round looks at no other documents than the first
     for top in (3, None):
         own = members.join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
         marked = shared.join(own, "doc_id").select("key", "band", "doc_id", "component", "size")
         mixed = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
         open_ = scratch.write(marked.join(mixed, "key", "left_semi"))
+        if fine is None:
+            fine = scratch.write(sets.join(open_.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_fine, "doc_id long, n_shingles long, fine binary"))
         chunks = F.ceil(F.col("size") / CHUNK)
         side = F.pmod(F.xxhash64("doc_id"), chunks).cast("int")
         dealt = (
             open_.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), (chunks - 1).cast("int"))))
             .withColumn("ci", F.least("side", "other")).withColumn("cj", F.greatest("side", "other"))
-            .join(sets.select("doc_id", (F.octet_length("found") / 8).cast("long").alias("n_shingles"), "fine").dropDuplicates(["doc_id"]), "doc_id")
+            .join(fine.dropDuplicates(["doc_id"]), "doc_id")
             .select("key", "band", "ci", "cj", "side", "doc_id", "component", "n_shingles", "fine")
         )
         pairs = dealt.repartition(parts(spark), "key", "ci", "cj").sortWithinPartitions("key", "ci", "cj", "doc_id").mapInArrow(_crossing(percent, top), "a long, b long")
         more = verified(pairs)
-        if not more.isEmpty():
+        if top or not more.isEmpty():
             new = scratch.write(edges.union(more))
             scratch.drop(edges, labels)
             edges = new
