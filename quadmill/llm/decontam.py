@@ -202,11 +202,12 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
     # An item gives the prints of its own windows; those it has besides only bring pairs that the extension turns down.
     right = items.select(F.lit(0).cast("long").alias("id"), "version", "text").mapInArrow(_fingerprints(lengths), schema)
     pairs = left.join(right.select(F.col("version").alias("item"), "print"), "print").select(F.col("id").alias("doc_id"), "version", "item").distinct()
-    met = pairs.join(docs.dropDuplicates(["doc_id", "version"]), ["doc_id", "version"]).join(items.select(F.col("version").alias("item"), "item_id", F.col("text").alias("item_text")), "item")
+    texts = docs.dropDuplicates(["version"]).select("version", "text")
+    met = pairs.join(texts, "version").join(items.select(F.col("version").alias("item"), "item_id", F.col("text").alias("item_text")), "item")
     found = met.select("doc_id", "version", "text", "item_id", "item_text").mapInArrow(_pairs, f"doc_id long, version long, ranges {RANGE}, items array<string>").groupBy("doc_id", "version").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.flatten(F.collect_list("items")).alias("items"))
     words = docs.select("doc_id", "version", "text").mapInArrow(_counted, "doc_id long, version long, n_words long")
-    own = (words["doc_id"] == found["doc_id"]) & (words["version"] == found["version"])
-    return words.join(found, own, "left").select(words["doc_id"], "n_words", F.coalesce("ranges", F.array().cast(RANGE)).alias("ranges"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    own = words["doc_id"].eqNullSafe(found["doc_id"]) & (words["version"] == found["version"])
+    return words.join(found, own, "left").select(words["doc_id"], words["version"], "n_words", F.coalesce("ranges", F.array().cast(RANGE)).alias("ranges"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def covered(ranges: Column) -> Column:
@@ -249,5 +250,6 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, bound: int = BOUND) -> Dat
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).where(F.col("text").isNotNull())
     if items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0] <= bound:
         return docs.mapInArrow(_cleaned([(r.item_id, bytes(r.text)) for r in items.collect()], docs.columns.index("text")), docs.schema)
-    hit = contamination(docs, benchmark, bound).where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].cast("long") == hit["_hit"], "left_anti")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    hit = _joined(text, items).where(F.size("ranges") > 0).select(F.col("doc_id").alias("_hit"), F.col("version").alias("_version")).distinct()
+    return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit["_hit"]) & (F.xxhash64(docs["text"].cast("binary")) == hit["_version"]), "left_anti")
