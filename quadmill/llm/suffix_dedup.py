@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import shared_intervals
-from .common import U64, mix, parts, small_batches
+from .common import U64, Scratch, mix, parts, small_batches
 
 K, CHUNK, BLOCK = 16, 1 << 20, 1 << 20
 FLUSH, HOT = 8 << 20, 2048
@@ -342,7 +342,8 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     long_ = texts.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     dealt = long_.mapInArrow(_deal(length, n), "bucket int, ids binary, tags binary, docs binary, starts binary, ns binary, keys binary, wholes binary")
     matched = dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_matched(n), "doc_id long, tag int, gone binary, open binary")
-    by_doc = matched.groupBy("doc_id", "tag").agg(F.collect_list("gone").alias("gone"), F.collect_list("open").alias("open"))
+    # Written, as both of what follows read it: else the runs would be dealt twice.
+    by_doc = Scratch(spark).write(matched.groupBy("doc_id", "tag").agg(F.collect_list("gone").alias("gone"), F.collect_list("open").alias("open")))
     placed = texts.repartition(n, "doc_id", "tag")
     opened = by_doc.where(F.size("open") > 0).select("doc_id", "tag", "open")
     contexts = placed.join(opened, ["doc_id", "tag"]).select("doc_id", "tag", "text", "open").mapInArrow(_contexts(length), "key long, doc_id long, tag int, start long, run binary")
