@@ -74,6 +74,8 @@ class Context:
             self.define(value, local[value], local)
         if ":" in value:
             prefix, _, rest = value.partition(":")
+            if prefix == "_" or rest.startswith("//"):
+                return value
             if local and prefix in local and prefix not in self.terms and prefix != own:
                 self.define(prefix, local[prefix], local)
             if not rest.startswith("//") and self.terms.get(prefix) and self.terms[prefix]["id"]:
@@ -121,6 +123,8 @@ class JsonLdParser:
         if "@context" in data:
             ctx = ctx.extended(data["@context"], self.base)
         own = self.key(data, ctx, "@id")
+        if own is not None and not isinstance(own, str):
+            fail("@id that is no string")
         s = self.ref(ctx.expand(own, False)) if isinstance(own, str) else self.fresh()
         inside = self.key(data, ctx, "@graph")
         if inside is not None:
@@ -129,7 +133,10 @@ class JsonLdParser:
                 self.node(item, ctx, named)
         types = self.key(data, ctx, "@type")
         for t in types if isinstance(types, list) else [types] if types is not None else []:
-            iri = self.ref(ctx.expand(t, True))
+            if not isinstance(t, str):
+                fail("@type that is no string")
+            iri = self.ref(ctx.expand(t, True) or ctx.expand(t, False))
+            iri = iri if iri and (iri.startswith("_:") or ABSOLUTE.match(iri[1:])) else None
             if iri:
                 self.out.append((s, TYPE, iri, graph))
         for key, value in data.items():
@@ -137,7 +144,7 @@ class JsonLdParser:
                 for name, values in value.items():
                     p = self.ref(ctx.expand(name, True))
                     for v in values if isinstance(values, list) else [values]:
-                        if p and p.startswith("<"):
+                        if p and p.startswith("<") and v is not None:
                             self.out.append((self.node(v, ctx, graph) if isinstance(v, dict) else self.ref(ctx.expand(v, False)), p, s, graph))
                 continue
             if key.startswith("@"):
@@ -173,7 +180,7 @@ class JsonLdParser:
     def list(self, items: list, d: dict, ctx: Context, graph: str | None) -> str:
         terms = [o for v in items for o in self.objects(v, {**d, "container": None}, ctx, graph)]
         nodes = [self.fresh() for _ in terms]
-        for at, item, rest in zip(nodes, terms, [*nodes[1:], NIL], strict=True):
+        for at, item, rest in zip(nodes, terms, [*nodes[1:], NIL], strict=False):
             self.out += [(at, FIRST, item, graph), (at, REST, rest, graph)]
         return nodes[0] if nodes else NIL
 

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from xml.etree import ElementTree as ET
 from xml.parsers import expat
 
 from ..functions.iri import resolve_text
-from ..plans.sparql_parser import RDF, XSD, fold_tag, quote
+from ..plans.sparql_parser import CHARS, LETTER, RDF, XSD, fold_tag, quote
 from .rdf_text import FIRST, NIL, REST, TYPE, Quad, RdfError
 
 XML = "http://www.w3.org/XML/1998/namespace"
 #: Names of the RDF namespace that can't be used as nodes or as properties.
 NOT_NODES = {"RDF", "ID", "about", "parseType", "resource", "nodeID", "datatype", "li", "aboutEach", "aboutEachPrefix", "bagID"}
 NOT_PROPERTIES = {"RDF", "ID", "about", "parseType", "resource", "nodeID", "datatype", "Description", "aboutEach", "aboutEachPrefix", "bagID"}
+NAME = re.compile(rf"^[{LETTER}_](?:[{CHARS}.])*$")
 SYNTAX = {"ID", "about", "parseType", "resource", "nodeID", "datatype", "aboutEach", "aboutEachPrefix", "bagID", "RDF"}
 
 
@@ -94,11 +96,15 @@ class XmlParser:
         made = self.iri(base, "#" + value)
         if made in self.ids:
             self.fail(node, f"rdf:ID {value!r} is used twice")
-        if not value or ":" in value or value[0].isdigit():
-            self.fail(node, "rdf:ID is no name")
+        self.name(node, value)
         self.ids.add(made)
         return made
 
+    def name(self, node: Node, value: str) -> str:
+        if not NAME.match(value):
+            self.fail(node, f"{value!r} is no name")
+        return value
+
     def parse(self) -> list[Quad]:
         base, lang = self.scope(self.root, self.base, None)
         if self.root.name == (RDF, "RDF"):
@@ -133,7 +139,7 @@ class XmlParser:
         elif "ID" in own:
             s = self.new_id(node, base, own["ID"])
         else:
-            s = f"_:{own['nodeID']}" if "nodeID" in own else self.fresh()
+            s = f"_:{self.name(node, own['nodeID'])}" if "nodeID" in own else self.fresh()
         if node.name != (RDF, "Description"):
             self.emit(s, TYPE, self.name_iri(node, node.name))
         for name, v in self.plain_attributes(node).items():
@@ -173,14 +179,14 @@ class XmlParser:
             nodes = [self.fresh() for _ in items]
             o = nodes[0] if nodes else NIL
             self.emit(s, p, o)
-            for at, item, rest in zip(nodes, items, [*nodes[1:], NIL], strict=True):
+            for at, item, rest in zip(nodes, items, [*nodes[1:], NIL], strict=False):
                 self.emit(at, FIRST, item)
                 self.emit(at, REST, rest)
         elif kind is not None:
             o = f"{quote(self.all_text(node))}^^<{RDF}XMLLiteral>"
             self.emit(s, p, o)
         elif get("resource") is not None or get("nodeID") is not None or (self.plain_attributes(node) and not children):
-            o = self.iri(base, get("resource")) if get("resource") is not None else f"_:{get('nodeID')}" if get("nodeID") is not None else self.fresh()
+            o = self.iri(base, get("resource")) if get("resource") is not None else f"_:{self.name(node, get('nodeID'))}" if get("nodeID") is not None else self.fresh()
             self.emit(s, p, o)
             for name, v in self.plain_attributes(node).items():
                 self.emit(o, TYPE if name == (RDF, "type") else self.name_iri(node, name), self.iri(base, v) if name == (RDF, "type") else self.literal(v, lang))

@@ -111,6 +111,11 @@ def read_lines(spark: SparkSession, path: str, format: str = "nt") -> DataFrame:
     Splittable: lines in the usual form are taken apart by built-in functions, the others go to the parser.
     """
     text = spark.read.text(path).select(F.col("_metadata.file_path").alias("doc_id"), F.monotonically_increasing_id().alias("src_offset"), F.col("value").alias("line"))
+    return line_facts(text, format)
+
+
+def line_facts(text: DataFrame, format: str = "nt") -> DataFrame:
+    """The facts of lines (doc_id, src_offset, line), of a table or of a stream."""
     usual = F.col("line").rlike(FAST if format == "nq" else FAST.replace(rf"(?: {NODE})?", ""))
     parts = F.split(F.col("line"), " ", 3)
     rest = F.substring(parts[2], F.lit(1), F.length(parts[2]) - 2)
