@@ -100,21 +100,30 @@ def canonical(t: Column) -> Column:
     return F.when(is_literal(t), literal).when(is_iri(t) | is_bnode(t), t).otherwise(wrap_iri(t))
 
 
+def _of(t: Column, *names: str) -> Column:
+    return suffix(t).isin([f"^^<{XSD}{x}>" for x in names])
+
+
+def numeric_kind(t: Column) -> Column:
+    """1 integer, 2 decimal, 3 float, 4 double by the datatype alone."""
+    return F.when(_of(t, *INTEGERS), 1).when(_of(t, "decimal"), 2).when(_of(t, "float"), 3).when(_of(t, "double"), 4)
+
+
 def numeric_rank(t: Column) -> Column:
-    """1 integer, 2 decimal, 3 float, 4 double; null for what is no valid number."""
-    tail, text = suffix(t), raw_lexical(t)
-    of = lambda *names: tail.isin([f"^^<{XSD}{x}>" for x in names])
-    kind = F.when(of(*INTEGERS), 1).when(of("decimal"), 2).when(of("float"), 3).when(of("double"), 4)
-    return F.when(is_literal(t) & text.rlike(r"^[+-]?(?:\d|\.\d|INF$)|^NaN$") & F.when(kind == 1, text.rlike(r"^[+-]?\d+$")).when(kind == 2, ~text.rlike("[eEN]") & text.try_cast("double").isNotNull()).otherwise(True), kind)
+    """The kind of a valid number, null for anything else."""
+    return F.when(to_double(t).isNotNull(), numeric_kind(t))
 
 
 def to_double(t: Column) -> Column:
     text = raw_lexical(t)
-    return F.when(text == "INF", F.lit(float("inf"))).when(text == "-INF", F.lit(float("-inf"))).otherwise(text.try_cast("double"))
+    plain = F.when(text.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"), text.try_cast("double")).when(text == "INF", F.lit(float("inf"))).when(text == "-INF", F.lit(float("-inf"))).when(text == "NaN", F.lit(float("nan")))
+    return F.when(is_literal(t) & _of(t, *INTEGERS, "decimal", "float", "double"), plain)
 
 
 def to_decimal(t: Column) -> Column:
-    return raw_lexical(t).try_cast("decimal(38,18)")
+    """Of integers and decimals alone."""
+    text = raw_lexical(t)
+    return F.when(is_literal(t) & _of(t, *INTEGERS, "decimal") & text.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)$"), text.try_cast("decimal(38,18)"))
 
 
 def to_boolean(t: Column) -> Column:
@@ -139,22 +148,17 @@ def double_text(x: Column) -> Column:
 
 
 def number(rank: Column, dec: Column, dbl: Column) -> Column:
-    """The literal of a number of that rank."""
-    return (
-        F.when(rank == 1, typed(dec.cast("decimal(38,0)").cast("string"), "integer"))
-        .when(rank == 2, typed(decimal_text(dec), "decimal"))
-        .when(rank == 3, typed(double_text(dbl), "float"))
-        .when(rank == 4, typed(double_text(dbl), "double"))
-    )
+    """The literal of a number of that rank; null where the number is."""
+    real = F.concat(F.lit('"'), double_text(dbl), F.when(rank == 3, f'"^^<{XSD}float>').otherwise(f'"^^<{XSD}double>'))
+    return F.when(rank == 1, typed(dec.cast("decimal(38,0)").cast("string"), "integer")).when(rank == 2, typed(decimal_text(dec), "decimal")).otherwise(real)
 
 
 def order_key(t: Column) -> Column:
     """Unbound, blank nodes, IRIs, literals; numbers by value, the rest by moment or text."""
-    rank = numeric_rank(t)
     return F.struct(
         F.when(t.isNull(), 0).when(is_bnode(t), 1).when(is_iri(t), 2).otherwise(3).alias("kind"),
-        F.when(rank.isNotNull(), to_double(t)).alias("number"),
-        F.when(rank.isNull(), F.unix_micros(to_timestamp(t))).alias("moment"),
+        to_double(t).alias("number"),
+        F.unix_micros(to_timestamp(t)).alias("moment"),
         F.when(is_literal(t), lexical(t)).otherwise(t).alias("text"),
         t.alias("term"),
     )

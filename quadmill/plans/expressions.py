@@ -38,26 +38,22 @@ class Value:
             if self._term is None:
                 self._number = (F.lit(None).cast("int"), F.lit(None).cast("decimal(38,18)"), F.lit(None).cast("double"))
             else:
-                rank = T.numeric_rank(self._term)
-                self._number = (rank, F.when(rank <= 2, T.to_decimal(self._term)), F.when(rank.isNotNull(), T.to_double(self._term)))
+                self._number = (T.numeric_kind(self._term), T.to_decimal(self._term), T.to_double(self._term))
         return self._number
 
     @property
     def truth(self) -> Column:
         """The effective boolean value."""
         if self._truth is None:
-            if self._number:
-                rank, dec, dbl = self._number
-                self._truth = F.when(rank <= 2, dec != 0).when(rank.isNotNull(), (dbl != 0) & ~F.isnan(dbl))
+            real = self.number[2]
+            as_number = F.when(real.isNotNull(), (real != 0) & ~F.isnan(real))
+            if self.kind == "number":
+                self._truth = as_number
             else:
-                rank, dec, dbl = self.number
                 t = self._term
-                self._truth = (
-                    F.when(T.datatype(t) == XSD + "boolean", F.coalesce(T.to_boolean(t), F.lit(False)))
-                    .when(T.datatype(t).isin(XSD + "string", T.RDF + "langString"), T.raw_lexical(t) != "")
-                    .when(rank <= 2, dec != 0)
-                    .when(rank.isNotNull(), (dbl != 0) & ~F.isnan(dbl))
-                )
+                string = F.when(T.suffix(t) == "", T.raw_lexical(t) != "").when(F.startswith(T.suffix(t), F.lit("@")), T.raw_lexical(t) != "")
+                truth = F.when(T.suffix(t) == f"^^<{XSD}boolean>", F.coalesce(T.to_boolean(t), F.lit(False)))
+                self._truth = F.when(T.is_literal(t), F.coalesce(truth, string, as_number))
         return self._truth
 
 
@@ -83,13 +79,12 @@ def compatible(a: Value, b: Value) -> Column:
 
 
 def arithmetic(op: str, a: Value, b: Value) -> Value:
+    """Decimals where both sides have one, else doubles; what can't be computed is null in both."""
     (ra, da, fa), (rb, db, fb) = a.number, b.number
-    rank = F.greatest(ra, rb)
-    rank = F.when(ra.isNotNull() & rb.isNotNull(), F.when((rank == 1) & (op == "/"), 2).otherwise(rank))
-    as_decimal = {"+": da + db, "-": da - db, "*": da * db, "/": F.try_divide(da, db)}[op].cast("decimal(38,18)")
-    as_double = {"+": fa + fb, "-": fa - fb, "*": fa * fb, "/": F.when(fb != 0, fa / fb).when(fa == 0, F.lit(float("nan"))).otherwise(fa * F.lit(float("inf")))}[op]
-    good = F.when((rank > 2) | as_decimal.isNotNull(), rank)
-    return Value(number=(good, F.when(rank <= 2, as_decimal), F.when(rank <= 2, as_decimal.cast("double")).otherwise(as_double)))
+    rank = F.greatest(ra, rb) if op != "/" else F.greatest(ra, rb, F.lit(2))
+    as_decimal = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "/": F.try_divide}[op](da, db).try_cast("decimal(38,18)")
+    as_double = fa + fb if op == "+" else fa - fb if op == "-" else fa * fb if op == "*" else F.when(fb != 0, fa / fb).when(fa == 0, F.lit(float("nan"))).otherwise(fa * F.lit(float("inf")))
+    return Value(number=(rank, as_decimal, as_double))
 
 
 def constant(term: str) -> Value:
@@ -113,8 +108,8 @@ def constant(term: str) -> Value:
 
 
 def numbers(a: Value, b: Value, f: Callable[[Column, Column], Column]) -> Column:
-    (ra, da, fa), (rb, db, fb) = a.number, b.number
-    return F.when((ra <= 2) & (rb <= 2), f(da, db)).when(ra.isNotNull() & rb.isNotNull(), f(fa, fb))
+    (_, da, fa), (_, db, fb) = a.number, b.number
+    return F.coalesce(f(da, db), f(fa, fb))
 
 
 def strings(a: Value, b: Value, f: Callable[[Column, Column], Column]) -> Column:
@@ -149,7 +144,7 @@ def equal(a: Value, b: Value) -> Column:
         return a.term == b.term
     by_value = ordered(a, b, same)
     # Literals of different known kinds, and anything beside a literal, differ; so do tagged strings.
-    kind = lambda v: F.lit(v.kind) if v.kind else F.when(~T.is_literal(v.term), "term").when(T.suffix(v.term) == "", "string").when(T.language(v.term) != "", "tagged").when(v.number[0].isNotNull(), "number").when(T.to_boolean(v.term).isNotNull(), "truth").when(T.to_timestamp(v.term).isNotNull(), "moment")
+    kind = lambda v: F.lit(v.kind) if v.kind else F.when(~T.is_literal(v.term), "term").when(T.suffix(v.term) == "", "string").when(T.language(v.term) != "", "tagged").when(v.number[2].isNotNull(), "number").when(T.to_boolean(v.term).isNotNull(), "truth").when(T.to_timestamp(v.term).isNotNull(), "moment")
     ka, kb = kind(a), kind(b)
     return F.coalesce(by_value, F.when(a.term == b.term, True).when((ka != kb) | ((ka == kb) & ka.isin("term", "tagged")), False).when(T.is_literal(a.term) != T.is_literal(b.term), False))
 
@@ -247,7 +242,7 @@ class Compiler:
         rank, dec, dbl = v.number
         truth = T.to_boolean(t)
         if to == "boolean":
-            return Value(truth=F.when(rank <= 2, dec != 0).when(rank.isNotNull(), (dbl != 0) & ~F.isnan(dbl)).when(source.isin("true", "1"), True).when(source.isin("false", "0"), False))
+            return Value(truth=F.when(dbl.isNotNull(), (dbl != 0) & ~F.isnan(dbl)).when(source.isin("true", "1"), True).when(source.isin("false", "0"), False))
         if to in ("integer", "decimal"):
             made = F.coalesce(dec, F.when(~F.isnan(dbl) & (F.abs(dbl) != float("inf")), dbl.try_cast("decimal(38,18)")), truth.cast("int").cast("decimal(38,18)"))
             stringy = T.datatype(t).isin(XSD + "string")
@@ -258,7 +253,7 @@ class Compiler:
             return Value(number=(F.when(made.isNotNull(), 1 if to == "integer" else 2), made, made.cast("double")))
         if to in ("double", "float"):
             real = source.rlike(r"^(?:[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?|-?INF|NaN)$")
-            made = F.when(dbl.isNotNull(), dbl).when(truth.isNotNull(), truth.cast("int").cast("double")).when((T.datatype(t) == XSD + "string") & real, T.to_double(T.string(source)))
+            made = F.when(dbl.isNotNull(), dbl).when(truth.isNotNull(), truth.cast("int").cast("double")).when((T.datatype(t) == XSD + "string") & real, T.to_double(T.typed(source, "double")))
             return Value(number=(F.when(made.isNotNull(), 4 if to == "double" else 3), F.lit(None).cast("decimal(38,18)"), made))
         if to in ("dateTime", "date"):
             good = source.rlike(r"^-?\d{4,}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:\d\d)?$") if to == "dateTime" else source.rlike(r"^-?\d{4,}-\d\d-\d\d(?:Z|[+-]\d\d:\d\d)?$")
@@ -353,7 +348,7 @@ class Compiler:
         if name in ("ISIRI", "ISURI", "ISBLANK", "ISLITERAL"):
             return Value(truth={"ISBLANK": T.is_bnode, "ISLITERAL": T.is_literal}.get(name, T.is_iri)(t))
         if name == "ISNUMERIC":
-            return Value(truth=F.when(t.isNotNull(), a.number[0].isNotNull()))
+            return Value(truth=F.when(t.isNotNull(), a.number[2].isNotNull()))
         if name == "REGEX":
             return Value(truth=F.regexp(plain(a), java_pattern(text(v[1]), text(v[2]) if len(v) > 2 else None)))
         if name == "REPLACE":

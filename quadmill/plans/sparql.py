@@ -439,6 +439,8 @@ class Engine:
             got = add((F.collect_set if distinct else F.collect_list)(own))
             return Value(T.string(F.array_join(F.sort_array(got), separator)))
         rank, dec, dbl = v.number
+        # An integer or decimal without its value, and anything without a value, is an error.
+        rank = F.when(F.coalesce(dec.cast("double"), dbl).isNotNull() & ((rank > 2) | dec.isNotNull()), rank)
         if distinct:
             # Distinct by term: two lexical forms of one number count twice.
             pairs = add(F.collect_set(F.struct(t.alias("t"), rank.alias("r"), dec.alias("d"), dbl.alias("f"))))
