@@ -212,14 +212,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     buckets = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     stars = buckets.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("far"), F.count("*").alias("size")).where("lead <> far")
     shared = scratch.write(buckets.join(stars, "key").select("key", "band", "doc_id", "lead", "size"))
-    members = shared.select("doc_id").distinct()
+    members = scratch.write(shared.select("doc_id").distinct())
     sets = scratch.write(text.join(members, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, found binary").dropDuplicates(["doc_id", "found"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         left, right = sets.select(F.col("doc_id").alias("a"), F.col("found").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("found").alias("y"))
-        return scratch.write(pairs.distinct().join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long"))
+        return scratch.write(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long"))
 
-    edges = verified(shared.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")))
+    edges = verified(shared.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct())
     labels = scratch.write(nearby(edges))  # what it leaves apart is only looked at again
     fine = None  # the second round looks at no other documents than the first
     for top in (3, None):
@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             edges = new
             labels = scratch.write(components(edges, scratch))
         scratch.drop(open_, more)
-    scratch.drop(shared, sets, edges)
+    scratch.drop(shared, sets, edges, members)
 
     reached = classes.join(labels, F.col("rep") == F.col("node"), "left").select("n_shingles", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     # Rows with one id are one document, whatever their texts.
