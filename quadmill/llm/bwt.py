@@ -13,13 +13,19 @@ import numpy as np
 U64 = np.uint64
 
 
+def eights(text: np.ndarray) -> np.ndarray:
+    """The first eight symbols of each suffix as one number."""
+    padded = np.concatenate([text, np.zeros(8, dtype=text.dtype)]).astype(U64)
+    key = np.zeros(len(text), dtype=U64)
+    for i in range(8):
+        key = (key << U64(8)) | padded[i : i + len(text)]
+    return key
+
+
 def bounded_suffix_array(text: np.ndarray, length: int) -> np.ndarray:
     """Suffixes of a text of small unsigned symbols in the order of their first ``length`` symbols (8 or more), by prefix doubling."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, dtype=text.dtype)]).astype(U64)
-    key = np.zeros(n, dtype=U64)
-    for i in range(8):
-        key = (key << U64(8)) | padded[i : i + n]
+    key = eights(text)
     order, have = np.argsort(key), 8
     while True:
         own = key[order]
@@ -50,9 +56,17 @@ def shared_intervals(text: np.ndarray, owner: np.ndarray, length: int) -> tuple[
     # The first place after i whose owner is another: an interval from i up to there has one owner.
     change = np.append(np.flatnonzero(held[1:] != held[:-1]) + 1, n)
     other = np.repeat(change, np.diff(np.concatenate([[0], change])))
-    lo, hi = np.array([0]), np.array([n])
+    # The intervals of eight symbols are there from the sort; the expansion goes on from them.
+    key = eights(text)[order]
+    cut = np.flatnonzero(key[1:] != key[:-1]) + 1
+    lo, hi = np.concatenate([[0], cut]), np.concatenate([cut, [n]])
+    separators = np.concatenate([[0], np.cumsum(np.concatenate([text == 0, np.ones(8, dtype=bool)]))])
+    good = (separators[order[lo] + 8] == separators[order[lo]]) & (other[lo] < hi)
+    lo, hi = lo[good], hi[good]
+    if not len(lo):
+        return order, none, none
     label = np.full(n, -1, dtype=np.int64)
-    for _ in range(length):
+    for _ in range(length - 8):
         size = hi - lo
         ends = np.cumsum(size)
         at = np.arange(ends[-1]) + np.repeat(lo - (ends - size), size)

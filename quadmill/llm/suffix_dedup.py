@@ -194,10 +194,9 @@ def _matched(buckets: int):
             several = (np.maximum.reduceat(doc_, key_at) > np.minimum.reduceat(doc_, key_at)) & (classes > 1)
             # A class is open once for each of its smallest document's runs.
             open_ = ~lost & several[key_no]
+            cuts: dict[int, dict[str, bytes]] = {}
             for mask, made in ((lost, "gone"), (open_, "open")):
                 at = order[mask]
-                if not len(at):
-                    continue
                 hot = classes[key_no[mask]] > HOT
                 by = np.argsort(local[at], kind="stable")
                 at, hot = at[by], hot[by]
@@ -208,9 +207,11 @@ def _matched(buckets: int):
                 else:
                     data = np.empty(len(at), dtype=OPEN)
                     data["key"], data["start"], data["n"], data["hot"] = (key[at] * U64(buckets) + U64(bucket)), start[at], n[at], hot
-                cut = [data[i:j].tobytes() for i, j in zip(first, [*first[1:], len(at)], strict=True)]
-                empty = pa.nulls(len(cut), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[docs], pa.int64()), pa.array(tags[docs], pa.int32()), pa.array(cut, pa.binary()) if made == "gone" else empty, pa.array(cut, pa.binary()) if made == "open" else empty], names=["doc_id", "tag", "gone", "open"])
+                for d, i, j in zip(docs.tolist(), first, [*first[1:], len(at)], strict=True):
+                    cuts.setdefault(d, {})[made] = data[i:j].tobytes()
+            if cuts:  # one row for each document
+                docs = np.fromiter(cuts, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[docs], pa.int64()), pa.array(tags[docs], pa.int32()), *(pa.array([x.get(c) for x in cuts.values()], pa.binary()) for c in ("gone", "open"))], names=["doc_id", "tag", "gone", "open"])
 
         bucket, held = None, []
         for batch in batches:
