@@ -103,11 +103,13 @@ def _sets(k: int):
 
 
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The size and the longer signature, in bytes, of each set."""
+    """The size, the longer signature in bytes and the keys of the bands of each set."""
     for batch in batches:
         found = [np.frombuffer(x.as_py(), dtype=U64) for x in batch.column(1)]
-        fine = [(signature(x, FINE) >> U32(8)).astype(np.uint8).tobytes() for x in found]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, found), pa.int64()), pa.array(fine, pa.binary())], names=["doc_id", "n_shingles", "fine"])
+        long = [signature(x, FINE) for x in found]
+        fine = [(x >> U32(8)).astype(np.uint8).tobytes() for x in long]
+        bands = [band_keys(x[:COORDINATES]).tobytes() for x in long]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, found), pa.int64()), pa.array(fine, pa.binary()), pa.array(bands, pa.binary())], names=["doc_id", "n_shingles", "fine", "bands"])
 
 
 def _linked(percent: int):
@@ -141,12 +143,11 @@ def _crossing(percent: int, top: int | None):
         return n * (share - SIGMAS * np.sqrt(share * (1 - share) / n))
 
     def group(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        doc, comp, n, side, fine, band = rows["doc_id"], rows["component"], rows["n_shingles"], rows["side"], rows["fine"], int(rows["band"][0])
+        doc, comp, n, side, fine, bands, band = *(rows[c] for c in ("doc_id", "component", "n_shingles", "side", "fine", "bands")), int(rows["band"][0])
         names, counts = np.unique(comp, return_counts=True)
         major = names[counts.argmax()]
         split = rows["ci"][0] != rows["cj"][0]
         short = np.ascontiguousarray(fine[:, :COORDINATES])
-        bands = short.view(np.uint32)
         a, b = [], []
         for x in np.flatnonzero(comp != major):
             fit = (comp != comp[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
@@ -170,9 +171,10 @@ def _crossing(percent: int, top: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(whole: pa.Table) -> Iterator[pa.RecordBatch]:
             rows = {c: whole.column(c).to_numpy() for c in names}
-            fine = np.frombuffer(b"".join(whole.column("fine").to_pylist()), dtype=np.uint8).reshape(-1, FINE)
+            rows["fine"] = np.frombuffer(b"".join(whole.column("fine").to_pylist()), dtype=np.uint8).reshape(-1, FINE)
+            rows["bands"] = np.frombuffer(b"".join(whole.column("bands").to_pylist()), dtype=np.int64).reshape(-1, BANDS)
             new = starts(whole)
-            out = [group({c: v[i:j] for c, v in rows.items()} | {"fine": fine[i:j]}) for i, j in zip([0, *new], [*new, len(fine)], strict=True) if j - i > 1]
+            out = [group({c: v[i:j] for c, v in rows.items()}) for i, j in zip([0, *new], [*new, whole.num_rows], strict=True) if j - i > 1]
             if sum(len(x) for x, _ in out):
                 a, b = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -228,14 +230,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         mixed = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
         open_ = scratch.write(marked.join(mixed, "key", "left_semi"))
         if fine is None:
-            fine = scratch.write(sets.join(open_.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_fine, "doc_id long, n_shingles long, fine binary"))
+            fine = scratch.write(sets.join(open_.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_fine, "doc_id long, n_shingles long, fine binary, bands binary"))
         chunks = F.ceil(F.col("size") / CHUNK)
         side = F.pmod(F.xxhash64("doc_id"), chunks).cast("int")
         dealt = (
             open_.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), (chunks - 1).cast("int"))))
             .withColumn("ci", F.least("side", "other")).withColumn("cj", F.greatest("side", "other"))
             .join(fine.dropDuplicates(["doc_id"]), "doc_id")
-            .select("key", "band", "ci", "cj", "side", "doc_id", "component", "n_shingles", "fine")
+            .select("key", "band", "ci", "cj", "side", "doc_id", "component", "n_shingles", "fine", "bands")
         )
         pairs = dealt.repartition(parts(spark), "key", "ci", "cj").sortWithinPartitions("key", "ci", "cj", "doc_id").mapInArrow(_crossing(percent, top), "a long, b long")
         more = verified(pairs)

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,29 @@ def test_crossing_chunks(spark, monkeypatch):
     assert got == comp
 
 
+def test_crossing_examines_every_shared_band():
+    """A likeness of two bands in the bytes of the longer signature alone hides no pair that meets later."""
+    rng = np.random.default_rng(3)
+    hidden = 0
+    for _ in range(1000):
+        both, *rest = np.split(rng.integers(0, 1 << 63, 222, dtype=np.uint64), [178, 200])
+        sets = [np.unique(np.concatenate([both, x])) for x in rest]
+        short = [minhash.signature(x) for x in sets]
+        keys = [minhash.band_keys(x) for x in short]
+        shared = np.flatnonzero(keys[0] == keys[1])
+        alike = (((short[0] ^ short[1]).reshape(minhash.BANDS, minhash.ROWS) & 0xFF00) == 0).all(axis=1)
+        if not len(shared) or not alike[: shared[0]].any():
+            continue
+        hidden += 1
+        (fine,) = minhash._fine(iter([pa.RecordBatch.from_arrays([pa.array([5, 7]), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "found"])]))
+        of = {c: fine.column(c).to_pylist() for c in fine.schema.names}
+        rows = [{"key": int(keys[0][b]), "band": int(b), "ci": 0, "cj": 0, "side": 0, "component": of["doc_id"][i]} | {c: v[i] for c, v in of.items()} for b in shared for i in (0, 1)]
+        for top in (3, None):
+            found = {(x, y) for made in minhash._crossing(80, top)(iter([pa.RecordBatch.from_pylist(rows)])) for x, y in zip(*(made.column(c).to_pylist() for c in "ab"), strict=True)}
+            assert found == {(5, 7)}
+    assert hidden
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     bench = spark.createDataFrame([], "item_id long, text string")
