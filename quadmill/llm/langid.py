@@ -5,7 +5,8 @@ documents. A text, as its lower-cased words, is compressed piece by piece with e
 language whose dictionary gives the fewest bytes wins. Pieces are short, so that a long text is explained
 by the dictionaries and not by itself; all pieces of the whole text count. A short text is too little for
 the coder: it is measured by what it adds to each of PADS passages of the language. The answer is rejected
-where the runner-up needs less than ``margin`` more bytes.
+where it saves less than the part ``margin`` of the runner-up's bytes. Of texts under STEADY bytes the margin
+is larger, as chance leads go with one over the root of the length.
 
 Fitting reads labelled rows twice: counts by language, then about SAMPLE documents of each language,
 picked by hash at a rate that follows from its count, and of each at most SAMPLE_CHARS characters. What
@@ -18,6 +19,7 @@ smaller language name; repeated rows get equal answers; other columns are ignore
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -31,7 +33,9 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 SAMPLE, SAMPLE_CHARS = 400, 4000
-DICTIONARY_BYTES, PIECE, MARGIN = 200_000, 1500, 0.0001
+DICTIONARY_BYTES, PIECE = 200_000, 1500
+#: Between the leads of labelled rows and those of random letters at sf0.1, where both were measured.
+MARGIN, STEADY = 0.02, 800
 SHORT, PADS, PAD_BYTES = 300, 8, 400
 UND = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -67,6 +71,11 @@ def content(own: list[bytes]) -> tuple[bytes, list[bytes]]:
     return joined[apart:][-DICTIONARY_BYTES:], [p for i in range(PADS) if (p := joined[: max(apart, 1)][i * PAD_BYTES : (i + 1) * PAD_BYTES])] or [b""]
 
 
+def least_lead(n: int, margin: float) -> float:
+    """The lead that a text of n bytes needs."""
+    return margin * max(1.0, math.sqrt(STEADY / max(1, n)))
+
+
 class Compressors:
     def __init__(self, model: Model):
         self.names, self.own = sorted(model), []
@@ -98,13 +107,14 @@ def _identified(model: Model, margin: float):
                     score.append(0.0)
                     rejected.append(True)
                     continue
-                sizes = own.sizes(words(text))
+                bare = words(text)
+                sizes = own.sizes(bare)
                 best = int(sizes.argmin())
                 others = np.delete(sizes, best)
                 lead = float((others.min() - sizes[best]) / max(1.0, others.min())) if len(others) else 1.0
                 lang.append(own.names[best])
                 score.append(lead / (lead + 0.02) if lead > 0 else 0.0)
-                rejected.append(lead < margin)
+                rejected.append(lead < least_lead(len(bare), margin))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["n", "lang_pred", "score", "rejected"])
 
     return run

@@ -258,6 +258,19 @@ def test_language_id(spark):
     assert {r.doc_id for r in langid.keep_identified(data, model).collect()} <= {r[0] for r in rows}
 
 
+def test_language_margin(spark):
+    """Text of no learned language is rejected at all lengths; clean documents stay."""
+    rng = random.Random(5)
+    parts = {"aa": ["ka", "lo", "mi", "tu", "re"], "bb": ["sch", "ung", "er", "ein", "aft"], "cc": ["ção", "nh", "os", "el", "qu"]}
+    text = lambda units, n: " ".join("".join(rng.choices(units, k=rng.randrange(1, 4))) for _ in range(n))
+    rows = [(i, text(parts[lang], rng.randrange(30, 600)), lang) for i, lang in enumerate(list(parts) * 60)]
+    junk = [(1000 + i, text("abcdefghijklmnopqrstuvwxyz", n), None) for i, n in enumerate([40, 80, 150, 400, 1000, 4000] * 20)]
+    data = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in langid.keep_identified(data, langid.fit(data, F.col("doc_id") % 4 != 2)).collect()}
+    assert {r[0] for r in rows} <= kept
+    assert len(kept) <= len(rows) + len(junk) // 20
+
+
 def test_packing(spark):
     rng = random.Random(10)
     rows = [(i, prose(rng, rng.randrange(0, 900))) for i in range(500, 560)] + [r for r in ODD if r[0] != 4] + [(700, "a<|endoftext|>b")]
