@@ -9,8 +9,10 @@ where it saves less than the part ``margin`` of the runner-up's bytes. Of texts
 is larger, as chance leads go with one over the root of the length.
 
 Fitting reads labelled rows twice: counts by language, then about SAMPLE documents of each language,
-picked by hash at a rate that follows from its count, and of each at most SAMPLE_CHARS characters. What
-reaches the driver is bounded by languages * SAMPLE * SAMPLE_CHARS whatever the table's size.
+picked by hash at a rate that follows from its count, and of each a piece of at most SAMPLE_CHARS characters
+that begins at a hashed place anywhere in the text. What reaches the driver is bounded by about
+1.5 * languages * SAMPLE * SAMPLE_CHARS whatever the table's size. All sampled documents get an equal share of
+the dictionary; what short ones leave goes to the others.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without a learned
 language everything is ``und``; labels that are null or belong to null ids are not learned; ties go to the
@@ -51,8 +53,10 @@ def fit(docs: DataFrame, learnable: Column, sample: int = SAMPLE) -> Model:
     if not counts:
         return {}
     place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
+    start = F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.greatest(F.char_length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    piece = F.substring("text", start, F.lit(SAMPLE_CHARS))
     rate = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(min(1.0, 1.5 * sample / n) * (1 << 30))))))
-    picked = rows.where(place < rate[F.col("lang")]).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), place.alias("place"), "doc_id").collect()
+    picked = rows.where(place < rate[F.col("lang")]).select("lang", piece.alias("text"), place.alias("place"), "doc_id").collect()
     model: Model = {}
     for lang in sorted(counts):
         own = [words(t) for _, t in sorted({(r.place, r.text) for r in picked if r.lang == lang})[:sample]]
@@ -64,11 +68,25 @@ def words(text: str) -> bytes:
     return " ".join(LETTERS.findall(text.lower())).encode()
 
 
+def shared_out(sizes: list[int], room: int) -> int:
+    """The most bytes of one text, so that all texts together fill the room."""
+    for i, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - i) > room:
+            return room // (len(sizes) - i)
+        room -= n
+    return max(sizes, default=0)
+
+
 def content(own: list[bytes]) -> tuple[bytes, list[bytes]]:
-    """The dictionary and the passages; these come from texts beside the dictionary's where there are enough."""
+    """The dictionary, which all texts share, and the passages; these come from texts beside the dictionary's where there are enough."""
     joined = b" ".join(own)
     apart = max(0, min(len(joined) // 4, PADS * PAD_BYTES))
-    return joined[apart:][-DICTIONARY_BYTES:], [p for i in range(PADS) if (p := joined[: max(apart, 1)][i * PAD_BYTES : (i + 1) * PAD_BYTES])] or [b""]
+    rest, at = [], 0
+    for text in own:
+        rest.append(text[max(0, apart - at) :])
+        at += len(text) + 1
+    most = shared_out([len(x) + 1 for x in rest], DICTIONARY_BYTES)
+    return b" ".join(x[: max(0, most - 1)] for x in rest), [p for i in range(PADS) if (p := joined[: max(apart, 1)][i * PAD_BYTES : (i + 1) * PAD_BYTES])] or [b""]
 
 
 def least_lead(n: int, margin: float) -> float:

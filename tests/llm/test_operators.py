@@ -271,6 +271,17 @@ def test_language_margin(spark):
     assert len(kept) <= len(rows) + len(junk) // 20
 
 
+def test_language_sample(spark):
+    """Every sampled document is in the dictionary, and what follows a long document's opening as well."""
+    own = [(f"w{i:03d} " * (20 + 40 * i)).encode() for i in range(100)]
+    data, _ = langid.content(own)
+    assert len(data) <= langid.DICTIONARY_BYTES < len(data) + 200
+    assert all(b"w%03d " % i in data for i in range(20, 100))
+    late = [(i, "opening " * 600 + "later " * 6000, "aa") for i in range(20)]
+    model = langid.fit(spark.createDataFrame(late, "doc_id long, text string, lang string"), F.lit(True))
+    assert model["aa"][0].count(b"later") > model["aa"][0].count(b"opening")
+
+
 def test_packing(spark):
     rng = random.Random(10)
     rows = [(i, prose(rng, rng.randrange(0, 900))) for i in range(500, 560)] + [r for r in ODD if r[0] != 4] + [(700, "a<|endoftext|>b")]
