@@ -1,10 +1,11 @@
 """Line de-duplication with DataFrame functions alone.
 
 Lines become hashes at once. Counting is skew-free: distinct (hash, document) pairs are dealt by both,
-then pre-aggregated by hash. Rows of the hashes that enough documents share are range-partitioned by
-(hash, document, position), so a line that a third of all documents hold spans many partitions; the
-sorted stream marks what is not in the first document and gives every document a bitmap of the lines
-to drop, as 63-bit words. The text itself is shuffled only once, to meet its bitmap.
+then pre-aggregated by hash. The document that keeps a shared line comes from that aggregate, as a maximum
+joined back, not from a stream of first occurrences: the optimizer removes the sort below, and the range
+partitions by (hash, document, position) only deal out the rows of common lines before they are aggregated.
+Every document gets a bitmap of the lines to drop, as 63-bit words. The text itself is shuffled only once, to
+meet its bitmap.
 
 Defined results: a null or empty text is one empty line; rows with a null id take no part and keep all
 lines; rows with one id are one document, each with a bitmap for its own text; other columns, whatever
