@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and on the rows that break things."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -372,6 +373,27 @@ def test_roles_without_markers():
     assert good / total > 0.95
 
 
+def test_parse_is_the_likeliest_path():
+    """Short transcripts with varied, wrong and missing markers, against all paths there are."""
+    rng = random.Random(17)
+    model = chat.Model(np.log(np.random.default_rng(17).dirichlet(np.ones(chat.CLASSES), 6)), np.array([0.3, 0.4, 0.6]))
+    start, step, mark = model.tables()
+    for _ in range(60):
+        lines = []
+        for _ in range(rng.randrange(1, 6)):
+            name = rng.choice([n for own in chat.MARKERS.values() for n in own])
+            lines.append(rng.choice(["", "", f"{name}: ", f"### {name.title()}: ", f"<|{name}|>: "]) + prose(rng, rng.choice([0, 1, 4, 30])))
+        found = [chat.MARKER.match(x) for x in lines]
+        kinds = [0 if m is None else 1 + chat.ROLES.index(chat.ROLE_OF[m[1].lower()]) for m in found]
+        sizes = [chat.length_class(len(x) - (m.end() if m else 0)) for x, m in zip(lines, found, strict=True)]
+
+        def odds(path, kinds=kinds, sizes=sizes):
+            return start[path[0]] + sum(step[a, b] for a, b in itertools.pairwise(path)) + sum(mark[s, k] + model.length[s, n] for s, k, n in zip(path, kinds, sizes, strict=True))
+
+        path = [2 * chat.ROLES.index(role) + (i > 0) for role, text in chat.parse("\n".join(lines), model) for i in range(text.count("\n") + 1)]
+        assert odds(path) == pytest.approx(max(odds(p) for p in itertools.product(range(6), repeat=len(lines))))
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
