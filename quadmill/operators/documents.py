@@ -115,13 +115,15 @@ def symbols(docs: DataFrame) -> DataFrame:
 
 
 SCANNERS = {
-    "ttl": r"(?P<comment>\#[^\n]*)|(?P<string>\"\"\".*?\"\"\"|'''.*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')|(?P<type><[^>\s]*>)|(?P<keyword>@prefix\b|@base\b|\bPREFIX\b|\bBASE\b|\bGRAPH\b|\ba\b|\btrue\b|\bfalse\b)|(?P<namespace>[A-Za-z][\w.\-]*:(?=\s|$)|:(?=\s))|(?P<property>(?:[A-Za-z][\w.\-]*)?:[\w\-]+)|(?P<number>[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<operator>\^\^|[.;,\[\](){}])",
-    "nt": r"(?P<comment>\#[^\n]*)|(?P<string>\"(?:[^\"\\\n]|\\.)*\")|(?P<type><[^>\s]*>)|(?P<variable>_:\w+)|(?P<operator>\^\^|\.)",
+    "ttl": r"(?P<comment>\#[^\r\n]*)|(?P<string>\"(?:\\[^\n]?|[^\"\\\n])*\"?|'(?:\\[^\n]?|[^'\\\n])*'?)|(?P<keyword>@[A-Za-z]*|(?:a|true|false)(?![A-Za-z0-9_:\-]))|(?P<namespace>[A-Za-z0-9_][A-Za-z0-9_\-]*:[A-Za-z0-9_:\-]*)|(?P<property><[^>\n]*>?|[A-Za-z0-9_][A-Za-z0-9_\-]*)",
+    "nt": r"(?P<comment>(?m:^[^\S\n]*)\#[^\r\n]*|\#[^\r\n]*)|(?P<string>\"(?:\\[^\n]?|[^\"\\\n])*\"?|'(?:\\[^\n]?|[^'\\\n])*'?)|(?P<keyword>@[A-Za-z]*|(?:a|true|false)(?![A-Za-z0-9_:\-]))|(?P<namespace>[A-Za-z0-9_][A-Za-z0-9_\-]*:[A-Za-z0-9_:\-]*)|(?P<property><[^>\n]*>?|[A-Za-z0-9_][A-Za-z0-9_\-]*)",
     "sparql": r"(?P<comment>\#[^\n]*)|(?P<string>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')|(?P<type><[^>\s]*>)|(?P<variable>[?$]\w+)|(?P<property>(?:[A-Za-z][\w.\-]*)?:[\w\-]+)|(?P<namespace>[A-Za-z][\w.\-]*:)|(?P<keyword>\b[A-Za-z_]+\b)|(?P<number>\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<operator>\^\^|&&|\|\||!=|<=|>=|[.;,|/^=<>!*+?\-(){}\[\]])",
     "shex": r"(?P<comment>\#[^\n]*)|(?P<string>\"(?:[^\"\\\n]|\\.)*\")|(?P<type><[^>\s]*>)|(?P<property>(?:[A-Za-z][\w.\-]*)?:[\w\-]+)|(?P<namespace>[A-Za-z][\w.\-]*:)|(?P<keyword>\b[A-Za-z_]+\b)|(?P<number>\d+)|(?P<operator>[.;,|^=@&$*+?!~\-(){}\[\]])",
     "datalog": r"(?P<comment>%[^\n]*|\#[^\n]*)|(?P<string>\"(?:[^\"\\\n]|\\.)*\")|(?P<keyword>\bnot\b)|(?P<variable>\b[A-Z_]\w*)|(?P<property>\b[a-z]\w*)|(?P<number>\d+)|(?P<operator>:-|[(),.!])",
 }
 SAME = {"trig": "ttl", "n3": "ttl", "nq": "nt"}
+#: By language, whose tokens have the first modifier: the strings of Turtle and N-Triples, as in the reference, and prefixes elsewhere.
+MODIFIED = {"ttl": "string", "nt": "string"}
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +144,7 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = m.start()
                 wide = lambda s: len(s) if s.isascii() else len(s.encode("utf-16-be")) // 2
                 first = m[0].split("\n", 1)[0]
-                out.append((path, line, wide(text[start : m.start()]), wide(first), TOKEN_TYPES.index(m.lastgroup), 1 if m.lastgroup == "namespace" else 0))
+                out.append((path, line, wide(text[start : m.start()]), wide(first), TOKEN_TYPES.index(m.lastgroup), 1 if m.lastgroup == MODIFIED.get(SAME.get(lang, lang), "namespace") else 0))
         columns = list(zip(*out, strict=True)) or [()] * 6
         kinds = [pa.string(), *[pa.int32()] * 5]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "line", "start", "length", "type", "modifiers"])

@@ -535,17 +535,17 @@ def doc_symbols(spark, sf_dir):
 def doc_tokens_delta(spark, sf_dir):
     """The predicate of the last statement, relative to its subject."""
     made = D.delta_encoded(D.semantic_tokens(rdf_docs(spark, sf_dir)))
-    return made.where("line = 3 AND type = 2 AND length = 9 AND delta_line = 0").select("path", "line", "delta_line", "delta_start", "length")
+    return made.where("line = 3 AND type = 0 AND length = 9 AND delta_line = 0").select("path", "line", "delta_line", "delta_start", "length")
 
 
 # Of each token its place, length, type and modifiers; k and n: to which the length of the key or of the name is added.
 @register("""SELECT 'd' || c_custkey AS path, l AS line, dl AS delta_line, ds + CASE kd WHEN 'k' THEN length(c_custkey::VARCHAR) WHEN 'n' THEN length(c_name) ELSE 0 END AS delta_start,
   n + CASE kn WHEN 'k' THEN length(c_custkey::VARCHAR) WHEN 'n' THEN length(c_name) ELSE 0 END AS length, t AS type, m AS modifiers
 FROM customer, (VALUES
-  (0, 0, 0, '', 7, '', 6, 0), (0, 0, 8, '', 2, '', 0, 1), (0, 0, 3, '', 8, '', 1, 0), (0, 0, 9, '', 1, '', 8, 0),
-  (1, 1, 0, '', 7, '', 6, 0), (1, 0, 8, '', 2, '', 0, 1), (1, 0, 3, '', 8, '', 1, 0), (1, 0, 9, '', 1, '', 8, 0),
-  (2, 1, 0, '', 2, 'k', 2, 0), (2, 0, 3, 'k', 6, '', 2, 0), (2, 0, 7, '', 2, 'n', 4, 0), (2, 0, 3, 'n', 1, '', 8, 0),
-  (3, 1, 0, '', 2, 'k', 2, 0), (3, 0, 3, 'k', 9, '', 2, 0), (3, 0, 10, '', 3, '', 2, 0), (3, 0, 4, '', 1, '', 8, 0)) v(l, dl, ds, kd, n, kn, t, m)""")
+  (0, 0, 0, '', 7, '', 6, 0), (0, 0, 8, '', 2, '', 0, 0), (0, 0, 3, '', 8, '', 2, 0),
+  (1, 1, 0, '', 7, '', 6, 0), (1, 0, 8, '', 2, '', 0, 0), (1, 0, 3, '', 8, '', 2, 0),
+  (2, 1, 0, '', 2, 'k', 0, 0), (2, 0, 3, 'k', 6, '', 0, 0), (2, 0, 7, '', 2, 'n', 4, 1),
+  (3, 1, 0, '', 2, 'k', 0, 0), (3, 0, 3, 'k', 9, '', 0, 0), (3, 0, 10, '', 3, '', 0, 0)) v(l, dl, ds, kd, n, kn, t, m)""")
 def doc_tokens_all(spark, sf_dir):
     """All tokens of the documents, each relative to the one before."""
     return D.delta_encoded(D.semantic_tokens(rdf_docs(spark, sf_dir))).drop("start")
