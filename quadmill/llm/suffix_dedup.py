@@ -2,17 +2,21 @@
 
 Every window of ``length`` bytes has an anchor: its least K-gram hash, the same in all its copies. A run is
 the windows that share an anchor. (1) Runs are dealt by anchor hash as packed arrays. Runs with equal
-bytes are one class: all but the class' smallest document lose them whole. Anchors that stay with several
-classes from several documents are open. (2) The bytes of open classes, one run each, meet by anchor and
-are examined by interval expansion on the transform of a block of them; a window whose interval holds a
-smaller document is removed. (3) Each document is cut by its removed ranges.
-
-So the text is shuffled once (the exchange is used twice) and the transform's blocks are bounded. An
-anchor with more than HOT classes, such as a passage in a third of all documents, is dealt by the hash of
-each single window instead, so its runs spread over all tasks and equal windows are pre-aggregated.
+bytes are one class: all but the class' smallest document lose them whole. A task that deals decides so of
+what it holds itself, and only each class' smallest document goes on, so a passage in a third of all
+documents sends one run for each FLUSH bytes of text. Anchors that stay with several classes from several
+documents are open. (2) The bytes of open classes, one run each, meet by anchor and are examined by interval
+expansion on the transform of a block of them; a window whose interval holds a smaller document is removed.
+(3) Each document is cut by its removed ranges.
+
+Equality of a class is told by its hashes (88 bits and more), so whole copies never reach the transform: it
+examines what is left, the runs whose neighbours differ. An anchor with more than HOT classes is dealt by the
+hash of each single window instead, so its runs spread over all tasks; a task sends a window once, for the
+smallest document it has read, and where a block of one key outgrows BLOCK its equal strings become one.
+Buckets are FINER a partition and slots of documents too, so what a task holds at once is a part of its share.
 
 Defined results: null and empty texts have no bytes; rows with a null id take no part and stay whole;
-rows with one id don't remove each other's strings; other columns are ignored.
+rows with one id don't remove each other's strings; repeated rows are cut alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +35,12 @@ from .bwt import shared_intervals
 from .common import U64, Scratch, mix, parts, small_batches
 
 K, CHUNK, BLOCK = 16, 1 << 20, 1 << 20
-FLUSH, HOT = 8 << 20, 2048
-RUN = np.dtype([("doc", "<u4"), ("start", "<u4"), ("n", "<u2")])
+FLUSH, HOT, FINER, HELD = 8 << 20, 2048, 8, 400_000
 OPEN = np.dtype([("key", "<u8"), ("start", "<u4"), ("n", "<u2"), ("hot", "u1")])
 GONE = np.dtype([("start", "<u4"), ("end", "<u4")])
+#: The same with the document they belong to: its id and its tag, 31 bits of a hash of id and text.
+OWNER = [("doc", "<i8"), ("tag", "<i4")]
+OWN_OPEN, OWN_GONE = np.dtype(OWNER + OPEN.descr), np.dtype(OWNER + GONE.descr)
 
 
 def fold(a: np.ndarray, b: np.ndarray, step: int) -> np.ndarray:
@@ -105,30 +112,58 @@ def unplanes(data: bytes, dtype: np.dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(dtype.itemsize, -1).T).reshape(-1).view(dtype)
 
 
+def _elsewhere(gram: np.ndarray, whole: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    """Which runs have the same bytes as one of a smaller document."""
+    with np.errstate(over="ignore"):
+        both = gram + whole * U64(0x9E3779B97F4A7C15)
+    order = np.argsort(both)
+    g, w = gram[order], whole[order]
+    first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (w[1:] != w[:-1])]))
+    size = np.diff(np.append(first, len(order)))
+    lost = np.zeros(len(order), dtype=bool)
+    some = np.flatnonzero(np.repeat(size, size) > 1)
+    if len(some):
+        at, size = order[some], size[size > 1]
+        least = np.minimum.reduceat(doc_id[at], np.concatenate([[0], np.cumsum(size)[:-1]]))
+        lost[at] = doc_id[at] > np.repeat(least, size)
+    return lost
+
+
 def _deal(length: int, buckets: int):
-    """Runs by bucket of their anchor, as one row of packed arrays for every FLUSH bytes and bucket."""
+    """Runs by bucket of their anchor, as one row of packed arrays for every FLUSH bytes and bucket; rows without keys are runs already lost."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, turn = [], 0, TaskContext.get().partitionId()
+
+        def row(bucket: int, at: np.ndarray, ids, tags, doc, start, n, gram, whole) -> tuple:
+            docs, local = np.unique(doc[at], return_inverse=True)
+            where = start[at].astype(np.int64)
+            same = np.concatenate([[False], local[1:] == local[:-1]])
+            where[1:] -= np.where(same[1:], where[:-1].copy(), 0)
+            keyed = (None, None)
+            if gram is not None:
+                keys = (gram[at] // U64(buckets)) & U64((1 << 40) - 1)
+                keyed = (planes(np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :5])), planes(np.ascontiguousarray(whole[at].view(np.uint8).reshape(-1, 8)[:, :6])))
+            return (bucket, planes(ids[docs]), planes(tags[docs]), planes(np.diff(local, prepend=0).astype("<u4")), planes(where.astype("<u4")), planes(n[at].astype("<u2")), *keyed)
 
         def out() -> pa.RecordBatch:
+            nonlocal turn
             ids, tags = (np.concatenate([x[i] for x in held]) for i in (0, 1))
             base = np.cumsum([0, *(len(x[0]) for x in held)])
             doc = np.concatenate([x[2] + b for x, b in zip(held, base, strict=False)])
             start, n, gram, whole = (np.concatenate([x[i] for x in held]) for i in (3, 4, 5, 6))
-            bucket = (gram % U64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            held.clear()
+            lost = _elsewhere(gram, whole, ids[doc])
             rows = []
+            if lost.any():
+                turn += 1
+                rows.append(row(turn % buckets, np.flatnonzero(lost), ids, tags, doc, start, n, None, None))
+            left = np.flatnonzero(~lost)
+            bucket = (gram[left] % U64(buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            order, ends = left[by], np.searchsorted(bucket[by], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(ends)):
-                at = order[ends[b] : ends[b + 1]]
-                docs, local = np.unique(doc[at], return_inverse=True)
-                keys = (gram[at] // U64(buckets)) & U64((1 << 40) - 1)
-                where = start[at].astype(np.int64)
-                same = np.concatenate([[False], local[1:] == local[:-1]])
-                where[1:] -= np.where(same[1:], where[:-1].copy(), 0)
-                rows.append((int(b), planes(ids[docs]), planes(tags[docs]), planes(np.diff(local, prepend=0).astype("<u4")), planes(where.astype("<u4")), planes(n[at].astype("<u2")), planes(np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :5])), planes(np.ascontiguousarray(whole[at].view(np.uint8).reshape(-1, 8)[:, :6]))))
-            held.clear()
+                rows.append(row(int(b), order[ends[b] : ends[b + 1]], ids, tags, doc, start, n, gram, whole))
             columns = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[1:]], names=["bucket", "ids", "tags", "docs", "starts", "ns", "keys", "wholes"])
 
@@ -158,103 +193,199 @@ def _deal(length: int, buckets: int):
     return run
 
 
-def _matched(buckets: int):
-    """Of one bucket: what each document loses whole, and its open runs."""
+def _unpacked(rows: list[dict]) -> list[np.ndarray]:
+    """ids, tags, start, n, key and whole of the runs of some rows of _deal; rows without keys lack these."""
+    ids, tags, start, n, key, whole = made = [], [], [], [], [], []
+    for r in rows:
+        doc = np.cumsum(unplanes(r["docs"], np.dtype("<u4"))).astype(np.int64)
+        ids.append(unplanes(r["ids"], np.dtype("<i8"))[doc])
+        tags.append(unplanes(r["tags"], np.dtype("<i4"))[doc])
+        where = np.cumsum(unplanes(r["starts"], np.dtype("<u4")).astype(np.int64))
+        new = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        carry = np.concatenate([[0], where])[new]
+        start.append(where - np.repeat(carry, np.diff(np.append(new, len(doc)))))
+        n.append(unplanes(r["ns"], np.dtype("<u2")))
+        for to, name, width in ((key, "keys", 5), (whole, "wholes", 6)) if r["keys"] is not None else ():
+            raw = np.zeros((len(doc), 8), dtype=np.uint8)
+            raw[:, :width] = np.frombuffer(r[name], dtype=np.uint8).reshape(width, -1).T
+            to.append(raw.reshape(-1).view(U64))
+    return [np.concatenate(x) if x else np.empty(0, dtype=U64) for x in made]
+
+
+def _matched(buckets: int, slots: int):
+    """What each document loses whole, and its open runs: packed rows, one for each slot of documents and HELD runs."""
+
+    def settled(bucket: int, rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        ids, tags, start, n, key, whole = _unpacked(rows)
+        order = np.lexsort((start, ids, whole, key))
+        key_, whole_, doc_ = key[order], whole[order], ids[order]
+        new_key = np.concatenate([[True], key_[1:] != key_[:-1]])
+        new_class = new_key | np.concatenate([[True], whole_[1:] != whole_[:-1]])
+        key_at, class_at = np.flatnonzero(new_key), np.flatnonzero(new_class)
+        key_no, class_no = np.cumsum(new_key) - 1, np.cumsum(new_class) - 1
+        lost = doc_ > doc_[class_at][class_no]
+        classes = np.add.reduceat(new_class.astype(np.int64), key_at)
+        several = (np.maximum.reduceat(doc_, key_at) > np.minimum.reduceat(doc_, key_at)) & (classes > 1)
+        # A class is open once for each of its smallest document's runs.
+        mask = ~lost & several[key_no]
+        at = order[mask]
+        open_ = np.empty(len(at), dtype=OWN_OPEN)
+        open_["doc"], open_["tag"], open_["key"], open_["start"], open_["n"] = ids[at], tags[at], key[at] * U64(buckets) + U64(bucket), start[at], n[at]
+        open_["hot"] = classes[key_no[mask]] > HOT
+        return _ranges(ids, tags, start, n, order[lost]), open_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(bucket: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
-            ids, tags, local, start, n, key, whole = [], [], [], [], [], [], []
-            base = 0
-            for r in rows:
-                own = unplanes(r["ids"], np.dtype("<i8"))
-                ids.append(own)
-                tags.append(unplanes(r["tags"], np.dtype("<i4")))
-                doc = np.cumsum(unplanes(r["docs"], np.dtype("<u4"))).astype(np.int64)
-                where = np.cumsum(unplanes(r["starts"], np.dtype("<u4")).astype(np.int64))
-                new = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-                carry = np.concatenate([[0], where])[new]
-                local.append(doc + base)
-                start.append(where - np.repeat(carry, np.diff(np.append(new, len(doc)))))
-                n.append(unplanes(r["ns"], np.dtype("<u2")))
-                for to, name, width in ((key, "keys", 5), (whole, "wholes", 6)):
-                    raw = np.zeros((len(doc), 8), dtype=np.uint8)
-                    raw[:, :width] = np.frombuffer(r[name], dtype=np.uint8).reshape(width, -1).T
-                    to.append(raw.reshape(-1).view(U64))
-                base += len(own)
-            ids, tags, local, start, n, key, whole = map(np.concatenate, (ids, tags, local, start, n, key, whole))
-            doc_id = ids[local]
-            order = np.lexsort((start, doc_id, whole, key))
-            key_, whole_, doc_ = key[order], whole[order], doc_id[order]
-            new_key = np.concatenate([[True], key_[1:] != key_[:-1]])
-            new_class = new_key | np.concatenate([[True], whole_[1:] != whole_[:-1]])
-            key_at, class_at = np.flatnonzero(new_key), np.flatnonzero(new_class)
-            key_no, class_no = np.cumsum(new_key) - 1, np.cumsum(new_class) - 1
-            lost = doc_ > doc_[class_at][class_no]
-            classes = np.add.reduceat(new_class.astype(np.int64), key_at)
-            several = (np.maximum.reduceat(doc_, key_at) > np.minimum.reduceat(doc_, key_at)) & (classes > 1)
-            # A class is open once for each of its smallest document's runs.
-            open_ = ~lost & several[key_no]
-            cuts: dict[int, dict[str, bytes]] = {}
-            for mask, made in ((lost, "gone"), (open_, "open")):
-                at = order[mask]
-                hot = classes[key_no[mask]] > HOT
-                by = np.argsort(local[at], kind="stable")
-                at, hot = at[by], hot[by]
-                docs, first = np.unique(local[at], return_index=True)
-                if made == "gone":
-                    data = np.empty(len(at), dtype=GONE)
-                    data["start"], data["end"] = start[at], start[at] + n[at].astype(np.int64)
-                else:
-                    data = np.empty(len(at), dtype=OPEN)
-                    data["key"], data["start"], data["n"], data["hot"] = (key[at] * U64(buckets) + U64(bucket)), start[at], n[at], hot
-                for d, i, j in zip(docs.tolist(), first, [*first[1:], len(at)], strict=True):
-                    cuts.setdefault(d, {})[made] = data[i:j].tobytes()
-            if cuts:  # one row for each document
-                docs = np.fromiter(cuts, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[docs], pa.int64()), pa.array(tags[docs], pa.int32()), *(pa.array([x.get(c) for x in cuts.values()], pa.binary()) for c in ("gone", "open"))], names=["doc_id", "tag", "gone", "open"])
-
-        bucket, held = None, []
+        gone, open_, held = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            nonlocal held
+            cut = []
+            for made in (gone, open_):
+                rows = np.concatenate(made)
+                slot = rows["tag"] % slots
+                by = np.argsort(slot, kind="stable")
+                cut.append((rows[by], np.searchsorted(slot[by], np.arange(slots + 1))))
+                made.clear()
+            held = 0
+            some = np.flatnonzero(np.diff(cut[0][1]) + np.diff(cut[1][1]))
+            columns = [[planes(x[e[i] : e[i + 1]]) if e[i + 1] > e[i] else None for i in some] for x, e in cut]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["slot", "gone", "open"])
+
+        def done(bucket: int, rows: list[dict]) -> None:
+            nonlocal held
+            early, late = [r for r in rows if r["keys"] is None], [r for r in rows if r["keys"] is not None]
+            if early:
+                ids, tags, start, n, _, _ = _unpacked(early)
+                gone.append(_ranges(ids, tags, start, n, np.arange(len(ids))))
+            lost, left = settled(bucket, late) if late else (np.empty(0, dtype=OWN_GONE), np.empty(0, dtype=OWN_OPEN))
+            gone.append(lost)
+            open_.append(left)
+            held += sum(len(x[-1]) for x in (gone, open_)) + (len(gone[-2]) if early else 0)
+
+        bucket, rows = None, []
         for batch in batches:
             for r in batch.to_pylist():
-                if r["bucket"] != bucket and held:
-                    yield from done(bucket, held)
-                    held = []
+                if r["bucket"] != bucket and rows:
+                    done(bucket, rows)
+                    rows = []
+                    if held >= HELD:
+                        yield out()
                 bucket = r["bucket"]
-                held.append(r)
+                rows.append(r)
+        if rows:
+            done(bucket, rows)
         if held:
-            yield from done(bucket, held)
+            yield out()
 
     return run
 
 
+def _ranges(ids: np.ndarray, tags: np.ndarray, start: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    made = np.empty(len(at), dtype=OWN_GONE)
+    made["doc"], made["tag"], made["start"], made["end"] = ids[at], tags[at], start[at], start[at] + n[at].astype(np.int64)
+    return made
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document of a slot: the ranges it loses, joined where they meet, and its open runs."""
+
+    def done(gone: list[np.ndarray], open_: list[np.ndarray]) -> pa.RecordBatch:
+        cuts: dict[tuple[int, int], dict[str, bytes]] = {}
+        for name, made, kind, own in (("gone", gone, OWN_GONE, GONE), ("open", open_, OWN_OPEN, OPEN)):
+            rows = np.concatenate(made) if made else np.empty(0, dtype=kind)
+            rows = rows[np.lexsort((rows["start"], rows["tag"], rows["doc"]))]
+            if name == "gone" and len(rows):
+                apart = (rows["doc"][1:] != rows["doc"][:-1]) | (rows["tag"][1:] != rows["tag"][:-1]) | (rows["start"][1:] > rows["end"][:-1])
+                first = np.flatnonzero(np.concatenate([[True], apart]))
+                end = np.maximum.reduceat(rows["end"], first)
+                rows = rows[first]
+                rows["end"] = end
+            new = np.flatnonzero(np.concatenate([[True], (rows["doc"][1:] != rows["doc"][:-1]) | (rows["tag"][1:] != rows["tag"][:-1])])) if len(rows) else []
+            bare = np.empty(len(rows), dtype=own)
+            for c in own.names:
+                bare[c] = rows[c]
+            for i, j in zip(new, [*new[1:], len(rows)], strict=False):
+                cuts.setdefault((int(rows["doc"][i]), int(rows["tag"][i])), {})[name] = bare[i:j].tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([k[i] for k in cuts], t) for i, t in ((0, pa.int64()), (1, pa.int32()))] + [pa.array([x.get(c) for x in cuts.values()], pa.binary()) for c in ("gone", "open")], names=["doc_id", "tag", "gone", "open"])
+
+    slot, gone, open_ = None, [], []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["slot"] != slot and (gone or open_):
+                yield done(gone, open_)
+                gone, open_ = [], []
+            slot = r["slot"]
+            for made, name, kind in ((gone, "gone", OWN_GONE), (open_, "open", OWN_OPEN)):
+                if r[name] is not None:
+                    made.append(unplanes(r[name], kind))
+    if gone or open_:
+        yield done(gone, open_)
+
+
 def _contexts(length: int):
-    """The bytes of open runs: key, doc_id, tag, start, bytes."""
+    """The bytes of open runs: key, doc_id, tag, starts (packed), run. A row without bytes holds windows lost to one that the task had sent before."""
+
+    names = ["key", "doc_id", "tag", "starts", "run"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "doc_id", "tag", "start", "run"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        windows: dict[bytes, tuple[int, int, bytes, list[bytes]]] = {}  # hash -> smallest document, its tag, the window, its starts
+        rows: list[tuple] = []
+
+        def send(h: bytes, x: tuple) -> None:
+            rows.append((int.from_bytes(h[:8], "little", signed=True), x[0], x[1], b"".join(x[3]), x[2]))
+
+        def lose(doc_id: int, tag: int, starts: list[bytes]) -> None:
+            rows.append((tag, doc_id, tag, b"".join(starts), None))
+
         for batch in batches:
-            rows = []
-            for doc_id, tag, text, blobs in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                for x in np.concatenate([np.frombuffer(b, dtype=OPEN) for b in blobs]).tolist():
-                    key, start, n, hot = x
+            for doc_id, tag, text, blob in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                own: dict[tuple[int, bytes], list[bytes]] = {}
+                hot_own: dict[bytes, tuple[bytes, list[bytes]]] = {}
+                for key, start, n, hot in np.frombuffer(blob, dtype=OPEN).tolist():
                     if hot:
                         for i in range(start, start + n):
-                            own = text[i : i + length]
-                            rows.append((int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True), doc_id, tag, i, own))
+                            w = text[i : i + length]
+                            hot_own.setdefault(hashlib.blake2b(w, digest_size=16).digest(), (w, []))[1].append(i.to_bytes(4, "little"))
                     else:
-                        rows.append((key if key < 1 << 63 else key - (1 << 64), doc_id, tag, start, text[start : start + n - 1 + length]))
+                        own.setdefault((key, text[start : start + n - 1 + length]), []).append(start.to_bytes(4, "little"))
+                for (key, string), starts in own.items():
+                    rows.append((key if key < 1 << 63 else key - (1 << 64), doc_id, tag, b"".join(starts), string))
+                gone: list[bytes] = []
+                for h, (w, starts) in hot_own.items():
+                    before = windows.get(h)
+                    if before is None or doc_id < before[0]:
+                        if before is not None:
+                            lose(before[0], before[1], before[3])
+                        windows[h] = (doc_id, tag, w, starts)
+                    elif doc_id > before[0]:
+                        gone += starts
+                    else:  # another text of the same id
+                        send(h, (doc_id, tag, w, starts))
+                if gone:
+                    lose(doc_id, tag, gone)
+                if len(windows) >= 100_000:
+                    for x in windows.items():
+                        send(*x)
+                    windows.clear()
                 if len(rows) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    yield packed(rows)
                     rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        for x in windows.items():
+            send(*x)
+        if rows:
+            yield packed(rows)
 
     return run
 
 
 def expand(texts: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(text number, place) of every window that also starts in a text of a smaller document."""
+    if not texts:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     sizes = np.array([len(t) for t in texts])
     text = np.frombuffer(b"\xff".join(texts) + b"\xff", dtype=np.uint8) + np.uint8(1)  # UTF-8 has no FF, which becomes 0
     owner = np.repeat(docs, sizes + 1)
@@ -272,25 +403,63 @@ def expand(texts: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarra
 
 
 def _expanded(length: int):
+    schema = ["doc_id", "tag", "gone"]
+
+    def lost(doc_id: np.ndarray, tag: np.ndarray, starts: list[bytes], lo: np.ndarray, hi: np.ndarray, which: np.ndarray) -> pa.RecordBatch:
+        """Ranges lo to hi of the strings ``which``, at each of their starts."""
+        count = np.array([len(x) // 4 for x in starts], dtype=np.int64)
+        flat, base = np.frombuffer(b"".join(starts), dtype="<u4").astype(np.int64), np.concatenate([[0], np.cumsum(count)])
+        times = count[which]
+        each = np.repeat(np.arange(len(which)), times)
+        at = flat[np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times) + base[which][each]] if len(each) else flat[:0]
+        data = np.empty(len(each), dtype=GONE)
+        data["start"], data["end"] = at + lo[each], at + hi[each]
+        own = which[each]
+        return pa.RecordBatch.from_arrays([pa.array(doc_id[own], pa.int64()), pa.array(tag[own], pa.int32()), pa.array([x.tobytes() for x in data], pa.binary())], names=schema)
+
+    def columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        return table.column("doc_id").to_numpy(), table.column("tag").to_numpy(), table.column("starts").to_pylist()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(table: pa.Table) -> pa.RecordBatch:
-            texts = table.column("run").to_pylist()
-            doc_id, tag, start = (table.column(c).to_numpy() for c in ("doc_id", "tag", "start"))
-            which, place = expand(texts, doc_id, length)
-            first = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (place[1:] != place[:-1] + 1)])) if len(which) else which
-            last = np.concatenate([first[1:] - 1, [len(which) - 1]]) if len(which) else which
-            w = which[first]
-            lo, hi = start[w] + place[first], start[w] + place[last] + 1
-            data = np.empty(len(w), dtype=GONE)
-            data["start"], data["end"] = lo, hi
-            return pa.RecordBatch.from_arrays([pa.array(doc_id[w]), pa.array(tag[w]), pa.array([x.tobytes() for x in data], pa.binary())], names=["doc_id", "tag", "gone"])
-
-        held, size = [], 0
+        def forward(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            """Windows that were lost on the way."""
+            some = table.filter(pc.is_null(table.column("run")))
+            if some.num_rows:
+                none = np.zeros(some.num_rows, dtype=np.int64)
+                yield lost(*columns(some), none, none + 1, np.arange(some.num_rows))
+
+        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            yield from forward(table)
+            table = table.filter(pc.is_valid(table.column("run")))
+            doc_id, tag, starts = columns(table)
+            which, place = expand(table.column("run").to_pylist(), doc_id, length)
+            if len(which):
+                first = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (place[1:] != place[:-1] + 1)]))
+                last = np.concatenate([first[1:] - 1, [len(which) - 1]])
+                yield lost(doc_id, tag, starts, place[first], place[last] + 1, which[first])
+
+        def combined(table: pa.Table) -> tuple[pa.Table, list[pa.RecordBatch]]:
+            """Equal strings become one, that of the smallest document; the others lose it whole."""
+            out = list(forward(table))
+            table = table.filter(pc.is_valid(table.column("run")))
+            doc_id, tag, starts = columns(table)
+            strings = table.column("run").to_pylist()
+            least: dict[bytes, int] = {}
+            for x, d in zip(strings, doc_id.tolist(), strict=True):
+                least[x] = min(d, least.get(x, d))
+            keep = np.fromiter((d == least[x] for x, d in zip(strings, doc_id.tolist(), strict=True)), dtype=bool, count=len(strings))
+            which = np.flatnonzero(~keep)
+            if len(which):
+                size = np.array([len(strings[i]) - length + 1 for i in which])
+                out.append(lost(doc_id, tag, starts, np.zeros(len(which), dtype=np.int64), size, which))
+            return table.filter(pa.array(keep)), out
+
+        held, size, most = [], 0, 2 * BLOCK
         for batch in batches:
             key = batch.column(0).to_numpy()
             if not len(key):
                 continue
-            lengths = np.array(pc.binary_length(batch.column(4)).to_pylist())
+            lengths = np.array(pc.fill_null(pc.binary_length(batch.column(4)), 0).to_pylist())
             new = np.concatenate([[bool(held) and held[-1].column(0)[-1].as_py() != key[0]], key[1:] != key[:-1]])
             at = 0
             for i in np.flatnonzero(new):
@@ -298,13 +467,19 @@ def _expanded(length: int):
                     if i > at:
                         held.append(batch.slice(at, i - at))
                     if held:
-                        yield done(pa.Table.from_batches(held))
-                    held, size, at = [], 0, i
+                        yield from done(pa.Table.from_batches(held))
+                    held, size, at, most = [], 0, i, 2 * BLOCK
             if at < len(key):
                 held.append(batch.slice(at))
                 size += int(lengths[at:].sum())
+            if size >= most:  # one key alone, or nearly
+                left, out = combined(pa.Table.from_batches(held))
+                yield from out
+                held = left.combine_chunks().to_batches() or [batch.slice(len(key) - 1)]
+                size = sum(len(x) for x in left.column("run").to_pylist())
+                most = max(most, 2 * size)
         if held:
-            yield done(pa.Table.from_batches(held))
+            yield from done(pa.Table.from_batches(held))
 
     return run
 
@@ -315,9 +490,9 @@ def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for text, *blobs in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+            for text, whole, more in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
                 text = text or b""
-                found = [np.frombuffer(b, dtype=GONE) for group in blobs if group for b in group]
+                found = [np.frombuffer(b, dtype=GONE) for b in [whole or b"", *(more or [])] if b]
                 if not found:
                     made.append((len(text), 0, 0, text))
                     continue
@@ -339,15 +514,17 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     n = parts(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.xxhash64("text").bitwiseAND(F.lit(0xFFFF))).cast("int").alias("tag"), F.col("text").cast("binary").alias("text"))
+    buckets = slots = n * FINER
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("tag"), F.col("text").cast("binary").alias("text"))
     long_ = texts.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-    dealt = long_.mapInArrow(_deal(length, n), "bucket int, ids binary, tags binary, docs binary, starts binary, ns binary, keys binary, wholes binary")
-    matched = dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_matched(n), "doc_id long, tag int, gone binary, open binary")
+    dealt = long_.mapInArrow(_deal(length, buckets), "bucket int, ids binary, tags binary, docs binary, starts binary, ns binary, keys binary, wholes binary")
+    matched = dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_matched(buckets, slots), "slot int, gone binary, open binary")
+    merged = matched.repartition(n, "slot").sortWithinPartitions("slot").mapInArrow(_merged, "doc_id long, tag int, gone binary, open binary")
     # Written, as both of what follows read it: else the runs would be dealt twice.
-    by_doc = Scratch(spark).write(matched.groupBy("doc_id", "tag").agg(F.collect_list("gone").alias("gone"), F.collect_list("open").alias("open")))
+    by_doc = Scratch(spark).write(merged)
     placed = texts.repartition(n, "doc_id", "tag")
-    opened = by_doc.where(F.size("open") > 0).select("doc_id", "tag", "open")
-    contexts = placed.join(opened, ["doc_id", "tag"]).select("doc_id", "tag", "text", "open").mapInArrow(_contexts(length), "key long, doc_id long, tag int, start long, run binary")
+    opened = by_doc.where(F.col("open").isNotNull()).select("doc_id", "tag", "open")
+    contexts = placed.join(opened, ["doc_id", "tag"]).select("doc_id", "tag", "text", "open").mapInArrow(_contexts(length), "key long, doc_id long, tag int, starts binary, run binary")
     found = contexts.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_expanded(length), "doc_id long, tag int, gone binary")
     more = found.groupBy("doc_id", "tag").agg(F.collect_list("gone").alias("more"))
     met = placed.join(by_doc.select("doc_id", "tag", "gone"), ["doc_id", "tag"], "left").join(more, ["doc_id", "tag"], "left")
