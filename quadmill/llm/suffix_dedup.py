@@ -4,8 +4,9 @@ Every window of ``length`` bytes has an anchor: its least K-gram hash, the same
 the windows that share an anchor. (1) Runs are dealt by anchor hash as packed arrays. Runs with equal
 bytes are one class: all but the class' smallest document lose them whole. A task that deals decides so of
 what it holds itself, and only each class' smallest document goes on, so a passage in a third of all
-documents sends one run for each FLUSH bytes of text. Anchors that stay with several classes from several
-documents are open. (2) The bytes of open classes, one run each, meet by anchor and are examined by interval
+documents sends one run for each FLUSH bytes of text. Classes that stay are open where they may share a window
+with another document's: around its anchor a window has length - K bytes, so two that share one agree in at least
+half of these on one side, and in the K before or after the anchor where half is K or more. (2) The bytes of open classes, one run each, meet by anchor and are examined by interval
 expansion on the transform of a block of them; a window whose interval holds a smaller document is removed.
 (3) Each document is cut by its removed ranges.
 
@@ -35,7 +36,7 @@ from .bwt import shared_intervals
 from .common import U64, Scratch, mix, parts, small_batches
 
 K, CHUNK, BLOCK = 16, 1 << 20, 1 << 20
-FLUSH, HOT, FINER, HELD = 8 << 20, 2048, 8, 400_000
+FLUSH, HOT, FINER, HELD = 8 << 20, 2048, 4, 400_000
 OPEN = np.dtype([("key", "<u8"), ("start", "<u4"), ("n", "<u2"), ("hot", "u1")])
 GONE = np.dtype([("start", "<u4"), ("end", "<u4")])
 #: The same with the document they belong to: its id and its tag, 31 bits of a hash of id and text.
@@ -70,11 +71,14 @@ def hashes(text: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
 
 
 def runs(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(document, first window in it, windows, anchor hash, hash of the windows) of each run; starts: of the documents in text, with the end."""
+    """(document, first window in it, windows, anchor hash, hash of the windows, hashes of the K bytes before and after the anchor) of each run.
+
+    starts: of the documents in text, with the end. A hash of 0 stands for less than K bytes on that side.
+    """
     none = np.empty(0, dtype=np.int64)
     n = len(text) - length + 1
     if n <= 0:
-        return none, none, none, none.view(U64), none.view(U64)
+        return none, none, none, none.view(U64), none.view(U64), none.astype("<u2"), none.astype("<u2")
     gram, whole = hashes(text, (K, length))
     w = length - K + 1
     # The hash's upper bits, then the place: the least is the leftmost of equal ones.
@@ -96,7 +100,13 @@ def runs(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray,
     real = inside[first]
     first, count, total = first[real], count[real], total[real]
     place = anchor[first]
-    return doc[first], first - starts[doc[first]], count, mix(gram[place]), mix(total + (place - first).astype(U64))
+
+    def side(at: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        own = (gram[np.where(inside, at, 0)] >> U64(40)).astype("<u2")
+        return np.where(inside, np.maximum(own, 1), 0).astype("<u2")
+
+    sides = side(place - K, place - K >= first), side(place + K, place + 2 * K <= first + count - 1 + length)
+    return doc[first], first - starts[doc[first]], count, mix(gram[place]), mix(total + (place - first).astype(U64)), *sides
 
 
 def _joined(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -135,37 +145,39 @@ def _deal(length: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, turn = [], 0, TaskContext.get().partitionId()
 
-        def row(bucket: int, at: np.ndarray, ids, tags, doc, start, n, gram, whole) -> tuple:
-            docs, local = np.unique(doc[at], return_inverse=True)
-            where = start[at].astype(np.int64)
-            same = np.concatenate([[False], local[1:] == local[:-1]])
-            where[1:] -= np.where(same[1:], where[:-1].copy(), 0)
-            keyed = (None, None)
-            if gram is not None:
-                keys = (gram[at] // U64(buckets)) & U64((1 << 40) - 1)
-                keyed = (planes(np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :5])), planes(np.ascontiguousarray(whole[at].view(np.uint8).reshape(-1, 8)[:, :6])))
-            return (bucket, planes(ids[docs]), planes(tags[docs]), planes(np.diff(local, prepend=0).astype("<u4")), planes(where.astype("<u4")), planes(n[at].astype("<u2")), *keyed)
+        def row(bucket: int, at: np.ndarray, ids, tags, doc, start, n, *hashed) -> tuple:
+            """at is in the order of documents."""
+            own = doc[at]
+            new = np.concatenate([[True], own[1:] != own[:-1]])
+            docs, where = own[new], start[at].astype(np.int64)
+            where[1:] -= np.where(new[1:], 0, where[:-1].copy())
+            keyed = (None, None, None)
+            if hashed:
+                gram, whole, left, right = (x[at] for x in hashed)
+                keys = (gram // U64(buckets)) & U64((1 << 40) - 1)
+                keyed = (planes(np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :5])), planes(np.ascontiguousarray(whole.view(np.uint8).reshape(-1, 8)[:, :6])), planes(left) + planes(right))
+            return (bucket, planes(ids[docs]), planes(tags[docs]), new.tobytes(), planes(where.astype("<u4")), planes(n[at].astype("<u2")), *keyed)
 
         def out() -> pa.RecordBatch:
             nonlocal turn
             ids, tags = (np.concatenate([x[i] for x in held]) for i in (0, 1))
             base = np.cumsum([0, *(len(x[0]) for x in held)])
             doc = np.concatenate([x[2] + b for x, b in zip(held, base, strict=False)])
-            start, n, gram, whole = (np.concatenate([x[i] for x in held]) for i in (3, 4, 5, 6))
+            start, n, gram, whole, left, right = (np.concatenate([x[i] for x in held]) for i in range(3, 9))
             held.clear()
             lost = _elsewhere(gram, whole, ids[doc])
             rows = []
             if lost.any():
                 turn += 1
-                rows.append(row(turn % buckets, np.flatnonzero(lost), ids, tags, doc, start, n, None, None))
-            left = np.flatnonzero(~lost)
-            bucket = (gram[left] % U64(buckets)).astype(np.int64)
+                rows.append(row(turn % buckets, np.flatnonzero(lost), ids, tags, doc, start, n))
+            kept = np.flatnonzero(~lost)
+            bucket = (gram[kept] % U64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
-            order, ends = left[by], np.searchsorted(bucket[by], np.arange(buckets + 1))
+            order, ends = kept[by], np.searchsorted(bucket[by], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(ends)):
-                rows.append(row(int(b), order[ends[b] : ends[b + 1]], ids, tags, doc, start, n, gram, whole))
+                rows.append(row(int(b), order[ends[b] : ends[b + 1]], ids, tags, doc, start, n, gram, whole, left, right))
             columns = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[1:]], names=["bucket", "ids", "tags", "docs", "starts", "ns", "keys", "wholes"])
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[1:]], names=["bucket", "ids", "tags", "docs", "starts", "ns", "keys", "wholes", "sides"])
 
         for batch in batches:
             ids, tags = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
@@ -178,9 +190,9 @@ def _deal(length: int, buckets: int):
                 for lo in range(0, len(text) if to - at == 1 else 1, 8 * CHUNK):
                     piece, own = (text[lo : lo + 8 * CHUNK + length - 1], None) if to - at == 1 else (text, starts)
                     own = np.array([0, len(piece)]) if own is None else own
-                    doc, start, n, gram, whole = runs(piece, own, length)
+                    doc, start, *rest = runs(piece, own, length)
                     if len(doc):
-                        held.append((ids[at:to], tags[at:to], doc, start + lo, n, gram, whole))
+                        held.append((ids[at:to], tags[at:to], doc, start + lo, *rest))
                 size += len(text)
                 at = to
                 if size >= FLUSH:
@@ -194,10 +206,10 @@ def _deal(length: int, buckets: int):
 
 
 def _unpacked(rows: list[dict]) -> list[np.ndarray]:
-    """ids, tags, start, n, key and whole of the runs of some rows of _deal; rows without keys lack these."""
-    ids, tags, start, n, key, whole = made = [], [], [], [], [], []
+    """ids, tags, start, n, key, whole, left and right of the runs of some rows of _deal; rows without keys lack these."""
+    ids, tags, start, n, key, whole, left, right = made = [], [], [], [], [], [], [], []
     for r in rows:
-        doc = np.cumsum(unplanes(r["docs"], np.dtype("<u4"))).astype(np.int64)
+        doc = np.cumsum(np.frombuffer(r["docs"], dtype=np.uint8), dtype=np.int64) - 1
         ids.append(unplanes(r["ids"], np.dtype("<i8"))[doc])
         tags.append(unplanes(r["tags"], np.dtype("<i4"))[doc])
         where = np.cumsum(unplanes(r["starts"], np.dtype("<u4")).astype(np.int64))
@@ -209,14 +221,18 @@ def _unpacked(rows: list[dict]) -> list[np.ndarray]:
             raw = np.zeros((len(doc), 8), dtype=np.uint8)
             raw[:, :width] = np.frombuffer(r[name], dtype=np.uint8).reshape(width, -1).T
             to.append(raw.reshape(-1).view(U64))
+        if r["keys"] is not None:
+            sides = np.frombuffer(r["sides"], dtype=np.uint8).reshape(2, -1)
+            left.append(unplanes(sides[0].tobytes(), np.dtype("<u2")))
+            right.append(unplanes(sides[1].tobytes(), np.dtype("<u2")))
     return [np.concatenate(x) if x else np.empty(0, dtype=U64) for x in made]
 
 
-def _matched(buckets: int, slots: int):
+def _matched(length: int, buckets: int, slots: int):
     """What each document loses whole, and its open runs: packed rows, one for each slot of documents and HELD runs."""
 
     def settled(bucket: int, rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-        ids, tags, start, n, key, whole = _unpacked(rows)
+        ids, tags, start, n, key, whole, left, right = _unpacked(rows)
         order = np.lexsort((start, ids, whole, key))
         key_, whole_, doc_ = key[order], whole[order], ids[order]
         new_key = np.concatenate([[True], key_[1:] != key_[:-1]])
@@ -228,6 +244,17 @@ def _matched(buckets: int, slots: int):
         several = (np.maximum.reduceat(doc_, key_at) > np.minimum.reduceat(doc_, key_at)) & (classes > 1)
         # A class is open once for each of its smallest document's runs.
         mask = ~lost & several[key_no]
+        some = order[mask]
+        near = np.zeros(len(ids), dtype=bool)
+        for side in (left, right) if (length - K + 1) // 2 >= K else ():
+            own = some[side[some] > 0]
+            own = own[np.lexsort((side[own], key[own]))]
+            if len(own):
+                first = np.flatnonzero(np.concatenate([[True], (key[own][1:] != key[own][:-1]) | (side[own][1:] != side[own][:-1])]))
+                apart = np.maximum.reduceat(ids[own], first) > np.minimum.reduceat(ids[own], first)
+                near[own] |= np.repeat(apart, np.diff(np.append(first, len(own))))
+        if (length - K + 1) // 2 >= K:
+            mask &= near[order]
         at = order[mask]
         open_ = np.empty(len(at), dtype=OWN_OPEN)
         open_["doc"], open_["tag"], open_["key"], open_["start"], open_["n"] = ids[at], tags[at], key[at] * U64(buckets) + U64(bucket), start[at], n[at]
@@ -255,7 +282,7 @@ def _matched(buckets: int, slots: int):
             nonlocal held
             early, late = [r for r in rows if r["keys"] is None], [r for r in rows if r["keys"] is not None]
             if early:
-                ids, tags, start, n, _, _ = _unpacked(early)
+                ids, tags, start, n, *_ = _unpacked(early)
                 gone.append(_ranges(ids, tags, start, n, np.arange(len(ids))))
             lost, left = settled(bucket, late) if late else (np.empty(0, dtype=OWN_GONE), np.empty(0, dtype=OWN_OPEN))
             gone.append(lost)
@@ -517,8 +544,8 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     buckets = slots = n * FINER
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("tag"), F.col("text").cast("binary").alias("text"))
     long_ = texts.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-    dealt = long_.mapInArrow(_deal(length, buckets), "bucket int, ids binary, tags binary, docs binary, starts binary, ns binary, keys binary, wholes binary")
-    matched = dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_matched(buckets, slots), "slot int, gone binary, open binary")
+    dealt = long_.mapInArrow(_deal(length, buckets), "bucket int, ids binary, tags binary, docs binary, starts binary, ns binary, keys binary, wholes binary, sides binary")
+    matched = dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_matched(length, buckets, slots), "slot int, gone binary, open binary")
     merged = matched.repartition(n, "slot").sortWithinPartitions("slot").mapInArrow(_merged, "doc_id long, tag int, gone binary, open binary")
     # Written, as both of what follows read it: else the runs would be dealt twice.
     by_doc = Scratch(spark).write(merged)

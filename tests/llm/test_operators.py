@@ -170,7 +170,8 @@ def repeats(rows, n=50):
 
 
 @pytest.mark.parametrize("own", [{}, {"HOT": 1}, {"HOT": 1, "BLOCK": 500, "CHUNK": 2000, "FLUSH": 3000, "HELD": 50}, {"BLOCK": 100, "HELD": 1}])
-def test_repeat_removal(spark, monkeypatch, own):
+@pytest.mark.parametrize("length", [50, 35])
+def test_repeat_removal(spark, monkeypatch, own, length):
     for name, value in own.items():
         monkeypatch.setattr(suffix_dedup, name, value)
     rng = random.Random(3)
@@ -178,8 +179,8 @@ def test_repeat_removal(spark, monkeypatch, own):
     rows = [(i, prose(rng, rng.randrange(5, 60)) + rng.choice(shared)[rng.randrange(40) :][: rng.randrange(30, 200)] + "é" + prose(rng, 5)) for i in range(60)]
     rows += [(i + 100, edited(rng, t, 0.03)) for i, t in rows[:20]] + [(200, rows[0][1])] + ODD + [(7, "w " * 2000), (300, "ab" * 400), (301, "ab" * 900), (301, "ab" * 900), (302, "b" + "ab" * 300)]
     rows += [(i + 400, prose(rng, 3) + shared[0][:90] + prose(rng, 3)) for i in range(60)]
-    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffix_dedup.remove_repeats(docs(spark, rows)).collect()), key=str)
-    assert got == repeats(rows)
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffix_dedup.remove_repeats(docs(spark, rows), length).collect()), key=str)
+    assert got == repeats(rows, length)
 
 
 def test_bounded_transform():
