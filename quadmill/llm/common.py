@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where none is set and all run here."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -30,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Written tables that cut lineage, so a lost executor never recomputes what came before them.
 
-    ``drop`` removes a table once nothing reads it any more.
+    ``drop`` removes a table once nothing reads it any more; what is left goes when the session's JVM ends.
     """
 
     def __init__(self, spark: SparkSession):
@@ -41,6 +43,11 @@ class Scratch:
     def write(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
+        if self.count == 1:
+            root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            files.mkdirs(root)
+            files.deleteOnExit(root)
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path

@@ -7,9 +7,11 @@ coordinates give buckets; links are confirmed on the full shingle sets.
 Work never grows with the square of a bucket. Documents with equal sets are one class, and only the
 class' smallest document goes on. Each bucket is first tied as a star to its smallest member; then
 only pairs that lie in different components are looked at: the likeliest few of each document first,
-then all the others. Large buckets are dealt out as pairs of chunks. No pair of a bucket goes
-unexamined unless both are in one component by then, or their longer signatures (FINE coordinates) agree
-in so few that a similarity at the threshold is SIGMAS standard deviations off.
+then all the others. Of a large bucket the members outside its largest component visit all its chunks, while
+the others stay in theirs. No pair of a bucket goes unexamined unless both are in one component by then, or their
+longer signatures (FINE coordinates) agree in so few that a similarity at the threshold is SIGMAS standard
+deviations off. Classes of 1/HEAVY of all documents or more, of which there are HEAVY at most, meet their members
+by a broadcast.
 
 Defined results: null or wordless texts have no shingles and are linked with nothing; a text with fewer
 words than a shingle is one shingle; null ids are returned with a null component and are not kept; rows
@@ -32,7 +34,7 @@ BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
 #: Of the longer signature that candidates are compared by before their sets are; sigmas of doubt that it leaves.
 FINE, SIGMAS = 1024, 4.5
-CHUNK = 1024
+CHUNK, HEAVY = 1024, 1000
 U32 = np.uint32
 SHIFTS = np.arange(FINE, dtype=U32)[:, None]
 
@@ -136,24 +138,19 @@ def _linked(percent: int):
 
 
 def _crossing(percent: int, top: int | None):
-    """Pairs of one bucket that lie in different components and may reach the threshold; top: of each document, only its likeliest."""
+    """Pairs of a visitor and a resident of one bucket that lie in different components and may reach the threshold; top: of each visitor, only its likeliest."""
     share = percent / 100
 
     def enough(n: int) -> float:
         return n * (share - SIGMAS * np.sqrt(share * (1 - share) / n))
 
     def group(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        doc, comp, n, side, fine, bands, band = *(rows[c] for c in ("doc_id", "component", "n_shingles", "side", "fine", "bands")), int(rows["band"][0])
-        names, counts = np.unique(comp, return_counts=True)
-        major = names[counts.argmax()]
-        split = rows["ci"][0] != rows["cj"][0]
+        doc, comp, n, visits, fine, bands, band, major = *(rows[c] for c in ("doc_id", "component", "n_shingles", "visits", "fine", "bands")), int(rows["band"][0]), rows["major"][0]
         short = np.ascontiguousarray(fine[:, :COORDINATES])
         a, b = [], []
-        for x in np.flatnonzero(comp != major):
-            fit = (comp != comp[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
-            fit &= (comp == major) | (doc > doc[x])
-            if split:
-                fit &= side != side[x]
+        for x in np.flatnonzero(visits):
+            fit = ~visits & (comp != comp[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+            fit &= (comp == major) | (doc > doc[x])  # two visitors meet twice
             at = np.flatnonzero(fit)
             if len(at) and band:
                 at = at[~(bands[at, :band] == bands[x, :band]).any(axis=1)]  # they met in an earlier band
@@ -170,7 +167,7 @@ def _crossing(percent: int, top: int | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(whole: pa.Table) -> Iterator[pa.RecordBatch]:
-            rows = {c: whole.column(c).to_numpy() for c in names}
+            rows = {c: whole.column(c).to_numpy(zero_copy_only=False) if c != "visits" else np.array(whole.column(c).to_pylist(), dtype=bool) for c in names}
             rows["fine"] = np.frombuffer(b"".join(whole.column("fine").to_pylist()), dtype=np.uint8).reshape(-1, FINE)
             rows["bands"] = np.frombuffer(b"".join(whole.column("bands").to_pylist()), dtype=np.int64).reshape(-1, BANDS)
             new = starts(whole)
@@ -183,7 +180,7 @@ def _crossing(percent: int, top: int | None):
             keys = [whole.column(c).to_numpy() for c in ("key", "ci", "cj")]
             return np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
 
-        names, held = ("key", "band", "ci", "cj", "side", "doc_id", "component", "n_shingles"), None
+        names, held = ("key", "band", "ci", "cj", "visits", "doc_id", "component", "major", "n_shingles"), None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -207,7 +204,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     scratch = Scratch(spark)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     signed = scratch.write(text.mapInArrow(_signed(words), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"))
-    classes = signed.where("n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"))
+    least = F.lit(max(2, -(-signed.count() // HEAVY)))
+    classes = signed.where("n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"), (F.count("*") >= least).alias("heavy"))
     reps = signed.join(classes.select(F.col("rep").alias("doc_id"), "n_shingles", "k1", "k2"), ["doc_id", "n_shingles", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
     reps = scratch.write(reps.select("doc_id", "bands"))
 
@@ -227,17 +225,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     for top in (3, None):
         own = members.join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
         marked = shared.join(own, "doc_id").select("key", "band", "doc_id", "component", "size")
-        mixed = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        open_ = scratch.write(marked.join(mixed, "key", "left_semi"))
+        of_component = marked.groupBy("key", "component").count()
+        mixed = of_component.groupBy("key").agg(F.max(F.struct("count", "component")).alias("most"), F.sum("count").alias("all"), F.count("*").alias("n")).where("n > 1")
+        mixed = mixed.select("key", F.col("most.component").alias("major"), (F.col("all") - F.col("most.count")).alias("visitors"))
+        open_ = scratch.write(marked.join(mixed, "key"))
         if fine is None:
             fine = scratch.write(sets.join(open_.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_fine, "doc_id long, n_shingles long, fine binary, bands binary"))
-        chunks = F.ceil(F.col("size") / CHUNK)
-        side = F.pmod(F.xxhash64("doc_id"), chunks).cast("int")
+        homes, tours = F.ceil(F.col("size") / CHUNK), F.ceil(F.col("visitors") / CHUNK)
+        every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+        at_home, on_tour = F.pmod(F.xxhash64("doc_id"), homes).cast("int"), F.pmod(F.xxhash64("doc_id", F.lit(1)), tours).cast("int")
+        residents = open_.select("*", F.lit(False).alias("visits"), at_home.alias("ci"), every(tours).alias("cj"))
+        visitors = open_.where(F.col("component") != F.col("major")).select("*", F.lit(True).alias("visits"), every(homes).alias("ci"), on_tour.alias("cj"))
         dealt = (
-            open_.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), (chunks - 1).cast("int"))))
-            .withColumn("ci", F.least("side", "other")).withColumn("cj", F.greatest("side", "other"))
-            .join(fine.dropDuplicates(["doc_id"]), "doc_id")
-            .select("key", "band", "ci", "cj", "side", "doc_id", "component", "n_shingles", "fine", "bands")
+            residents.unionByName(visitors).join(fine.dropDuplicates(["doc_id"]), "doc_id")
+            .select("key", "band", "ci", "cj", "visits", "doc_id", "component", "major", "n_shingles", "fine", "bands")
         )
         pairs = dealt.repartition(parts(spark), "key", "ci", "cj").sortWithinPartitions("key", "ci", "cj", "doc_id").mapInArrow(_crossing(percent, top), "a long, b long")
         more = verified(pairs)
@@ -249,8 +250,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         scratch.drop(open_, more)
     scratch.drop(shared, sets, edges, members)
 
-    reached = classes.join(labels, F.col("rep") == F.col("node"), "left").select("n_shingles", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
+    by = ["n_shingles", "k1", "k2"]
+    reached = scratch.write(classes.join(labels, F.col("rep") == F.col("node"), "left").select(*by, F.coalesce("component", "rep").alias("component_id"), "heavy"))
     # Rows with one id are one document, whatever their texts.
-    out = signed.select("doc_id", "n_shingles", "k1", "k2").join(reached, ["n_shingles", "k1", "k2"], "left")
+    rows, heavy = signed.select("doc_id", *by), F.broadcast(reached.where("heavy").drop("heavy"))
+    out = rows.join(heavy, by).unionByName(rows.join(heavy, by, "left_anti").join(reached.where("not heavy").drop("heavy"), by, "left"))
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs less all near copies: of each group the document of the smallest id stays.
+
+    Rows without an id stay. Where one id has several rows, each of its texts is a document, which counts as one of
+    a larger id than any other, and equal rows of it (by id and text) become one.
+    """
+    scratch = Scratch(docs.sparkSession)
+    id_ = F.col("doc_id").cast("long")
+    ids = docs.where(id_.isNotNull()).select(id_.alias("_id"))
+    several = scratch.write(ids.groupBy("_id").count().where("count > 1").select("_id"))
+    named = docs.withColumn("_own", id_)
+    if not several.isEmpty():
+        apart = id_.eqNullSafe(F.col("_id"))
+        text_own = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)
+        some = docs.join(several, apart, "left_semi").withColumn("_own", text_own).dropDuplicates(["_own"])
+        named = scratch.write(docs.join(several, apart, "left_anti").withColumn("_own", id_).unionByName(some))
+    told = near_duplicates(named.select(F.col("_own").alias("doc_id"), "text"), words, percent)
+    gone = told.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone"))
+    return named.join(gone, F.col("_own") == F.col("_gone"), "left_anti").select(*(named[c] for c in docs.columns))
