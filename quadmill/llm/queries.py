@@ -78,18 +78,23 @@ FROM d LEFT JOIN t USING (doc_id)
 """
 
 
+#: How speakers are marked in the transcripts of op5, by role; a turn in five goes without.
+STYLES = {"system": ["System: ", "### Instruction: ", "**Context**: "], "user": ["User: ", "Human: ", "### Question: ", "[Customer]: "], "assistant": ["Assistant: ", "AI: ", "### Answer: ", "<|bot|>: "]}
+
+
 def op5_hmm_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The conversations as marked transcripts, parsed back and rendered: one row for each recovered turn."""
+    """The conversations as transcripts whose markers vary or are missing, parsed back and rendered: one row for each recovered turn.
+
+    Which marker a turn has is told by a hash of its conversation and number. SQL can't express the decoding.
+    """
     turns = table(spark, sf_dir, "conversations")
+    place = F.xxhash64("conv_id", "turn")
+    style = F.lit("")
+    for role, names in STYLES.items():
+        style = F.when((F.col("role") == role) & (F.pmod(place, F.lit(5)) > 0), F.element_at(F.array(*map(F.lit, names)), (F.pmod(F.xxhash64("turn", "conv_id"), F.lit(len(names))) + 1).cast("int"))).otherwise(style)
+    turns = turns.withColumn("marker", style)
     made = chat.format_chats(turns, chat.fit(turns))
-    return made.select("conv_id", "segment", "n", "role", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("rendered").cast("binary"), 256).alias("rendered_sha256"))
-
-
-SQL["op5_hmm_chat_format"] = """
-SELECT conv_id, CAST(turn // 512 AS BIGINT) AS segment, row_number() OVER (PARTITION BY conv_id, turn // 512 ORDER BY turn) - 1 AS n, role, length(coalesce(text, '')) AS n_chars,
-  sha256('<|' || role || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10)) AS rendered_sha256
-FROM conversations
-"""
+    return made.select("conv_id", "n", "role", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("rendered").cast("binary"), 256).alias("rendered_sha256"))
 
 
 def op6_karmarkar_karp_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
