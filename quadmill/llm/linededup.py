@@ -46,8 +46,11 @@ def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def occurrences(rows: DataFrame) -> DataFrame:
     """The rows with n (documents that hold the line) and first (the one that keeps it)."""
-    ranged = rows.repartitionByRange("h1", "h2", F.desc("doc_id")).sortWithinPartitions("h1", "h2", F.desc("doc_id"), "version", "pos")
-    rows = Scratch(rows.sparkSession).write(ranged.withColumn("part", F.spark_partition_id()))
+    scratch = Scratch(rows.sparkSession)
+    hashes = scratch.write(rows)  # as dealing by range reads them twice
+    ranged = hashes.repartitionByRange("h1", "h2", F.desc("doc_id")).sortWithinPartitions("h1", "h2", F.desc("doc_id"), "version", "pos")
+    rows = scratch.write(ranged.withColumn("part", F.spark_partition_id()))
+    scratch.drop(hashes)
     # Two hashes a partition at most, of which only those on both sides of a border stay.
     ends = rows.groupBy("part").agg(F.array(F.min(F.struct("h1", "h2")), F.max(F.struct("h1", "h2"))).alias("ends")).select("part", F.explode(F.array_distinct("ends")).alias("end"))
     spanning = ends.groupBy("end.h1", "end.h2").count().where("count > 1").select("h1", "h2")
