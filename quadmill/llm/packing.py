@@ -7,8 +7,11 @@ tokens are cut into sequences of power-of-two lengths, which need no padding. A
 documents and holds POOL pieces of less than a sequence each, so memory is bounded, nothing is
 shuffled, and sequence ids are unique by the task's number.
 
+Which tokens bear loss is told as a part of each document's tokens, spread evenly over them; without such a column
+all do, and the third limit is the first.
+
 Defined results: a null text is an empty one, whose only id is the end mark; null ids and repeated rows
-are packed like any others; other columns are ignored.
+are packed like any others; a null part of loss counts as 1, others are cut to 0 to 1; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
@@ -65,7 +68,7 @@ class Packer:
         self.what: list[tuple[int, int]] = []
         self.total = 0
 
-    def add(self, doc: int, tokens: int, loss: int) -> Iterator[list[tuple[int, int, int]]]:
+    def add(self, doc: int, tokens: int, loss: float) -> Iterator[list[tuple[int, int, int]]]:
         """loss: how many of the tokens bear loss, taken as spread evenly over them."""
         start, share = 0, loss / tokens
         whole = int(min(self.length, self.limit[2] // share if share else self.length))
@@ -148,10 +151,10 @@ def _packed(length: int, segments: int, loss: int, end: int, json_path: str | No
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, text, share in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 ids = np.append(encode(text.as_py() or ""), np.uint32(end))
                 held[number] = [doc_id, ids, len(ids)]
-                put(packer.add(number, len(ids), len(ids)))
+                put(packer.add(number, len(ids), len(ids) * share))
                 number += 1
                 if len(rows) >= 10_000:
                     yield out()
@@ -161,8 +164,9 @@ def _packed(length: int, segments: int, loss: int, end: int, json_path: str | No
     return run
 
 
-def pack(docs: DataFrame, length: int = LENGTH, segments: int = SEGMENTS, loss: int = LENGTH, end: int = 1, json_path: str | None = None) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, length: int = LENGTH, segments: int = SEGMENTS, loss: int = LENGTH, end: int = 1, json_path: str | None = None, loss_part: Column | None = None) -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. loss_part: of a document's tokens, 0 to 1."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    share = F.lit(1.0) if loss_part is None else F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(loss_part.cast("double"), F.lit(1.0))))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), share.alias("share"))
     return texts.mapInArrow(_packed(length, segments, loss, end, json_path), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
