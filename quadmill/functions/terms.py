@@ -126,6 +126,12 @@ def to_decimal(t: Column) -> Column:
     return F.when(is_literal(t) & _of(t, *INTEGERS, "decimal") & text.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)$"), text.try_cast("decimal(38,18)"))
 
 
+def to_whole(t: Column) -> Column:
+    """Of integers alone, exact to 38 digits."""
+    text = raw_lexical(t)
+    return F.when(is_literal(t) & _of(t, *INTEGERS) & text.rlike(r"^[+-]?\d+$"), text.try_cast("decimal(38,0)"))
+
+
 def to_boolean(t: Column) -> Column:
     text = raw_lexical(t)
     return F.when(datatype(t) == XSD + "boolean", F.when(text.isin("true", "1"), True).when(text.isin("false", "0"), False))
@@ -147,10 +153,10 @@ def double_text(x: Column) -> Column:
     return F.when(F.isnan(x), "NaN").when(x == float("inf"), "INF").when(x == float("-inf"), "-INF").otherwise(x.cast("string"))
 
 
-def number(rank: Column, dec: Column, dbl: Column) -> Column:
-    """The literal of a number of that rank; null where the number is."""
+def number(rank: Column, dec: Column, dbl: Column, big: Column) -> Column:
+    """The literal of a number of that rank; null where the rank or the number is. big: the integer itself."""
     real = F.concat(F.lit('"'), double_text(dbl), F.when(rank == 3, f'"^^<{XSD}float>').otherwise(f'"^^<{XSD}double>'))
-    return F.when(rank == 1, typed(dec.cast("decimal(38,0)").cast("string"), "integer")).when(rank == 2, typed(decimal_text(dec), "decimal")).otherwise(real)
+    return F.when(rank == 1, typed(big.cast("string"), "integer")).when(rank == 2, typed(decimal_text(dec), "decimal")).when(rank >= 3, real)
 
 
 def order_key(t: Column) -> Column:

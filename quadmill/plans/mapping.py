@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
 from ..functions import terms as T
+from .expressions import Native
 
 QUAD = ["s", "p", "o", "g"]
 
@@ -29,8 +30,11 @@ class Facts:
     def quads(self, p: str | None = None) -> DataFrame:
         return self.df if p is None else self.df.where(F.col("p") == p)
 
-    def star(self, predicates: list[str]) -> list[DataFrame] | None:
-        """Tables of s and o0, o1, ... for the predicates together, or None where they must be joined."""
+    def star(self, predicates: list[str]) -> tuple[DataFrame, dict[str, Native]] | None:
+        """A table of s, g and o0, o1, ... for the predicates together, or None where they must be joined.
+
+        The second part says which of the columns have beside them, as native_s or native_o0, what the terms were made of.
+        """
         return None
 
 
@@ -47,6 +51,15 @@ class Table:
     def predicates(self) -> dict[str, str]:
         return {f"<urn:t:{f.name}>": f.name for f in self.df.schema if not isinstance(f.dataType, (Y.ArrayType, Y.MapType, Y.StructType, Y.BinaryType))}
 
+    def native(self, column: str | None) -> Native | None:
+        """What the terms of a column, or of the subject, are made of; None where that is not kept."""
+        if column is None:
+            return Native("key", f"<urn:t:{self.name}:") if len(self.key) == 1 and isinstance(self.df.schema[self.key[0]].dataType, Y.IntegralType) else None
+        kind = self.df.schema[column].dataType
+        if column in self.links:
+            return Native("key", f"<urn:t:{self.links[column]}:") if isinstance(kind, Y.IntegralType) else None
+        return Native("string" if isinstance(kind, Y.StringType) else "integer" if isinstance(kind, Y.IntegralType) else "double") if isinstance(kind, (Y.StringType, Y.IntegralType, Y.DoubleType, Y.FloatType)) else None
+
     def object(self, column: str) -> Column:
         c, kind = F.col(column), self.df.schema[column].dataType
         if column in self.links:
@@ -88,14 +101,18 @@ class Mapped:
             return self.tables[0].df.sparkSession.createDataFrame([], "s string, p string, o string, g string")
         return reduce(DataFrame.union, made)
 
-    def star(self, predicates: list[str]) -> list[DataFrame] | None:
+    def star(self, predicates: list[str]) -> tuple[DataFrame, dict[str, Native]] | None:
         homes = [[t.name for t in self.tables if p in t.predicates()] for p in predicates]
         if any(len(h) != 1 for h in homes) or len({h[0] for h in homes}) != 1:
             return None
         t = next(t for t in self.tables if t.name == homes[0][0])
         columns = [t.predicates()[p] for p in predicates]
-        made = t.df.select(t.subject().alias("s"), *(t.object(c).alias(f"o{i}") for i, c in enumerate(columns)), self.graph(t.name).alias("g"))
-        return [made.dropna(subset=[f"o{i}" for i in range(len(columns))])]
+        places = {"s": None} | {f"o{i}": c for i, c in enumerate(columns)}
+        natives = {x: n for x, c in places.items() if (n := t.native(c))}
+        own = [F.col(places[x] or t.key[0]).alias(f"native_{x}") for x in natives]
+        # A term is null where its column is: so said, the scan can skip these rows.
+        rows = t.df.dropna(subset=list(dict.fromkeys(columns)))
+        return rows.select(t.subject().alias("s"), *(t.object(c).alias(f"o{i}") for i, c in enumerate(columns)), *own, self.graph(t.name).alias("g")), natives
 
 
 #: Keys and foreign keys of the test tables.

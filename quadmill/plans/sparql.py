@@ -1,22 +1,24 @@
 """SPARQL queries as DataFrame plans.
 
 A solution table has a column for each variable and knows which are certainly bound, so that joins stay
-equi-joins wherever they can; only where a shared variable may be unbound does the condition let NULL
-match. FILTERs of a group apply to the whole group, those of an OPTIONAL are its join condition.
+equi-joins wherever they can: where no shared variable is certainly bound, solutions with and without one are
+joined apart; where another one is, the condition lets NULL match. Beside a term that a table's column was
+made into goes the column itself, so filters, constants and joins on keys reach the scans as they are.
+FILTERs of a group apply to the whole group, those of an OPTIONAL are its join condition.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
-from ..session import written
-from .expressions import Compiler, Value, text, whole
+from ..session import appended, written
+from .expressions import Compiler, Native, Number, Value, constant, equal, no_whole, text, whole
 from .sparql_parser import Query, SparqlError, has_aggregate, parse_query, visible
 
 CHECK_EVERY = 4
@@ -31,14 +33,44 @@ def col(var: str) -> Column:
     return F.col(f"`{column_name(var)}`")
 
 
+def native_name(var: str) -> str:
+    return "n_" + column_name(var)
+
+
+def copy(var: str) -> str:
+    return ".k" + var
+
+
 @dataclass
 class Solutions:
     df: DataFrame
     bound: dict[str, bool]  # variable -> certainly bound
+    natives: dict[str, Native] = field(default_factory=dict)  # variable -> what its column native_name holds
 
-    def column(self, var: str) -> Column | None:
+    def column(self, var: str) -> Value | Column | None:
+        """What an expression takes for a variable."""
+        if var in self.natives:
+            return self.natives[var].value(col(var), F.col(f"`{native_name(var)}`"))
         return col(var) if var in self.bound else None
 
+    def where(self, condition: Column, bound: str | None = None) -> Solutions:
+        """Those that a condition holds for, by which a variable may be certainly bound."""
+        return Solutions(self.df.where(condition), self.bound if bound is None else {**self.bound, bound: True}, self.natives)
+
+    def copied(self, names: list[str]) -> Solutions:
+        """With a copy of some variables, which joins leave as it is."""
+        return Solutions(self.df.select("*", *(col(n).alias(column_name(copy(n))) for n in names)), self.bound | {copy(n): self.bound[n] for n in names}, self.natives)
+
+    def without(self, var: str) -> Solutions:
+        """The same without a variable."""
+        return Solutions(self.df.drop(column_name(var), native_name(var)), {n: c for n, c in self.bound.items() if n != var}, {n: k for n, k in self.natives.items() if n != var})
+
+    def halves(self, var: str) -> list[Solutions]:
+        """Those with a variable and, without its column, those that lack it."""
+        if self.bound[var]:
+            return [self]
+        return [self.where(col(var).isNotNull(), var), self.where(col(var).isNull()).without(var)]
+
     def keep(self, names: list[str]) -> Solutions:
         return Solutions(self.df.select(*(col(n) if n in self.bound else F.lit(None).cast("string").alias(column_name(n)) for n in names)), {n: self.bound.get(n, False) for n in names})
 
@@ -48,18 +80,28 @@ def unit(spark: SparkSession) -> Solutions:
 
 
 def renamed(right: Solutions) -> DataFrame:
-    return right.df.select(*(col(n).alias("r_" + column_name(n)) for n in right.bound))
+    return right.df.select(*(col(n).alias("r_" + column_name(n)) for n in right.bound), *(F.col(f"`{native_name(n)}`").alias("r_" + native_name(n)) for n in right.natives))
 
 
 def rcol(var: str) -> Column:
     return F.col(f"`r_{column_name(var)}`")
 
 
+def rvalue(b: Solutions, var: str) -> Value | Column:
+    """What an expression takes for a variable of b, with b's columns renamed."""
+    return b.natives[var].value(rcol(var), F.col(f"`r_{native_name(var)}`")) if var in b.natives else rcol(var)
+
+
+def alike(a: Solutions, b: Solutions, var: str) -> bool:
+    """That both have a variable as the same kind of column."""
+    return var in a.natives and a.natives[var] == b.natives.get(var) and a.natives[var].kind != "double"
+
+
 def agreement(a: Solutions, b: Solutions, shared: list[str]) -> Column:
     """That two solutions are compatible, with b's columns renamed."""
     made = F.lit(True)
     for n in shared:
-        same = col(n) == rcol(n)
+        same = F.col(f"`{native_name(n)}`") == F.col(f"`r_{native_name(n)}`") if alike(a, b, n) else col(n) == rcol(n)
         made &= same if a.bound[n] and b.bound[n] else same | col(n).isNull() | rcol(n).isNull()
     return made
 
@@ -67,17 +109,36 @@ def agreement(a: Solutions, b: Solutions, shared: list[str]) -> Column:
 def join(a: Solutions, b: Solutions) -> Solutions:
     shared = [n for n in a.bound if n in b.bound]
     if all(a.bound[n] and b.bound[n] for n in shared):
-        df = a.df.join(b.df, [column_name(n) for n in shared]) if shared else a.df.crossJoin(b.df)
-        return Solutions(df, {**a.bound, **b.bound})
+        natives = b.natives | a.natives
+        if not shared:
+            return Solutions(a.df.crossJoin(b.df), {**a.bound, **b.bound}, natives)
+        by = [native_name(n) if alike(a, b, n) else column_name(n) for n in shared]
+        twice = [c for n in shared for c in ([column_name(n)] if alike(a, b, n) else [native_name(n)] if n in a.natives and n in b.natives else [])]
+        return Solutions(a.df.join(b.df.drop(*twice), by), {**a.bound, **b.bound}, natives)
+    if apart := loose(a, b, shared):
+        names = list(dict.fromkeys([*a.bound, *b.bound]))
+        return united([join(x, y) for x in a.halves(apart) for y in b.halves(apart)], names)
     df = a.df.join(renamed(b), agreement(a, b, shared))
     return merged(df, a, b, shared, inner=True)
 
 
+def loose(a: Solutions, b: Solutions, shared: list[str]) -> str | None:
+    """The shared variable to tell solutions apart by, where none is certainly bound on both sides."""
+    return None if not shared or any(a.bound[n] and b.bound[n] for n in shared) else shared[0]
+
+
+def united(parts: list[Solutions], names: list[str]) -> Solutions:
+    return Solutions(reduce(DataFrame.union, [x.keep(names).df for x in parts]), {n: all(x.bound.get(n, False) for x in parts) for n in names})
+
+
 def merged(df: DataFrame, a: Solutions, b: Solutions, shared: list[str], inner: bool) -> Solutions:
     columns = [F.coalesce(col(n), rcol(n)).alias(column_name(n)) if n in shared and not a.bound[n] else col(n) for n in a.bound]
     columns += [rcol(n).alias(column_name(n)) for n in b.bound if n not in a.bound]
     bound = {n: c or (inner and b.bound.get(n, False)) for n, c in a.bound.items()} | {n: c and inner for n, c in b.bound.items() if n not in a.bound}
-    return Solutions(df.select(*columns), bound)
+    mine = {n: k for n, k in a.natives.items() if n not in shared or a.bound[n]}
+    theirs = {n: k for n, k in b.natives.items() if n not in a.bound}
+    own = [F.col(f"`{native_name(n)}`") for n in mine] + [F.col(f"`r_{native_name(n)}`").alias(native_name(n)) for n in theirs]
+    return Solutions(df.select(*columns, *own), bound, mine | theirs)
 
 
 class Engine:
@@ -104,28 +165,42 @@ class Engine:
         named = quads.where("g IS NOT NULL")
         return (named.where(F.col("g").isin(self.named)) if dataset else named).select("s", "p", "o", "g")
 
-    def shaped(self, df: DataFrame, places: list[tuple[str, tuple]], graph) -> Solutions:
+    def shaped(self, df: DataFrame, places: list[tuple[str, tuple]], graph, natives: dict[str, Native] | None = None) -> Solutions:
         """Columns of df that stand for terms: constants filter, repeated variables must agree."""
         if graph is not None and graph[0] == "var":
             places = [*places, ("g", graph)]
+        natives = natives or {}
         seen: dict[str, str] = {}
         for name, term in places:
             if term[0] != "var":
-                df = df.where(F.col(name) == term[1])
+                own = natives.get(name)
+                if own and own.kind == "key":
+                    df = df.where(equal(own.value(F.col(name), F.col(f"native_{name}")), constant(term[1])))
+                elif own and own.kind == "string" and term[1].endswith('"'):
+                    df = df.where(F.col(f"native_{name}") == constant(term[1]).lex)
+                else:
+                    df = df.where(F.col(name) == term[1])
             elif term[1] in seen:
                 df = df.where(F.col(name) == F.col(seen[term[1]]))
             else:
                 seen[term[1]] = name
-        return Solutions(df.select(*(F.col(c).alias(column_name(v)) for v, c in seen.items())), dict.fromkeys(seen, True))
+        kept = {v: natives[c] for v, c in seen.items() if c in natives}
+        return Solutions(df.select(*(F.col(c).alias(column_name(v)) for v, c in seen.items()), *(F.col(f"native_{seen[v]}").alias(native_name(v)) for v in kept)), dict.fromkeys(seen, True), kept)
 
     def triple(self, s, verb, o, graph) -> Solutions:
         if verb[0] == "var":
             return self.shaped(self.active(graph), [("s", s), ("p", verb), ("o", o)], graph)
         path = verb[1]
         if path[0] == "iri":
+            if not (self.graphs or self.named) and (made := self.store.star([path[1]])):
+                return self.shaped(self.within(made[0], graph), [("s", s), ("o0", o)], graph, made[1])
             return self.shaped(self.active(graph, path[1]), [("s", s), ("o", o)], graph)
         return self.shaped(self.path(path, graph, s, o), [("s", s), ("o", o)], graph)
 
+    def within(self, df: DataFrame, graph) -> DataFrame:
+        """The rows of a scan (of a dataset without FROM) that are in the active graph."""
+        return df.where("g IS NULL") if graph is None else df.where(F.col("g") == graph[1]) if graph[0] == "iri" else df.where("g IS NOT NULL")
+
     def bgp(self, triples: list, graph) -> Solutions:
         """Connected patterns first, those with constants before others; patterns of one subject are one scan where the store can."""
         if not triples:
@@ -137,9 +212,7 @@ class Engine:
                 by_subject.setdefault(t[0], []).append(t)
         for subject, own in by_subject.items():
             if len({t[1][1][1] for t in own}) == len(own) > 1 and (made := self.store.star([t[1][1][1] for t in own])):
-                df = reduce(DataFrame.union, made)
-                df = df.where("g IS NULL") if graph is None else df.where(F.col("g") == graph[1]) if graph[0] == "iri" else df.where("g IS NOT NULL")
-                units.append(self.shaped(df, [("s", subject), *((f"o{i}", t[2]) for i, t in enumerate(own))], graph))
+                units.append(self.shaped(self.within(made[0], graph), [("s", subject), *((f"o{i}", t[2]) for i, t in enumerate(own))], graph, made[1]))
                 left = [t for t in left if t not in own]
         weight = lambda t: (sum(x[0] == "var" for x in (t[0], t[2])), t[1][0] == "var" or t[1][1][0] != "iri")
         units += [self.triple(*t, graph) for t in sorted(left, key=weight)]
@@ -190,12 +263,13 @@ class Engine:
         step = edges.select(F.col("o").alias("s"), F.col("s").alias("o"), *extra) if back else edges
         start = o if back else s
         front = written(step.where(F.col("s") == start[1]) if start[0] != "var" else step)
-        seen = front
+        tables = [front]
         onward = step.select(F.col("s").alias("m"), F.col("o").alias("to"), *extra)
         while not front.isEmpty():
             reached = front.withColumnRenamed("o", "m").join(onward, ["m", *extra]).select("s", F.col("to").alias("o"), *extra).distinct()
-            front = written(reached.join(seen, ["s", "o", *extra], "left_anti"))
-            seen = written(seen.union(front))
+            front = written(reached.join(appended(tables), ["s", "o", *extra], "left_anti"))
+            tables.append(front)
+        seen = appended(tables)
         return seen.select(F.col("o").alias("s"), F.col("s").alias("o"), *extra) if back else seen
 
     # -- patterns
@@ -209,7 +283,7 @@ class Engine:
                 filters.append(e[1])
                 continue
             if kind == "optional":
-                now = self.optional(now, *self.group(e[1][1], graph))
+                now = self.optional(now, *self.group(e[1][1], graph), graph)
             elif kind == "minus":
                 now = self.minus(now, self.pattern(e[1], graph))
             elif kind == "bind":
@@ -229,9 +303,7 @@ class Engine:
             return self.filtered(now, filters, graph)
         if kind == "union":
             sides = [self.pattern(x, graph) for x in e[1]]
-            names = list(dict.fromkeys(n for x in sides for n in x.bound))
-            df = reduce(DataFrame.union, [x.keep(names).df for x in sides])
-            return Solutions(df, {n: all(x.bound.get(n, False) for x in sides) for n in names})
+            return united(sides, list(dict.fromkeys(n for x in sides for n in x.bound)))
         if kind == "graph":
             if e[1][0] == "var":
                 made = self.pattern(e[2], e[1])
@@ -261,19 +333,24 @@ class Engine:
         df = self.spark.createDataFrame([tuple(r) for r in rows] if names else [(1,)] * len(rows), schema)
         return Solutions(df if names else df.select(), {n: all(r[i] is not None for r in rows) for i, n in enumerate(names)})
 
-    def optional(self, a: Solutions, b: Solutions, filters: list) -> Solutions:
+    def optional(self, a: Solutions, b: Solutions, filters: list, graph=None) -> Solutions:
         shared = [n for n in a.bound if n in b.bound]
+        names = list(dict.fromkeys([*a.bound, *b.bound]))
+        if any(map(contains_exists, filters)):
+            # Joined and filtered, then those of a that found nothing: what is found depends on their values alone.
+            found = self.filtered(join(a.copied(list(a.bound)), b), filters, graph)
+            return united([found, self.matching(a, found, list(a.bound), "left_anti")], names)
+        apart = loose(a, b, shared)
+        if apart and b.bound[apart]:
+            return united([self.optional(x, b, filters, graph) for x in a.halves(apart)], names)
+
+        def column(n: str) -> Value | Column | None:
+            if n in a.bound and n in b.bound and not a.bound[n]:
+                return F.coalesce(col(n), rcol(n))
+            return a.column(n) if n in a.bound else rvalue(b, n) if n in b.bound else None
 
-        def column(n: str) -> Column | None:
-            if n in a.bound:
-                return F.coalesce(col(n), rcol(n)) if n in b.bound else col(n)
-            return rcol(n) if n in b.bound else None
-
-        simple = [f for f in filters if not contains_exists(f)]
-        if len(simple) < len(filters):
-            b = self.filtered(b, [f for f in filters if contains_exists(f)], None)
         condition = agreement(a, b, shared)
-        for f in simple:
+        for f in filters:
             condition &= F.coalesce(self.compiler(column)(f).truth, F.lit(False))
         return merged(a.df.join(renamed(b), condition, "left"), a, b, shared, inner=False)
 
@@ -281,10 +358,16 @@ class Engine:
         shared = [n for n in a.bound if n in b.bound]
         if not shared:
             return a
-        condition = agreement(a, b, shared)
-        if not any(a.bound[n] and b.bound[n] for n in shared):
-            condition &= reduce(lambda x, y: x | y, [col(n).isNotNull() & rcol(n).isNotNull() for n in shared])
-        return Solutions(a.df.join(renamed(b.keep(shared)).distinct(), condition, "left_anti"), a.bound)
+        if apart := loose(a, b, shared):
+            for y in b.halves(apart):  # what one part takes away the other needn't
+                a = united([self.minus(x, y) for x in a.halves(apart)], list(a.bound)) if not a.bound[apart] else self.minus(a, y)
+            return a
+        return Solutions(a.df.join(renamed(b), agreement(a, b, shared), "left_anti"), a.bound, a.natives)
+
+    def matching(self, a: Solutions, found: Solutions, names: list[str], how: str) -> Solutions:
+        """The solutions of a whose values of some variables are (or are not) among the copies of these."""
+        own = found.df.select(*(col(copy(n)) for n in names)).distinct()
+        return Solutions(a.df.join(own, same_copies(names), how), a.bound, a.natives)
 
     def compiler(self, column: Callable[[str], Column | None]) -> Compiler:
         return Compiler(column, self.base, None, self.functions)
@@ -292,10 +375,29 @@ class Engine:
     def extend(self, a: Solutions, name: str, e, graph=None) -> Solutions:
         if name in a.bound:
             raise SparqlError("SPARQL-BIND-001", f"?{name} is already in scope", 0)
-        a, e = self.flagged(a, e, graph)
-        made = a.df.withColumn(column_name(name), self.compiler(a.column)(e).term)
+        b, e = self.lifted(*self.flagged(a, e, graph))
+        made = b.df.withColumn(column_name(name), self.compiler(b.column)(e).term)
         certain = e[0] in ("lit", "iri") or e[0] == "var" and a.bound.get(e[1], False)
-        return Solutions(made, {**a.bound, name: certain})
+        return Solutions(made.drop(*(column_name(n) for n in b.bound if n not in a.bound)), {**a.bound, name: certain}, a.natives)
+
+    def lifted(self, a: Solutions, e) -> tuple[Solutions, tuple]:
+        """Arguments that are calls of calls become columns of their own: functions name their arguments many times, and would grow by powers."""
+
+        def walk(e):
+            nonlocal a
+            if not isinstance(e, (tuple, list)) or e[:1] in (("exists",), ("agg",), ("column",)):
+                return e
+            made = [walk(x) for x in e]
+            if e[:1] in (("fn",), ("call",)):
+                for i, x in enumerate(made[2]):
+                    if depth(x) > 1:
+                        name = f".l{len(a.df.columns)}"
+                        a = Solutions(a.df.withColumn(column_name(name), self.compiler(a.column)(x).term), {**a.bound, name: False}, a.natives)
+                        made[2][i] = ("var", name)
+            return tuple(made) if isinstance(e, tuple) else made
+
+        e = walk(e)
+        return a, e
 
     def filtered(self, a: Solutions, filters: list, graph) -> Solutions:
         for f in (part for x in filters for part in conjuncts(x)):
@@ -303,43 +405,52 @@ class Engine:
                 negated = f[2] if f[0] == "exists" else not f[1][2]
                 a = self.exists(a, f if f[0] == "exists" else f[1], graph, "left_anti" if negated else "left_semi")
             else:
-                before = a.bound
-                b, g = self.flagged(a, f, graph)
-                a = Solutions(b.df.where(self.compiler(b.column)(g).truth), before)
-                a = a.keep(list(before)) if g is not f else a
+                b, g = self.lifted(*self.flagged(a, f, graph))
+                b = b.where(self.compiler(b.column)(g).truth)
+                a = Solutions(b.df.drop(*(column_name(n) for n in b.bound if n not in a.bound)), a.bound, a.natives)
         return a
 
     def exists(self, a: Solutions, e, graph, how: str) -> Solutions:
         """Solutions with (or without) a compatible one inside; FILTERs there may mean outer variables."""
         b, filters = self.group(e[1][1], graph)
         shared = [n for n in a.bound if n in b.bound]
-        inner = [f for f in filters if not names_in(f) - b.bound.keys() or contains_exists(f)]
-        b = self.filtered(b, inner, graph)
+        outer = [f for f in filters if names_in(f) - b.bound.keys()]
+        b = self.filtered(b, [f for f in filters if f not in outer], graph)
+        if any(map(contains_exists, outer)):
+            # An EXISTS within that means variables from without: told once for each of their values.
+            names = [n for n in a.bound if n in b.bound or any(n in names_in(f) for f in outer)]
+            keys = a.keep(names)
+            keys = Solutions(keys.df.distinct(), keys.bound).copied(names)
+            return self.matching(a, self.filtered(join(keys, b), outer, graph), names, how)
+        apart = loose(a, b, shared)
+        if apart and b.bound[apart]:
+            return united([self.exists(x, e, graph, how) for x in a.halves(apart)], list(a.bound))
         condition = agreement(a, b, shared)
 
-        def column(n: str) -> Column | None:
-            return rcol(n) if n in b.bound else a.column(n)
+        def column(n: str) -> Value | Column | None:
+            return rvalue(b, n) if n in b.bound else a.column(n)
 
-        for f in filters:
-            if f not in inner:
-                condition &= F.coalesce(self.compiler(column)(f).truth, F.lit(False))
-        return Solutions(a.df.join(renamed(b), condition, how), a.bound)
+        for f in outer:
+            condition &= F.coalesce(self.compiler(column)(f).truth, F.lit(False))
+        return Solutions(a.df.join(renamed(b), condition, how), a.bound, a.natives)
 
     def flagged(self, a: Solutions, e, graph):
         """An expression whose EXISTS have become truth columns."""
         if not contains_exists(e):
             return a, e
         if e[0] == "exists":
-            b = self.pattern(e[1], graph)
-            shared = [n for n in a.bound if n in b.bound]
+            # Told for each of the values that it may depend on, so equal solutions stay as many as they are.
+            names = [n for n in a.bound if n in names_in(e[1])]
             flag = f"f_{len(a.df.columns)}"
-            hits = renamed(b.keep(shared)).distinct().withColumn(flag, F.lit(True))
-            ids = a.df.withColumn("n_row", F.struct(*(F.col(f"`{c}`") for c in a.df.columns)))
-            found = ids.join(hits, agreement(a, b, shared), "left").drop(*(f"r_{column_name(n)}" for n in shared))
-            if not all(a.bound[n] and b.bound[n] for n in shared):
-                found = found.dropDuplicates(["n_row"])
+            if not names:
+                found = self.exists(unit(self.spark), e, graph, "left_semi").df.agg((F.count(F.lit(1)) > 0).alias(flag))
+                hit = a.df.crossJoin(F.broadcast(found))
+            else:
+                keys = a.keep(names)
+                found = self.exists(Solutions(keys.df.distinct(), keys.bound), e, graph, "left_semi").df.select(*(col(n).alias(column_name(copy(n))) for n in names), F.lit(True).alias(flag))
+                hit = a.df.join(found, same_copies(names), "left").drop(*(column_name(copy(n)) for n in names))
             truth = F.coalesce(F.col(flag), F.lit(False))
-            return Solutions(found.drop("n_row"), a.bound), ("column", Value(truth=~truth if e[2] else truth))
+            return Solutions(hit, a.bound, a.natives), ("column", Value(truth=~truth if e[2] else truth))
         parts = []
         for x in e:
             if isinstance(x, tuple):
@@ -438,25 +549,33 @@ class Engine:
             own = F.when(T.is_iri(t), T.iri_text(t)).otherwise(text(v))
             got = add((F.collect_set if distinct else F.collect_list)(own))
             return Value(T.string(F.array_join(F.sort_array(got), separator)))
-        rank, dec, dbl = v.number
-        # An integer or decimal without its value, and anything without a value, is an error.
-        rank = F.when(F.coalesce(dec.cast("double"), dbl).isNotNull() & ((rank > 2) | dec.isNotNull()), rank)
+        rank, dec, dbl, big = v.number
+        # A number without its value is an error, as is whatever is none.
+        rank = F.when(F.when(rank == 1, big.isNotNull()).when(rank == 2, dec.isNotNull()).otherwise(dbl.isNotNull()), rank)
+        zero, none = F.lit(0).cast("decimal(38,18)"), F.lit(0).cast("decimal(38,0)")
         if distinct:
             # Distinct by term: two lexical forms of one number count twice.
-            pairs = add(F.collect_set(F.struct(t.alias("t"), rank.alias("r"), dec.alias("d"), dbl.alias("f"))))
+            pairs = add(F.collect_set(F.struct(F.coalesce(t, F.lit("")).alias("t"), rank.alias("r"), dec.alias("d"), dbl.alias("f"), big.alias("b"))))
             n, bad = F.size(pairs), F.exists(pairs, lambda x: x["r"].isNull())
             top = F.array_max(F.transform(pairs, lambda x: x["r"]))
-            total = F.aggregate(pairs, F.lit(0).cast("decimal(38,18)"), lambda s, x: (s + F.coalesce(x["d"], F.lit(0).cast("decimal(38,18)"))).cast("decimal(38,18)"))
+            total = F.aggregate(pairs, zero, lambda s, x: F.try_add(s, x["d"]).try_cast("decimal(38,18)"))
+            integer = F.aggregate(pairs, none, lambda s, x: F.try_add(s, x["b"]).try_cast("decimal(38,0)"))
             real = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x["f"])
         else:
             n, bad = add(F.count(F.lit(1))), add(F.count(F.when(rank.isNull(), 1))) > 0
-            top, total, real = add(F.max(rank)), add(F.sum(dec)).cast("decimal(38,18)"), add(F.sum(dbl))
-        zero = F.lit(0).cast("decimal(38,18)")
+            top, real = add(F.max(rank)), add(F.sum(dbl))
+            # What is too long for a decimal leaves none.
+            total = F.when(add(F.count(F.when(dec.isNull(), 1))) == 0, add(F.try_sum(dec)).try_cast("decimal(38,18)"))
+            integer = add(F.try_sum(big)).try_cast("decimal(38,0)")
         if name == "SUM":
             r = F.when(n == 0, 1).when(~bad, top)
-            return Value(number=(r, F.when(n == 0, zero).otherwise(total), F.when(n == 0, F.lit(0.0)).otherwise(real)))
-        r = F.when(n == 0, 1).when(~bad, F.greatest(top, F.lit(2)))
-        return Value(number=(r, F.when(n == 0, zero).otherwise(F.try_divide(total, n).cast("decimal(38,18)")), F.when(n == 0, F.lit(0.0)).otherwise(F.try_divide(real, n))))
+            made = total, real, integer
+        else:
+            r = F.when(n == 0, 1).when(~bad, F.greatest(top, F.lit(2)))
+            mean = lambda x: F.try_divide(x, n).try_cast("decimal(38,18)")
+            made = F.coalesce(mean(total), F.when(top == 1, mean(integer))), F.try_divide(real, n), no_whole()
+        dec, dbl, big = (F.when(n == 0, x).when(~bad, y) for x, y in zip((zero, F.lit(0.0), none), made, strict=True))
+        return Value(number=Number(r, dec, dbl, big))
 
     # -- forms
     def query(self, q: Query | str) -> DataFrame:
@@ -465,7 +584,7 @@ class Engine:
         self.graphs, self.named = q.graphs, q.named
         if q.form == "SELECT":
             done = self.solve(q)
-            return done.df.toDF(*done.bound)
+            return done.df.select(*(col(n) for n in done.bound)).toDF(*done.bound)
         if q.form == "ASK":
             return self.pattern(q.where, None).df.limit(1).agg((F.count(F.lit(1)) > 0).alias("answer"))
         if q.form == "CONSTRUCT":
@@ -516,6 +635,17 @@ class Engine:
             now = written(now.union(front).distinct())
 
 
+def same_copies(names: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, [col(n).eqNullSafe(col(copy(n))) for n in names], F.lit(True))
+
+
+def depth(e) -> int:
+    """How deep calls stand in calls."""
+    if not isinstance(e, (tuple, list)) or e[:1] in (("exists",), ("agg",), ("column",)):
+        return 0
+    return max(map(depth, e), default=0) + (e[:1] in (("fn",), ("call",)))
+
+
 def conjuncts(e) -> list:
     return conjuncts(e[1]) + conjuncts(e[2]) if e[0] == "and" else [e]
 
@@ -525,6 +655,9 @@ def contains_exists(e) -> bool:
 
 
 def names_in(e) -> set[str]:
+    """The variables of a piece of syntax, whatever it is."""
+    if isinstance(e, Query):
+        return names_in([e.where, e.project or [], e.values or [], e.group or [], e.having, e.order]) | {n for n, _ in e.project or []}
     if isinstance(e, tuple) and e[:1] == ("var",):
         return {e[1]}
     return set().union(*(names_in(x) for x in e)) if isinstance(e, (tuple, list)) else set()

@@ -124,3 +124,116 @@ def test_unsafe_datalog(spark):
     for bad in ("p(X) :- q(Y).", "p(X).", "p(X) :- not q(X)."):
         with pytest.raises(DatalogError):
             datalog(spark, bad, {}, "p", 1).count()
+
+
+def test_failed_aggregates(spark):
+    data = ":a :v 1 . :a :v 2 . :b :v 3 . :b :v 'x' . :c :v 1.5 . :c :v 2 ."
+    by = "{ ?s :v ?v } GROUP BY ?s"
+    assert ask(spark, data, f"SELECT ?s (SUM(DISTINCT ?v) AS ?t) (AVG(?v) AS ?m) {by}") == [("<a>", '"3"^integer>', '"1.5"^decimal>'), ("<b>", None, None), ("<c>", '"3.5"^decimal>', '"1.75"^decimal>')]
+    assert ask(spark, data, f"SELECT ?s {by} HAVING (SUM(?v) > 2)") == [("<a>",), ("<c>",)]
+    assert ask(spark, data, f"SELECT ?s {by} HAVING (AVG(?v) > 1 || ?s = :b)") == [("<a>",), ("<b>",), ("<c>",)]
+
+
+def test_long_integers(spark):
+    data = ":a :v 123456789012345678901234567890 . :b :v 100000000000000000000000000000 . :b :v 1 ."
+    assert ask(spark, data, "SELECT (?v + 1 AS ?t) { :a :v ?v }") == [('"123456789012345678901234567891"^integer>',)]
+    assert ask(spark, data, "SELECT ?s (SUM(?v) AS ?t) { ?s :v ?v } GROUP BY ?s") == [("<a>", '"123456789012345678901234567890"^integer>'), ("<b>", '"100000000000000000000000000001"^integer>')]
+    assert ask(spark, data, "SELECT ?v { ?s :v ?v FILTER(?v * 2 > 250000000000000000000000000000) }") == []
+    assert ask(spark, data, "SELECT (99999999999999999999999 * 10 AS ?t) {}") == [('"999999999999999999999990"^integer>',)]
+
+
+def test_exists_in_expressions(spark):
+    data = ":a :v 1 ; :v 2 ; :v 3 . :x :w 2 . :y :w 3 ."
+    assert ask(spark, data, "SELECT ?v { ?s :v ?v FILTER(?v = 1 || EXISTS { ?x :w ?w FILTER(?w = ?v) }) }") == [('"1"^integer>',), ('"2"^integer>',), ('"3"^integer>',)]
+    assert ask(spark, data, "SELECT ?v { ?s :v ?v FILTER(?v = 1 || NOT EXISTS { ?x :w ?w FILTER(?w = ?v) }) }") == [('"1"^integer>',)]
+    assert ask(spark, data, "SELECT ?v { ?s :v ?v BIND(EXISTS { ?x :w ?v } AS ?e) FILTER(?e) }") == [('"2"^integer>',), ('"3"^integer>',)]
+    # Equal solutions stay as many as they are, bound or not.
+    twice = "{ VALUES ?u { 1 1 UNDEF UNDEF } FILTER(?u = 7 || EXISTS { ?x :w ?w }) }"
+    assert len(ask(spark, data, f"SELECT ?u {twice}")) == 4
+    assert len(ask(spark, data, "SELECT ?v { VALUES ?v { 2 2 UNDEF UNDEF 9 } FILTER(COALESCE(?v, 0) = 9 || EXISTS { ?x :w ?v }) }")) == 5
+    assert ask(spark, data, "SELECT ?v { ?s :v ?v FILTER EXISTS { ?x :w ?w FILTER NOT EXISTS { ?x :w ?v } } }") == [('"1"^integer>',), ('"2"^integer>',), ('"3"^integer>',)]
+    assert ask(spark, data, "SELECT ?v { ?s :v ?v FILTER NOT EXISTS { ?x :w ?w FILTER EXISTS { ?x :w ?v } } }") == [('"1"^integer>',)]
+
+
+def test_optional_with_exists(spark):
+    data = ":a :v 1 . :b :v 2 . :a :q 5 . :b :q 6 . :x :w 1 . GRAPH :g { :a :v 1 . :a :q 7 . :x :w 1 }"
+    found = [("<a>", '"5"^integer>'), ("<b>", None)]
+    assert ask(spark, data, "SELECT ?s ?q { ?s :v ?v OPTIONAL { ?s :q ?q FILTER EXISTS { ?x :w ?v } } }") == found
+    assert ask(spark, data, "SELECT ?s ?q { GRAPH :g { ?s :v ?v OPTIONAL { ?s :q ?q FILTER EXISTS { ?x :w ?v } } } }") == [("<a>", '"7"^integer>')]
+
+
+def test_loose_joins(spark):
+    """Every way of meeting over a variable that may be unbound, against all pairs."""
+    import itertools
+
+    left, right = [("1", "a"), (None, "b"), ("2", None), (None, None)], [("1", "a"), ("2", "c"), (None, "a"), (None, None)]
+    values = lambda names, rows: "VALUES (" + " ".join("?" + n for n in names) + ") { " + " ".join("(" + " ".join("UNDEF" if x is None else f"'{x}'" for x in r) + ")" for r in rows) + " }"
+    a, b = values("xy", left), values("xy", right)
+    meet = lambda p, q: all(i is None or j is None or i == j for i, j in zip(p, q, strict=True))
+    one = lambda p, q: tuple(None if v is None else f'"{v}"' for v in (i if i is not None else j for i, j in zip(p, q, strict=True)))
+    term = lambda p: one(p, p)
+    key = lambda rows: sorted(rows, key=str)
+    pairs = [(p, q) for p, q in itertools.product(left, right) if meet(p, q)]
+    assert ask(spark, "", f"SELECT ?x ?y {{ {{ {a} }} {{ {b} }} }}") == key(one(*x) for x in pairs)
+    alone = [p for p in left if not any(meet(p, q) for q in right)]
+    assert ask(spark, "", f"SELECT ?x ?y {{ {{ {a} }} OPTIONAL {{ {b} }} }}") == key([one(*x) for x in pairs] + [term(p) for p in alone])
+    common = lambda p, q: any(i is not None and j is not None for i, j in zip(p, q, strict=True))
+    assert ask(spark, "", f"SELECT ?x ?y {{ {{ {a} }} MINUS {{ {b} }} }}") == key(term(p) for p in left if not any(meet(p, q) and common(p, q) for q in right))
+    assert ask(spark, "", f"SELECT ?x ?y {{ {{ {a} }} FILTER EXISTS {{ {b} }} }}") == key(term(p) for p in left if any(meet(p, q) for q in right))
+    certain = values("xy", [("1", "a"), ("2", "c"), ("3", "b")])
+    rows = [("1", "a"), ("2", "c"), ("3", "b")]
+    for how, want in (("OPTIONAL", [one(p, q) for p in left for q in rows if meet(p, q)] + [term(p) for p in left if not any(meet(p, q) for q in rows)]), ("MINUS", [term(p) for p in left if not any(meet(p, q) and common(p, q) for q in rows)])):
+        assert ask(spark, "", f"SELECT ?x ?y {{ {{ {a} }} {how} {{ {certain} }} }}") == key(want)
+
+
+def test_patterns_that_are_errors(spark):
+    data = ":a :v 'abab' ; :p '(' ; :q 'a.' ."
+    one = lambda e: ask(spark, data, f"SELECT (COALESCE({e}, 'error') AS ?r) {{ :a :v ?v ; :p ?p ; :q ?q }}")[0][0]
+    assert one("REPLACE(?v, 'b', 'a$b')") == '"error"'
+    assert one("REPLACE(?v, '(a)', '$2')") == '"error"'
+    assert one("REPLACE(?v, '(a)b', '$1-')") == '"a-a-"'
+    assert one(r"REPLACE(?v, 'b', '\\$')") == '"a$a$"'
+    assert one("REPLACE(?v, 'x*', '-')") == '"error"'
+    assert one("REPLACE(?v, ?q, 'z')") == '"zz"'
+    assert one("REPLACE(?v, ?p, 'z')") == one("REGEX(?v, ?p)") == one("REGEX(?v, '[')") == '"error"'
+
+
+def test_scans_are_filtered(spark, tmp_path):
+    """Comparisons, constants and keys reach the tables that terms are made of."""
+    from quadmill.plans.mapping import Mapped, Table
+
+    spark.createDataFrame([(i, f"n{i}", i * 10.0, i % 3) for i in range(9)], "k long, name string, x double, up int").write.parquet(str(tmp_path / "t"))
+    spark.createDataFrame([(i, f"u{i}") for i in range(3)], "u_k long, u_name string").write.parquet(str(tmp_path / "u"))
+    store_ = Mapped([Table("t", spark.read.parquet(str(tmp_path / "t")), ["k"], {"up": "u"}), Table("u", spark.read.parquet(str(tmp_path / "u")), ["u_k"])])
+
+    def plan(text):
+        df = sparql(spark, store_, text)
+        return df, df._jdf.queryExecution().toString()
+
+    df, shown = plan("SELECT ?s { ?s <urn:t:x> ?x FILTER(?x > 50) }")
+    assert df.count() == 3 and "GreaterThan(x,50.0)" in shown
+    df, shown = plan("SELECT ?n { <urn:t:t:4> <urn:t:name> ?n }")
+    assert [r[0] for r in df.collect()] == ['"n4"'] and "EqualTo(k,4)" in shown
+    df, shown = plan("SELECT ?s { ?s <urn:t:name> 'n5' }")
+    assert df.count() == 1 and "EqualTo(name,n5)" in shown
+    df, shown = plan("SELECT ?s ?n { ?s <urn:t:up> ?u . ?u <urn:t:u_name> ?n }")
+    assert df.count() == 9 and "NestedLoop" not in shown and "concat" not in shown[shown.index("Join", shown.index("Physical Plan")) :].splitlines()[0]
+
+
+def test_turtle_lines(spark, tmp_path):
+    """Lines over many partitions are the text that one row would hold."""
+    facts = store(spark, " ".join(f":s{i % 7} :p{i % 3} 'x{i}', :o{i} ." for i in range(40))).repartition(5)
+    own = {"": "http://e/", "z": "urn:z:"}
+    text = sinks.turtle(facts, own).first().text
+    assert "\n".join(r.line for r in sinks.turtle_lines(facts, own).collect()) + "\n" == text
+    sinks.write_turtle(facts, str(tmp_path / "out"), own)
+    parts = sorted((tmp_path / "out" / "doc_id=d").glob("part-*"))
+    assert "".join(p.read_text() for p in parts) == text
+
+
+def test_byte_order_marks(spark, tmp_path):
+    (tmp_path / "f.nt").write_text("﻿<a:a> <b:b> <c:c> .\n<a:a> <b:b> <d:d> .\n", encoding="utf-8")
+    rows = reader.read_lines(spark, str(tmp_path / "f.nt")).collect()
+    assert len(rows) == 2 and all(r.error is None for r in rows)
+    stray = spark.createDataFrame([("f", 7, "﻿<a:a> <b:b> <c:c> .")], "doc_id string, src_offset long, line string")
+    assert "NT-BOM-001" in reader.line_facts(stray).first().error
