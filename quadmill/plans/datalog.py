@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import appended, written
 from .sparql_parser import quote
 
 TOKEN = re.compile(r"""(?P<skip>(?:\s+|%[^\n]*|\#[^\n]*|//[^\n]*)+)|(?P<str>"(?:[^"\\\n]|\\.)*")|(?P<num>-?\d+(?:\.\d+)?)|(?P<name>[A-Za-z_][A-Za-z0-9_]*)|(?P<op>:-|[(),.!])""")
@@ -200,16 +200,16 @@ class Evaluator:
                 raise DatalogError("DATALOG-SAFE-001", f"a variable in the fact {r.head.name}")
             return self.spark.createDataFrame([tuple(v for _, v in r.head.args) or (1,)], ", ".join(f"{c} {'string' if r.head.args else 'int'}" for c in self.columns(len(r.head.args))))
         name = lambda v: "v_" + "".join("~" + x.lower() if x.isupper() else x for x in v)
-        now = None
-        for i, (positive, a) in enumerate(r.body):
-            if not positive:
-                continue
-            df = self.bound(a, delta[1] if delta and delta[0] == i else self.relation(a.key))
-            if now is None:
-                now = df
-            else:
-                shared = [c for c in now.columns if c in df.columns]
-                now = now.join(df, shared) if shared else now.crossJoin(df)
+        left = [self.bound(a, delta[1] if delta and delta[0] == i else self.relation(a.key)) for i, (positive, a) in enumerate(r.body) if positive]
+        if delta:  # what is new goes first
+            left.insert(0, left.pop(sum(positive for positive, _ in r.body[: delta[0]])))
+        now = left.pop(0) if left else None
+        while left:
+            # Whatever order the body has: the next one is joined to what is there, where one can be.
+            i = next((i for i, df in enumerate(left) if set(df.columns) & set(now.columns)), 0)
+            df = left.pop(i)
+            shared = [c for c in now.columns if c in df.columns]
+            now = now.join(df, shared) if shared else now.crossJoin(df)
         if now is None:
             now = self.spark.range(1).select()
         for positive, a in r.body:
@@ -243,7 +243,7 @@ class Evaluator:
                     if not more.isEmpty():
                         delta[key] = more
                 for key, more in delta.items():
-                    self.relations[key] = written(self.relations[key].union(more))
+                    self.relations[key] = appended([self.relations[key], more])
                 if not delta:
                     break
 

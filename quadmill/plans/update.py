@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,7 +84,7 @@ class Updater:
                 if self.load is None:
                     raise SparqlError("SPARQL-LOAD-001", "nothing can be loaded here", 0)
                 self.put(self.load(source[1:-1]).select("s", "p", "o"), into)
-            except Exception:
+            except (PySparkException, ValueError, OSError):
                 if not silent:
                     raise
 

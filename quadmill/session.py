@@ -9,15 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where none is set, as in tests."""
+    """spark.checkpoint.dir; a temporary folder only where none is set and all tasks run here, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
 def written(df: DataFrame) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    """The same rows from a table of their own, which goes when the session's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._paths = [path]
+    return made
+
+
+def appended(tables: list[DataFrame]) -> DataFrame:
+    """Written tables of one kind as one: a fixpoint keeps what each round adds, and never writes the whole again."""
+    paths = [p for t in tables for p in t._paths]
+    made = tables[0].sparkSession.read.schema(tables[0].schema).parquet(*paths)
+    made._paths = paths
+    return made
