@@ -25,11 +25,8 @@ DECLARES = r"(?i)^\s*(?:@prefix|prefix)\s+([A-Za-z][A-Za-z0-9_.\-]*|):\s*<([^>]*
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """path, lang, line (number), text (of the line), offset (of its first character)."""
-    cut = docs.select("path", "lang", F.split("text", "\n", -1).alias("l"))
-    numbered = cut.select("path", "lang", F.posexplode("l").alias("line", "text"))
-    before = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    return numbered.withColumn("offset", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)))
+    """path, lang, line (number), text (of the line)."""
+    return docs.select("path", "lang", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
 
 
 def diagnostics(outcomes: DataFrame) -> DataFrame:
@@ -84,17 +81,23 @@ def token_at(text: Column, offset: Column) -> Column:
     return F.regexp_replace(F.concat(left, right), r"\.$", "")
 
 
-#: What is offered after a keystroke, by language.
+#: The words that are offered, by language, and the terms of rdf: beside those of Turtle and its kin.
+TURTLE_WORDS = ["@prefix", "@base", "a", "true", "false"]
+RDF_TERMS = ["type", "Property", "List", "nil", "first", "rest", "value", "Bag", "Seq", "Alt"]
 COMPLETIONS = {
-    "ttl": ["@prefix", "@base", "a"], "trig": ["@prefix", "@base", "a", "GRAPH"], "n3": ["@prefix", "@base", "a", "is", "of", "=>"],
-    "sparql": ["SELECT", "CONSTRUCT", "ASK", "DESCRIBE", "WHERE", "FILTER", "OPTIONAL", "UNION", "MINUS", "GRAPH", "SERVICE", "BIND", "VALUES", "PREFIX", "BASE", "FROM", "GROUP BY", "HAVING", "ORDER BY", "LIMIT", "OFFSET", "DISTINCT"],
-    "shex": ["PREFIX", "BASE", "IRI", "LITERAL", "NONLITERAL", "BNODE", "CLOSED", "EXTRA", "AND", "OR", "NOT", "START"],
+    "ttl": TURTLE_WORDS, "trig": TURTLE_WORDS, "n3": TURTLE_WORDS,
+    "sparql": ["SELECT", "WHERE", "FILTER", "OPTIONAL", "UNION", "PREFIX", "BASE", "ASK", "CONSTRUCT", "DESCRIBE", "INSERT", "DELETE", "LIMIT", "OFFSET", "ORDER BY", "GROUP BY"],
+    "shex": ["IRI", "LITERAL", "BNODE", "NONLITERAL", "AND", "OR", "NOT"],
 }
 
 
 def completions(docs: DataFrame) -> DataFrame:
-    pairs = F.create_map(*(x for lang, words in COMPLETIONS.items() for x in (F.lit(lang), F.array(*map(F.lit, words)))))
-    return docs.select("path", F.explode(F.try_element_at(pairs, F.col("lang"))).alias("label"))
+    """path, n (their order), label, kind (keyword or value), detail, iri: what is offered in a document, wherever in it."""
+    word = lambda label: F.struct(F.lit(label).alias("label"), F.lit("keyword").alias("kind"), F.lit(None).cast("string").alias("detail"), F.lit(None).cast("string").alias("iri"))
+    value = lambda name: F.struct(F.lit(f"rdf:{name}").alias("label"), F.lit("value").alias("kind"), F.lit("rdf:").alias("detail"), F.lit(NAMESPACES["rdf"] + name).alias("iri"))
+    offered = {lang: [*map(word, words), *(map(value, RDF_TERMS) if words is TURTLE_WORDS else [])] for lang, words in COMPLETIONS.items()}
+    pairs = F.create_map(*(x for lang, items in offered.items() for x in (F.lit(lang), F.array(*items))))
+    return docs.select("path", F.posexplode(F.try_element_at(pairs, F.col("lang"))).alias("n", "item")).select("path", "n", "item.*")
 
 
 def goto_prefix(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -144,15 +147,20 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = m.start()
                 wide = lambda s: len(s) if s.isascii() else len(s.encode("utf-16-be")) // 2
                 first = m[0].split("\n", 1)[0]
-                out.append((path, line, wide(text[start : m.start()]), wide(first), TOKEN_TYPES.index(m.lastgroup), 1 if m.lastgroup == MODIFIED.get(SAME.get(lang, lang), "namespace") else 0))
-        columns = list(zip(*out, strict=True)) or [()] * 6
-        kinds = [pa.string(), *[pa.int32()] * 5]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "line", "start", "length", "type", "modifiers"])
+                out.append((path, line, wide(text[start : m.start()]), wide(first), TOKEN_TYPES.index(m.lastgroup), 1 if m.lastgroup == MODIFIED.get(SAME.get(lang, lang), "namespace") else 0, first))
+        columns = list(zip(*out, strict=True)) or [()] * 7
+        kinds = [pa.string(), *[pa.int32()] * 5, pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "line", "start", "length", "type", "modifiers", "text"])
+
+
+def tokens(docs: DataFrame) -> DataFrame:
+    """path, line, start, length, type (a number of TOKEN_TYPES), modifiers, text (of the first line)."""
+    return docs.select("path", "lang", "text").mapInArrow(_scanned, "path string, line int, start int, length int, type int, modifiers int, text string")
 
 
 def semantic_tokens(docs: DataFrame) -> DataFrame:
     """path, line, start, length, type (a number of TOKEN_TYPES), modifiers."""
-    return docs.select("path", "lang", "text").mapInArrow(_scanned, "path string, line int, start int, length int, type int, modifiers int")
+    return tokens(docs).drop("text")
 
 
 def delta_encoded(tokens: DataFrame) -> DataFrame:
@@ -164,15 +172,12 @@ def delta_encoded(tokens: DataFrame) -> DataFrame:
 
 
 def rename(docs: DataFrame, old: str, new: str, variable: bool = False) -> DataFrame:
-    """path, line, start, end, new_text: the edits that rename a prefix, or a variable, outside strings."""
-    pattern = (rf"[?$]({old})(?![A-Za-z0-9_])" if variable else rf"(?<![A-Za-z0-9_.\-:<])({old}):")
-    own = lines(docs).where(F.col("text").rlike(pattern))
-    spot = F.split("text", rf"(?:(?<=[?$]){old}(?![A-Za-z0-9_]))" if variable else rf"(?<![A-Za-z0-9_.\-:<]){old}(?=:)", -1)
-    # Each piece but the last ends where an occurrence starts.
-    cut = own.select("path", "line", spot.alias("pieces"))
-    each = cut.select("path", "line", "pieces", F.explode(F.sequence(F.lit(1), F.size("pieces") - 1)).alias("n"))
-    start = F.aggregate(F.slice("pieces", F.lit(1), F.col("n")), F.lit(0), lambda s, x: s + F.length(x)) + (F.col("n") - 1) * len(old)
-    return each.where("n > 0 AND size(pieces) > 1").select("path", "line", start.alias("start"), (start + len(old)).alias("end"), F.lit(new).alias("new_text"))
+    """path, line, start, end, new_text: the edits that rename a prefix, or a variable; what stands in strings, comments and IRIs stays."""
+    text = F.col("text")
+    own = text.isin(f"?{old}", f"${old}") if variable else F.startswith(text, F.lit(f"{old}:"))
+    inert = F.col("type").isin(TOKEN_TYPES.index("string"), TOKEN_TYPES.index("comment")) | F.startswith(text, F.lit("<"))
+    start = F.col("start") + (1 if variable else 0)
+    return tokens(docs).where(own & ~inert).select("path", "line", start.alias("start"), (start + len(old)).alias("end"), F.lit(new).alias("new_text"))
 
 
 def sorted_prefixes(docs: DataFrame) -> DataFrame:
@@ -195,8 +200,14 @@ def missing_prefixes(docs: DataFrame) -> DataFrame:
 
 
 def extract_prefix(iri: Column) -> Column:
-    """The namespace and local part of an IRI that a new prefix would stand for."""
-    return F.struct(F.regexp_extract(iri, "^(.*[#/])[^#/]*$", 1).alias("namespace"), F.regexp_extract(iri, "^.*[#/]([^#/]*)$", 1).alias("local"))
+    """prefix, namespace, local, replacement and declaration for an IRI in a known namespace, the first that fits; null for others."""
+    found: Column | None = None
+    for prefix, ns in NAMESPACES.items():
+        local = F.substring(iri, F.lit(len(ns) + 1), F.length(iri))
+        made = F.struct(F.lit(prefix).alias("prefix"), F.lit(ns).alias("namespace"), local.alias("local"), F.concat(F.lit(prefix + ":"), local).alias("replacement"), F.lit(f"@prefix {prefix}: <{ns}> .").alias("declaration"))
+        found = F.when(F.startswith(iri, F.lit(ns)), made) if found is None else found.when(F.startswith(iri, F.lit(ns)), made)
+    assert found is not None
+    return F.when(found["local"] != "", found)
 
 
 def statement_bounds(text: Column, offset: Column) -> Column:

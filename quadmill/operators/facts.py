@@ -24,18 +24,20 @@ def normalised(facts: DataFrame) -> DataFrame:
 def relabelled(facts: DataFrame, order: str = "src_offset") -> DataFrame:
     """Blank nodes as _:c0, _:c1, ... in order of first appearance (s, o, then g) in a sort that is blind to labels.
 
-    Ties keep the order of the source. One window and one join a document; documents without blank nodes skip both.
+    Ties keep the order of the source. A label's first place is a pre-aggregated minimum of the sort's key, so facts are
+    neither sorted nor numbered; only a document's labels are.
     """
     blind = lambda c: F.when(T.is_bnode(F.col(c)), "_:").otherwise(F.col(c))
-    has = reduce(lambda a, b: a | b, [F.coalesce(T.is_bnode(F.col(c)), F.lit(False)) for c in ("s", "o", "g")])
-    ranked = facts.withColumn("rank_", F.row_number().over(Window.partitionBy("doc_id").orderBy(blind("s"), F.col("p"), blind("o"), blind("g"), F.col(order))))
-    places = ranked.where(has).select("doc_id", F.explode(F.array(*(F.struct(F.col(c).alias("label"), F.struct(F.col("rank_"), F.lit(i)).alias("at")) for i, c in enumerate(("s", "o", "g"))))).alias("x")).select("doc_id", "x.label", "x.at")
-    first = places.where(T.is_bnode(F.col("label"))).groupBy("doc_id", "label").agg(F.min("at").alias("at"))
-    names = first.select("doc_id", "label", F.concat(F.lit("_:c"), (F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1).cast("string")).alias("name"))
+    key = [blind("s").alias("k1"), F.col("p").alias("k2"), blind("o").alias("k3"), blind("g").alias("k4"), F.col(order).alias("k5")]
+    place = lambda c, i: F.when(T.is_bnode(F.col(c)), F.struct(F.col(c).alias("label"), F.struct(*key, F.lit(i).alias("k6")).alias("at")))
+    places = facts.select("doc_id", F.explode(F.array_compact(F.array(*(place(c, i) for i, c in enumerate(("s", "o", "g")))))).alias("x")).select("doc_id", "x.label", "x.at")
+    first = places.groupBy("doc_id", "label").agg(F.min("at").alias("at"))
+    names = first.select(F.col("doc_id").alias("d_"), F.col("label").alias("l_"), F.concat(F.lit("_:c"), (F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1).cast("string")).alias("n_"))
     out = facts
     for c in ("s", "o", "g"):
-        own = names.select(F.col("doc_id").alias("d_"), F.col("label").alias("l_"), F.col("name").alias("n_"))
-        out = out.join(own, (F.col("doc_id") == F.col("d_")) & (F.col(c) == F.col("l_")) & T.is_bnode(F.col(c)), "left").withColumn(c, F.coalesce("n_", c)).drop("d_", "l_", "n_")
+        # Other terms meet no label; they are dealt by their facts, so a common one fills no task.
+        term = F.coalesce(F.when(T.is_bnode(F.col(c)), F.col(c)), F.concat(F.lit(" "), F.pmod(F.xxhash64(*QUAD), F.lit(997)).cast("string")))
+        out = out.join(names, (F.col("doc_id") == F.col("d_")) & (term == F.col("l_")), "left").withColumn(c, F.coalesce("n_", c)).drop("d_", "l_", "n_")
     return out
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import iri as I
 from ..functions import terms as T
 from ..operators import facts as O
 from ..plans.datalog import encode_datalog
@@ -69,6 +69,20 @@ def parse(documents: DataFrame) -> DataFrame:
     return documents.select("path", lang.alias("lang"), base.alias("base"), F.col("content").cast("binary").alias("content")).where("lang IS NOT NULL").mapInArrow(_parsed, OUTCOME)
 
 
+PARSES_TO = "<urn:x-rdf-iri:parses-to>"
+
+
+def parse_iris(documents: DataFrame) -> DataFrame:
+    """Outcomes of IRIs (path, content), by column expressions: each is the fact of what it is when normalised."""
+    text = F.decode(F.col("content").cast("binary"), "UTF-8")
+    error = F.when(~I.is_absolute(text), "IRI-SYNTAX-001: a relative reference, where an absolute IRI is wanted").when(~I.is_valid(text), "IRI-SYNTAX-001: not an IRI").when(text.isNull(), "IRI-SYNTAX-001: nothing there")
+    fact = F.struct(T.iri(text).alias("s"), F.lit(PARSES_TO).alias("p"), T.iri(I.normalise(text)).alias("o"), F.lit(None).cast("string").alias("g"), F.lit(0).cast("long").alias("src_offset"))
+    none = F.array().cast("array<string>")
+    rows = documents.select("path", F.lit("iri").alias("lang"), error.alias("error"), fact.alias("fact"))
+    made = rows.select("path", "lang", F.col("error").isNull().alias("accepted"), none.alias("warnings"), F.when(F.col("error").isNull(), none).otherwise(F.array("error")).alias("errors"), "error", "fact")
+    return made.select("path", "lang", "accepted", "warnings", "errors", F.when(F.col("accepted"), F.array("fact")).otherwise(F.array().cast(f"array<{FACT}>")).alias("facts"))
+
+
 def facts_of(outcomes: DataFrame, canonical: bool = True) -> DataFrame:
     """doc_id, s, p, o, g, src_offset, parser of all accepted documents."""
     rows = outcomes.where("accepted").select(F.col("path").alias("doc_id"), F.explode("facts").alias("f"), F.col("lang").alias("parser")).select("doc_id", "f.s", "f.p", "f.o", "f.g", "f.src_offset", "parser")
@@ -82,9 +96,10 @@ def read_files(spark: SparkSession, path: str, base: str | None = None) -> DataF
     return parse(docs)
 
 
-ABSOLUTE = r"<[A-Za-z][A-Za-z0-9+.\-]*:[^\x00-\x20<>\"{}|^`\\]*>"
-NODE = rf"(?:{ABSOLUTE}|_:[A-Za-z0-9_]+)"
-PLAIN = rf"\"[^\"\\\r\n]*\"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^{ABSOLUTE})?"
+# No part can end in two ways, so none is tried again.
+ABSOLUTE = r"<[A-Za-z][A-Za-z0-9+.\-]*+:[^\x00-\x20<>\"{}|^`\\]*+>"
+NODE = rf"(?:{ABSOLUTE}|_:[A-Za-z0-9_]++)"
+PLAIN = rf"\"[^\"\\\r\n]*+\"(?:@[A-Za-z]++(?:-[A-Za-z0-9]++)*+|\^\^{ABSOLUTE})?+"
 FAST = rf"^{NODE} {ABSOLUTE} (?:{NODE}|{PLAIN})(?: {NODE})? \.$"
 
 
@@ -94,6 +109,8 @@ def _lines(format: str):
             rows = []
             for path, offset, line in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 try:
+                    if line.startswith("\ufeff"):
+                        raise ValueError("NT-BOM-001: byte order mark within a file")
                     found, _ = parse_text(line, format)
                     rows += [(path, s, p, o, g, offset, None) for s, p, o, g in found]
                 except ValueError as e:
@@ -109,6 +126,8 @@ def read_lines(spark: SparkSession, path: str, format: str = "nt") -> DataFrame:
     """N-Triples or N-Quads files of any size: doc_id, s, p, o, g, src_offset, parser, error (of lines that are none).
 
     Splittable: lines in the usual form are taken apart by built-in functions, the others go to the parser.
+    src_offset is a number that grows with the place in a file, not a count of bytes. A byte order mark that begins a
+    file is skipped by Spark's reader, without a word; one that reaches a line stands within the file, and is its error.
     """
     text = spark.read.text(path).select(F.col("_metadata.file_path").alias("doc_id"), F.monotonically_increasing_id().alias("src_offset"), F.col("value").alias("line"))
     return line_facts(text, format)
@@ -122,7 +141,10 @@ def line_facts(text: DataFrame, format: str = "nt") -> DataFrame:
     last = F.element_at(F.split(rest, " "), -1)
     has_graph = F.when(T.is_literal(rest), F.substring(rest, F.length(rest) - F.locate('"', F.reverse(rest)) + 2, F.length(rest)).contains(" ")).otherwise(rest.contains(" ")) if format == "nq" else F.lit(False)
     o = F.when(has_graph, F.substring(rest, F.lit(1), F.length(rest) - F.length(last) - 1)).otherwise(rest)
-    fast = text.where(usual).select("doc_id", parts[0].alias("s"), parts[1].alias("p"), T.canonical(o).alias("o"), F.when(has_graph, last).alias("g"), "src_offset", F.lit(None).cast("string").alias("error"))
+    # Only tags and xsd:string have another canonical form.
+    plain = F.endswith(o, F.lit('"')) | (F.endswith(o, F.lit(">")) & ~F.endswith(o, F.lit(f"^^<{T.XSD}string>"))) | T.is_bnode(o)
+    none = F.lit(None).cast("string")
+    fast = text.where(usual).select("doc_id", parts[0].alias("s"), parts[1].alias("p"), F.when(plain, o).otherwise(T.canonical(o)).alias("o"), F.when(has_graph, last).alias("g"), "src_offset", none.alias("error"))
     slow = text.where(~usual & ~F.col("line").rlike(r"^[ \t]*(?:#.*)?$")).select("doc_id", "src_offset", "line").mapInArrow(_lines(format), "doc_id string, s string, p string, o string, g string, src_offset long, error string")
     return fast.unionByName(slow).withColumn("parser", F.lit(format))
 
@@ -149,9 +171,48 @@ def manifest_entries(facts: DataFrame) -> DataFrame:
     return made.select("doc_id", F.coalesce(T.lexical(F.col("name")), F.col("s")).alias("name"), "kind", T.iri_text(F.col("action")).alias("action"), T.iri_text(F.col("result")).alias("result"))
 
 
-def write_report(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+#: What a language's report holds beside its entries, in order.
+REPORT = ["language", "corpora_count", "oracles_count", "manifests_count", "tests_executed", "pass", "divergences", "skipped", "allowlisted", "fail_gate", "clean"]
 
 
-def report_json(rows: list[dict]) -> str:
-    return json.dumps(rows, indent=2, sort_keys=True)
+def reports(verdicts: DataFrame, inputs: DataFrame | None = None) -> DataFrame:
+    """lang, report (JSON): a report of each language.
+
+    verdicts: lang, name, kind, pass, divergence, message, and skipped and allowlisted where there are such;
+    inputs: lang, role (corpus, oracle or manifest), path.
+    """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in verdicts.columns else F.lit(False)
+    skipped, allowed = flag("skipped"), flag("allowlisted")
+    failed = ~F.col("pass") & ~skipped
+    entry = F.struct("name", "kind", "pass", "divergence", "message")
+    count = lambda c: F.count(F.when(c, 1)).alias
+    told = verdicts.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("tests_executed"), count(F.col("pass"))("pass"), count(failed & F.col("divergence").isNotNull() & ~allowed)("divergences"),
+        count(skipped)("skipped"), count(allowed)("allowlisted"), (F.count(F.when(failed & ~allowed, 1)) > 0).alias("fail_gate"), F.sort_array(F.collect_list(entry)).alias("entries"),
+    )
+    none = F.array().cast("array<string>")
+    own = (inputs if inputs is not None else verdicts.sparkSession.createDataFrame([], "lang string, role string, path string")).groupBy("lang").agg(
+        *(F.sort_array(F.collect_list(F.when(F.col("role") == role, F.col("path")))).alias(name) for role, name in (("corpus", "corpora"), ("oracle", "oracles"), ("manifest", "manifests")))
+    )
+    both = told.join(own, "lang", "left").withColumns({n: F.coalesce(n, none) for n in ("corpora", "oracles", "manifests")})
+    both = both.withColumns({"language": F.col("lang"), "clean": F.col("divergences") == 0, **{f"{n}_count": F.size(n) for n in ("corpora", "oracles", "manifests")}})
+    return both.select("lang", F.to_json(F.struct(*REPORT, "entries", "manifests", "corpora", "oracles")).alias("report"))
+
+
+def summary(told: DataFrame, smoke: bool = False) -> DataFrame:
+    """One row, summary (JSON), over the reports of all languages."""
+    of = F.from_json("report", "language string, divergences bigint, fail_gate boolean")
+    one = F.struct(of["language"].alias("language"), of["divergences"].alias("divergences"), of["fail_gate"].alias("fail_gate"))
+    made = told.select(one.alias("x")).agg(
+        F.lit(smoke).alias("smoke"), F.count(F.lit(1)).alias("languages_checked"), F.coalesce(F.sum("x.divergences"), F.lit(0)).alias("total_divergences"),
+        F.coalesce(F.max("x.fail_gate"), F.lit(False)).alias("had_unacceptable_failure"), F.sort_array(F.collect_list("x")).alias("per_language"),
+    )
+    return made.select(F.to_json(F.struct("*")).alias("summary"))
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """Rows as lines of JSON, or reports and summaries as they are."""
+    if len(df.columns) <= 2 and df.columns[-1] in ("report", "summary"):
+        df.select(df.columns[-1]).write.mode("overwrite").text(path)
+    else:
+        df.write.mode("overwrite").json(path)

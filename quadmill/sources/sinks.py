@@ -79,6 +79,19 @@ def turtle(facts: DataFrame, prefixes: dict[str, str]) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.concat(F.lit(header(prefixes) + ("\n" if prefixes else "")), text, F.lit("\n")).alias("text"))
 
 
+def turtle_lines(facts: DataFrame, prefixes: dict[str, str]) -> DataFrame:
+    """doc_id, line: documents of any size, a statement a line, in order over all partitions; what ``turtle`` gathers into texts."""
+    rows = statements(facts, prefixes).select("doc_id", F.lit(1).alias("n"), "s", "p", "o", "line")
+    none = F.lit(None).cast("string")
+    heads = facts.select("doc_id").distinct().select("doc_id", F.lit(0).alias("n"), none.alias("s"), none.alias("p"), none.alias("o"), F.explode(F.array(*map(F.lit, [*header(prefixes).splitlines(), *([""] if prefixes else [])])) if prefixes else F.array().cast("array<string>")).alias("line"))
+    return heads.unionByName(rows).orderBy("doc_id", "n", F.when(F.col("n") == 0, F.col("line") == "").otherwise(F.lit(False)), "s", "p", "o", "line").select("doc_id", "line")
+
+
+def write_turtle(facts: DataFrame, path: str, prefixes: dict[str, str]) -> None:
+    """A folder for each document, whose part files, one after the other, are its text."""
+    turtle_lines(facts, prefixes).select("doc_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("doc_id").text(path)
+
+
 def trig(facts: DataFrame, prefixes: dict[str, str]) -> DataFrame:
     """doc_id, text: a block for each graph, the default one first and without a name."""
     lines = statements(facts, prefixes)
