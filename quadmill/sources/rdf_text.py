@@ -38,6 +38,12 @@ TOKEN = re.compile(
     |(?P<op>\^\^|=>|<=|[{{}}()\[\].;,=^!])""",
     re.X | re.S,
 )
+# Plain statements, which one match takes whole: no escapes, no comments, no brackets.
+NAME = r'<[^\x00-\x20<>"{}|^`\\]*>|(?:[A-Za-z][A-Za-z0-9_\-]*)?:[A-Za-z0-9_][A-Za-z0-9_\-]*'
+LABEL, GAP = r"_:[A-Za-z0-9_][A-Za-z0-9_\-]*", r"[ \t\r\n]+"
+VALUE = rf'(?:(?P<o>{NAME}|{LABEL})|(?P<lex>"[^"\\\r\n]*")(?:\^\^(?P<kind>{NAME})|@(?P<tag>[A-Za-z]+(?:-[A-Za-z0-9]+)*))?|(?P<int>[+-]?[0-9]+)(?=[ \t\r\n]))[ \t\r\n]*(?P<stop>[.;,])(?=[ \t\r\n]|\Z)[ \t\r\n]*'
+PAIR = rf"(?P<p>a|{NAME}){GAP}{VALUE}"
+WHOLE, MORE = re.compile(rf"(?P<s>{NAME}|{LABEL}){GAP}{PAIR}"), {";": re.compile(PAIR), ",": re.compile(VALUE)}
 ESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
 ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|(.))", re.S)
 ABSOLUTE = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*:")
@@ -59,6 +65,7 @@ class TextParser:
         self.graph: str | None = None
         self.fresh_n = 0
         self.labels: dict[str, str] = {}
+        self.names: dict[str, str] = {}
         self.at, self.kind, self.tok = 0, "", ""
         self.end = 0
         self.advance()
@@ -211,6 +218,64 @@ class TextParser:
             self.fail("a literal where none may stand")
         self.out.append((s, p, o, self.graph))
 
+    def name(self, token: str) -> str:
+        """The term of an IRI, a prefixed name or a label."""
+        if token.startswith("_:"):
+            return token
+        found = self.names.get(token)
+        if found is None:
+            if token.startswith("<"):
+                found = f"<{self.iri_value(token)}>"
+            else:
+                prefix, _, local = token.partition(":")
+                if prefix not in self.prefixes:
+                    self.fail(f"undeclared prefix {prefix!r}", "PFX")
+                found = f"<{self.prefixes[prefix]}{local}>"
+            if len(self.names) > 100_000:
+                self.names.clear()
+            self.names[token] = found
+        return found
+
+    def plain(self) -> bool:
+        """Plain statements from here on, as many as there are; the first that goes on otherwise is left to the others."""
+        m = WHOLE.match(self.text, self.at)
+        if m is None:
+            return False
+        while m is not None:
+            self.at = m.start()
+            subject = self.name(m["s"])
+            stop = ";"
+            while True:
+                if stop == ";":
+                    p = TYPE if m["p"] == "a" else self.name(m["p"])
+                if m["o"]:
+                    o = self.name(m["o"])
+                elif m["int"]:
+                    o = f'"{m["int"]}"^^<{XSD}integer>'
+                else:
+                    kind = self.name(m["kind"]) if m["kind"] else None
+                    o = m["lex"] + (f"^^{kind}" if kind and kind != f"<{XSD}string>" else f"@{fold_tag(m['tag'])}" if m["tag"] else "")
+                self.out.append((subject, p, o, self.graph))
+                stop, end = m["stop"], m.end()
+                if stop == ".":
+                    break
+                m = MORE[stop].match(self.text, end)
+                if m is None:
+                    self.end = end
+                    self.advance()
+                    if stop == ",":
+                        self.objects(subject, p, False)
+                    if stop == ";" or self.op(";"):
+                        while self.op(";"):
+                            pass
+                        self.predicates(subject)
+                    self.need(".")
+                    return True
+            m = WHOLE.match(self.text, end)
+        self.end = end
+        self.advance()
+        return True
+
     def directive(self) -> bool:
         word = self.tok.lower() if self.kind == "name" else self.tok
         at = self.kind == "word"
@@ -236,11 +301,14 @@ class TextParser:
                 self.advance()
         else:
             return False
+        self.names.clear()
         if at:
             self.need(".")
         return True
 
     def statement(self) -> None:
+        if self.format in ("ttl", "trig") and self.kind in ("iri", "pname", "bnode") and self.plain():
+            return
         if self.directive():
             return
         if self.format == "trig":
@@ -365,16 +433,18 @@ class TextParser:
         p = self.iri()
         return (p, False) if p else None
 
+    def objects(self, subject: str, p: str, swap: bool) -> None:
+        while True:
+            o = self.node()[0]
+            self.emit(*((o, p, subject) if swap else (subject, p, o)))
+            if not self.op(","):
+                return
+
     def predicates(self, subject: str) -> bool:
         some = False
         while (verb := self.verb()) is not None:
             some = True
-            while True:
-                o = self.node()[0]
-                p, swap = verb
-                self.emit(*((o, p, subject) if swap else (subject, p, o)))
-                if not self.op(","):
-                    break
+            self.objects(subject, *verb)
             if not self.op(";"):
                 return True
             while self.op(";"):

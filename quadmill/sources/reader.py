@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from ..operators import facts as O
 from ..plans.datalog import encode_datalog
 from ..plans.shex import encode_shex
 from ..plans.sparql_encode import encode_sparql
+from ..plans.sparql_parser import fold_tag
 from .jsonld import parse_jsonld
 from .rdf_text import Quad, parse_text
 from .rdf_xml import parse_rdf_xml, parse_trix
@@ -50,16 +52,16 @@ ROW = pa.struct([("s", pa.string()), ("p", pa.string()), ("o", pa.string()), ("g
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, lang, base, content in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            quads, warnings, errors, good = [], [], [], True
+            rows, warnings, errors, good = [], [], [], True
             try:
                 rows, warnings = parse_document(content or b"", lang, base)
-                quads = [{"s": s, "p": p, "o": o, "g": g, "src_offset": i} for i, (s, p, o, g) in enumerate(rows)]
             except UnicodeDecodeError as e:
                 good, errors = False, [f"{lang.upper()}-UTF8-001: {e}"]
             except (ValueError, KeyError, TypeError, AttributeError, RecursionError) as e:
                 good, errors = False, [str(e)]
-            columns = [([path], pa.string()), ([lang], pa.string()), ([good], pa.bool_()), ([warnings], pa.list_(pa.string())), ([errors], pa.list_(pa.string())), ([quads], pa.list_(ROW))]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in columns], names=["path", "lang", "accepted", "warnings", "errors", "facts"])
+            columns = [([path], pa.string()), ([lang], pa.string()), ([good], pa.bool_()), ([warnings], pa.list_(pa.string())), ([errors], pa.list_(pa.string()))]
+            facts = pa.StructArray.from_arrays([*(pa.array(c, pa.string()) for c in zip(*rows, strict=True)), pa.array(range(len(rows)), pa.int64())] if rows else [pa.array([], f.type) for f in ROW], fields=list(ROW))
+            yield pa.RecordBatch.from_arrays([*(pa.array(v, k) for v, k in columns), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), facts)], names=["path", "lang", "accepted", "warnings", "errors", "facts"])
 
 
 def parse(documents: DataFrame) -> DataFrame:
@@ -96,38 +98,58 @@ def read_files(spark: SparkSession, path: str, base: str | None = None) -> DataF
     return parse(docs)
 
 
-# No part can end in two ways, so none is tried again.
-ABSOLUTE = r"<[A-Za-z][A-Za-z0-9+.\-]*+:[^\x00-\x20<>\"{}|^`\\]*+>"
-NODE = rf"(?:{ABSOLUTE}|_:[A-Za-z0-9_]++)"
-PLAIN = rf"\"[^\"\\\r\n]*+\"(?:@[A-Za-z]++(?:-[A-Za-z0-9]++)*+|\^\^{ABSOLUTE})?+"
-FAST = rf"^{NODE} {ABSOLUTE} (?:{NODE}|{PLAIN})(?: {NODE})? \.$"
+ABSOLUTE = r"<[A-Za-z][A-Za-z0-9+.\-]*:[^\x00-\x20<>\"{}|^`\\]*>"
+NODE = rf"(?:{ABSOLUTE}|_:[A-Za-z0-9_]+)"
+PLAIN = rf"\"[^\"\\\r\n]*\"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^{ABSOLUTE})?"
+USUAL = {f: rf"^(?P<s>{NODE}) (?P<p>{ABSOLUTE}) (?P<o>{NODE}|{PLAIN})" + (rf"(?: (?P<g>{NODE}))?" if f == "nq" else "") + r" \.$" for f in ("nt", "nq")}
+STRING = f"^^<{T.XSD}string>"
+LINE = pa.schema([*((c, pa.string()) for c in ("doc_id", "s", "p", "o", "g")), ("src_offset", pa.int64()), ("error", pa.string())])
+
+
+def canonical_objects(o: pa.Array) -> pa.Array:
+    """Folded tags, and no explicit xsd:string; other terms are canonical as they stand."""
+    o = pc.if_else(pc.ends_with(o, STRING), pc.replace_substring(o, STRING, "", max_replacements=1), o)
+    tagged = pc.and_(pc.starts_with(o, '"'), pc.invert(pc.or_(pc.ends_with(o, '"'), pc.ends_with(o, ">"))))
+    if not pc.any(tagged).as_py():
+        return o
+    folded = [head + "@" + fold_tag(tag) for head, _, tag in (x.rpartition("@") for x in o.filter(tagged).to_pylist())]
+    return pc.replace_with_mask(o, tagged, pa.array(folded, pa.string()))
 
 
 def _lines(format: str):
+    """Lines in the usual form are taken apart all at once, the others by the parser."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            line = batch.column(2)
+            parts = pc.extract_regex(line, USUAL[format])
+            usual = pc.is_valid(parts)
+            found, own = parts.filter(usual), batch.filter(usual)
+            none = pa.nulls(len(found), pa.string())
+            g = found.field("g") if format == "nq" else none
+            g = pc.if_else(pc.equal(g, ""), none, g) if format == "nq" else g
+            yield pa.RecordBatch.from_arrays([own.column(0), found.field("s"), found.field("p"), canonical_objects(found.field("o")), g, own.column(1), none], schema=LINE)
+            rest = batch.filter(pc.and_(pc.invert(usual), pc.invert(pc.fill_null(pc.match_substring_regex(line, r"^[ \t]*(?:#.*)?$"), True))))
             rows = []
-            for path, offset, line in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for path, offset, text in zip(*(rest.column(i).to_pylist() for i in range(3)), strict=True):
                 try:
-                    if line.startswith("\ufeff"):
+                    if text.startswith("\ufeff"):
                         raise ValueError("NT-BOM-001: byte order mark within a file")
-                    found, _ = parse_text(line, format)
-                    rows += [(path, s, p, o, g, offset, None) for s, p, o, g in found]
+                    rows += [(path, *q, offset, None) for q in parse_text(text, format)[0]]
                 except ValueError as e:
                     rows.append((path, None, None, None, None, offset, str(e)))
-            kinds = [pa.string()] * 5 + [pa.int64(), pa.string()]
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "s", "p", "o", "g", "src_offset", "error"])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), LINE, strict=True)], schema=LINE)
 
     return run
 
 
 def read_lines(spark: SparkSession, path: str, format: str = "nt") -> DataFrame:
-    """N-Triples or N-Quads files of any size: doc_id, s, p, o, g, src_offset, parser, error (of lines that are none).
+    """N-Triples or N-Quads files of any size: doc_id, s, p, o, g, src_offset, error (of lines that are none), parser.
 
-    Splittable: lines in the usual form are taken apart by built-in functions, the others go to the parser.
-    src_offset is a number that grows with the place in a file, not a count of bytes. A byte order mark that begins a
-    file is skipped by Spark's reader, without a word; one that reaches a line stands within the file, and is its error.
+    Splittable. src_offset is a number that grows with the place in a file, not a count of bytes. A byte order mark that
+    begins a file is skipped by Spark's reader, without a word; one that reaches a line stands within the file, and is
+    its error.
     """
     text = spark.read.text(path).select(F.col("_metadata.file_path").alias("doc_id"), F.monotonically_increasing_id().alias("src_offset"), F.col("value").alias("line"))
     return line_facts(text, format)
@@ -135,18 +157,8 @@ def read_lines(spark: SparkSession, path: str, format: str = "nt") -> DataFrame:
 
 def line_facts(text: DataFrame, format: str = "nt") -> DataFrame:
     """The facts of lines (doc_id, src_offset, line), of a table or of a stream."""
-    usual = F.col("line").rlike(FAST if format == "nq" else FAST.replace(rf"(?: {NODE})?", ""))
-    parts = F.split(F.col("line"), " ", 3)
-    rest = F.substring(parts[2], F.lit(1), F.length(parts[2]) - 2)
-    last = F.element_at(F.split(rest, " "), -1)
-    has_graph = F.when(T.is_literal(rest), F.substring(rest, F.length(rest) - F.locate('"', F.reverse(rest)) + 2, F.length(rest)).contains(" ")).otherwise(rest.contains(" ")) if format == "nq" else F.lit(False)
-    o = F.when(has_graph, F.substring(rest, F.lit(1), F.length(rest) - F.length(last) - 1)).otherwise(rest)
-    # Only tags and xsd:string have another canonical form.
-    plain = F.endswith(o, F.lit('"')) | (F.endswith(o, F.lit(">")) & ~F.endswith(o, F.lit(f"^^<{T.XSD}string>"))) | T.is_bnode(o)
-    none = F.lit(None).cast("string")
-    fast = text.where(usual).select("doc_id", parts[0].alias("s"), parts[1].alias("p"), F.when(plain, o).otherwise(T.canonical(o)).alias("o"), F.when(has_graph, last).alias("g"), "src_offset", none.alias("error"))
-    slow = text.where(~usual & ~F.col("line").rlike(r"^[ \t]*(?:#.*)?$")).select("doc_id", "src_offset", "line").mapInArrow(_lines(format), "doc_id string, s string, p string, o string, g string, src_offset long, error string")
-    return fast.unionByName(slow).withColumn("parser", F.lit(format))
+    made = text.select("doc_id", "src_offset", "line").mapInArrow(_lines(format), "doc_id string, s string, p string, o string, g string, src_offset long, error string")
+    return made.withColumn("parser", F.lit(format))
 
 
 # -- oracle files and W3C manifests

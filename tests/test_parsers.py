@@ -145,3 +145,29 @@ def test_shex():
     assert set(s.shapes) == {"<http://e/S>", "<http://e/T>", "<http://e/U>"} and s.abstract
     with pytest.raises(ValueError):
         parse_shex("<S> { <p> IRI ")
+
+
+def test_plain_statements_are_no_shortcut(monkeypatch):
+    """What one match takes whole gives what the tokens give, wherever a statement stops being plain."""
+    import itertools
+
+    from quadmill.sources import rdf_text
+
+    heads = ["e:s", "<http://e/x>", "_:b", "[]", ":z"]
+    values = ["e:o", '"x"', '"x"@EN-us', '"1"^^xsd:integer', '"x"^^xsd:string', "7", "-3", "1.5", "true", "(1 2)", "[ e:q 1 ]", r'"a\nb"', '"""x"y"""', "e:o.x", "_:c", "e:a\\-b", "'q'"]
+    tails = [".", " .", ". # no\n", " ; .", ' ; a e:T .', " , 5 .", ' ;; e:r "y" , [] ; e:u 2 .', "\n;\n e:r e:t\n.\n"]
+    texts = ["@prefix e: <http://e/> . @prefix : <urn:> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> .\n" + "\n".join(f"{h} e:p {v}{t}" for v, t in itertools.product(values, tails)) for h in heads]
+    texts += [texts[0] + " @prefix e: <http://f/> . e:s e:p e:o . e:s e:p e:o", texts[0] + " nope:s e:p 1 .", texts[0] + ' e:s e:p "x" "y" .', texts[0] + " <rel> e:p <#y> ."]
+
+    def told(text, base):
+        try:
+            return rdf_text.parse_text(text, "ttl", base)
+        except rdf_text.RdfError as e:
+            return e.code
+
+    for base in ("http://b/", None):
+        fast = [told(t, base) for t in texts]
+        with monkeypatch.context() as m:
+            m.setattr(rdf_text.TextParser, "plain", lambda self: False)
+            assert [told(t, base) for t in texts] == fast
+    assert sum(isinstance(x, str) for x in fast) == 4
