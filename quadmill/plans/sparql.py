@@ -38,7 +38,7 @@ def native_name(var: str) -> str:
 
 
 def copy(var: str) -> str:
-    return ".k" + var
+    return ".kept " + var
 
 
 @dataclass
@@ -504,6 +504,17 @@ class Engine:
         made: list[Column] = []
         values: dict = {}
         compile_ = self.compiler(a.column)
+        held = [k for k in keys if k in a.bound]
+        by = [col(k) for k in held]
+        apart: list[DataFrame] = []  # sums over a group's distinct terms, each of its own
+
+        def distinct_sum(e) -> Value:
+            """Terms are made distinct before they are summed, so no group is gathered in one row."""
+            terms = a.df.select(*by, compile_(e[3]).term.alias("x_term")).distinct()
+            own: list[Column] = []
+            value = self.one_aggregate(("agg", e[1], False, ("var", "x"), e[4]), self.compiler(lambda _: F.col("x_term")), [], own, f"d{len(apart)}")
+            apart.append((terms.groupBy(*by) if group is not None else terms.groupBy()).agg(*own))
+            return value
 
         def lift(e):
             for old, new in swaps:
@@ -511,7 +522,7 @@ class Engine:
                     return new
             if isinstance(e, tuple) and e and e[0] == "agg":
                 if str(e) not in values:
-                    values[str(e)] = self.one_aggregate(e, compile_, list(a.bound), made)
+                    values[str(e)] = distinct_sum(e) if e[2] and e[1] in ("SUM", "AVG") else self.one_aggregate(e, compile_, list(a.bound), made)
                 return "column", values[str(e)]
             if isinstance(e, tuple):
                 return tuple(lift(x) if isinstance(x, (tuple, list)) else x for x in e)
@@ -522,16 +533,20 @@ class Engine:
         for n, e in project:
             if e is None and n not in keys:
                 raise SparqlError("SPARQL-AGG-001", f"?{n} is neither grouped nor aggregated", 0)
-        by = [col(k) for k in keys if k in a.bound]
-        df = a.df.groupBy(*by).agg(*(made or [F.count(F.lit(1)).alias("n_all")])) if group is not None else a.df.agg(*made)
-        return Solutions(df, {k: a.bound[k] for k in keys if k in a.bound}), project, having, order
-
-    def one_aggregate(self, e, compile_: Compiler, names: list[str], made: list[Column]) -> Value:
+        made = made or [F.count(F.lit(1)).alias("n_all")]
+        df = a.df.groupBy(*by).agg(*made) if group is not None else a.df.agg(*made)
+        for x in apart:
+            own = x.select(*(col(k).alias(column_name(copy(k))) for k in held), *(F.col(c) for c in x.columns if c not in {column_name(k) for k in held}))
+            df = (df.join(own, same_copies(held)) if held else df.crossJoin(own)).drop(*(column_name(copy(k)) for k in held))
+        return Solutions(df, {k: a.bound[k] for k in held}), project, having, order
+
+    def one_aggregate(self, e, compile_: Compiler, names: list[str], made: list[Column], mark: str = "a") -> Value:
+        """The value of an aggregate over columns that are added to made."""
         _, name, distinct, inside, separator = e
 
         def add(c: Column) -> Column:
-            made.append(c.alias(f"a_{len(made)}"))
-            return F.col(f"a_{len(made) - 1}")
+            made.append(c.alias(f"{mark}_{len(made)}"))
+            return F.col(f"{mark}_{len(made) - 1}")
 
         if inside is None:
             return whole(add(F.count_distinct(F.struct(*(F.coalesce(col(n), F.lit("")) for n in names))) if distinct and names else F.count(F.lit(1))))
@@ -553,20 +568,11 @@ class Engine:
         # A number without its value is an error, as is whatever is none.
         rank = F.when(F.when(rank == 1, big.isNotNull()).when(rank == 2, dec.isNotNull()).otherwise(dbl.isNotNull()), rank)
         zero, none = F.lit(0).cast("decimal(38,18)"), F.lit(0).cast("decimal(38,0)")
-        if distinct:
-            # Distinct by term: two lexical forms of one number count twice.
-            pairs = add(F.collect_set(F.struct(F.coalesce(t, F.lit("")).alias("t"), rank.alias("r"), dec.alias("d"), dbl.alias("f"), big.alias("b"))))
-            n, bad = F.size(pairs), F.exists(pairs, lambda x: x["r"].isNull())
-            top = F.array_max(F.transform(pairs, lambda x: x["r"]))
-            total = F.aggregate(pairs, zero, lambda s, x: F.try_add(s, x["d"]).try_cast("decimal(38,18)"))
-            integer = F.aggregate(pairs, none, lambda s, x: F.try_add(s, x["b"]).try_cast("decimal(38,0)"))
-            real = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x["f"])
-        else:
-            n, bad = add(F.count(F.lit(1))), add(F.count(F.when(rank.isNull(), 1))) > 0
-            top, real = add(F.max(rank)), add(F.sum(dbl))
-            # What is too long for a decimal leaves none.
-            total = F.when(add(F.count(F.when(dec.isNull(), 1))) == 0, add(F.try_sum(dec)).try_cast("decimal(38,18)"))
-            integer = add(F.try_sum(big)).try_cast("decimal(38,0)")
+        n, bad = add(F.count(F.lit(1))), add(F.count(F.when(rank.isNull(), 1))) > 0
+        top, real = add(F.max(rank)), add(F.sum(dbl))
+        # What is too long for a decimal leaves none.
+        total = F.when(add(F.count(F.when(dec.isNull(), 1))) == 0, add(F.try_sum(dec)).try_cast("decimal(38,18)"))
+        integer = add(F.try_sum(big)).try_cast("decimal(38,0)")
         if name == "SUM":
             r = F.when(n == 0, 1).when(~bad, top)
             made = total, real, integer
