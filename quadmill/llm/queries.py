@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, linededup, maxscore, minhash, packing, quality, sharding, suffix_dedup
+from . import chat, decontam, exactdedup, fim, langid, linededup, maxscore, minhash, packing, periodic, quality, sharding, suffix_dedup
 from .common import crc_mod, table
 
 SQL: dict[str, str] = {}
@@ -139,4 +139,47 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT)
 FROM j GROUP BY doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_winnowing_decontamination, op3_rule_ensemble_quality, op4_bwt_repeat_removal, op5_hmm_chat_format, op6_karmarkar_karp_shards, op7_compression_language_id, op8_vector_bin_packing, op9_maxscore_top_k, op10_line_dedup)}
+
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    sha = lambda x: F.sha2(x.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+SQL["op11_fill_in_middle"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || doc_id) AS h FROM documents),
+r AS (SELECT doc_id, t, w, CAST(len(w) AS BIGINT) AS n, list_transform(range(0, 4), lambda i: CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT)) AS k FROM d),
+c AS (SELECT *, least(k[1] % (n + 1), k[2] % (n + 1)) AS a, greatest(k[1] % (n + 1), k[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR k[3] % 100 >= 90 THEN 'plain' WHEN k[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM r),
+p AS (SELECT doc_id, t, n, form, array_to_string(w[1:a], '') AS x, array_to_string(w[a + 1:b], '') AS y, array_to_string(w[b + 1:n], '') AS z FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(x) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(y) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || z || '<P>' || x || '<M>' || y ELSE '<P>' || x || '<S>' || z || '<M>' || y END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def op12_perfect_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = exactdedup.exact_duplicates(table(spark, sf_dir, "documents"))
+    return told.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"), "known")
+
+
+SQL["op12_perfect_hash_dedup"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+h AS (SELECT t FROM d WHERE doc_id <= (SELECT (min(doc_id) + max(doc_id)) // 2 FROM d) GROUP BY t)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(d.t) AS text_sha256, h.t IS NOT NULL AS known
+FROM d LEFT JOIN h ON d.t = h.t WINDOW w AS (PARTITION BY d.t)
+"""
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents get a tail that repeats first. SQL can't express the search at a cost that whole tables bear."""
+    found = periodic.periodic_runs(table(spark, sf_dir, "documents"), 6, periodic.repeat_a_tail)
+    better = lambda a, b: (a["length"].cast("decimal(19,0)") * b["period"] > b["length"].cast("decimal(19,0)") * a["period"])
+    best = F.aggregate("runs", F.element_at("runs", 1), lambda a, b: F.when(better(b, a), b).otherwise(a))  # of equal ones the first stays
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    sha = lambda x: F.sha2(x.cast("binary"), 256)
+    told = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.when(F.size("runs") > 0, best).alias("best"), sha(F.array_join(F.transform("runs", line), "")).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"))
+    return told.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("best.length * 1000 div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_winnowing_decontamination, op3_rule_ensemble_quality, op4_bwt_repeat_removal, op5_hmm_chat_format, op6_karmarkar_karp_shards, op7_compression_language_id, op8_vector_bin_packing, op9_maxscore_top_k, op10_line_dedup, op11_fill_in_middle, op12_perfect_hash_dedup, op13_periodic_runs)}
