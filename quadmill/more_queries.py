@@ -12,6 +12,7 @@ from .functions import terms as T
 from .operators import documents as D
 from .operators import facts as O
 from .plans.datalog import datalog
+from .plans.shex import validate
 from .plans.update import update
 from .queries import BASE_SQL, INTEGER, QUERIES, RDFNS, RING, SQL, K, ask, parsed_query, rdf_docs, register, ring, shex, table
 from .sources import reader, sinks
@@ -259,6 +260,32 @@ shex("shex_extends", '<urn:S> EXTENDS @<urn:B> { t:c_nationkey IRI } ABSTRACT <u
 shex("shex_extra", "<urn:S> CLOSED EXTRA t:n_nationkey { t:n_name . ; t:n_regionkey [<urn:t:region:1>] }", "SELECT 'urn:t:nation:' || n_nationkey AS node, n_regionkey = 1 AS conforms FROM nation", "nation", "nation")
 
 
+def ordered_facts(spark, sf_dir) -> DataFrame:
+    """What priorities and states a customer's orders have, as facts of the customer."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(f"<urn:t:{c}>").alias("p"), T.string(F.col(c)).alias("o")) for c in ("o_orderpriority", "o_orderstatus"))))
+    return table(spark, sf_dir, "orders").select(F.concat(F.lit("<urn:t:customer:"), F.col("o_custkey").cast("string"), F.lit(">")).alias("s"), pairs.alias("x")).select("s", "x.p", "x.o").distinct()
+
+
+def shex_of_orders(name: str, body: str, condition: str) -> None:
+    """Registers a shape over customers with what their orders have; condition: of u, h, m, o (1-URGENT, 2-HIGH, 3-MEDIUM, others) and st (states), counts."""
+
+    def run(spark, sf_dir):
+        nodes = table(spark, sf_dir, "customer").select(F.concat(F.lit("<urn:t:customer:"), K(), F.lit(">")).alias("node"))
+        return validate(ordered_facts(spark, sf_dir), nodes, f"PREFIX t: <urn:t:> <urn:S> {body}", "<urn:S>").select(T.iri_text(F.col("node")).alias("node"), "conforms")
+
+    run.__name__ = name
+    kinds = {"u": "= '1-URGENT'", "h": "= '2-HIGH'", "m": "= '3-MEDIUM'", "o": "> '4'"}
+    counts = ", ".join(f"count(DISTINCT o_orderpriority) FILTER (WHERE o_orderpriority {test}) AS {k}" for k, test in kinds.items())
+    register(f"SELECT 'urn:t:customer:' || c_custkey AS node, {condition} AS conforms FROM (SELECT c_custkey, {counts}, count(DISTINCT o_orderstatus) AS st FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)")(run)
+
+
+# Each triple is one constraint's: some must go to the one that takes all, as others take them no more.
+shex_of_orders("shex_matching", '{ t:o_orderpriority . ; t:o_orderpriority ["1-URGENT" "2-HIGH"] ; t:o_orderpriority ["2-HIGH" "3-MEDIUM"] ? }', "u + h + m + o BETWEEN 2 AND 3 AND o <= 1 AND u + h >= 1")
+shex_of_orders("shex_matching_extra", 'EXTRA t:o_orderpriority { t:o_orderpriority ["1-URGENT"] ; t:o_orderpriority ["1-URGENT" "2-HIGH"] ; t:o_orderstatus . * }', "u = 1 AND h = 1")
+shex_of_orders("shex_repeated_group", "{ ( t:o_orderstatus . ; t:o_orderpriority . {1,2} ){2} }", "st = 2 AND u + h + m + o BETWEEN 2 AND 4")
+shex_of_orders("shex_repeated_choice", '{ ( t:o_orderpriority ["1-URGENT" "2-HIGH"] | t:o_orderstatus . ; t:o_orderpriority . ){3} }', "u + h + m + o = 3 AND st <= 3 AND m + o <= st")
+
+
 # -- documents
 @register("SELECT 'd' || c_custkey AS path, n, label, CASE WHEN n < 5 THEN 'keyword' ELSE 'value' END AS kind FROM customer, (VALUES (0, '@prefix'), (1, '@base'), (2, 'a'), (3, 'true'), (4, 'false'), (5, 'rdf:type'), (6, 'rdf:Property'), (7, 'rdf:List'), (8, 'rdf:nil'), (9, 'rdf:first'), (10, 'rdf:rest'), (11, 'rdf:value'), (12, 'rdf:Bag'), (13, 'rdf:Seq'), (14, 'rdf:Alt')) v(n, label)")
 def doc_completions(spark, sf_dir):

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
 from ..functions.iri import resolve_text
 from ..session import written
+from . import bags
 from .sparql_parser import LOCAL, PN, RDF, XSD, fold_tag, quote, typed
 
 TOKEN = re.compile(
@@ -28,7 +31,7 @@ TOKEN = re.compile(
 )
 KINDS = {"IRI": "iri", "LITERAL": "literal", "NONLITERAL": "nonliteral", "BNODE": "bnode"}
 SPACE = "urn:x-shex-syntax:"
-MANY = 1 << 30
+MANY = bags.MANY
 
 
 class ShexError(ValueError):
@@ -459,17 +462,16 @@ class Validator:
             among = self.of(("ref", base), among, known)
         constraints: list[tuple] = []
 
-        def collect(e: tuple) -> None:
+        def numbered(e: tuple) -> tuple:
+            """The expression with a number for each place of a constraint."""
             if e[0] == "include":
-                collect(self.schema.labels[e[1]])
-            elif e[0] == "constraint":
+                return numbered(self.schema.labels[e[1]])
+            if e[0] == "constraint":
                 constraints.append(e)
-            else:
-                for x in e[1]:
-                    collect(x)
+                return "symbol", len(constraints) - 1, e[4], e[5]
+            return e[0], [numbered(x) for x in e[1]], e[2], e[3]
 
-        if s.expression:
-            collect(s.expression)
+        expression = numbered(s.expression) if s.expression else None
         ways = {(inverse, p) for _, inverse, p, *_ in constraints}
         # One row for each triple of a node that some constraint is about, with a flag for each value test.
         parts = []
@@ -497,35 +499,11 @@ class Validator:
             flagged = triples.select("node", "p", "inverse", *flags)
             hit = reduce(lambda a, b: a | b, [F.col(f"m{i}") for i in range(len(constraints))])
             stray = ~hit & ~(F.col("p").isin(s.extra) if s.extra else F.lit(False)) & ~F.col("inverse")
-            counts = flagged.groupBy("node").agg(*(F.count(F.when(F.col(f"m{i}"), 1)).alias(f"c{i}") for i in range(len(constraints))), F.count(F.when(stray, 1)).alias("stray"))
-            met = among.join(counts, "node", "left").fillna(0)
-
-            def holds(e: tuple) -> Column:
-                if e[0] == "include":
-                    return holds(self.schema.labels[e[1]])
-                if e[0] == "constraint":
-                    c = F.col(f"c{constraints.index(e)}")
-                    return (c >= e[4]) & (c <= e[5])
-                if e[0] == "one":
-                    none = lambda x: reduce(lambda a, b: a & b, [F.col(f"c{constraints.index(y)}") == 0 for y in leaves(x)])
-                    ways = [reduce(lambda a, b: a & b, [none(y) for y in e[1] if y is not x], holds(x)) for x in e[1]]
-                    return reduce(lambda a, b: a | b, ways)
-                inner = reduce(lambda a, b: a & b, [holds(x) for x in e[1]])
-                if e[2] == 0:
-                    inner |= reduce(lambda a, b: a & b, [F.col(f"c{constraints.index(y)}") == 0 for y in leaves(e)])
-                if e[3] > 1:
-                    # A repeated group: the counts of its parts are the same multiple.
-                    own = leaves(e)
-                    bounds = [(F.col(f"c{constraints.index(y)}") / max(1, y[4])) for y in own if y[4] == y[5] >= 1]
-                    inner |= reduce(lambda a, b: a & b, [(x == bounds[0]) & (x >= e[2]) & (x <= e[3]) for x in bounds]) if bounds else F.lit(False)
-                return inner
-
-            def leaves(e: tuple) -> list[tuple]:
-                if e[0] == "include":
-                    return leaves(self.schema.labels[e[1]])
-                return [e] if e[0] == "constraint" else [y for x in e[1] for y in leaves(x)]
-
-            out = met.where(holds(s.expression) & (F.col("stray") == 0)).select("node")
+            if len({(inverse, p) for _, inverse, p, *_ in constraints}) == len(constraints):  # no triple fits two
+                counts = flagged.groupBy("node").agg(*(F.count(F.when(F.col(f"m{i}"), 1)).alias(f"c{i}") for i in range(len(constraints))), F.count(F.when(stray, 1)).alias("stray"))
+                out = among.join(counts, "node", "left").fillna(0).where(F.col("stray") == 0).where(bags.once(expression, lambda i: F.col(f"c{i}"))).select("node")
+            else:
+                out = chosen(among, flagged, stray, expression, len(constraints))
         if s.closed:
             known_p = [p for i, p in ways if not i] + s.extra
             other = self.facts.where(~F.col("p").isin(known_p) if known_p else F.lit(True)).select(F.col("s").alias("node")).distinct()
@@ -533,6 +511,31 @@ class Validator:
         return out
 
 
+def chosen(among: DataFrame, flagged: DataFrame, stray: Column, expression: tuple, n: int) -> DataFrame:
+    """The nodes whose triples can be told apart into those of each constraint, where a triple may fit several.
+
+    Triples are counted by the set of constraints that they fit (m0, m1, ...). Nodes without a triple that fits several are decided by
+    intervals; the others' counts are made distinct, and each combination is decided once.
+    """
+    fit = F.concat_ws(",", *(F.when(F.col(f"m{i}"), str(i)) for i in range(n)))
+    classes = flagged.groupBy("node", fit.alias("fit")).agg(F.count("*").alias("n"), F.count(F.when(stray, 1)).alias("stray"))
+    own = F.when(F.col("fit") != "", F.struct("fit", "n"))
+    counts = classes.groupBy("node").agg(F.map_from_entries(F.array_sort(F.collect_list(own))).alias("own"), F.sum("stray").alias("stray"))
+    met = among.join(counts, "node", "left").where(F.coalesce(F.col("stray"), F.lit(0)) == 0)
+    several = F.coalesce(F.exists(F.map_keys("own"), lambda x: F.contains(x, F.lit(","))), F.lit(False))
+    plain = met.where(~several).where(bags.once(expression, lambda i: F.coalesce(F.element_at("own", str(i)), F.lit(0))))
+    vector = F.array_join(F.transform(F.map_entries("own"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ";")
+    mixed = met.where(several).select("node", vector.alias("vector"))
+
+    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [{frozenset(map(int, k.split(","))): int(v) for k, _, v in (x.partition("=") for x in text.split(";"))} for text in batch.column(0).to_pylist()]
+            yield batch.filter(pa.array([bags.fits(expression, x) for x in made], pa.bool_()))
+
+    good = mixed.select("vector").distinct().mapInArrow(decided, "vector string")
+    return plain.select("node").union(mixed.join(good, "vector", "left_semi").select("node"))
+
+
 def validate(facts: DataFrame, nodes: DataFrame, text: str, label: str) -> DataFrame:
     """node, conforms: for each focus node whether it conforms to the shape with that label."""
     v = Validator(parse_shex(text), facts, nodes)
