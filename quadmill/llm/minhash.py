@@ -266,15 +266,14 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     a larger id than any other, and equal rows of it (by id and text) become one.
     """
     scratch = Scratch(docs.sparkSession)
-    id_ = F.col("doc_id").cast("long")
-    ids = docs.where(id_.isNotNull()).select(id_.alias("_id"))
-    several = scratch.write(ids.groupBy("_id").count().where("count > 1").select("_id"))
-    named = docs.withColumn("_own", id_)
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))  # so no name of docs meets one of these
+    id_, text = F.col("row").getField("doc_id").cast("long"), F.col("row").getField("text")
+    named = rows.withColumn("own", id_)
+    several = scratch.write(named.where("own IS NOT NULL").groupBy("own").count().where("count > 1").select("own"))
     if not several.isEmpty():
-        apart = id_.eqNullSafe(F.col("_id"))
-        text_own = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)
-        some = docs.join(several, apart, "left_semi").withColumn("_own", text_own).dropDuplicates(["_own"])
-        named = scratch.write(docs.join(several, apart, "left_anti").withColumn("_own", id_).unionByName(some))
-    told = near_duplicates(named.select(F.col("_own").alias("doc_id"), "text"), words, percent)
-    gone = told.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone"))
-    return named.join(gone, F.col("_own") == F.col("_gone"), "left_anti").select(*(named[c] for c in docs.columns))
+        text_own = F.xxhash64(id_, text).bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)
+        some = named.join(several, "own", "left_semi").select("row", text_own.alias("own")).dropDuplicates(["own"])
+        named = scratch.write(named.join(several, "own", "left_anti").select("row", "own").unionByName(some))
+    told = near_duplicates(named.select(F.col("own").alias("doc_id"), text.alias("text")), words, percent)
+    gone = told.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("own"))
+    return named.join(gone, "own", "left_anti").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

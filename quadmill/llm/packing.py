@@ -123,13 +123,36 @@ class Packer:
             yield self._bin(self.length if self.total >= self.length else 1 << (int(self.total).bit_length() - 1))
 
 
+class Waiting:
+    """Documents of which tokens are still to place. Once its full pieces are out, of a document only the tokens of the piece that waits are held."""
+
+    def __init__(self):
+        self.own: dict[int, tuple[int | None, np.ndarray, int, int]] = {}  # number -> id, the tokens held, tokens of the document, tokens to place
+
+    def add(self, number: int, doc_id: int | None, ids: np.ndarray) -> None:
+        self.own[number] = (doc_id, ids, len(ids), len(ids))
+
+    def take(self, number: int, start: int, n: int) -> tuple[int | None, np.ndarray, int]:
+        """The document's id, n of its tokens from start on, and how many it has."""
+        doc_id, ids, tokens, left = self.own.pop(number)
+        if left > n:
+            self.own[number] = (doc_id, ids, tokens, left - n)
+        at = start - (tokens - len(ids))
+        return doc_id, ids[at : at + n], tokens
+
+    def trim(self, number: int) -> None:
+        if number in self.own:
+            doc_id, ids, tokens, left = self.own[number]
+            self.own[number] = (doc_id, ids[len(ids) - left :].copy(), tokens, left)  # places are taken from the front
+
+
 def _packed(length: int, segments: int, loss: int, end: int, json_path: str | None):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer = encoder(json_path), Packer(length, segments, loss)
         base, sequence, number = TaskContext.get().partitionId() << 36, 0, 0
-        held: dict[int, list] = {}  # document number -> its id, ids, tokens still to place
+        held = Waiting()
         rows: list[tuple] = []
 
         def put(bins: Iterator[list[tuple[int, int, int]]]) -> None:
@@ -137,12 +160,9 @@ def _packed(length: int, segments: int, loss: int, end: int, json_path: str | No
             for pieces in bins:
                 offset = 0
                 for doc, start, n in pieces:
-                    own = held[doc]
-                    rows.append((own[0], start, n, zlib.crc32(own[1][start : start + n].astype("<u4").tobytes()), len(own[1]), base + sequence, offset))
+                    doc_id, ids, tokens = held.take(doc, start, n)
+                    rows.append((doc_id, start, n, zlib.crc32(ids.astype("<u4").tobytes()), tokens, base + sequence, offset))
                     offset += n
-                    own[2] -= n
-                    if not own[2]:
-                        del held[doc]
                 sequence += 1
 
         def out() -> pa.RecordBatch:
@@ -153,8 +173,9 @@ def _packed(length: int, segments: int, loss: int, end: int, json_path: str | No
         for batch in batches:
             for doc_id, text, share in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 ids = np.append(encode(text.as_py() or ""), np.uint32(end))
-                held[number] = [doc_id, ids, len(ids)]
+                held.add(number, doc_id, ids)
                 put(packer.add(number, len(ids), len(ids) * share))
+                held.trim(number)
                 number += 1
                 if len(rows) >= 10_000:
                     yield out()

@@ -55,6 +55,50 @@ def test_one_of_each_group(spark):
     assert {r.doc_id for r in minhash.keep_one(docs(spark, plain)).collect()} == {1, 3}
 
 
+def test_stages_leave_other_columns_alone(spark):
+    """Columns named as those within come back as they were, beside an id with several texts too."""
+    a, b = prose(random.Random(3), 60), prose(random.Random(4), 60)
+    rows = [(1, a), (2, a + " w1"), (3, b), (3, a), (4, "short text of few words"), (None, b)]
+    names = ["_own", "own", "_id", "_gone", "_hit", "_version", "row", "kept", "dropped", "version"]
+    frame = spark.createDataFrame([(i, t, *(f"{n}{k}" for n in names)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    bench = spark.createDataFrame([("x", prose(random.Random(5), 30)), ("y", " ".join(b.split()[5:25]))], "item_id string, text string")
+    whole = {tuple(r) for r in frame.collect()}
+    near = minhash.keep_one(frame)
+    assert near.columns == frame.columns and {r.doc_id for r in near.collect()} == {1, 3, 4, None}
+    for bound in (decontam.BOUND, 0):
+        clean = decontam.keep_clean(frame, bench, bound)
+        assert clean.columns == frame.columns and sorted((r.doc_id for r in clean.collect()), key=str) == [1, 2, 3, 4]
+        assert {tuple(r) for r in clean.collect()} <= whole
+    assert {tuple(r) for r in near.collect()} <= whole
+    cut = linededup.dedup_lines(frame).select(*frame.columns).collect()
+    assert {tuple(r) for r in cut} == whole
+    model = langid.fit(frame.withColumn("lang", F.lit("en")), F.lit(True))
+    assert {tuple(r) for r in langid.keep_identified(frame, model).collect()} <= whole
+
+
+def test_waiting_tokens_are_few():
+    """A thousand long documents wait with less than a sequence each."""
+    packer, held, taken = packing.Packer(), packing.Waiting(), {}
+    rng = np.random.default_rng(31)
+
+    def put(bins):
+        for pieces in bins:
+            for number, start, n in pieces:
+                doc_id, ids, tokens = held.take(number, start, n)
+                assert doc_id == -number and len(ids) == n and (ids == (np.arange(start, start + n) + number)).all()
+                taken[number] = taken.get(number, 0) + n
+                assert taken[number] <= tokens
+
+    sizes = [int(rng.integers(1, 100_000)) for _ in range(1000)]
+    for number, size in enumerate(sizes):
+        held.add(number, -number, np.arange(size) + number)
+        put(packer.add(number, size, size))
+        held.trim(number)
+        assert all(len(ids) < packing.LENGTH and ids.base is None for _, ids, _, _ in held.own.values())
+    put(packer.finish())
+    assert not held.own and [taken[i] for i in range(1000)] == sizes
+
+
 def test_lines_over_many_partitions(spark):
     """A line that fills many ranges, and columns named as those within; the stream's sort stays in the plan."""
     rng = random.Random(23)
