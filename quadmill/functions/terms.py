@@ -159,11 +159,59 @@ def number(rank: Column, dec: Column, dbl: Column, big: Column) -> Column:
     return F.when(rank == 1, typed(big.cast("string"), "integer")).when(rank == 2, typed(decimal_text(dec), "decimal")).when(rank >= 3, real)
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _digits_key(text: Column) -> Column:
+    """An order-preserving text for the number that a lexical form without INF or NaN says, whatever its length.
+
+    A leading 1, 2 or 3 for the sign; then how many digits stand before the point, less zeros, in ten digits; then the digits without zeros at
+    either end. Of negative numbers all digits are turned (9 less each) and a mark above all digits ends them, so longer ones come first.
+    """
+    zero, farthest = F.lit("0"), F.lit(4_000_000_000)
+    mantissa = F.regexp_extract(text, r"^[+-]?([0-9.]*)", 1)
+    exponent = F.coalesce(F.regexp_extract(text, r"[eE]([+-]?[0-9]+)$", 1).try_cast("long"), F.lit(0))
+
+    def parts(m: Column) -> Column:
+        after = F.when(F.contains(m, F.lit(".")), F.substring_index(m, ".", -1)).otherwise("")
+        return F.struct(F.ltrim(F.substring_index(m, ".", 1), zero).alias("before"), after.alias("after"))
+
+    def sized(x: Column) -> Column:
+        shorter = F.ltrim(x["after"], zero)
+        size = F.when(x["before"] != "", F.length(x["before"])).otherwise(F.length(shorter) - F.length(x["after"])).cast("long")
+        digits = F.rtrim(F.concat(x["before"], F.when(x["before"] != "", x["after"]).otherwise(shorter)), zero)
+        return F.struct(size.alias("size"), digits.alias("digits"))
+
+    def told(x: Column) -> Column:
+        size = x["size"] + F.least(F.greatest(exponent, -farthest), farthest)
+        key = F.concat(F.lpad((size + 5_000_000_000).cast("string"), 10, "0"), x["digits"])
+        below = _let(key, lambda k: F.concat(F.lit("1"), F.translate(k, "0123456789", "9876543210"), F.lit("~")))
+        return F.when(x["digits"] == "", "2").when(F.startswith(text, F.lit("-")), below).otherwise(F.concat(F.lit("3"), key))
+
+    return _let(_let(_let(mantissa, parts), sized), told)
+
+
+def number_key(t: Column) -> Column:
+    """A text that sorts as the value of a numeric literal, null for other terms: -INF, numbers of any length exactly, INF, NaN.
+
+    Integers and decimals count as they are written, doubles as the shortest number that reads as the same double.
+    """
+
+    def told(x: Column) -> Column:
+        real = x["real"]
+        special = F.when(F.isnan(real), "5").when(~x["exact"] & (real == float("inf")), "4").when(~x["exact"] & (real == float("-inf")), "0")
+        return F.when(real.isNotNull(), F.coalesce(special, _let(F.when(x["exact"], x["text"]).otherwise(real.cast("string")), _digits_key)))
+
+    return _let(F.struct(raw_lexical(t).alias("text"), to_double(t).alias("real"), _of(t, *INTEGERS, "decimal").alias("exact")), told)
+
+
 def order_key(t: Column) -> Column:
     """Unbound, blank nodes, IRIs, literals; numbers by value, the rest by moment or text."""
     return F.struct(
         F.when(t.isNull(), 0).when(is_bnode(t), 1).when(is_iri(t), 2).otherwise(3).alias("kind"),
-        to_double(t).alias("number"),
+        number_key(t).alias("number"),
         F.unix_micros(to_timestamp(t)).alias("moment"),
         F.when(is_literal(t), lexical(t)).otherwise(t).alias("text"),
         t.alias("term"),

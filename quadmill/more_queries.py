@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import iri as I
@@ -12,7 +12,9 @@ from .functions import terms as T
 from .operators import documents as D
 from .operators import facts as O
 from .plans.datalog import datalog
+from .plans.mapping import Facts, mapped
 from .plans.shex import validate
+from .plans.sparql import sparql
 from .plans.update import update
 from .queries import BASE_SQL, INTEGER, QUERIES, RDFNS, RING, SQL, K, ask, parsed_query, rdf_docs, register, ring, shex, table
 from .sources import reader, sinks
@@ -246,6 +248,77 @@ def sparql_update_using(spark, sf_dir):
     return update(spark, facts, "INSERT { ?x <urn:title> ?n } USING <urn:r:1> WHERE { ?x <urn:name> ?n }")
 
 
+# -- SPARQL: solutions that are equal stay several, and blank nodes are each solution's own
+def nodes_told(df: DataFrame, *by: str) -> DataFrame:
+    """The blank nodes in s as numbers from 1 among those with the same values: SQL knows no labels."""
+    return df.withColumn("node", F.dense_rank().over(Window.partitionBy(*by).orderBy("s")).cast("long"))
+
+
+@register("SELECT segment, node, p FROM (SELECT c_mktsegment AS segment, row_number() OVER (PARTITION BY c_mktsegment) AS node FROM customer), (VALUES ('urn:of'), ('urn:again')) v(p)")
+def sparql_construct_solutions(spark, sf_dir):
+    """Customers of one segment are equal solutions; each makes a node, which both of its triples have."""
+    made = sparql(spark, mapped(spark, sf_dir, "customer"), "CONSTRUCT { _:x <urn:of> ?m ; <urn:again> ?m } WHERE { SELECT ?m WHERE { ?c <urn:t:c_mktsegment> ?m } }")
+    return nodes_told(made, "o").select(T.lexical(F.col("o")).alias("segment"), "node", T.iri_text(F.col("p")).alias("p"))
+
+
+@register("SELECT a.n_name AS a, b.n_name AS b, a.n_regionkey = b.n_regionkey AS same, a.n_regionkey = b.n_regionkey AS joined, CAST(1 + CAST(a.n_regionkey = b.n_regionkey AS INT) AS BIGINT) AS shared FROM nation a, nation b WHERE a.n_nationkey % 5 = b.n_nationkey % 5")
+def sparql_bnode_solution(spark, sf_dir):
+    """One node for one text within a solution, before and after a join, and no node in two solutions."""
+    nations = table(spark, sf_dir, "nation")
+    name = F.concat(F.lit("<urn:n:"), F.col("n_nationkey").cast("string"), F.lit(">"))
+    more = nations.select(name.alias("s"), F.lit("<urn:mod>").alias("p"), T.typed((F.col("n_nationkey") % 5).cast("string"), "integer").alias("o")).union(nations.select(name, F.lit("<urn:name>"), T.string(F.col("n_name")))).union(nations.select(name, F.lit("<urn:region>"), T.string(F.col("n_regionkey").cast("string"))))
+    facts = Facts(more.withColumn("g", F.lit(None).cast("string")))
+    text = "SELECT ?a ?b (BNODE(?q) AS ?y) ?x (SAMETERM(?x, ?z) AS ?joined) (SAMETERM(?x, ?y) AS ?same) WHERE { ?m <urn:mod> ?k ; <urn:region> ?r . ?n <urn:mod> ?k ; <urn:region> ?q BIND(BNODE(?r) AS ?x) ?m <urn:name> ?a . ?n <urn:name> ?b BIND(BNODE(?q) AS ?z) }"
+    got = sparql(spark, facts, text)
+    uses = got.select(F.explode(F.array("x", "y")).alias("x")).groupBy("x").count()
+    met = got.join(uses, "x")
+    return met.select(T.lexical(F.col("a")).alias("a"), T.lexical(F.col("b")).alias("b"), T.to_boolean(F.col("same")).alias("same"), T.to_boolean(F.col("joined")).alias("joined"), F.col("count").alias("shared"))
+
+
+@register("SELECT 'urn:r:' || n_regionkey AS g, n_name AS name, row_number() OVER (PARTITION BY n_regionkey, n_name) AS node FROM nation UNION ALL SELECT NULL, 'two', n FROM (VALUES (1), (2)) v(n)")
+def sparql_update_bnodes(spark, sf_dir):
+    """Each solution's insertion has a node of its own, and so has each operation."""
+    n = table(spark, sf_dir, "nation")
+    facts = n.select(F.concat(F.lit("<urn:n:"), F.col("n_nationkey").cast("string"), F.lit(">")).alias("s"), F.lit("<urn:name>").alias("p"), T.string(F.col("n_name")).alias("o"), F.concat(F.lit("<urn:r:"), F.col("n_regionkey").cast("string"), F.lit(">")).alias("g"))
+    done = update(spark, facts, "INSERT { GRAPH ?g { _:x <urn:seen> ?name } } WHERE { GRAPH ?g { _:x <urn:name> ?name } } ; INSERT DATA { _:a <urn:seen> 'two' } ; INSERT DATA { _:b <urn:seen> 'two' }").where("p = '<urn:seen>'")
+    return nodes_told(done, "g", "o").select(T.iri_text(F.col("g")).alias("g"), T.lexical(F.col("o")).alias("name"), "node")
+
+
+def long_numbers(spark, sf_dir) -> Facts:
+    """A number of each order that no double tells from its neighbours: integers of 41 digits, below zero too, and decimals of 30 places."""
+    k = F.lpad(F.col("o_orderkey").cast("string"), 12, "0")
+    kind = F.col("o_orderkey") % 4
+    value = F.when(kind == 0, T.typed(F.concat(F.lit("90071992547409930000000000000"), k), "integer")).when(kind == 1, T.typed(F.concat(F.lit("-90071992547409930000000000000"), k), "integer"))
+    value = value.when(kind == 2, T.typed(F.concat(F.lit("0.100000000000000000"), k), "decimal")).otherwise(T.typed(F.concat(F.lit("-00.100000000000000000"), k, F.lit("0")), "decimal"))
+    subject = F.concat(F.lit("<urn:o:"), F.col("o_orderkey").cast("string"), F.lit(">"))
+    pairs = F.explode(F.array(F.struct(F.lit("<urn:v>").alias("p"), value.alias("o")), F.struct(F.lit("<urn:c>").alias("p"), T.typed((F.col("o_custkey") % 7).cast("string"), "integer").alias("o"))))
+    return Facts(table(spark, sf_dir, "orders").select(subject.alias("s"), pairs.alias("x"), F.lit(None).cast("string").alias("g")).select("s", "x.p", "x.o", "g"))
+
+
+#: Orders with where their number stands: its kind from the least to the largest, and its place within the kind.
+PLACED = "WITH n AS (SELECT o_orderkey AS k, o_custkey % 7 AS c, CASE o_orderkey % 4 WHEN 1 THEN 0 WHEN 3 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS kind, CASE WHEN o_orderkey % 4 IN (1, 3) THEN -o_orderkey ELSE o_orderkey END AS place FROM orders) "
+
+
+@register(PLACED + "SELECT CAST(c AS BIGINT) AS c, arg_min(k, (kind, place)) AS lo, arg_max(k, (kind, place)) AS hi FROM n GROUP BY c")
+def sparql_minmax_exact(spark, sf_dir):
+    """The least and the largest of numbers beyond doubles, told by the order that they belong to."""
+    got = sparql(spark, long_numbers(spark, sf_dir), "SELECT ?c (MIN(?v) AS ?lo) (MAX(?v) AS ?hi) WHERE { ?o <urn:v> ?v ; <urn:c> ?c } GROUP BY ?c")
+    key = lambda c: F.regexp_extract(F.rpad(F.when(F.col(c).rlike("^\"-00"), F.regexp_replace(c, '0"', '"')).otherwise(F.col(c)), 400, " "), r'(\d{12})"', 1).cast("long").alias(c)
+    return got.select(T.raw_lexical(F.col("c")).cast("long").alias("c"), key("lo"), key("hi"))
+
+
+@register(PLACED + "SELECT k, r FROM (SELECT k, row_number() OVER (ORDER BY kind, place) AS r FROM n) WHERE r BETWEEN 4 AND 53")
+def sparql_order_exact(spark, sf_dir):
+    """The 4th to the 53rd of numbers beyond doubles, each with its place."""
+    got = sparql(spark, long_numbers(spark, sf_dir), "SELECT ?o ?v WHERE { ?o <urn:v> ?v } ORDER BY ?v OFFSET 3 LIMIT 50")
+    place = F.row_number().over(Window.orderBy(T.order_key(F.col("v")))) + 3
+    return got.select(F.regexp_extract("o", r"(\d+)>", 1).cast("long").alias("k"), place.cast("long").alias("r"))
+
+
+ask("sparql_group_concat_terms", "SELECT ?r (GROUP_CONCAT(DISTINCT ?t; SEPARATOR='|') AS ?v) (COUNT(DISTINCT ?t) AS ?c) WHERE { ?n <urn:t:n_regionkey> ?r ; <urn:t:n_nationkey> ?k BIND(STRLANG(IF(?k > 20, 'y', 'x'), IF(?k > 12, 'en', 'fr')) AS ?t) }  GROUP BY ?r", "nation",
+    "SELECT 'urn:t:region:' || n_regionkey AS r, string_agg(t, '|' ORDER BY t) AS v, count(*) AS c FROM (SELECT DISTINCT n_regionkey, CASE WHEN n_nationkey > 20 THEN 'y' ELSE 'x' END AS t, n_nationkey > 12 AS l FROM nation) GROUP BY 1", r="iri", v="text", c="long")
+
+
 # -- Datalog and ShEx
 @register(RING + "SELECT CAST(a AS VARCHAR) AS c0 FROM r WHERE a = b")
 def datalog_proposition(spark, sf_dir):

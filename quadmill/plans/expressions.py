@@ -169,7 +169,14 @@ def numbers(a: Value, b: Value, f: Callable[[Column, Column], Column]) -> Column
         return f(a.long, b.long)
     if a.real or b.real:
         return f(a.number.dbl, b.number.dbl)
-    return F.coalesce(f(a.number.dec, b.number.dec), f(a.number.dbl, b.number.dbl))
+    return F.coalesce(f(a.number.dec, b.number.dec), f(a.number.big, b.number.big), f(a.number.dbl, b.number.dbl))
+
+
+def order_key(v: Value) -> Column:
+    """What solutions are ordered by; where all values of a column are made of one kind, by what they are made of."""
+    t = v.term
+    own = v.long if v.long is not None else v.number.dbl if v.real else v.lex
+    return T.order_key(t) if own is None else F.struct(F.when(t.isNull(), 0).otherwise(3).alias("kind"), own.alias("own"), t.alias("term"))
 
 
 def strings(a: Value, b: Value, f: Callable[[Column, Column], Column]) -> Column:
@@ -378,8 +385,11 @@ class Compiler:
                 return Value(T.typed(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"), "dateTime"))
             return Value(F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">")) if name == "UUID" else T.string(F.uuid()))
         if name == "BNODE":
-            row = self.row if self.row is not None else F.monotonically_increasing_id()
-            return Value(F.concat(F.lit("_:b"), F.hex(F.xxhash64(row, *(text(x) for x in v)))) if v else F.concat(F.lit("_:b"), F.replace(F.uuid(), F.lit("-"), F.lit(""))))
+            if not v:
+                return Value(F.concat(F.lit("_:b"), F.replace(F.uuid(), F.lit("-"), F.lit(""))))
+            if self.row is None:
+                raise SparqlError("SPARQL-BNODE-001", "BNODE of a text can't stand here", 0)
+            return Value(F.concat(F.lit("_:b"), F.md5(F.concat(self.row, F.lit(" "), plain(v[0])).cast("binary"))))
         a = v[0]
         t = a.term
         if name == "STR":

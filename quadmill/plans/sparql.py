@@ -12,16 +12,21 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
 from ..session import appended, written
-from .expressions import Compiler, Native, Number, Value, constant, equal, no_whole, text, whole
+from .expressions import Compiler, Native, Number, Value, constant, equal, no_whole, order_key, text, whole
 from .sparql_parser import Query, SparqlError, has_aggregate, parse_query, visible
 
-CHECK_EVERY = 4
+#: Equal solutions that one task numbers.
+ALIKE = 1 << 16
+#: Hidden variables that tell solutions apart begin so.
+ROW = ".row"
+NUMBERS = count()
 
 
 def column_name(var: str) -> str:
@@ -75,6 +80,30 @@ class Solutions:
         return Solutions(self.df.select(*(col(n) if n in self.bound else F.lit(None).cast("string").alias(column_name(n)) for n in names)), {n: self.bound.get(n, False) for n in names})
 
 
+def row_of(a: Solutions) -> str | None:
+    """The variable that tells the solutions apart, where there is one."""
+    return next((n for n in a.bound if n.startswith(ROW) and a.bound[n]), None)
+
+
+def numbered(a: Solutions) -> Solutions:
+    """With a hidden variable that differs between any two solutions, and stays with one through joins and retried tasks.
+
+    It is made of a solution's values and its rank among equal ones. Equal solutions are counted and dealt out again by their
+    count, a block at a time, so a solution that most rows have is no single task's.
+    """
+    by = a.df.columns
+    counts = (a.df.groupBy(*(F.col(f"`{c}`") for c in by)) if by else a.df.groupBy()).agg(F.count(F.lit(1)).alias("x_same")).where("x_same > 0")
+    several = F.col("x_same") > ALIKE
+    first = counts.where(~several).withColumn("x_from", F.lit(0).cast("long"))
+    blocks = counts.where(several).withColumn("x_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("x_same") - 1, F.lit(ALIKE).cast("long"))))
+    dealt = first.unionByName(blocks.repartition("x_from", *(F.col(f"`{c}`") for c in by)))
+    ranks = F.explode(F.sequence(F.col("x_from"), F.least(F.col("x_same"), F.col("x_from") + ALIKE) - 1))
+    told = [F.coalesce(F.concat(F.length(col(n)).cast("string"), F.lit(":"), col(n)), F.lit("-")) for n in a.bound]
+    name = f"{ROW}{next(NUMBERS)}"
+    rows = dealt.withColumn("x_rank", ranks).withColumn(column_name(name), F.md5(F.concat(F.col("x_rank").cast("string"), F.lit(";"), *told).cast("binary")))
+    return Solutions(rows.drop("x_same", "x_from", "x_rank"), {**a.bound, name: True}, a.natives)
+
+
 def unit(spark: SparkSession) -> Solutions:
     return Solutions(spark.range(1).select(), {})
 
@@ -334,6 +363,7 @@ class Engine:
         return Solutions(df if names else df.select(), {n: all(r[i] is not None for r in rows) for i, n in enumerate(names)})
 
     def optional(self, a: Solutions, b: Solutions, filters: list, graph=None) -> Solutions:
+        a = self.told_apart(a, filters)
         shared = [n for n in a.bound if n in b.bound]
         names = list(dict.fromkeys([*a.bound, *b.bound]))
         if any(map(contains_exists, filters)):
@@ -351,7 +381,7 @@ class Engine:
 
         condition = agreement(a, b, shared)
         for f in filters:
-            condition &= F.coalesce(self.compiler(column)(f).truth, F.lit(False))
+            condition &= F.coalesce(self.compiler(column, row_of(a))(f).truth, F.lit(False))
         return merged(a.df.join(renamed(b), condition, "left"), a, b, shared, inner=False)
 
     def minus(self, a: Solutions, b: Solutions) -> Solutions:
@@ -369,14 +399,23 @@ class Engine:
         own = found.df.select(*(col(copy(n)) for n in names)).distinct()
         return Solutions(a.df.join(own, same_copies(names), how), a.bound, a.natives)
 
-    def compiler(self, column: Callable[[str], Column | None]) -> Compiler:
-        return Compiler(column, self.base, None, self.functions)
+    def compiler(self, column: Callable[[str], Column | None], row: str | None = None) -> Compiler:
+        return Compiler(column, self.base, None if row is None else col(row), self.functions)
+
+    def of(self, a: Solutions) -> Compiler:
+        """Compiles expressions over solutions."""
+        return self.compiler(a.column, row_of(a))
+
+    def told_apart(self, a: Solutions, expressions) -> Solutions:
+        """The solutions, told apart where an expression makes blank nodes that a solution shares."""
+        return numbered(a) if row_of(a) is None and names_nodes(expressions) else a
 
     def extend(self, a: Solutions, name: str, e, graph=None) -> Solutions:
         if name in a.bound:
             raise SparqlError("SPARQL-BIND-001", f"?{name} is already in scope", 0)
+        a = self.told_apart(a, e)
         b, e = self.lifted(*self.flagged(a, e, graph))
-        made = b.df.withColumn(column_name(name), self.compiler(b.column)(e).term)
+        made = b.df.withColumn(column_name(name), self.of(b)(e).term)
         certain = e[0] in ("lit", "iri") or e[0] == "var" and a.bound.get(e[1], False)
         return Solutions(made.drop(*(column_name(n) for n in b.bound if n not in a.bound)), {**a.bound, name: certain}, a.natives)
 
@@ -392,7 +431,7 @@ class Engine:
                 for i, x in enumerate(made[2]):
                     if depth(x) > 1:
                         name = f".l{len(a.df.columns)}"
-                        a = Solutions(a.df.withColumn(column_name(name), self.compiler(a.column)(x).term), {**a.bound, name: False}, a.natives)
+                        a = Solutions(a.df.withColumn(column_name(name), self.of(a)(x).term), {**a.bound, name: False}, a.natives)
                         made[2][i] = ("var", name)
             return tuple(made) if isinstance(e, tuple) else made
 
@@ -405,13 +444,15 @@ class Engine:
                 negated = f[2] if f[0] == "exists" else not f[1][2]
                 a = self.exists(a, f if f[0] == "exists" else f[1], graph, "left_anti" if negated else "left_semi")
             else:
+                a = self.told_apart(a, f)
                 b, g = self.lifted(*self.flagged(a, f, graph))
-                b = b.where(self.compiler(b.column)(g).truth)
+                b = b.where(self.of(b)(g).truth)
                 a = Solutions(b.df.drop(*(column_name(n) for n in b.bound if n not in a.bound)), a.bound, a.natives)
         return a
 
     def exists(self, a: Solutions, e, graph, how: str) -> Solutions:
         """Solutions with (or without) a compatible one inside; FILTERs there may mean outer variables."""
+        a = self.told_apart(a, e)
         b, filters = self.group(e[1][1], graph)
         shared = [n for n in a.bound if n in b.bound]
         outer = [f for f in filters if names_in(f) - b.bound.keys()]
@@ -431,7 +472,7 @@ class Engine:
             return rvalue(b, n) if n in b.bound else a.column(n)
 
         for f in outer:
-            condition &= F.coalesce(self.compiler(column)(f).truth, F.lit(False))
+            condition &= F.coalesce(self.compiler(column, row_of(a))(f).truth, F.lit(False))
         return Solutions(a.df.join(renamed(b), condition, how), a.bound, a.natives)
 
     def flagged(self, a: Solutions, e, graph):
@@ -477,11 +518,12 @@ class Engine:
             if e is not None:
                 now = self.extend(now, name, e, graph)
         now = self.filtered(now, having, graph)
-        ordered = lambda s: s.df.orderBy(*(F.desc(k) if down else F.asc(k) for k, down in ((T.order_key(self.compiler(s.column)(e).term), down) for e, down in order)))
+        ordered = lambda s: s.df.orderBy(*(F.desc(k) if down else F.asc(k) for k, down in ((order_key(self.of(s)(e)), down) for e, down in order)))
         if q.distinct:
             now = now.keep(names)
             now = Solutions(now.df.distinct(), now.bound)
         if order:
+            now = self.told_apart(now, order)
             now = Solutions(ordered(now), now.bound)
         now = now.keep(names)
         df = now.df
@@ -501,9 +543,10 @@ class Engine:
                 keys.append(key)
             else:
                 keys.append(name)
+        a = self.told_apart(a, [project, having, order])
         made: list[Column] = []
         values: dict = {}
-        compile_ = self.compiler(a.column)
+        compile_ = self.of(a)
         held = [k for k in keys if k in a.bound]
         by = [col(k) for k in held]
         apart: list[DataFrame] = []  # sums over a group's distinct terms, each of its own
@@ -522,7 +565,7 @@ class Engine:
                     return new
             if isinstance(e, tuple) and e and e[0] == "agg":
                 if str(e) not in values:
-                    values[str(e)] = distinct_sum(e) if e[2] and e[1] in ("SUM", "AVG") else self.one_aggregate(e, compile_, list(a.bound), made)
+                    values[str(e)] = distinct_sum(e) if e[2] and e[1] in ("SUM", "AVG") else self.one_aggregate(e, compile_, [n for n in a.bound if not n.startswith(".")], made)
                 return "column", values[str(e)]
             if isinstance(e, tuple):
                 return tuple(lift(x) if isinstance(x, (tuple, list)) else x for x in e)
@@ -557,13 +600,15 @@ class Engine:
         if name == "SAMPLE":
             return Value(add(F.min(t)))
         if name in ("MIN", "MAX"):
-            key = F.when(t.isNotNull(), T.order_key(t))
+            key = F.when(t.isNotNull(), order_key(v))
             best = add((F.min if name == "MIN" else F.max)(key))
             return Value(best.getField("term"))
         if name == "GROUP_CONCAT":
             own = F.when(T.is_iri(t), T.iri_text(t)).otherwise(text(v))
-            got = add((F.collect_set if distinct else F.collect_list)(own))
-            return Value(T.string(F.array_join(F.sort_array(got), separator)))
+            if not distinct:
+                return Value(T.string(F.array_join(F.sort_array(add(F.collect_list(own))), separator)))
+            got = add(F.collect_set(F.when(own.isNotNull(), F.struct(own.alias("text"), t.alias("term")))))  # different terms of one text are two
+            return Value(T.string(F.array_join(F.transform(F.sort_array(got), lambda x: x["text"]), separator)))
         rank, dec, dbl, big = v.number
         # A number without its value is an error, as is whatever is none.
         rank = F.when(F.when(rank == 1, big.isNotNull()).when(rank == 2, dec.isNotNull()).otherwise(dbl.isNotNull()), rank)
@@ -597,11 +642,13 @@ class Engine:
             return self.construct(self.solve(Query("SELECT", q.where, None, order=q.order, limit=q.limit, offset=q.offset, values=q.values)), [(*t, None) for t in q.template]).select("s", "p", "o").distinct()
         return self.describe(q)
 
-    def construct(self, a: Solutions, template: list[tuple]) -> DataFrame:
-        """Quads of a template, one blank node for each solution and label; ill-formed ones are left out."""
+    def construct(self, a: Solutions, template: list[tuple], fresh: str = "") -> DataFrame:
+        """Quads of a template, one blank node for each solution and label; ill-formed ones are left out. fresh: sets these nodes apart from others."""
         if not template:
             return self.spark.createDataFrame([], "s string, p string, o string, g string")
-        row = F.xxhash64(*(F.coalesce(col(n), F.lit("")) for n in a.bound)) if a.bound else F.lit(0)
+        if any(t and t[0] == "var" and t[1].startswith(".") for quad in template for t in quad):
+            a = numbered(a)  # what told them apart within the pattern may have been joined with others since
+        row = next((n for n in reversed(a.bound) if n.startswith(ROW)), None)
 
         def term(t) -> Column:
             if t is None:
@@ -613,11 +660,11 @@ class Engine:
             if t[1] in a.bound:
                 return col(t[1])
             if t[1].startswith("."):
-                return F.concat(F.lit("_:b"), F.hex(F.xxhash64(F.col("n_row"), F.lit(t[1]))))
+                return F.concat(F.lit("_:b"), F.md5(F.concat(col(row), F.lit(f" {fresh} {t[1]}")).cast("binary")))
             return F.lit(None).cast("string")
 
         quads = F.array(*(F.struct(term(s).alias("s"), term(p).alias("p"), term(o).alias("o"), term(g).alias("g"), F.lit(g is not None).alias("named")) for s, p, o, g in template))
-        df = a.df.withColumn("n_row", row).select(F.explode(quads).alias("q")).select("q.*")
+        df = a.df.select(F.explode(quads).alias("q")).select("q.*")
         good = F.col("s").isNotNull() & F.col("p").isNotNull() & F.col("o").isNotNull() & ~T.is_literal(F.col("s")) & T.is_iri(F.col("p")) & (~F.col("named") | F.col("g").isNotNull())
         return df.where(good).drop("named").distinct()
 
@@ -656,6 +703,11 @@ def conjuncts(e) -> list:
     return conjuncts(e[1]) + conjuncts(e[2]) if e[0] == "and" else [e]
 
 
+def names_nodes(e) -> bool:
+    """Whether an expression has a BNODE of a text, which a solution makes but once."""
+    return isinstance(e, (tuple, list)) and (e[:1] == ("fn",) and e[1] == "BNODE" and len(e[2]) > 0 or any(map(names_nodes, e)))
+
+
 def contains_exists(e) -> bool:
     return isinstance(e, (tuple, list)) and (e[:1] == ("exists",) or any(contains_exists(x) for x in e))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import PySparkException
@@ -43,7 +44,7 @@ class Updater:
     def one(self, op: tuple, base: str | None) -> None:
         kind = op[0]
         if kind in ("insert data", "delete data"):
-            made = Engine(self.spark, Facts(self.facts)).construct(unit(self.spark), op[1])
+            made = Engine(self.spark, Facts(self.facts)).construct(unit(self.spark), op[1], uuid.uuid4().hex)
             self.facts = self.facts.unionByName(made).dropDuplicates(QUAD) if kind == "insert data" else without(self.facts, made)
         elif kind == "modify":
             self.modify(*op[1:], base)
@@ -92,9 +93,10 @@ class Updater:
         engine = Engine(self.spark, Facts(self.facts), None, self.functions, base)
         engine.graphs, engine.named = using, named
         found = engine.pattern(where, ("iri", with_) if with_ and not using and not named else None)
+        found = found.keep([n for n in found.bound if not n.startswith(".")])  # blank nodes of the pattern are none of the template
         found.df = written(found.df) if found.df.columns else found.df
         scoped = lambda quads: [(*q[:3], q[3] or (("iri", with_) if with_ else None)) for q in quads]
-        gone, new = engine.construct(found, scoped(delete)), engine.construct(found, scoped(insert))
+        gone, new = engine.construct(found, scoped(delete)), engine.construct(found, scoped(insert), uuid.uuid4().hex)
         self.facts = (without(self.facts, gone) if delete else self.facts).unionByName(new).dropDuplicates(QUAD)
 
 
