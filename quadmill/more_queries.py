@@ -326,6 +326,29 @@ def datalog_proposition(spark, sf_dir):
     return datalog(spark, "go(). reach(X, Y) :- next(X, Y). reach(X, Z) :- reach(X, Y), next(Y, Z). loop(X) :- node(X), go(), node(Y), reach(X, Y), same(X, Y). node(X) :- next(X, _). same(X, X) :- node(X).", {"next": ring(spark, sf_dir)}, "loop", 1)
 
 
+def chained(spark, sf_dir) -> DataFrame:
+    """Each customer and the next one by number, in chains of a hundred."""
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").where((k + 1) % 100 != 0).select(k.cast("string").alias("c0"), (k + 1).cast("string").alias("c1"))
+
+
+CHAINS = "SELECT CAST(a.c_custkey AS VARCHAR) AS c0, CAST(b.k AS VARCHAR) AS c1 FROM customer a JOIN (SELECT DISTINCT c_custkey + 1 AS k FROM customer WHERE (c_custkey + 1) % 100 <> 0) b ON a.c_custkey < b.k AND a.c_custkey // 100 = b.k // 100"
+
+
+@register(CHAINS)
+def datalog_chains(spark, sf_dir):
+    """A recursion as deep as its chains are long, in rounds by the logarithm of that."""
+    return datalog(spark, "after(X, Y) :- next(X, Y). after(X, Z) :- next(X, Y), after(Y, Z).", {"next": chained(spark, sf_dir)}, "after", 2)
+
+
+@register(CHAINS)
+def sparql_path_chains(spark, sf_dir):
+    node = lambda c: F.concat(F.lit("<urn:"), F.col(c), F.lit(">"))
+    facts = Facts(chained(spark, sf_dir).select(node("c0").alias("s"), F.lit("<urn:next>").alias("p"), node("c1").alias("o"), F.lit(None).cast("string").alias("g")))
+    bare = lambda c: F.regexp_extract(c, r"(\d+)", 1)
+    return sparql(spark, facts, "SELECT ?a ?b WHERE { ?a <urn:next>+ ?b }").select(bare("a").alias("c0"), bare("b").alias("c1"))
+
+
 shex("shex_recursive", "<urn:S> { t:n_regionkey @<urn:R> } <urn:R> { ^t:n_regionkey @<urn:S> {5,} }", "SELECT 'urn:t:nation:' || n_nationkey AS node, (SELECT count(*) FROM nation m WHERE m.n_regionkey = n.n_regionkey) >= 5 AS conforms FROM nation n", "nation region", "nation")
 
 C = "SELECT 'urn:t:customer:' || c_custkey AS node, {} AS conforms FROM customer"

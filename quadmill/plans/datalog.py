@@ -1,7 +1,8 @@
 """Datalog with stratified negation as joins, and its programs as facts.
 
 A relation is a table c0, c1, ... of strings for each name and arity; quoted constants keep their quotes.
-Strata are evaluated in order, each by a semi-naive fixpoint over written tables.
+Strata are evaluated in order, each by a semi-naive fixpoint over written tables; a relation that only
+repeats the steps of another takes few rounds (``closure``). Rows with a NULL join with nothing.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import appended, written
+from .closure import Closure
 from .sparql_parser import quote
 
 TOKEN = re.compile(r"""(?P<skip>(?:\s+|%[^\n]*|\#[^\n]*|//[^\n]*)+)|(?P<str>"(?:[^"\\\n]|\\.)*")|(?P<num>-?\d+(?:\.\d+)?)|(?P<name>[A-Za-z_][A-Za-z0-9_]*)|(?P<op>:-|[(),.!])""")
@@ -163,9 +165,34 @@ def check_safe(rules: list[Rule]) -> None:
             raise DatalogError("DATALOG-SAFE-001", f"{min(free)} is not bound in the rule of {r.head.name}")
 
 
+def closed(own: list[Rule], key: tuple[str, int]) -> tuple[tuple[str, int], str] | None:
+    """The relation whose steps a rule of two atoms repeats, and on which side of the own relation it stands, where nothing else recurs.
+
+    p(X, Z) :- p(X, Y), e(Y, Z) or p(X, Z) :- e(X, Y), p(Y, Z) or p(X, Z) :- p(X, Y), p(Y, Z), for which the side is both.
+    """
+    heads = {r.head.key for r in own}
+    again = [r for r in own if any(positive and a.key in heads for positive, a in r.body)]
+    if len(heads) > 1 or len(again) != 1 or key[1] != 2:
+        return None
+    (rule,) = again
+    if len(rule.body) != 2 or not all(positive for positive, _ in rule.body):
+        return None
+    (_, a), (_, b) = rule.body
+    if [x[0] for atom in (rule.head, a, b) for x in atom.args] != ["var"] * 6:
+        return None
+    if set(a.args) & set(rule.head.args[1:]):  # the body's other order
+        a, b = b, a
+    x, y, z = a.args[0], a.args[1], b.args[1]
+    if len({x, y, z}) != 3 or ("var", "_") in (x, y, z) or b.args[0] != y or list(rule.head.args) != [x, z]:
+        return None
+    if a.key == b.key == key:
+        return key, "both"
+    return (b.key, "right") if a.key == key else (a.key, "left") if b.key == key else None
+
+
 class Evaluator:
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame] | None = None):
-        self.spark = spark
+        self.spark, self.rounds = spark, 0
         self.relations: dict[tuple[str, int], DataFrame] = {}
         for name, df in (tables or {}).items():
             self.relations[name, len(df.columns)] = df.toDF(*(f"c{i}" for i in range(len(df.columns)))) if df.columns else df
@@ -219,6 +246,19 @@ class Evaluator:
         head = [F.col(f"`{name(v)}`").alias(f"c{i}") if kind == "var" else F.lit(v).alias(f"c{i}") for i, (kind, v) in enumerate(r.head.args)]
         return now.select(*head).distinct() if head else now.select(F.lit(1).alias("u")).limit(1)
 
+    def close(self, key: tuple[str, int], step: tuple[str, int], side: str) -> None:
+        """The relation with any number of steps on one side, by doubling."""
+        named = lambda df, s, o: df.select(F.col("c0").alias(s), F.col("c1").alias(o))
+        closure = Closure(named(self.relation(step), "s", "o"))
+        far = closure.pairs()
+        self.rounds += closure.rounds
+        if side == "both":
+            self.relations[key] = written(self.relations[key].union(far.select("s", "o")).distinct())
+            return
+        near, steps = (named(self.relations[key], "s", "m"), far.withColumnRenamed("s", "m")) if side == "right" else (far.withColumnRenamed("o", "m"), named(self.relations[key], "m", "o"))
+        more = near.join(steps, "m").select(F.col("s").alias("c0"), F.col("o").alias("c1"))
+        self.relations[key] = written(self.relations[key].union(more).distinct())
+
     def run(self, text: str) -> None:
         rules = parse_datalog(text)
         check_safe(rules)
@@ -231,6 +271,9 @@ class Evaluator:
                 base = [self.relations[key]] if key in self.relations else []
                 self.relations[key] = written(reduce(DataFrame.union, [*base, *first], self.empty(key[1])).distinct()) if recursive or len(first) + len(base) != 1 else first[0] if first else base[0]
                 delta[key] = self.relations[key]
+            if len(heads) == 1 and recursive and (step := closed(own, key)):
+                self.close(key, *step)
+                continue
             while recursive:
                 new: dict[tuple[str, int], list[DataFrame]] = {}
                 for r in recursive:

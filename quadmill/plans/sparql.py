@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
-from ..session import appended, written
+from ..session import written
+from .closure import Closure
 from .expressions import Compiler, Native, Number, Value, constant, equal, no_whole, order_key, text, whole
 from .sparql_parser import Query, SparqlError, has_aggregate, parse_query, visible
 
@@ -286,20 +287,11 @@ class Engine:
         return same.union(edges if kind == "?" else self.closure(edges, extra, s, o)).distinct()
 
     def closure(self, edges: DataFrame, extra: list[str], s, o) -> DataFrame:
-        """One step or more, semi-naive: only new pairs go on, and a constant end is where it starts."""
-        edges = written(edges.distinct())
-        back = s[0] == "var" and o[0] != "var"
-        step = edges.select(F.col("o").alias("s"), F.col("s").alias("o"), *extra) if back else edges
-        start = o if back else s
-        front = written(step.where(F.col("s") == start[1]) if start[0] != "var" else step)
-        tables = [front]
-        onward = step.select(F.col("s").alias("m"), F.col("o").alias("to"), *extra)
-        while not front.isEmpty():
-            reached = front.withColumnRenamed("o", "m").join(onward, ["m", *extra]).select("s", F.col("to").alias("o"), *extra).distinct()
-            front = written(reached.join(appended(tables), ["s", "o", *extra], "left_anti"))
-            tables.append(front)
-        seen = appended(tables)
-        return seen.select(F.col("o").alias("s"), F.col("s").alias("o"), *extra) if back else seen
+        """One step or more; a constant end is where it starts."""
+        swap = lambda df: df.select(F.col("o").alias("s"), F.col("s").alias("o"), *extra)
+        if s[0] != "var":
+            return Closure(edges, extra).onward_from(s[1])
+        return swap(Closure(swap(edges), extra).onward_from(o[1])) if o[0] != "var" else Closure(edges, extra).pairs()
 
     # -- patterns
     def group(self, elements: list, graph, given: Solutions | None = None) -> tuple[Solutions, list]:
