@@ -15,8 +15,9 @@ from .plans.datalog import datalog
 from .plans.mapping import Facts, mapped
 from .plans.shex import validate
 from .plans.sparql import sparql
+from .plans.stars import Stars
 from .plans.update import update
-from .queries import BASE_SQL, INTEGER, QUERIES, RDFNS, RING, SQL, K, ask, parsed_query, rdf_docs, register, ring, shex, table
+from .queries import BASE_SQL, INTEGER, QUERIES, RDFNS, RING, SQL, K, ask, decoded, parsed_query, rdf_docs, register, ring, shex, table
 from .sources import reader, sinks
 
 XSD = "http://www.w3.org/2001/XMLSchema#"
@@ -319,6 +320,31 @@ ask("sparql_group_concat_terms", "SELECT ?r (GROUP_CONCAT(DISTINCT ?t; SEPARATOR
     "SELECT 'urn:t:region:' || n_regionkey AS r, string_agg(t, '|' ORDER BY t) AS v, count(*) AS c FROM (SELECT DISTINCT n_regionkey, CASE WHEN n_nationkey > 20 THEN 'y' ELSE 'x' END AS t, n_nationkey > 12 AS l FROM nation) GROUP BY 1", r="iri", v="text", c="long")
 
 
+def order_stars(spark, sf_dir) -> Stars:
+    """Facts of orders, of which some have an urgent mark and most have several parts, laid out by characteristic sets."""
+    o, line = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    subject = lambda c: F.concat(F.lit("<urn:o:"), F.col(c).cast("string"), F.lit(">"))
+    fields = {"key": T.typed(F.col("o_orderkey").cast("string"), "integer"), "status": T.string(F.col("o_orderstatus")), "priority": T.string(F.col("o_orderpriority")), "cust": T.typed(F.col("o_custkey").cast("string"), "integer"), "urgent": F.when(F.startswith("o_orderpriority", F.lit("1")), F.lit('"yes"'))}
+    pairs = F.explode(F.array(*(F.struct(F.lit(f"<urn:{k}>").alias("p"), v.alias("o")) for k, v in fields.items())))
+    one = o.select(subject("o_orderkey").alias("s"), pairs.alias("x")).select("s", "x.p", "x.o").where("o IS NOT NULL")
+    many = line.select(subject("l_orderkey").alias("s"), F.lit("<urn:part>").alias("p"), T.typed(F.col("l_partkey").cast("string"), "integer").alias("o"))
+    return Stars.of(one.union(many).withColumn("g", F.lit(None).cast("string")))
+
+
+@register("SELECT o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p, o_custkey AS c, l_partkey AS i FROM orders JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) ON l_orderkey = o_orderkey")
+def sparql_star_facts(spark, sf_dir):
+    """Five patterns of one subject over a table of facts, one of them with several values: a scan of each table that has them."""
+    found = sparql(spark, order_stars(spark, sf_dir), "SELECT ?k ?s ?p ?c ?i WHERE { ?o <urn:key> ?k ; <urn:status> ?s ; <urn:priority> ?p ; <urn:cust> ?c ; <urn:part> ?i }")
+    return decoded(found, k="long", s="text", p="text", c="long", i="long")
+
+
+@register("SELECT o_orderkey AS k, c_n AS n FROM orders JOIN (SELECT l_orderkey, count(DISTINCT l_partkey) AS c_n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_orderpriority LIKE '1%'")
+def sparql_star_optional(spark, sf_dir):
+    """A star that few subjects have, counted by subject."""
+    found = sparql(spark, order_stars(spark, sf_dir), "SELECT ?k (COUNT(?i) AS ?n) WHERE { ?o <urn:key> ?k ; <urn:urgent> 'yes' ; <urn:part> ?i } GROUP BY ?k")
+    return decoded(found, k="long", n="long")
+
+
 # -- Datalog and ShEx
 @register(RING + "SELECT CAST(a AS VARCHAR) AS c0 FROM r WHERE a = b")
 def datalog_proposition(spark, sf_dir):
