@@ -18,6 +18,7 @@ from .plans.sparql import sparql
 from .plans.stars import Stars
 from .plans.update import update
 from .queries import BASE_SQL, INTEGER, QUERIES, RDFNS, RING, SQL, K, ask, decoded, parsed_query, rdf_docs, register, ring, shex, table
+from .session import new_folder
 from .sources import reader, sinks
 
 XSD = "http://www.w3.org/2001/XMLSchema#"
@@ -138,18 +139,44 @@ def encode_shex(spark, sf_dir):
     return reader.parse(docs).select(F.col("path").cast("long").alias("k"), "accepted", (F.size("facts") > 0).alias("some"))
 
 
-@register("SELECT 'iri-parser' AS parser, 'c' || c_custkey AS id, c_custkey % 2 = 0 AS accepted, CAST(c_custkey AS BIGINT) AS fact_count FROM customer WHERE c_custkey <= 20")
+@register("SELECT 'iri-parser' AS parser, 'c' || c_custkey AS id, c_custkey % 2 = 0 AS accepted, CAST(c_custkey AS BIGINT) AS fact_count FROM customer")
 def oracle_corpus(spark, sf_dir):
     """A corpus of expected results, written as JSON and read back."""
-    from .session import shared_dir
-
-    c = table(spark, sf_dir, "customer").where("c_custkey <= 20")
+    c = table(spark, sf_dir, "customer")
     case = F.struct(F.concat(F.lit("c"), K()).alias("id"), F.lit("x.nt").alias("input_path"), (F.col("c_custkey") % 2 == 0).alias("accepted"), F.array(F.lit("<a:a> <a:a> <a:a> .")).alias("facts"), F.col("c_custkey").alias("fact_count"))
-    path = f"{shared_dir(spark).rstrip('/')}/oracle-corpus"
-    c.groupBy((F.col("c_custkey") % 2).alias("part")).agg(F.collect_list(case).alias("cases")).select(F.lit("1").alias("schema_version"), F.lit("nt").alias("lang"), F.lit("iri-parser").alias("parser"), "cases", "part").write.mode("overwrite").partitionBy("part").json(path)
+    path = new_folder(spark, "oracles")
+    c.groupBy(F.floor(F.col("c_custkey") / 100).alias("part")).agg(F.collect_list(case).alias("cases")).select(F.lit("1").alias("schema_version"), F.lit("nt").alias("lang"), F.lit("iri-parser").alias("parser"), "cases", "part").repartition("part").write.mode("append").partitionBy("part").option("maxRecordsPerFile", 1).json(path)
     return reader.read_oracle(spark, path).select("parser", "id", "accepted", "fact_count")
 
 
+def line_corpus(spark, sf_dir) -> str:
+    """A folder of N-Triples files, one for each nation, of the names and the segments of its customers."""
+    lines = F.explode(F.array(F.concat(F.lit("<urn:c:"), K(), F.lit("> <urn:name> "), T.string(F.concat("c_name", F.lit(" é😀"))), F.lit(" .")), F.concat(F.lit("# "), F.col("c_mktsegment")), F.concat(F.lit("<urn:c:"), K(), F.lit(">  <urn:segment>  "), T.string(F.col("c_mktsegment")), F.lit("."))))
+    path = new_folder(spark, "lines")
+    table(spark, sf_dir, "customer").repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").select("c_nationkey", lines.alias("value")).write.mode("append").partitionBy("c_nationkey").text(path)
+    return path
+
+
+#: The lines of line_corpus, n counting those of a customer; each has one byte for its end.
+LINES = "WITH l AS (SELECT c_nationkey AS nation, c_custkey AS k, n, CASE n WHEN 0 THEN '<urn:c:' || c_custkey || '> <urn:name> \"' || c_name || ' é😀\" .' WHEN 1 THEN '# ' || c_mktsegment ELSE '<urn:c:' || c_custkey || '>  <urn:segment>  \"' || c_mktsegment || '\".' END AS line FROM customer, (VALUES (0), (1), (2)) v(n)), p AS (SELECT *, CAST(coalesce(sum(strlen(line) + 1) OVER (PARTITION BY nation ORDER BY k, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS src_offset FROM l) "
+
+
+@register(LINES + "SELECT CAST(nation AS BIGINT) AS nation, '<urn:c:' || k || '>' AS s, CASE n WHEN 0 THEN 'urn:name' ELSE 'urn:segment' END AS p, src_offset FROM p WHERE n <> 1")
+def nt_offsets(spark, sf_dir):
+    """Each fact with the byte of its file that its line begins at."""
+    facts = reader.read_lines(spark, line_corpus(spark, sf_dir))
+    return facts.select(F.regexp_extract("doc_id", r"c_nationkey=(\d+)", 1).cast("long").alias("nation"), "s", T.iri_text(F.col("p")).alias("p"), "src_offset")
+
+
+@register(LINES + "SELECT CAST(nation AS BIGINT) AS nation, count(*) AS lines, CAST(max(src_offset) AS BIGINT) AS last FROM p GROUP BY nation")
+def nt_places(spark, sf_dir):
+    """The splits of each file, and where the last line begins."""
+    path = line_corpus(spark, sf_dir)
+    places = reader.line_places(spark, path)
+    last = reader.read_lines(spark, path, places=places).groupBy("doc_id").agg(F.max("src_offset").alias("last"))
+    return reader.line_files(places).join(last, "doc_id").select(F.regexp_extract("doc_id", r"c_nationkey=(\d+)", 1).cast("long").alias("nation"), "lines", "last")
+
+
 # -- facts
 @register("SELECT '<urn:c:' || c_custkey || '>' AS s, '\"' || c_name || '\"' AS o FROM customer UNION ALL SELECT '<urn:c:' || c_custkey || '>', '\"x\"@en-US' FROM customer")
 def facts_canonicalise(spark, sf_dir):
@@ -420,12 +447,12 @@ def doc_extract_prefix(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), made["replacement"].alias("replacement"), made["declaration"].alias("declaration"))
 
 
-@register("SELECT doc_id, coalesce(instr(substr(text, 1, 1000), '.'), 0) AS stop FROM documents")
+@register("SELECT doc_id, coalesce(instr(text, '.'), 0) AS stop FROM documents")
 def doc_statement_bounds(spark, sf_dir):
     """Where the statement ends that the first character is in."""
-    text = F.concat(F.lit("x"), F.substring(F.col("text"), 1, 1000), F.lit("."))
+    text = F.concat(F.lit("x"), F.col("text"), F.lit("."))
     bounds = D.statement_bounds(text, F.lit(1))
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(bounds["end"] == F.length(text), F.when(F.contains(F.substring("text", 1, 1000), F.lit(".")), bounds["end"] - 1).otherwise(0)).otherwise(bounds["end"] - 1).cast("long").alias("stop"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.when(bounds["end"] == F.length(text), F.when(F.endswith("text", F.lit(".")) & (F.locate(".", "text") == F.length("text")), F.length("text")).otherwise(0)).otherwise(bounds["end"] - 1), F.lit(0)).cast("long").alias("stop"))
 
 
 @register("SELECT 'd' || c_custkey AS path, c_custkey % 2 = 0 AS fatal FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")

@@ -19,13 +19,20 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def new_folder(spark: SparkSession, kind: str = "table") -> str:
+    """The path of a folder of its own, still to be made, which goes when the session's JVM ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place)  # what isn't there can't be marked
+    files.deleteOnExit(place)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows from a table of their own, which goes when the session's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    spark, path = df.sparkSession, new_folder(df.sparkSession)
+    df.write.mode("append").parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made._paths = [path]
     return made

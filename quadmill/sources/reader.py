@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import iri as I
@@ -16,6 +17,7 @@ from ..plans.datalog import encode_datalog
 from ..plans.shex import encode_shex
 from ..plans.sparql_encode import encode_sparql
 from ..plans.sparql_parser import fold_tag
+from ..session import written
 from .jsonld import parse_jsonld
 from .rdf_text import Quad, parse_text
 from .rdf_xml import parse_rdf_xml, parse_trix
@@ -116,11 +118,41 @@ def canonical_objects(o: pa.Array) -> pa.Array:
     return pc.replace_with_mask(o, tagged, pa.array(folded, pa.string()))
 
 
-def _lines(format: str):
-    """Lines in the usual form are taken apart all at once, the others by the parser."""
+class Running:
+    """Where each line of a split begins, counted from the split's first: lines come in the order of their files."""
+
+    def __init__(self):
+        self.place, self.at = None, 0
+
+    def __call__(self, batch: pa.RecordBatch) -> np.ndarray:
+        doc, block = batch.column(0), batch.column(1)
+        ends = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        begins = np.concatenate([[0], ends[:-1]])
+        changes = pc.or_(pc.not_equal(doc.slice(1), doc.slice(0, len(doc) - 1)), pc.not_equal(block.slice(1), block.slice(0, len(block) - 1)))
+        first = np.concatenate([[0], 1 + np.flatnonzero(changes.to_numpy(zero_copy_only=False))])
+        own = np.zeros(len(first), dtype=np.int64)
+        own[1:] = begins[first[1:]]
+        here, last = (doc[0].as_py(), block[0].as_py()), (doc[-1].as_py(), block[-1].as_py())
+        own[0] = -self.at if here == self.place else 0
+        self.place, self.at = last, int(ends[-1] - own[-1])
+        return begins - np.repeat(own, np.diff([*first, len(begins)]))
+
+
+def _lines(format: str, running: bool = False):
+    """Lines in the usual form are taken apart all at once, the others by the parser. running: the second column is a line's split, which is kept."""
+    schema = LINE.append(pa.field("block", pa.int64())) if running else LINE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = Running()
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            block = [batch.column(1)] if running else []
+            if running:
+                line = batch.column(2)
+                at = pa.array(place(batch))
+                line = pc.replace_substring_regex(line, "\r+$", "") if pc.any(pc.ends_with(line, "\r")).as_py() else line
+                batch = pa.RecordBatch.from_arrays([batch.column(0), at, line, *block], names=["doc_id", "src_offset", "line", "block"])
             line = batch.column(2)
             parts = pc.extract_regex(line, USUAL[format])
             usual = pc.is_valid(parts)
@@ -128,31 +160,65 @@ def _lines(format: str):
             none = pa.nulls(len(found), pa.string())
             g = found.field("g") if format == "nq" else none
             g = pc.if_else(pc.equal(g, ""), none, g) if format == "nq" else g
-            yield pa.RecordBatch.from_arrays([own.column(0), found.field("s"), found.field("p"), canonical_objects(found.field("o")), g, own.column(1), none], schema=LINE)
+            yield pa.RecordBatch.from_arrays([own.column(0), found.field("s"), found.field("p"), canonical_objects(found.field("o")), g, own.column(1), none, *([own.column(3)] if running else [])], schema=schema)
             rest = batch.filter(pc.and_(pc.invert(usual), pc.invert(pc.fill_null(pc.match_substring_regex(line, r"^[ \t]*(?:#.*)?$"), True))))
             rows = []
-            for path, offset, text in zip(*(rest.column(i).to_pylist() for i in range(3)), strict=True):
+            for path, offset, text, *kept in zip(*(c.to_pylist() for c in rest.columns), strict=True):
                 try:
                     if text.startswith("\ufeff"):
                         raise ValueError("NT-BOM-001: byte order mark within a file")
-                    rows += [(path, *q, offset, None) for q in parse_text(text, format)[0]]
+                    rows += [(path, *q, offset, None, *kept) for q in parse_text(text, format)[0]]
                 except ValueError as e:
-                    rows.append((path, None, None, None, None, offset, str(e)))
+                    rows.append((path, None, None, None, None, offset, str(e), *kept))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), LINE, strict=True)], schema=LINE)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
-def read_lines(spark: SparkSession, path: str, format: str = "nt") -> DataFrame:
+#: Extensions of compressed files, of which the size says nothing of their text.
+COMPRESSED = r"\.(?:gz|bz2|zst|lz4|snappy|deflate)$"
+
+
+def _text(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with the file and the split that they were read from; a split's lines begin where those of the one before it end."""
+    return spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("doc_id"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("line"))
+
+
+def line_places(spark: SparkSession, path: str) -> DataFrame:
+    """Where the first line of each split stands in its file: doc_id, block, base, lines, bytes, marked. A row a split, written.
+
+    Spark's reader skips a byte order mark that begins a file; what a file is longer than its lines tells of it.
+    """
+    splits = _text(spark, path).groupBy("doc_id", "block").agg(F.sum(F.octet_length("line") + F.lit(1).cast("long")).alias("bytes"), F.count(F.lit(1)).alias("lines"), F.max("size").alias("size"))
+    file = Window.partitionBy("doc_id")
+    before = F.coalesce(F.sum("bytes").over(file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    marked = (F.col("size") - F.sum("bytes").over(file) >= 2) & ~F.col("doc_id").rlike(COMPRESSED)
+    return written(splits.select("doc_id", "block", before.alias("before"), "lines", "bytes", marked.alias("marked")).select("doc_id", "block", (F.col("before") + F.when(F.col("marked"), 3).otherwise(0)).alias("base"), "lines", "bytes", "marked"))
+
+
+def line_files(places: DataFrame) -> DataFrame:
+    """doc_id, lines, warnings: a row for each file that has a line."""
+    told = places.groupBy("doc_id").agg(F.sum("lines").alias("lines"), F.max("marked").alias("marked"))
+    return told.select("doc_id", "lines", F.when(F.col("marked"), F.array(F.lit("ANY-BOM-001: byte order mark skipped"))).otherwise(F.array().cast("array<string>")).alias("warnings"))
+
+
+def read_lines(spark: SparkSession, path: str, format: str = "nt", places: DataFrame | None = None, offsets: bool = True) -> DataFrame:
     """N-Triples or N-Quads files of any size: doc_id, s, p, o, g, src_offset, error (of lines that are none), parser.
 
-    Splittable. src_offset is a number that grows with the place in a file, not a count of bytes. A byte order mark that
-    begins a file is skipped by Spark's reader, without a word; one that reaches a line stands within the file, and is
-    its error.
+    Splittable, from any store that Spark reads. src_offset is the byte of the file (of its text, where it is compressed) that the line begins at:
+    each task counts within its splits, to which the lines of the splits before are added, told by a first pass over their lengths (places, if
+    it has been made). Without offsets, which spares that pass, it is null. A byte order mark that begins a file is a warning
+    (``line_files``); one that reaches a line stands within the file, and is its error. Lines end with a line feed, or one after a carriage return.
     """
-    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("doc_id"), F.monotonically_increasing_id().alias("src_offset"), F.col("value").alias("line"))
-    return line_facts(text, format)
+    rows = _text(spark, path).drop("size")
+    made = rows.mapInArrow(_lines(format, True), "doc_id string, s string, p string, o string, g string, src_offset long, error string, block long")
+    if offsets:
+        base = (line_places(spark, path) if places is None else places).select("doc_id", "block", "base")
+        made = made.join(base, ["doc_id", "block"]).withColumn("src_offset", F.col("src_offset") + F.col("base"))
+    else:
+        made = made.withColumn("src_offset", F.lit(None).cast("long"))
+    return made.select("doc_id", "s", "p", "o", "g", "src_offset", "error", F.lit(format).alias("parser"))
 
 
 def line_facts(text: DataFrame, format: str = "nt") -> DataFrame:

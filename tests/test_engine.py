@@ -235,5 +235,36 @@ def test_byte_order_marks(spark, tmp_path):
     (tmp_path / "f.nt").write_text("﻿<a:a> <b:b> <c:c> .\n<a:a> <b:b> <d:d> .\n", encoding="utf-8")
     rows = reader.read_lines(spark, str(tmp_path / "f.nt")).collect()
     assert len(rows) == 2 and all(r.error is None for r in rows)
+    assert sorted(r.src_offset for r in rows) == [3, 23] and "ANY-BOM-001" in reader.line_files(reader.line_places(spark, str(tmp_path / "f.nt"))).first().warnings[0]
     stray = spark.createDataFrame([("f", 7, "﻿<a:a> <b:b> <c:c> .")], "doc_id string, src_offset long, line string")
     assert "NT-BOM-001" in reader.line_facts(stray).first().error
+
+
+def test_offsets_of_split_files(spark, tmp_path):
+    """Files of many splits, ends of both kinds, long lines, marks and no last line feed: each line begins where its offset says."""
+    import gzip
+    import random
+
+    rng, want = random.Random(91), {}
+    (tmp_path / "in").mkdir()
+    for name, end, mark, last in (("a.nt", "\n", "", "\n"), ("b.nt", "\r\n", "\ufeff", ""), ("c.nt", "\n", "\ufeff", "\n"), ("d.nt", "\n", "", ""), ("e.nt.gz", "\n", "", "\n")):
+        lines = [rng.choice([f"<a:{i}> <b:b> <c:c> .", f"<a:{i}>  <b:b>  \"é{'x' * rng.randrange(400)}\".", "# no fact", "", f"<a:{i}> <b:b> \"q\\\"\" . # more"]) for i in range(rng.randrange(60, 200))]
+        content = (mark + end.join(lines) + last).encode()
+        (tmp_path / "in" / name).write_bytes(gzip.compress(content) if name.endswith("gz") else content)
+        for i, line in enumerate(lines):
+            if line.startswith("<"):
+                want[name, f"<a:{i}>"] = content.index(f"<a:{i}>".encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        places = reader.line_places(spark, str(tmp_path / "in"))
+        assert places.count() > 20
+        rows = reader.read_lines(spark, str(tmp_path / "in"), places=places).collect()
+        bare = reader.read_lines(spark, str(tmp_path / "in"), offsets=False).collect()
+        files = {r.doc_id.rpartition("/")[2]: r.warnings for r in reader.line_files(places).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {(r.doc_id.rpartition("/")[2], r.s): r.src_offset for r in rows} == want and len(rows) == len(want)
+    assert len(bare) == len(rows) and all(r.src_offset is None for r in bare)
+    assert {n for n, w in files.items() if w} == {"b.nt", "c.nt"} and len(files) == 5
