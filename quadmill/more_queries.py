@@ -188,6 +188,30 @@ def facts_canonicalise(spark, sf_dir):
     return O.canonicalise(facts).select("s", "o")
 
 
+def parts_of_sizes(spark, sf_dir, n: int) -> DataFrame:
+    """The parts of each size as the objects of one key, of which each version lacks some or has others."""
+    k, size = F.col("p_partkey"), F.col("p_size") % 6
+    known = {0: F.lit(True), 1: F.lit(n < 3), 2: F.lit(n > 0) | (k % 9 != 0), 3: k % 9 != n, 4: F.lit(n != 1)}
+    held = F.lit(True)
+    for number, test in known.items():
+        held = F.when(size == number, test).otherwise(held)
+    term = lambda kind, c: F.concat(F.lit(f"<urn:{kind}:"), c.cast("string"), F.lit(">"))
+    return table(spark, sf_dir, "part").where(held).select(term("size", size).alias("s"), F.lit("<urn:part>").alias("p"), term("part", k).alias("o"), F.lit(None).cast("string").alias("g"))
+
+
+@register("""WITH k AS (SELECT p_partkey AS k, p_size % 6 AS size FROM part),
+h AS (SELECT n, size, k FROM k, (VALUES (0), (1), (2), (3)) v(n) WHERE CASE size WHEN 1 THEN n < 3 WHEN 2 THEN n > 0 OR k % 9 <> 0 WHEN 3 THEN k % 9 <> n WHEN 4 THEN n <> 1 ELSE true END),
+t AS (SELECT n, size, list(k ORDER BY k) AS own FROM h GROUP BY n, size),
+a AS (SELECT s.size, v.n, own FROM (SELECT DISTINCT size FROM k) s CROSS JOIN (VALUES (0), (1), (2), (3)) v(n) LEFT JOIN t ON t.size = s.size AND t.n = v.n),
+c AS (SELECT x.size, x.n, x.own, (SELECT count(*) FROM a y WHERE y.size = x.size AND y.own IS NOT DISTINCT FROM x.own) AS alike FROM a x)
+SELECT CASE WHEN own IS NULL THEN 'FactOnlyIn' ELSE 'ObjectMismatch' END AS kind, CAST(size AS BIGINT) AS size, 'v' || n AS parser_id, unnest(coalesce(own, [0])) AS part FROM c WHERE 2 * alike <= 4""")
+def diff_many_sets(spark, sf_dir):
+    """Four versions of keys with a sixth of all parts each: sets are compared by fingerprints and never gathered."""
+    told = O.diff_many({f"v{n}": parts_of_sizes(spark, sf_dir, n) for n in range(4)})
+    number = lambda c: F.coalesce(F.regexp_extract(c, r"(\d+)>", 1).try_cast("long"), F.lit(0).cast("long"))
+    return told.select("kind", number("s").alias("size"), "parser_id", number("o").alias("part"))
+
+
 @register("SELECT lang, CAST(doc_id AS VARCHAR) AS name FROM documents WHERE doc_id % 5 <> 0")
 def facts_allowed(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("doc_id").cast("string").alias("name"), F.lit(False).alias("pass"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
+from ..session import written
 
 QUAD = ["s", "p", "o", "g"]
 
@@ -108,26 +109,48 @@ def diff(a: DataFrame, b: DataFrame, a_id: str = "a", b_id: str = "b") -> DataFr
     return side(a, b, a_id).union(side(b, a, b_id))
 
 
+#: Sides whose marks share one long.
+MARKS = 62
+
+
+def fingerprints(facts: DataFrame) -> DataFrame:
+    """s, p, g, n, h1, h2: for each key a fingerprint of its set of objects. Partial ones add up (counts by sum, hashes by xor), so no set is gathered."""
+    own = facts.select(*QUAD).distinct()
+    return own.groupBy("s", "p", "g").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("o")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "o")).alias("h2"))
+
+
 def diff_many(sides: dict[str, DataFrame]) -> DataFrame:
     """kind, s, p, g, parser_id, o for each key on which the sides don't all hold the same objects.
 
     A strict majority is silent and the others speak; without one, all do. A side without the key speaks as
-    FactOnlyIn with an empty object and its own name. One aggregation by key; no side is compared with another.
+    FactOnlyIn with an empty object and its own name. No set is gathered in a row and no side compared with another: each
+    fact gets a mark for each side that has it, the sides' sets of a key are compared by fingerprints of 128 bits and their
+    sizes, and only the facts of sides that speak are read again.
     """
     names = sorted(sides)
-    tagged = reduce(DataFrame.union, [df.select("s", "p", "g", "o", F.lit(n).alias("parser_id")) for n, df in sides.items()])
-    own = tagged.groupBy("s", "p", "g").agg(*(F.sort_array(F.collect_set(F.when(F.col("parser_id") == n, F.col("o")))).alias(f"x{i}") for i, n in enumerate(names)))
+    words = range(-(-len(names) // MARKS))
+    mark = lambda i, w: F.lit(1 << i % MARKS if i // MARKS == w else 0).cast("long").alias(f"m{w}")
+    tagged = reduce(DataFrame.union, [sides[n].select(*QUAD, *(mark(i, w) for w in words)) for i, n in enumerate(names)])
+    masks = written(tagged.groupBy(*QUAD).agg(*(F.bit_or(f"m{w}").alias(f"m{w}") for w in words)))
+    has = lambda i: F.getbit(F.col(f"m{i // MARKS}"), F.lit(i % MARKS)) == 1
+    hashes = F.xxhash64("o"), F.xxhash64(F.lit(1), "o")
+
+    def fingerprint(i: int) -> Column:
+        return F.struct(F.count(F.when(has(i), 1)).alias("n"), *(F.coalesce(F.bit_xor(F.when(has(i), h)), F.lit(0)).alias(f"h{k}") for k, h in enumerate(hashes))).alias(f"x{i}")
+
+    in_all = reduce(lambda a, b: a & b, map(has, range(len(names))))
+    odd = masks.groupBy("s", "p", "g").agg(*map(fingerprint, range(len(names))), F.count(F.when(~in_all, 1)).alias("odd")).where("odd > 0")
 
     def same(i: int):
         return lambda y: y == F.col(f"x{i}")
 
-    sets = F.array(*(F.col(f"x{i}") for i in range(len(names))))
-    alike = F.array(*(F.size(F.filter("sets", same(i))) for i in range(len(names))))
-    counted = own.withColumn("sets", sets).withColumn("alike", alike)
-    each = counted.select("s", "p", "g", F.explode(F.array(*(F.struct(F.lit(n).alias("parser_id"), F.col(f"x{i}").alias("objects"), F.element_at("alike", i + 1).alias("n")) for i, n in enumerate(names)))).alias("x"))
-    dissent = each.where((F.col("x.n") < len(names)) & (F.col("x.n") * 2 <= len(names)))
-    rows = dissent.select("s", "p", "g", "x.parser_id", F.when(F.size("x.objects") == 0, F.array(F.lit(""))).otherwise(F.col("x.objects")).alias("objects"), (F.size("x.objects") == 0).alias("lacks"))
-    return rows.select(F.when(F.col("lacks"), "FactOnlyIn").otherwise("ObjectMismatch").alias("kind"), "s", "p", "g", "parser_id", F.explode("objects").alias("o"))
+    counted = odd.withColumn("sets", F.array(*(F.col(f"x{i}") for i in range(len(names))))).withColumn("alike", F.array(*(F.size(F.filter("sets", same(i))) for i in range(len(names)))))
+    each = counted.select("s", "p", "g", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(n).alias("parser_id"), (F.col(f"x{i}.n") == 0).alias("lacks"), F.element_at("alike", i + 1).alias("n")) for i, n in enumerate(names)))).alias("x"))
+    dissent = each.where(F.col("x.n") * 2 <= len(names)).select("s", "p", "g", "x.i", "x.parser_id", "x.lacks")
+    silent = dissent.where("lacks").select(F.lit("FactOnlyIn").alias("kind"), "s", "p", "g", "parser_id", F.lit("").alias("o"))
+    mask = F.element_at(F.array(*(F.col(f"b.m{w}") for w in words)), F.floor(F.col("a.i") / MARKS).cast("int") + 1)
+    met = dissent.where("not lacks").alias("a").join(masks.alias("b"), _same(["s", "p", "g"])).where(F.getbit(mask, F.col("a.i") % MARKS) == 1)
+    return silent.union(met.select(F.lit("ObjectMismatch").alias("kind"), "a.s", "a.p", "a.g", "a.parser_id", "b.o"))
 
 
 def accept_split(a: DataFrame, b: DataFrame, key: str = "path") -> DataFrame:
