@@ -336,6 +336,53 @@ def sparql_update_bnodes(spark, sf_dir):
     return nodes_told(done, "g", "o").select(T.iri_text(F.col("g")).alias("g"), T.lexical(F.col("o")).alias("name"), "node")
 
 
+def many_operations() -> str:
+    """Two hundred operations that depend on each other: data, changes by pattern, copied and cleared graphs."""
+    out = []
+    for i in range(40):
+        out += [
+            f"INSERT DATA {{ GRAPH <urn:w> {{ <urn:x:{i}> <urn:n> {i} }} }}", f"DELETE DATA {{ GRAPH <urn:w> {{ <urn:x:{i - 3}> <urn:n> {i - 3} }} }}", f"INSERT DATA {{ GRAPH <urn:w> {{ <urn:x:{i}> <urn:n> {i % 4} }} }}",
+            f"WITH <urn:r:{i % 5}> DELETE {{ ?x <urn:name> ?n }} INSERT {{ ?x <urn:name> ?n ; <urn:step> {i} }} WHERE {{ ?x <urn:name> ?n }}" if i % 8 == 3 else f"INSERT DATA {{ <urn:y> <urn:n> {i % 6} }}",
+            "ADD SILENT <urn:w> TO <urn:v>" if i == 20 else "CLEAR SILENT GRAPH <urn:v>" if i == 10 else "COPY DEFAULT TO <urn:d>" if i == 30 else f"DELETE DATA {{ <urn:y> <urn:n> {i % 7} }}",
+        ]
+    return " ;\n".join(out)
+
+
+def operations_sql() -> str:
+    """The facts after many_operations, by folding the requests' own data here and the rows of nations in SQL."""
+    w, y, copied, v = {}, {}, {}, set()
+    steps: dict[int, list[int]] = {}
+    for i in range(40):
+        w[i, i] = True
+        w.pop((i - 3, i - 3), None)
+        w[i, i % 4] = True
+        if i % 8 == 3:
+            steps.setdefault(i % 5, []).append(i)
+        else:
+            y[i % 6] = True
+        if i == 20:
+            v |= set(w)
+        elif i == 30:
+            copied = dict(y)
+        elif i != 10:
+            y.pop(i % 7, None)
+    told = [(f"<urn:x:{a}>", b, "<urn:w>") for a, b in w] + [(f"<urn:x:{a}>", b, "<urn:v>") for a, b in v] + [("<urn:y>", b, None) for b in y] + [("<urn:y>", b, "<urn:d>") for b in copied]
+    number = lambda n: f"'\"{n}\"{INTEGER}'"
+    rows = [f"SELECT '{s}' AS s, '<urn:n>' AS p, {number(o)} AS o, {repr(g) if g else 'CAST(NULL AS VARCHAR)'} AS g" for s, o, g in told]
+    # Nations of region 0 are in the default graph, so no graph <urn:r:0> is there; that graph was copied once.
+    rows += [f"SELECT '<urn:n:' || n_nationkey || '>', '<urn:step>', {number(i)}, '<urn:r:' || n_regionkey || '>' FROM nation WHERE n_regionkey = {r}" for r, own in steps.items() if r for i in own]
+    rows += ["SELECT '<urn:n:' || n_nationkey || '>', '<urn:name>', '\"' || n_name || '\"', '<urn:d>' FROM nation WHERE n_regionkey = 0", BASE_SQL]
+    return " UNION ALL ".join(rows)
+
+
+@register(operations_sql())
+def sparql_update_sequence(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    graph = F.when(F.col("n_regionkey") > 0, F.concat(F.lit("<urn:r:"), F.col("n_regionkey").cast("string"), F.lit(">")))
+    facts = n.select(F.concat(F.lit("<urn:n:"), F.col("n_nationkey").cast("string"), F.lit(">")).alias("s"), F.lit("<urn:name>").alias("p"), T.string(F.col("n_name")).alias("o"), graph.alias("g"))
+    return update(spark, facts, many_operations())
+
+
 def long_numbers(spark, sf_dir) -> Facts:
     """A number of each order that no double tells from its neighbours: integers of 41 digits, below zero too, and decimals of 30 places."""
     k = F.lpad(F.col("o_orderkey").cast("string"), 12, "0")

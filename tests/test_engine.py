@@ -268,3 +268,20 @@ def test_offsets_of_split_files(spark, tmp_path):
     assert {(r.doc_id.rpartition("/")[2], r.s): r.src_offset for r in rows} == want and len(rows) == len(want)
     assert len(bare) == len(rows) and all(r.src_offset is None for r in bare)
     assert {n for n, w in files.items() if w} == {"b.nt", "c.nt"} and len(files) == 5
+
+
+def test_plans_of_many_operations(spark):
+    """The plan after many operations is as small as after a few, and the facts are those of a plain set."""
+    from quadmill.plans.update import Updater
+
+    facts = spark.createDataFrame([(f"<s:{i}>", "<p:p>", f'"{i}"', None) for i in range(30)] * 2, "s string, p string, o string, g string")
+    own, store, sizes = {(f"<s:{i}>", "<p:p>", f'"{i}"', None) for i in range(30)}, Updater(spark, facts), []
+    for i in range(9):
+        store.run(f"DELETE {{ ?s <p:p> '{i}' }} INSERT {{ ?s <p:q> '{i}' ; <p:p> '{i + 1}' }} WHERE {{ ?s <p:p> '{i}' }}")
+        gone = {q for q in own if q[1:3] == ("<p:p>", f'"{i}"')}
+        own = own - gone | {(s, "<p:q>", f'"{i}"', None) for s, *_ in gone} | {(s, "<p:p>", f'"{i + 1}"', None) for s, *_ in gone}
+        sizes.append(len(store.facts._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+    assert sorted(map(tuple, store.facts.collect()), key=str) == sorted(own, key=str) and max(sizes[1:]) <= min(sizes[1:]) + 2
+    for text, left in (("INSERT DATA { <s:x> <p:p> 1 } ; DELETE DATA { <s:x> <p:p> 1 }", 0), ("DELETE DATA { <s:x> <p:p> 1 } ; INSERT DATA { <s:x> <p:p> 1 . <s:x> <p:p> 1 }", 1), ("INSERT DATA { <s:x> <p:p> 1 }", 1), ("CLEAR DEFAULT ; INSERT DATA { <s:x> <p:p> 1 }", 1)):
+        assert store.run(text).where("s = '<s:x>'").count() == left
+    assert store.facts.count() == 1
