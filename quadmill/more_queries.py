@@ -507,6 +507,43 @@ shex_of_orders("shex_repeated_choice", '{ ( t:o_orderpriority ["1-URGENT" "2-HIG
 
 
 # -- documents
+def doc_tokens(lang: str, pattern: str, *expected: tuple) -> None:
+    """Registers the tokens of one document a customer: line, start, length, type and modifiers, KEY being as long as the customer's number."""
+
+    def sql() -> str:
+        rows = ", ".join(f"({a}, {b}, {abs(n)}, {int(n < 0)}, {t}, {m})" for a, b, n, t, m in expected)
+        return f"SELECT 'd' || c_custkey AS path, line, start, CAST(n + k * (length(c_custkey::VARCHAR) - 3) AS INT) AS length, type, modifiers FROM customer, (VALUES {rows}) v(line, start, n, k, type, modifiers)"
+
+    def run(spark, sf_dir):
+        docs = table(spark, sf_dir, "customer").select(F.concat(F.lit("d"), K()).alias("path"), F.lit(lang).alias("lang"), told(pattern).alias("text"))
+        return D.semantic_tokens(docs)
+
+    run.__name__ = f"doc_tokens_{lang}"
+    register(sql())(run)
+
+
+# A length below zero is of what KEY stands in.
+doc_tokens(
+    "sparql", 'PREFIX e: <http://e/> # KEY\nselect ?x (COUNT(?y) AS ?n) WHERE { ?x a e:t , "a\\"é😀" , \'c d\' FILTER(?y >= 1.5e-3) } LIMIT KEY',
+    (0, 0, 6, 6, 0), (0, 7, 2, 0, 0), (0, 10, 11, 2, 0), (0, 22, -5, 7, 0), (1, 0, 6, 6, 0), (1, 7, 2, 3, 0), (1, 11, 5, 6, 0), (1, 17, 2, 3, 0), (1, 21, 2, 6, 0), (1, 24, 2, 3, 0), (1, 28, 5, 6, 0),
+    (1, 36, 2, 3, 0), (1, 39, 1, 2, 0), (1, 41, 3, 0, 0), (1, 47, 8, 4, 1), (1, 59, 1, 2, 0), (1, 61, 1, 2, 0), (1, 64, 6, 6, 0), (1, 71, 2, 3, 0), (1, 77, 6, 5, 0), (1, 87, 5, 6, 0), (1, 93, -3, 5, 0),
+)
+doc_tokens(
+    "shex", 'PREFIX e: <http://e/> # KEY\ne:S CLOSED { e:p @e:T AND IRI {1,2} ; e:q-r [ "x" e:a~ ] } and BNODE\n<http://e/KEY',
+    (0, 0, 6, 6, 0), (0, 7, 2, 0, 0), (0, 10, 11, 2, 0), (0, 22, -5, 7, 0), (1, 0, 3, 0, 0), (1, 4, 6, 6, 0), (1, 13, 3, 0, 0), (1, 17, 2, 6, 0), (1, 20, 1, 2, 0), (1, 22, 3, 6, 0), (1, 26, 3, 6, 0),
+    (1, 38, 5, 0, 0), (1, 46, 3, 4, 1), (1, 50, 3, 0, 0), (1, 59, 3, 2, 0), (1, 63, 5, 6, 0), (2, 0, -13, 2, 0),
+)
+doc_tokens(
+    "datalog", '  % KEY\np("a b", x1). q(X, Yy) :- p(X, _Z), not r(X). nothing(A) % KEY\n:- s(QKEY).',
+    (0, 0, -7, 7, 0), (1, 0, 1, 2, 0), (1, 2, 5, 4, 1), (1, 9, 2, 2, 0), (1, 14, 1, 2, 0), (1, 16, 1, 3, 0), (1, 19, 2, 3, 0), (1, 26, 1, 2, 0), (1, 28, 1, 3, 0), (1, 32, 1, 3, 0), (1, 36, 3, 6, 0), (1, 40, 1, 2, 0), (1, 42, 1, 3, 0),
+    (1, 46, 3, 6, 0), (1, 49, 4, 2, 0), (1, 54, 1, 3, 0), (1, 57, -5, 7, 0), (2, 3, 1, 2, 0), (2, 5, -4, 3, 0),
+)
+doc_tokens(
+    "nt", "  # KEY\n<urn:a> <urn:b> \"x\\\"y\"@en . # KEY\n_:b1 <urn:b> 'z' . <urn:KEY",
+    (0, 0, -7, 7, 0), (1, 0, 7, 2, 0), (1, 8, 7, 2, 0), (1, 16, 6, 4, 1), (1, 22, 3, 6, 0), (1, 28, -5, 7, 0), (2, 0, 4, 0, 0), (2, 5, 7, 2, 0), (2, 13, 3, 4, 1), (2, 19, -8, 2, 0),
+)
+
+
 @register("SELECT 'd' || c_custkey AS path, n, label, CASE WHEN n < 5 THEN 'keyword' ELSE 'value' END AS kind FROM customer, (VALUES (0, '@prefix'), (1, '@base'), (2, 'a'), (3, 'true'), (4, 'false'), (5, 'rdf:type'), (6, 'rdf:Property'), (7, 'rdf:List'), (8, 'rdf:nil'), (9, 'rdf:first'), (10, 'rdf:rest'), (11, 'rdf:value'), (12, 'rdf:Bag'), (13, 'rdf:Seq'), (14, 'rdf:Alt')) v(n, label)")
 def doc_completions(spark, sf_dir):
     return D.completions(rdf_docs(spark, sf_dir)).select("path", "n", "label", "kind")

@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from operator import attrgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,54 +119,129 @@ def symbols(docs: DataFrame) -> DataFrame:
     return every.groupBy("path", "name", "kind").agg(F.min("line").alias("line"))
 
 
+#: The words that are keywords in queries, in any case, and in schemas as they stand.
+SPARQL_WORDS = """
+SELECT WHERE FILTER OPTIONAL UNION GRAPH FROM ASK CONSTRUCT DESCRIBE LIMIT OFFSET ORDER BY GROUP HAVING PREFIX BASE BIND VALUES INSERT DELETE LOAD CLEAR DROP
+CREATE WITH MINUS SERVICE SILENT NAMED USING DEFAULT ALL DISTINCT REDUCED AS IN NOT EXISTS STR LANG DATATYPE IRI URI BNODE RAND ABS CEIL FLOOR ROUND CONCAT
+STRLEN UCASE LCASE ENCODE_FOR_URI CONTAINS STRSTARTS STRENDS STRBEFORE STRAFTER YEAR MONTH DAY HOURS MINUTES SECONDS TIMEZONE TZ NOW UUID STRUUID MD5 SHA1
+SHA256 SHA384 SHA512 COALESCE IF STRLANG STRDT SAMETERM ISIRI ISURI ISBLANK ISLITERAL ISNUMERIC REGEX SUBSTR REPLACE COUNT SUM MIN MAX AVG SAMPLE
+GROUP_CONCAT SEPARATOR
+"""
+SHEX_WORDS = "PREFIX BASE START CLOSED EXTENDS AND OR NOT IRI LITERAL NONLITERAL BNODE ABSTRACT EXTRA"
+#: What is coloured in a line, where a string or an IRI ends with its line at the latest.
+SPAN = r"(?P<string>\"(?:\\[^\n]?|[^\"\\\n])*\"?)"
+COLOURED_IRI = r"(?P<property><[^>\n]*>?"
 SCANNERS = {
     "ttl": r"(?P<comment>\#[^\r\n]*)|(?P<string>\"(?:\\[^\n]?|[^\"\\\n])*\"?|'(?:\\[^\n]?|[^'\\\n])*'?)|(?P<keyword>@[A-Za-z]*|(?:a|true|false)(?![A-Za-z0-9_:\-]))|(?P<namespace>[A-Za-z0-9_][A-Za-z0-9_\-]*:[A-Za-z0-9_:\-]*)|(?P<property><[^>\n]*>?|[A-Za-z0-9_][A-Za-z0-9_\-]*)",
     "nt": r"(?P<comment>(?m:^[^\S\n]*)\#[^\r\n]*|\#[^\r\n]*)|(?P<string>\"(?:\\[^\n]?|[^\"\\\n])*\"?|'(?:\\[^\n]?|[^'\\\n])*'?)|(?P<keyword>@[A-Za-z]*|(?:a|true|false)(?![A-Za-z0-9_:\-]))|(?P<namespace>[A-Za-z0-9_][A-Za-z0-9_\-]*:[A-Za-z0-9_:\-]*)|(?P<property><[^>\n]*>?|[A-Za-z0-9_][A-Za-z0-9_\-]*)",
+    "sparql": rf"(?P<comment>\#[^\r\n]*)|{SPAN}|(?P<variable>[?$][A-Za-z0-9_]*)|(?P<keyword>(?i:{'|'.join(SPARQL_WORDS.split())})(?![A-Za-z0-9_:]))|(?P<namespace>[A-Za-z][A-Za-z0-9_]*:[A-Za-z0-9_:]*)|{COLOURED_IRI}|[A-Za-z][A-Za-z0-9_]*)|(?P<number>[0-9][0-9.eE+\-]*)",
+    "shex": rf"(?P<comment>\#[^\r\n]*)|{SPAN}|(?P<keyword>@[A-Za-z]*|(?:{'|'.join(SHEX_WORDS.split())})(?![A-Za-z0-9_:\-]))|(?P<namespace>[A-Za-z][A-Za-z0-9_\-]*:[A-Za-z0-9_:\-]*)|{COLOURED_IRI}|[A-Za-z][A-Za-z0-9_\-]*)",
+    "datalog": rf"(?P<comment>(?m:^[^\S\n]*)%[^\r\n]*|%[^\r\n]*)|{SPAN}|(?P<variable>[A-Z][A-Za-z0-9_]*)|(?P<keyword>not)|(?P<property>[a-z][A-Za-z0-9_]*)",
+}
+#: The same words without their kinds, which are found much faster; a word's kind is asked for once.
+WORD = r"|\"(?:\\[^\n]?|[^\"\\\n])*\"?|<[^>\n]*>?"
+QUOTE = r"|'(?:\\[^\n]?|[^'\\\n])*'?|@[A-Za-z]*"
+PLAIN = {
+    "ttl": rf"[A-Za-z0-9_][A-Za-z0-9_:\-]*{WORD}{QUOTE}|\#[^\r\n]*", "nt": rf"[A-Za-z0-9_][A-Za-z0-9_:\-]*{WORD}{QUOTE}|(?m:^[^\S\n]*)\#[^\r\n]*|\#[^\r\n]*",
+    "sparql": rf"[A-Za-z][A-Za-z0-9_:]*|[?$][A-Za-z0-9_]*{WORD}|[0-9][0-9.eE+\-]*|\#[^\r\n]*", "shex": rf"[A-Za-z][A-Za-z0-9_:\-]*{WORD}|@[A-Za-z]*|\#[^\r\n]*",
+    "datalog": r"not|[A-Za-z][A-Za-z0-9_]*|\"(?:\\[^\n]?|[^\"\\\n])*\"?|(?m:^[^\S\n]*)%[^\r\n]*|%[^\r\n]*",
+}
+#: What is told apart for edits, where strings are those of the language.
+LEXERS = {
+    "ttl": SCANNERS["ttl"], "nt": SCANNERS["nt"],
     "sparql": r"(?P<comment>\#[^\n]*)|(?P<string>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')|(?P<type><[^>\s]*>)|(?P<variable>[?$]\w+)|(?P<property>(?:[A-Za-z][\w.\-]*)?:[\w\-]+)|(?P<namespace>[A-Za-z][\w.\-]*:)|(?P<keyword>\b[A-Za-z_]+\b)|(?P<number>\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<operator>\^\^|&&|\|\||!=|<=|>=|[.;,|/^=<>!*+?\-(){}\[\]])",
     "shex": r"(?P<comment>\#[^\n]*)|(?P<string>\"(?:[^\"\\\n]|\\.)*\")|(?P<type><[^>\s]*>)|(?P<property>(?:[A-Za-z][\w.\-]*)?:[\w\-]+)|(?P<namespace>[A-Za-z][\w.\-]*:)|(?P<keyword>\b[A-Za-z_]+\b)|(?P<number>\d+)|(?P<operator>[.;,|^=@&$*+?!~\-(){}\[\]])",
     "datalog": r"(?P<comment>%[^\n]*|\#[^\n]*)|(?P<string>\"(?:[^\"\\\n]|\\.)*\")|(?P<keyword>\bnot\b)|(?P<variable>\b[A-Z_]\w*)|(?P<property>\b[a-z]\w*)|(?P<number>\d+)|(?P<operator>:-|[(),.!])",
 }
 SAME = {"trig": "ttl", "n3": "ttl", "nq": "nt"}
-#: By language, whose tokens have the first modifier: the strings of Turtle and N-Triples, as in the reference, and prefixes elsewhere.
-MODIFIED = {"ttl": "string", "nt": "string"}
-
-
-def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    compiled = {k: re.compile(v, re.S) for k, v in SCANNERS.items()}
-    for batch in batches:
-        out: list[tuple] = []
-        for path, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            scanner = compiled.get(SAME.get(lang, lang))
-            if scanner is None or text is None:
-                continue
-            line, start = 0, 0
-            at = 0
-            for m in scanner.finditer(text):
-                between = text.count("\n", at, m.start())
-                if between:
-                    line += between
-                    start = text.rfind("\n", 0, m.start()) + 1
-                at = m.start()
-                wide = lambda s: len(s) if s.isascii() else len(s.encode("utf-16-be")) // 2
-                first = m[0].split("\n", 1)[0]
-                out.append((path, line, wide(text[start : m.start()]), wide(first), TOKEN_TYPES.index(m.lastgroup), 1 if m.lastgroup == MODIFIED.get(SAME.get(lang, lang), "namespace") else 0, first))
-        columns = list(zip(*out, strict=True)) or [()] * 7
-        kinds = [pa.string(), *[pa.int32()] * 5, pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "line", "start", "length", "type", "modifiers", "text"])
+#: Whose tokens have the first modifier.
+MODIFIED = "string"
+
+
+def _compiled(scanners: dict[str, str]) -> dict[str, tuple[re.Pattern, np.ndarray, np.ndarray]]:
+    """For each language its scanner and, by number of group, the type and the modifiers of what it finds."""
+    out = {}
+    for lang, pattern in scanners.items():
+        scanner = re.compile(pattern, re.S)
+        names = [None, *sorted(scanner.groupindex, key=scanner.groupindex.get)]
+        out[lang] = scanner, np.array([TOKEN_TYPES.index(n) if n else 0 for n in names], dtype=np.int32), np.array([int(n == MODIFIED) for n in names], dtype=np.int32)
+    return out
+
+
+def scan(text: str, scanner: re.Pattern, plain: re.Pattern | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """line, start, length, group and offset (in characters) of each token; those of several lines count to the end of their first.
+
+    Only matches are told one by one; lines and UTF-16 columns come from the places of line feeds and of wide characters.
+    """
+    matches = list((plain or scanner).finditer(text))
+    numbers = lambda values: np.fromiter(values, dtype=np.int64, count=len(matches))
+    begins, ends = numbers(map(re.Match.start, matches)), numbers(map(re.Match.end, matches))
+    if plain is None:
+        group = numbers(map(attrgetter("lastindex"), matches))
+    else:
+        words = list(map(re.Match.group, matches))
+        kinds = {w: scanner.match(w).lastindex for w in set(words)}
+        group = numbers(map(kinds.__getitem__, words))
+    if text.isascii():
+        feeds, wide = np.flatnonzero(np.frombuffer(text.encode(), dtype=np.uint8) == 10), None
+    else:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        feeds, wide = np.flatnonzero(points == 10), np.concatenate([[0], np.cumsum(points > 0xFFFF)])
+    line = np.searchsorted(feeds, begins)
+    ends = np.minimum(ends, np.append(feeds, len(text))[line])
+    starts = np.concatenate([[0], feeds + 1])[line]
+    start, length = begins - starts, ends - begins
+    if wide is not None:
+        start, length = start + wide[begins] - wide[starts], length + wide[ends] - wide[begins]
+    return line, start, length, group, np.stack([begins, ends])
+
+
+def _scanned(kind: str):
+    """kind: plain, text (with what stands there) or delta (with places relative to the token before)."""
+    names = ["path", "line", "start", "length", "type", "modifiers", *{"plain": [], "text": ["text"], "delta": ["delta_line", "delta_start"]}[kind]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = _compiled(LEXERS if kind == "text" else SCANNERS)
+        plain = {} if kind == "text" else {lang: re.compile(p) for lang, p in PLAIN.items()}
+        for batch in batches:
+            for path, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if text is None or SAME.get(lang, lang) not in compiled:
+                    continue
+                scanner, types, modifiers = compiled[SAME.get(lang, lang)]
+                line, start, length, group, places = scan(text, scanner, plain.get(SAME.get(lang, lang)))
+                columns = [pa.array(x.astype(np.int32)) for x in (line, start, length, types[group], modifiers[group])]
+                if kind == "text":
+                    columns.append(pa.array([text[a:b] for a, b in places.T.tolist()], pa.string()))
+                elif kind == "delta":
+                    down = np.diff(line, prepend=0)
+                    columns += [pa.array(x.astype(np.int32)) for x in (down, np.where(down == 0, np.diff(start, prepend=0), start))]
+                whose = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(line), dtype=np.int32)), pa.array([path], pa.string())).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([whose, *columns], names=names)
+
+    return run
+
+
+PLACES = "path string, line int, start int, length int, type int, modifiers int"
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """path, line, start, length, type (a number of TOKEN_TYPES), modifiers, text (of the first line)."""
-    return docs.select("path", "lang", "text").mapInArrow(_scanned, "path string, line int, start int, length int, type int, modifiers int, text string")
+    """path, line, start, length, type (a number of TOKEN_TYPES), modifiers, text (of the first line): words as the language has them, for edits."""
+    return docs.select("path", "lang", "text").mapInArrow(_scanned("text"), PLACES + ", text string")
 
 
 def semantic_tokens(docs: DataFrame) -> DataFrame:
-    """path, line, start, length, type (a number of TOKEN_TYPES), modifiers."""
-    return tokens(docs).drop("text")
+    """path, line, start, length, type (a number of TOKEN_TYPES), modifiers: what is coloured in each line."""
+    return docs.select("path", "lang", "text").mapInArrow(_scanned("plain"), PLACES)
+
+
+def delta_tokens(docs: DataFrame) -> DataFrame:
+    """path, line, start, delta_line, delta_start, length, type, modifiers: each place relative to the token before, as the scan comes by it."""
+    made = docs.select("path", "lang", "text").mapInArrow(_scanned("delta"), PLACES + ", delta_line int, delta_start int")
+    return made.select("path", "line", "start", "delta_line", "delta_start", "length", "type", "modifiers")
 
 
 def delta_encoded(tokens: DataFrame) -> DataFrame:
-    """Tokens relative to the one before in their document."""
+    """Tokens of any table relative to the one before in their document."""
     w = Window.partitionBy("path").orderBy("line", "start")
     line = F.col("line") - F.coalesce(F.lag("line").over(w), F.lit(0))
     start = F.when(line == 0, F.col("start") - F.coalesce(F.lag("start").over(w), F.lit(0))).otherwise(F.col("start"))
