@@ -54,6 +54,15 @@ document("parse_property_list", "ttl", '<http://e/KEY> <http://e/p> [ <http://e/
 document("parse_n3_formula", "n3", "@prefix e: <http://e/> . e:KEY => e:x . e:x = e:y . e:a is e:of of e:KEY .", ("<http://e/KEY>", "<http://www.w3.org/2000/10/swap/log#implies>", "<http://e/x>"), ("<http://e/x>", "<http://www.w3.org/2002/07/owl#sameAs>", "<http://e/y>"), ("<http://e/KEY>", "<http://e/of>", "<http://e/a>"))
 
 
+@register(" UNION ALL ".join(f"SELECT c_custkey AS k, '{side}' AS side, {s} AS s, 'http://e/{p}' AS p FROM customer" for side, s, p in (("if", "'http://e/' || c_custkey", "p"), ("if", "'http://e/q'", "r"), ("then", "'http://e/' || c_custkey", "t"))))
+def parse_n3_braces(spark, sf_dir):
+    """Formulas in braces: what they hold stands in the graphs that an implication joins."""
+    docs = table(spark, sf_dir, "customer").select(K().alias("path"), F.lit("n3").alias("lang"), told("@prefix e: <http://e/> . { e:KEY e:p 1 . e:q e:r e:s } => { e:KEY e:t e:u } .").alias("content"))
+    facts = reader.facts_of(reader.parse(docs))
+    rule = facts.where("p = '<http://www.w3.org/2000/10/swap/log#implies>' AND g IS NULL").select("doc_id", F.explode(F.array(F.struct(F.lit("if").alias("side"), F.col("s").alias("g")), F.struct(F.lit("then").alias("side"), F.col("o").alias("g")))).alias("x"))
+    return facts.join(rule.select("doc_id", "x.side", "x.g"), ["doc_id", "g"]).select(F.col("doc_id").cast("long").alias("k"), "side", T.iri_text(F.col("s")).alias("s"), T.iri_text(F.col("p")).alias("p"))
+
+
 @register("SELECT 'c' || c_custkey AS path, 'http://b/' || c_custkey || '/x' AS s, 'http://b/p' AS p FROM customer")
 def parse_with_base(spark, sf_dir):
     """References are resolved against the base that a document is told to have."""
@@ -601,4 +610,127 @@ def iri_resolve_rows(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", I.resolve(base, n).alias("one"), I.resolve(base, F.concat(F.lit("../q?"), n)).alias("two"), I.resolve(base, F.lit("//o/x")).alias("three"))
 
 
+# -- what the queries before leave open: rows where those have none, whole outputs where those have counts
+ask("sparql_minus_rows", "SELECT ?n WHERE { ?c <urn:t:c_name> ?n MINUS { ?o <urn:t:o_custkey> ?c ; <urn:t:o_orderkey> ?k FILTER(?k < 500) } }", "customer orders", "SELECT c_name AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey < 500)", n="text")
+ask("sparql_optional_filter_rows", "SELECT ?n WHERE { ?c <urn:t:c_name> ?n OPTIONAL { ?o <urn:t:o_custkey> ?c ; <urn:t:o_orderstatus> ?s ; <urn:t:o_orderkey> ?k FILTER(?k < 500) } FILTER(!BOUND(?s) || ?s + 1 > 0) }", "customer orders", "SELECT c_name AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey < 500)", n="text")
+ask("sparql_loose_join_rows", "SELECT ?n ?r ?t WHERE { ?x <urn:t:n_name> ?n OPTIONAL { ?x <urn:t:n_regionkey> ?r . ?r <urn:t:r_regionkey> ?k FILTER(?k < 2) } { SELECT ?r ?t WHERE { ?r <urn:t:r_name> ?t } } }", "nation region", "SELECT n_name AS n, 'urn:t:region:' || r_regionkey AS r, r_name AS t FROM nation JOIN region ON n_regionkey >= 2 OR r_regionkey = n_regionkey", n="text", r="iri", t="text")
+
+
+@register("SELECT CAST(c_custkey AS VARCHAR) AS c0 FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 50 = 7)")
+def datalog_negation_rows(spark, sf_dir):
+    """A negated atom with a constant."""
+    ordered = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("c0"), (F.col("o_orderkey") % 50).cast("string").alias("c1"))
+    return datalog(spark, "idle(C) :- cust(C), not ordered(C, 7).", {"cust": table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("c0")), "ordered": ordered}, "idle", 1)
+
+
+@register("SELECT CAST(o_custkey AS VARCHAR) AS c0, '\"F\"' AS c1 FROM orders WHERE o_orderstatus = 'F' UNION SELECT 'none', '\"F\"'")
+def datalog_constants_rows(spark, sf_dir):
+    """Constants in bodies and heads, quoted and bare, over a table."""
+    ordered = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("c0"), F.concat(F.lit('"'), F.col("o_orderstatus"), F.lit('"')).alias("c1"))
+    return datalog(spark, 'done(C, "F") :- ordered(C, "F"). done(none, "F").', {"ordered": ordered}, "done", 2)
+
+
+SX = "<urn:x-shex-syntax:"
+@register("SELECT c_custkey AS k, p, o, n FROM customer, (VALUES ('fact', '', 1), ('rule', '', 1), ('head', '', 1), ('body', '', 2), ('negated', '\"true\"', 1), ('atom', '\"p\"', 2), ('atom', '\"q\"', 1), ('atom', '\"r\"', 1), ('atom', '', 2), ('arg', '\"?X\"', 3), ('arg', '\"a\"', 1), ('arg', '', 5)) v(p, o, n) UNION ALL SELECT c_custkey, 'arg', '\"' || c_custkey || '\"', 1 FROM customer")
+def encode_datalog_rows(spark, sf_dir):
+    """All facts of a program, counted by what they say; nodes have no names."""
+    docs = table(spark, sf_dir, "customer").select(K().alias("path"), F.lit("datalog").alias("lang"), told("p(KEY). q(X, a) :- p(X), not r(X).").alias("content"))
+    facts = reader.facts_of(reader.parse(docs))
+    return facts.groupBy(F.col("doc_id").cast("long").alias("k"), F.regexp_extract("p", r":(\w+)>$", 1).alias("p"), F.when(T.is_bnode(F.col("o")), "").otherwise(F.col("o")).alias("o")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+document(
+    "encode_shex_rows", "shex", "PREFIX e: <http://e/> <http://e/S> CLOSED EXTRA e:p { e:p IRI {KEY,} ; ^e:q [ 1 2 ] ? }",
+    (f"{SX}schema>", f"{SX}prefix>", '"e: <http://e/>"'), (f"{SX}schema>", f"{SX}shape>", "<http://e/S>"), ("<http://e/S>", f"{SX}shape/closed>", '"true"'), ("<http://e/S>", f"{SX}shape/tripleConstraint>", "_:c0"), ("<http://e/S>", f"{SX}shape/tripleConstraint>", "_:c1"),
+    ("_:c0", f"{SX}tc/predicate>", "<http://e/p>"), ("_:c0", f"{SX}tc/cardinality>", '"KEY,*"'), ("_:c0", f"{SX}tc/valueConstraint>", '"iri"'),
+    ("_:c1", f"{SX}tc/predicate>", "<http://e/q>"), ("_:c1", f"{SX}tc/inverse>", '"true"'), ("_:c1", f"{SX}tc/cardinality>", '"0,1"'), ("_:c1", f"{SX}tc/valueConstraint>", r'"[\"1\"^^<http://www.w3.org/2001/XMLSchema#integer> \"2\"^^<http://www.w3.org/2001/XMLSchema#integer>]"'),
+)
+
+
+@register("SELECT '<urn:d\\u0020\\u007B' || doc_id || '\\u007D\\u005C> <urn:t> \"' || replace(replace(replace(replace(replace(text, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t') || '\" .' AS value FROM documents WHERE text IS NOT NULL")
+def sink_escaped_lines(spark, sf_dir):
+    """Lines as they are written, of IRIs and texts that hold what must be escaped."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return sinks.ntriples(d.select(F.concat(F.lit("<urn:d {"), F.col("doc_id").cast("string"), F.lit("}\\>")).alias("s"), F.lit("<urn:t>").alias("p"), T.string(F.col("text")).alias("o")))
+
+
+def graph_facts(spark, sf_dir) -> DataFrame:
+    """Names and segments of customers in documents of their nations, those of every third customer in the default graph."""
+    c = table(spark, sf_dir, "customer")
+    pairs = F.explode(F.array(F.struct(F.lit("<urn:p:name>").alias("p"), T.string(F.col("c_name")).alias("o")), F.struct(F.lit("<urn:q>").alias("p"), T.string(F.concat("c_mktsegment", F.lit('"é'))).alias("o"))))
+    graph = F.when(F.col("c_custkey") % 3 > 0, F.concat(F.lit("<urn:g:"), (F.col("c_custkey") % 3).cast("string"), F.lit(">")))
+    return c.select(F.col("c_nationkey").cast("string").alias("doc_id"), F.concat(F.lit("<urn:c:"), K(), F.lit(">")).alias("s"), pairs.alias("x"), graph.alias("g")).select("doc_id", "s", "x.p", "x.o", "g")
+
+
+STATEMENTS = "SELECT c_nationkey AS n, c_custkey AS k, '<urn:c:' || c_custkey || '>' AS s, 0 AS i, 'p:name \"' || c_name || '\" .' AS line FROM customer UNION ALL SELECT c_nationkey, c_custkey, '<urn:c:' || c_custkey || '>', 1, '<urn:q> \"\"\"' || c_mktsegment || '\"é\"\"\" .' FROM customer"
+HEADS = "SELECT CAST(c_nationkey AS VARCHAR) AS doc_id, line FROM (SELECT DISTINCT c_nationkey FROM customer), (VALUES ('@prefix p: <urn:p:> .'), ('')) v(line)"
+
+
+@register(f"SELECT CAST(n AS VARCHAR) AS doc_id, s || ' ' || line AS line FROM ({STATEMENTS}) UNION ALL {HEADS}")
+def sink_turtle_lines(spark, sf_dir):
+    """Documents of any size as lines."""
+    return sinks.turtle_lines(graph_facts(spark, sf_dir), {"p": "urn:p:"})
+
+
+@register(f"""WITH l AS (SELECT CAST(n AS VARCHAR) AS doc_id, '    ' || s || ' ' || line AS line FROM ({STATEMENTS}) UNION ALL {HEADS} UNION ALL SELECT DISTINCT CAST(c_nationkey AS VARCHAR), CASE WHEN c_custkey % 3 = 0 THEN '{{' ELSE '<urn:g:' || c_custkey % 3 || '> {{' END FROM customer
+UNION ALL SELECT CAST(c_nationkey AS VARCHAR), '}}' FROM (SELECT DISTINCT c_nationkey, c_custkey % 3 FROM customer)) SELECT * FROM l""")
+def sink_trig_lines(spark, sf_dir):
+    return sinks.trig_lines(graph_facts(spark, sf_dir), {"p": "urn:p:"})
+
+
+@register(f"""WITH l AS (SELECT n, k % 3 AS g, '    ' || string_agg(s || ' ' || line, chr(10) || '    ' ORDER BY s, i) AS body FROM ({STATEMENTS}) GROUP BY ALL)
+SELECT CAST(n AS VARCHAR) AS doc_id, '@prefix p: <urn:p:> .' || chr(10) || chr(10) || string_agg(CASE WHEN g = 0 THEN '' ELSE '<urn:g:' || g || '> ' END || '{{' || chr(10) || body || chr(10) || '}}' || chr(10), '' ORDER BY g) AS text FROM l GROUP BY n""")
+def sink_trig_texts(spark, sf_dir):
+    """Whole documents, as they are formatted."""
+    return sinks.formatted(graph_facts(spark, sf_dir), "trig", {"p": "urn:p:"})
+
+
+@register("SELECT c_custkey AS k, n, v.n % 2 = 0 AS accepted, CASE WHEN n % 2 = 1 THEN code END AS code FROM customer, (VALUES (0, ''), (1, 'SPARQL-AGG-001'), (2, ''), (3, 'SPARQL-AGG-001')) v(n, code)")
+def sparql_static_checks(spark, sf_dir):
+    """What a grouped query may project is told before anything runs."""
+    texts = ["SELECT ?x (COUNT(?y) AS ?c) WHERE { ?x <urn:KEY> ?y } GROUP BY ?x", "SELECT * WHERE { ?x <urn:KEY> ?y } GROUP BY ?x", "SELECT (STR(?x) AS ?z) WHERE { ?x <urn:KEY> ?y } GROUP BY ?x", "SELECT ?x ?y WHERE { ?x <urn:KEY> ?y } GROUP BY ?x"]
+    docs = table(spark, sf_dir, "customer").select(K().alias("k"), F.posexplode(F.array(*map(told, texts))).alias("n", "content"))
+    made = reader.parse(docs.select(F.concat_ws("-", "k", "n").alias("path"), F.lit("sparql").alias("lang"), "content"))
+    at = F.split("path", "-")
+    return made.select(at[0].cast("long").alias("k"), at[1].cast("int").alias("n"), "accepted", F.regexp_extract(F.try_element_at("errors", F.lit(1)), r"^([A-Z]+-[A-Z]+-\d+)", 1).alias("code"))
+
+
+@register("SELECT 'c' || c_custkey || '.' || lang AS doc_id, 'http://b/' || c_custkey || '/x/y' AS s, 'http://b/p' AS p, 'http://b/' || c_custkey || '/d/o?q#f' AS o FROM customer, (VALUES ('ttl'), ('n3'), ('rdf'), ('jsonld')) v(lang)")
+def parse_local_resolvers(spark, sf_dir):
+    """One reference each by a path, a root and dots, with a query and a fragment, resolved by the languages' own readers."""
+    texts = {
+        "ttl": "<../x/y> </p> <./o?q#f> .", "n3": "<../x/y> </p> <./o?q#f> .",
+        "rdf": '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:b="http://b/"><rdf:Description rdf:about="../x/y"><b:p rdf:resource="./o?q#f"/></rdf:Description></rdf:RDF>',
+        "jsonld": '{"@id": "../x/y", "http://b/p": {"@id": "./o?q#f"}}',
+    }
+    c = table(spark, sf_dir, "customer")
+    docs = c.select(K().alias("k"), F.explode(F.create_map(*(F.lit(x) for pair in texts.items() for x in pair))).alias("ext", "content"))
+    made = reader.parse(docs.select(F.concat(F.lit("c"), F.col("k"), F.lit("."), F.col("ext")).alias("path"), F.concat(F.lit("http://b/"), F.col("k"), F.lit("/d/e")).alias("base"), "content"))
+    return reader.facts_of(made).select("doc_id", *(T.iri_text(F.col(x)).alias(x) for x in ("s", "p", "o")))
+
+
+@register("SELECT doc_id, length(h) - length(replace(h, chr(10), '')) AS line, CASE WHEN contains(h, chr(10)) THEN instr(reverse(h), chr(10)) - 1 ELSE length(h) END AS \"column\" FROM (SELECT doc_id, substr(text, 1, length(text) // 2) AS h FROM documents WHERE text IS NOT NULL)")
+def doc_positions(spark, sf_dir):
+    """The line and the column of the middle of each text."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    place = D.position(F.col("text"), F.floor(F.char_length("text") / 2).cast("int"))
+    return d.select("doc_id", place["line"].cast("long").alias("line"), place["column"].cast("long").alias("column"))
+
+
+@register("SELECT c_custkey AS k, n, v.t || CASE n WHEN 1 THEN c_custkey::VARCHAR ELSE '' END AS word FROM customer, (VALUES (0, 'e:some-name'), (1, 'urn:'), (2, ''), (3, '@prefix')) v(n, t)")
+def doc_token_at(spark, sf_dir):
+    """The word around an offset: within, at its end, between words, and at the start of the text."""
+    text = told('@prefix e: <e:> ; e:some-name, (urn:KEY) .')
+    at = {0: F.lit(22), 1: F.length(text) - 3, 2: F.lit(16), 3: F.lit(0)}
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.explode(F.array(*(F.struct(F.lit(n).alias("n"), D.token_at(text, o).alias("word")) for n, o in at.items()))).alias("x")).select("k", "x.n", "x.word")
+
+
+@register("SELECT 'd' || c_custkey || l AS path, name, kind, line FROM customer, (VALUES ('sparql', '?x', 'variable', 0), ('sparql', '?long_name', 'variable', 0), ('sparql', '?z', 'variable', 1), ('shex', 'http://e/S', 'shape', 1), ('shex', 'http://e/T', 'shape', 3), ('datalog', 'edge', 'relation', 1), ('datalog', 'path', 'relation', 2)) v(l, name, kind, line)")
+def doc_symbols_others(spark, sf_dir):
+    """Variables, shapes and relations, each where it first stands."""
+    texts = {"sparql": "SELECT ?x ?long_name, (COUNT(?n) AS $m) # KEY\nWHERE { ?x <p> ?z. }", "shex": "PREFIX e: <http://e/>\n  <http://e/S> {\n e:p @<http://e/T> }\n<http://e/T> CLOSED { }\n<http://e/U> IRI", "datalog": "% no(x)\nedge(a, KEY).\npath (X, Y) :- edge(X, Y).\n:- odd(x).\npath(X, Z) :- path(X, Y), edge(Y, Z)."}
+    docs = table(spark, sf_dir, "customer").select(K().alias("k"), F.explode(F.create_map(*(x for k, v in texts.items() for x in (F.lit(k), told(v))))).alias("lang", "text"))
+    return D.symbols(docs.select(F.concat(F.lit("d"), "k", "lang").alias("path"), "lang", "text"))
+
+
 __all__ = ["QUERIES", "SQL"]

@@ -67,7 +67,7 @@ def position(text: Column, offset: Column) -> Column:
     """The line and the UTF-16 column of an offset in characters."""
     head = F.substring(text, F.lit(1), offset)
     line = F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))
-    tail = F.regexp_extract(head, r"(?s)[^\n]*$", 0)
+    tail = F.regexp_extract(head, r"[^\n]*\z", 0)
     return F.struct(line.alias("line"), utf16(tail).alias("column"))
 
 
@@ -112,9 +112,12 @@ def symbols(docs: DataFrame) -> DataFrame:
     """path, name, kind, line: subjects, variables, shapes and heads, each where it first stands."""
     own = lines(docs)
     subject = own.where(F.col("lang").isin("ttl", "trig", "n3", "nt", "nq")).select("path", F.regexp_extract("text", r"^(<[^>]*>|_:[A-Za-z0-9_]+|[A-Za-z][A-Za-z0-9_.\-]*:[A-Za-z0-9_.\-]*|:[A-Za-z0-9_.\-]+)\s", 1).alias("name"), F.lit("subject").alias("kind"), "line")
-    variable = own.where("lang = 'sparql'").select("path", F.explode(F.regexp_extract_all("text", F.lit(r"([?$][A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))).alias("name"), F.lit("variable").alias("kind"), "line")
-    shape = own.where("lang = 'shex'").select("path", F.regexp_extract("text", r"^\s*(<[^>]*>|[A-Za-z][A-Za-z0-9_\-]*:[A-Za-z0-9_\-]+|:[A-Za-z0-9_\-]+)\s+(?:CLOSED|EXTRA|IRI|BNODE|LITERAL|NONLITERAL|\{)", 1).alias("name"), F.lit("shape").alias("kind"), "line")
-    head = own.where("lang = 'datalog'").select("path", F.regexp_extract("text", r"^\s*([a-z][A-Za-z0-9_]*)\s*\(", 1).alias("name"), F.lit("relation").alias("kind"), "line")
+    # A word that begins with a question mark, less what hangs on it; a line that begins with an IRI and opens a shape; what stands before a rule's first parenthesis.
+    bare = F.transform(F.regexp_extract_all("text", F.lit(r"(?:^|\s)\?(\S+)"), F.lit(1)), lambda x: F.regexp_replace(x, r"^[^A-Za-z0-9_]+|[^A-Za-z0-9_]+$", ""))
+    variable = own.where("lang = 'sparql'").select("path", F.explode(bare).alias("name"), F.lit("variable").alias("kind"), "line").where("name <> ''").withColumn("name", F.concat(F.lit("?"), F.col("name")))
+    shape = own.where("lang = 'shex'").where(F.contains("text", F.lit("{"))).select("path", F.regexp_extract("text", r"^\s*<([^>]+)>", 1).alias("name"), F.lit("shape").alias("kind"), "line")
+    rule = F.substring_index("text", ":-", 1)
+    head = own.where("lang = 'datalog'").where(~F.col("text").rlike(r"^\s*[%#]")).select("path", F.regexp_extract(rule, r"^\s*([A-Za-z0-9_]+)\s*\(", 1).alias("name"), F.lit("relation").alias("kind"), "line")
     every = subject.union(variable).union(shape).union(head).where("name <> ''")
     return every.groupBy("path", "name", "kind").agg(F.min("line").alias("line"))
 

@@ -103,6 +103,25 @@ def trig(facts: DataFrame, prefixes: dict[str, str]) -> DataFrame:
     return blocks.groupBy("doc_id").agg(F.concat(F.lit(header(prefixes) + ("\n" if prefixes else "")), text).alias("text"))
 
 
+def trig_lines(facts: DataFrame, prefixes: dict[str, str]) -> DataFrame:
+    """doc_id, line: documents of any size, blocks of graphs in order over all partitions; what ``trig`` gathers into texts."""
+    none = F.lit(None).cast("string")
+    place = lambda n, k, *terms: [F.lit(n).alias("n"), *(F.lit(None).cast("string").alias("g") if n == 0 else F.col("g"),), F.lit(k).alias("k"), *(t.alias(c) for t, c in zip(terms or [none] * 3, ("s", "p", "o"), strict=True))]
+    rows = statements(facts, prefixes).select("doc_id", *place(1, 1, *map(F.col, ("s", "p", "o"))), F.concat(F.lit("    "), F.col("line")).alias("line"))
+    graphs = facts.select("doc_id", "g").distinct()
+    name = F.when(F.col("g").isNull(), F.lit("")).otherwise(F.concat(turtle_term(F.col("g"), prefixes), F.lit(" ")))
+    opened, closed = graphs.select("doc_id", *place(1, 0), F.concat(name, F.lit("{")).alias("line")), graphs.select("doc_id", *place(1, 2), F.lit("}").alias("line"))
+    top = [*header(prefixes).splitlines(), *([""] if prefixes else [])]
+    heads = facts.select("doc_id").distinct().select("doc_id", *place(0, 0), F.posexplode(F.array(*map(F.lit, top)) if top else F.array().cast("array<string>")).alias("at", "line"))
+    every = heads.unionByName(reduce(DataFrame.unionByName, (rows, opened, closed)).withColumn("at", F.lit(0)))
+    return every.orderBy("doc_id", "n", "at", F.asc_nulls_first("g"), "k", "s", "p", "o", "line").select("doc_id", "line")
+
+
+def write_trig(facts: DataFrame, path: str, prefixes: dict[str, str]) -> None:
+    """A folder for each document, whose part files, one after the other, are its text."""
+    trig_lines(facts, prefixes).select("doc_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("doc_id").text(path)
+
+
 def formatted(outcomes_facts: DataFrame, lang: str, prefixes: dict[str, str]) -> DataFrame:
     """Canonical facts back as text of their language."""
     if lang in ("nt", "nq"):
