@@ -8,7 +8,9 @@ The longest vectors come first, so the threshold is soon near its end. Vectors a
 task reads the queries and holds one at a time, so its memory is bounded and no side is broadcast. Each shard
 returns a query's k best, and the shards' answers are merged.
 
-Scores are sums of doubles while these are exact, else of 64-bit integers; sums that 63 bits can't hold are an error.
+Scores are sums of doubles while these are exact, else of 64-bit integers. Vectors with a component of WIDE or more stand apart from the
+others of their shard; pairs whose sums 63 bits might not hold are summed without a limit, and a score beyond the 64-bit integers is the nearest
+of these.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; vectors of
 another length than the query's are no candidates; rows with the query's own id are its own and repeated queries are one; ties go to
@@ -18,6 +20,8 @@ are ignored.
 
 from __future__ import annotations
 
+import operator
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import parts, small_batches
 
 SHARD, LEAST, FIRST, BLOCK, PROBE = 4 << 20, 4096, 256, 4_096, 8
-EXACT = 1 << 53
+EXACT, WIDE = 1 << 53, 1 << 27
+LONG = (1 << 63) - 1
 
 
 def search(ids: np.ndarray, postings: np.ndarray, low: np.ndarray, high: np.ndarray, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,25 +77,39 @@ def search(ids: np.ndarray, postings: np.ndarray, low: np.ndarray, high: np.ndar
     return best_ids, best
 
 
+def summed(ids: np.ndarray, postings: np.ndarray, query_id: int, query: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best by sums without a limit."""
+    others = np.flatnonzero(ids != query_id)
+    columns = [[int(x) for x in postings[:, i]] for i in others]
+    score = np.array([max(-LONG - 1, min(LONG, sum(map(operator.mul, query, c)))) for c in columns], dtype=np.int64)
+    top = np.lexsort((ids[others], ~score))[:k]
+    return ids[others][top], score[top]
+
+
 def _searched(k: int):
     names = ["query_id", "vec_id", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, made, held, found = None, False, [], []
-        by_length: dict[int, tuple] = {}
+        by_length: dict[int, list[tuple]] = {}
 
         def build() -> None:
             """The shard's postings by length of vectors, the longest vectors first: as integers and doubles, with the bounds of each dimension."""
             ids, vectors = [i for i, _ in held], [v for _, v in held]
             lengths = np.fromiter(map(len, vectors), dtype=np.int64, count=len(vectors))
             by_length.clear()
+            wide = np.array([len(v) > 0 and np.abs(v).max() >= WIDE for v in vectors], dtype=bool)
             for n in np.unique(lengths[lengths > 0]).tolist():
-                at = np.flatnonzero(lengths == n)
-                rows = np.stack([vectors[i] for i in at])
-                by = np.argsort(-(rows.astype(np.float64) ** 2).sum(axis=1), kind="stable")
-                whole_ = np.ascontiguousarray(rows[by].T)
-                forms = [(x, x.min(axis=1), x.max(axis=1)) for x in (whole_, whole_.astype(np.float64))]
-                by_length[n] = np.array([ids[i] for i in at[by]], dtype=np.int64), forms, int(max(abs(int(whole_.min())), abs(int(whole_.max()))))
+                for at in (np.flatnonzero((lengths == n) & ~wide), np.flatnonzero((lengths == n) & wide)):
+                    if not len(at):
+                        continue
+                    rows = np.stack([vectors[i] for i in at])
+                    with np.errstate(over="ignore"):
+                        by = np.argsort(-(rows**2).sum(axis=1), kind="stable")
+                    real = np.ascontiguousarray(rows[by].T)
+                    most = int(np.abs(real).max())
+                    forms = [(x, x.min(axis=1), x.max(axis=1)) for x in ([real.astype(np.int64), real] if most < 1 << 62 else [real])]
+                    by_length.setdefault(n, []).append((np.array([ids[i] for i in at[by]], dtype=np.int64), forms, most))
             held.clear()
 
         for batch in batches:
@@ -106,12 +125,12 @@ def _searched(k: int):
                 if not made:
                     build()
                     made = True
-                if len(v) in by_length:
-                    ids, forms, most = by_length[len(v)]
-                    bound = len(v) * most * int(max(abs(int(v.min())), abs(int(v.max()))))
-                    if bound >= 1 << 63:
-                        raise OverflowError("an inner product may need more than 63 bits")
-                    near, score = search(ids, *forms[1], vec_id, v.astype(np.float64), k) if bound < EXACT else search(ids, *forms[0], vec_id, v, k)
+                for ids, forms, most in by_length.get(len(v), []):
+                    bound = len(v) * most * int(np.abs(v).max())
+                    if bound > LONG:
+                        near, score = summed(ids, forms[-1][0], vec_id, [int(x) for x in v], k)
+                    else:
+                        near, score = search(ids, *forms[-1], vec_id, v, k) if bound < EXACT else search(ids, *forms[0], vec_id, v.astype(np.int64), k)
                     found.append((np.full(len(near), vec_id), near, score.astype(np.int64)))
                 if len(found) >= 2000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)], names=names)
@@ -123,7 +142,14 @@ def _searched(k: int):
 
 
 def whole(embedding: Column) -> Column:
-    return F.transform(embedding, lambda x: F.floor(x.cast("double") * 256))
+    """256 times each component, rounded down, as doubles, which hold it exactly."""
+    most = F.lit(sys.float_info.max)
+
+    def one(x: Column) -> Column:
+        scaled = F.greatest(-most, F.least(most, x.cast("double") * 256))
+        return F.when(F.abs(scaled) < EXACT, F.floor(scaled).cast("double")).otherwise(scaled)  # all of these are whole
+
+    return F.transform(embedding, one)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:

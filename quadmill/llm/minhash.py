@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         residents = open_.select("*", F.lit(False).alias("visits"), at_home.alias("ci"), every(tours).alias("cj"))
         visitors = open_.where(F.col("component") != F.col("major")).select("*", F.lit(True).alias("visits"), every(homes).alias("ci"), on_tour.alias("cj"))
         dealt = (
-            residents.unionByName(visitors).join(fine.dropDuplicates(["doc_id"]), "doc_id")
+            residents.unionByName(visitors).join(fine, "doc_id")  # each text of an id
             .select("key", "band", "ci", "cj", "visits", "doc_id", "component", "major", "n_shingles", "fine", "bands")
         )
         pairs = dealt.repartition(parts(spark), "key", "ci", "cj").sortWithinPartitions("key", "ci", "cj", "doc_id").mapInArrow(_crossing(percent, top), "a long, b long")
