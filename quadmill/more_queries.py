@@ -20,6 +20,7 @@ from .plans.update import update
 from .queries import BASE_SQL, INTEGER, QUERIES, RDFNS, RING, SQL, K, ask, decoded, parsed_query, rdf_docs, register, ring, shex, table
 from .session import new_folder
 from .sources import reader, sinks
+from .sources.statements import reparsed
 
 XSD = "http://www.w3.org/2001/XMLSchema#"
 
@@ -610,6 +611,34 @@ def iri_resolve_rows(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", I.resolve(base, n).alias("one"), I.resolve(base, F.concat(F.lit("../q?"), n)).alias("two"), I.resolve(base, F.lit("//o/x")).alias("three"))
 
 
+def edited_docs(spark, sf_dir, edited: bool) -> DataFrame:
+    """A document of all customers of a nation, of which an edit changes the statement of each hundredth customer and moves all others."""
+    k = F.col("c_custkey")
+    name = F.when((k % 100 == 0) & F.lit(edited), F.concat("c_name", F.lit(" again"))).otherwise(F.col("c_name"))
+    one = F.format_string('c:%d n:name "%s." ;\n  n:sees [ n:of c:%d ] . # a dot.\n', k, name, k)
+    head = "@prefix c: <urn:c:> .\n@prefix n: <urn:n:> .\n"
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", one.alias("t")))), lambda x: x["t"]), "\n" if edited else "")
+    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.concat(F.lit("# moved\n" if edited else ""), F.lit(head), body).alias("content")).select(F.concat(F.col("c_nationkey").cast("string"), F.lit(".ttl")).alias("path"), "content")
+
+
+@register("SELECT 'c:' || c_custkey AS c FROM customer WHERE c_custkey % 100 = 0")
+def doc_reparsed_statements(spark, sf_dir):
+    """The statements that an edit makes a parser read again: those that it changed."""
+    known = reparsed(edited_docs(spark, sf_dir, False))[1]
+    new = reparsed(edited_docs(spark, sf_dir, True), known)[2]
+    return new.select(F.regexp_extract(F.col("text").cast("string"), r"\n(c:\d+) ", 1).alias("c"))
+
+
+@register("""WITH s AS (SELECT c_nationkey || '.ttl' AS doc_id, c_custkey AS k, '<urn:c:' || c_custkey || '>' AS c, '"' || c_name || CASE WHEN c_custkey % 100 = 0 THEN ' again' ELSE '' END || '."' AS name FROM customer)
+SELECT doc_id, c AS s, '<urn:n:name>' AS p, name AS o FROM s UNION ALL SELECT doc_id, 'node', '<urn:n:of>', c FROM s UNION ALL SELECT doc_id, c, '<urn:n:sees>', 'node' FROM s""")
+def doc_reparsed_facts(spark, sf_dir):
+    """The facts after an edit, most of them taken from before it."""
+    known = reparsed(edited_docs(spark, sf_dir, False))[1]
+    facts = reparsed(edited_docs(spark, sf_dir, True), known)[0]
+    blind = lambda c: F.when(T.is_bnode(F.col(c)), "node").otherwise(F.col(c)).alias(c)
+    return facts.select("doc_id", blind("s"), "p", blind("o"))
+
+
 # -- what the queries before leave open: rows where those have none, whole outputs where those have counts
 ask("sparql_minus_rows", "SELECT ?n WHERE { ?c <urn:t:c_name> ?n MINUS { ?o <urn:t:o_custkey> ?c ; <urn:t:o_orderkey> ?k FILTER(?k < 500) } }", "customer orders", "SELECT c_name AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey < 500)", n="text")
 ask("sparql_optional_filter_rows", "SELECT ?n WHERE { ?c <urn:t:c_name> ?n OPTIONAL { ?o <urn:t:o_custkey> ?c ; <urn:t:o_orderstatus> ?s ; <urn:t:o_orderkey> ?k FILTER(?k < 500) } FILTER(!BOUND(?s) || ?s + 1 > 0) }", "customer orders", "SELECT c_name AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey < 500)", n="text")

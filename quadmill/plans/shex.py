@@ -417,18 +417,22 @@ class Validator:
                 if r not in need:
                     need.add(r)
                     todo.append(r)
-        cyclic = any(name in self.closure(name) for name in need)
-        if not cyclic:
+        cycle = {name for name in need if name in self.closure(name)}
+        if not cycle:
             return self.nodes.join(self.of(self.schema.shapes[label], self.nodes, {}), "node", "left_semi")
+        # Only shapes of a cycle are looked at again, each only after one that it refers to has lost a node; the others are made of them.
         every = written(self.everything())
-        now = {name: every for name in need}
-        sizes = None
-        while True:
-            now = {name: written(self.of(self.schema.shapes[name], now[name], now)) for name in sorted(need)}
-            counts = tuple(now[name].count() for name in sorted(need))
-            if counts == sizes:
-                return self.nodes.join(now[label], "node", "left_semi")
-            sizes = counts
+        now, sizes = dict.fromkeys(cycle, every), dict.fromkeys(cycle, every.count())
+        means = {name: self.closure(name) & cycle for name in cycle}
+        lost = set(cycle)
+        while lost:
+            again = sorted(name for name in cycle if means[name] & lost)
+            made = {name: written(self.of(self.schema.shapes[name], now[name], now)) for name in again}
+            counts = {name: made[name].count() for name in again}
+            lost = {name for name in again if counts[name] != sizes[name]}
+            now, sizes = now | made, sizes | counts
+        good = now[label] if label in cycle else self.of(self.schema.shapes[label], self.nodes, now)
+        return self.nodes.join(good, "node", "left_semi")
 
     def closure(self, name: str) -> set[str]:
         seen: set[str] = set()
