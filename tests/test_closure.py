@@ -31,7 +31,7 @@ def test_a_chain_and_a_ring(spark):
 
 def test_random_graphs(spark):
     rng = random.Random(71)
-    for n, m in ((12, 9), (30, 33), (40, 120)):
+    for n, m in ((30, 33), (40, 120)):
         edges = [(str(rng.randrange(n)), str(rng.randrange(n))) for _ in range(m)] + [(str(i), str(i + 1)) for i in range(n, n + 25)]
         frame = spark.createDataFrame([*edges, *edges[:3], (None, "1"), ("1", None)], "s string, o string")
         got = [tuple(r) for r in Closure(frame).pairs().select("s", "o").collect()]

@@ -22,7 +22,7 @@ def told_by_hand(sides):
 
 def test_diff_many(spark):
     rng = random.Random(101)
-    for n in (1, 2, 3, 4, 65):
+    for n in (1, 3, 4, 65):
         own = {f"v{i:02}": [(f"<s:{rng.randrange(4)}>", "<p:p>", f'"{rng.randrange(3)}"', rng.choice([None, None, "<g:g>"])) for _ in range(rng.choice([0, 3, 6]))] for i in range(n)}
         if n == 3:
             own["v02"] = own["v01"]
