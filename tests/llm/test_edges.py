@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import pickle
 import random
 import sys
 import zlib
@@ -67,7 +68,7 @@ def test_stages_leave_other_columns_alone(spark):
     whole = {tuple(r) for r in frame.collect()}
     near = minhash.keep_one(frame)
     assert near.columns == frame.columns and {r.doc_id for r in near.collect()} == {1, 3, 4, None}
-    for bound in (decontam.BOUND, 0):
+    for bound in (decontam.BOUND, 700):
         clean = decontam.keep_clean(frame, bench, bound)
         assert clean.columns == frame.columns and sorted((r.doc_id for r in clean.collect()), key=str) == [1, 2, 3, 4]
         assert {tuple(r) for r in clean.collect()} <= whole
@@ -143,7 +144,7 @@ def test_repetitive_texts(spark):
     items = [("1", "no " * 900), ("2", "yes no " * 300), ("3", "a b c d e f g h i j k"), ("4", "no " * 15 + "end"), ("5", prose(rng, 30))]
     rows = [(1, "no " * 40 + "yes " + "no " * 12), (2, "x " + "yes no " * 30), (3, "no " * 9), (4, "no " * 30 + "end a b c d e f g h i j"), (5, items[4][1] + " no" * 11), (6, prose(rng, 200))]
     bench = spark.createDataFrame(items, "item_id string, text string")
-    for bound in (decontam.BOUND, 0):
+    for bound in (decontam.BOUND, 700):
         got = {r.doc_id: (r.n_words, r.n_hit, set(r["items"])) for r in decontam.contamination(docs(spark, rows), bench, bound).collect()}
         assert got == {i: windows_hit(t, items) for i, t in rows}
     index = decontam.Index([("1", b"no " * 20_000)])
@@ -320,3 +321,30 @@ def test_queries_without_sql(spark, name):
         held = [r for r in got if r.held_out and r.doc_id in label]
         assert all(r.held_out == (crc(r.doc_id, 5) == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
         assert sum(r.predicted == label[r.doc_id] for r in held) / len(held) > 0.8
+
+
+def test_index_of_many_items_is_small():
+    """What a worker holds of the test side: arrays of at most five bytes for each byte of text, though every item repeats itself."""
+    rng = random.Random(31)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(3, 8))) for _ in range(3000)]
+    items = [(str(i), " ".join(rng.choices(words, k=3000) + ["so it goes on"] * 20).encode()) for i in range(120)]
+    index = decontam.Index(items)
+    size = sum(len(t) for _, t in items)
+    assert size > 2_000_000 and index.nbytes() < 5 * size + 16 * (1 << 20)
+    assert len(pickle.dumps(index)) < 5 * size + 16 * (1 << 20)
+    own = items[7][1].split()
+    (hits,) = index.search([[b"before"] + own[100:140] + [b"after"]])
+    assert hits == [(1, 41, "7")]
+
+
+def test_blocks_of_items(spark):
+    """A test side over the bound is read in blocks: hits of several blocks add up, repeated rows and null ids are rows of their own."""
+    rng = random.Random(32)
+    items = [(None if i == 3 else str(i % 50), prose(rng, 40)) for i in range(60)] + [("one", "alpha beta")] * 30
+    rows = [(None if i % 9 == 0 else i % 40, " ".join(t for _, t in rng.sample(items, i % 4)) + f" w{i % 30} x") for i in range(120)] * 2 + [(5, None), (None, "")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    frame = docs(spark, rows)
+    whole, parts = (sorted(map(str, decontam.contamination(frame, bench, bound).collect())) for bound in (decontam.BOUND, 4000))
+    assert len(whole) == len(rows) and whole == parts
+    clean, kept = (sorted(map(str, decontam.keep_clean(frame, bench, bound).collect())) for bound in (decontam.BOUND, 4000))
+    assert clean == kept and 0 < len(clean) < len(rows)

@@ -126,7 +126,7 @@ def windows_hit(doc, items, n=10):
     return len(d), len(hit), found
 
 
-@pytest.mark.parametrize("bound", [decontam.BOUND, 0])
+@pytest.mark.parametrize("bound", [decontam.BOUND, 700])
 def test_contamination(spark, bound):
     rng = random.Random(2)
     items = [(str(i), prose(rng, n)) for i, n in enumerate([40, 25, 10, 9, 3, 1, 60])] + [("7", None), ("8", "..."), ("9", "UP Per CASE"), ("0", prose(rng, 30))]
