@@ -3,16 +3,19 @@
 Each learned language has a zstandard raw-content dictionary, filled from a bounded sample of labelled
 documents. A text, as its lower-cased words, is compressed piece by piece with every dictionary; the
 language whose dictionary gives the fewest bytes wins. Pieces are short, so that a long text is explained
-by the dictionaries and not by itself; all pieces of the whole text count. A short text is too little for
-the coder: it is measured by what it adds to each of PADS passages of the language. The answer is rejected
+by the dictionaries and not by itself; all pieces of the whole text count. A piece is measured by what it adds
+to a passage of the language, as the coder counts whole bytes and a short piece alone is too little for it. PADS passages
+take turns; a text of fewer pieces goes round again until each passage has had one, and the mean of a piece's measures
+counts. This holds for texts of all lengths. The answer is rejected
 where it saves less than the part ``margin`` of the runner-up's bytes. Of texts under STEADY bytes the margin
 is larger, as chance leads go with one over the root of the length.
 
 Fitting reads labelled rows twice: counts by language, then about SAMPLE documents of each language,
-picked by hash at a rate that follows from its count, and of each a piece of at most SAMPLE_CHARS characters
-that begins at a hashed place anywhere in the text. What reaches the driver is bounded by about
+picked by hash at a rate that follows from its count, and of each STRATA pieces, one at a hashed place of each of STRATA
+equal parts of the whole text; a text of up to SAMPLE_CHARS characters comes whole. What reaches the driver is bounded by about
 1.5 * languages * SAMPLE * SAMPLE_CHARS whatever the table's size. All sampled documents get an equal share of
-the dictionary; what short ones leave goes to the others.
+the dictionary, again by STRATA pieces of what was read; what short ones leave goes to the others. The bound is one on rows and on the
+dictionary's size: no part of a text is left out by rule.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without a learned
 language everything is ``und``; labels that are null or belong to null ids are not learned; ties go to the
@@ -34,11 +37,11 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-SAMPLE, SAMPLE_CHARS = 400, 4000
+SAMPLE, SAMPLE_CHARS, STRATA = 400, 4000, 8
 DICTIONARY_BYTES, PIECE = 200_000, 1500
 #: Between the leads of labelled rows and those of random letters at sf0.1, where both were measured.
 MARGIN, STEADY = 0.02, 800
-SHORT, PADS, PAD_BYTES = 300, 8, 400
+PADS, PAD_BYTES = 4, 400
 UND = "und"
 LETTER = regex.compile(r"\p{L}")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -53,10 +56,17 @@ def fit(docs: DataFrame, learnable: Column, sample: int = SAMPLE) -> Model:
     if not counts:
         return {}
     place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
-    start = F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.greatest(F.char_length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
-    piece = F.substring("text", start, F.lit(SAMPLE_CHARS))
+    n = F.char_length("text")
+
+    def piece(i: Column) -> Column:
+        begin, end = F.floor(i * n / STRATA), F.floor((i + 1) * n / STRATA)
+        take = F.least(end - begin, F.lit(SAMPLE_CHARS // STRATA))
+        return F.substring("text", (begin + F.pmod(F.xxhash64("doc_id", i), end - begin - take + 1) + 1).cast("int"), take.cast("int"))
+
+    read = F.transform(F.sequence(F.lit(0), F.lit(STRATA - 1)), piece)
+    pieces = F.when(n > SAMPLE_CHARS, F.array_join(read, " ")).otherwise(F.array_join(read, ""))
     rate = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(min(1.0, 1.5 * sample / n) * (1 << 30))))))
-    picked = rows.where(place < rate[F.col("lang")]).select("lang", piece.alias("text"), place.alias("place"), "doc_id").collect()
+    picked = rows.where(place < rate[F.col("lang")]).select("lang", pieces.alias("text"), place.alias("place"), "doc_id").collect()
     model: Model = {}
     for lang in sorted(counts):
         own = [words(t) for _, t in sorted({(r.place, r.text) for r in picked if r.lang == lang})[:sample]]
@@ -77,6 +87,15 @@ def shared_out(sizes: list[int], room: int) -> int:
     return max(sizes, default=0)
 
 
+def spread(text: bytes, room: int) -> bytes:
+    """The text, or room bytes of pieces from all its parts."""
+    if len(text) <= room:
+        return text
+    ends = [room * i // STRATA for i in range(STRATA + 1)]
+    starts = (len(text) * i // STRATA for i in range(STRATA))
+    return b"".join(text[at : at + e - b - 1] + b" " for at, b, e in zip(starts, ends, ends[1:], strict=False) if e > b)
+
+
 def content(own: list[bytes]) -> tuple[bytes, list[bytes]]:
     """The dictionary, which all texts share, and the passages; these come from texts beside the dictionary's where there are enough."""
     joined = b" ".join(own)
@@ -86,7 +105,7 @@ def content(own: list[bytes]) -> tuple[bytes, list[bytes]]:
         rest.append(text[max(0, apart - at) :])
         at += len(text) + 1
     most = shared_out([len(x) + 1 for x in rest], DICTIONARY_BYTES)
-    return b" ".join(x[: max(0, most - 1)] for x in rest), [p for i in range(PADS) if (p := joined[: max(apart, 1)][i * PAD_BYTES : (i + 1) * PAD_BYTES])] or [b""]
+    return b" ".join(spread(x, max(0, most - 1)) for x in rest), [p for i in range(PADS) if (p := joined[: max(apart, 1)][i * PAD_BYTES : (i + 1) * PAD_BYTES])] or [b""]
 
 
 def least_lead(n: int, margin: float) -> float:
@@ -107,10 +126,17 @@ class Compressors:
 
     def sizes(self, text: bytes) -> np.ndarray:
         """Compressed bytes for each language."""
-        if len(text) < SHORT:
-            return np.array([sum(len(compress(p + b" " + text)) - n for p, n in pads) / len(pads) for compress, pads in self.own])
         pieces = [text[i : i + PIECE] for i in range(0, len(text), PIECE)]
-        return np.array([sum(len(compress(p)) for p in pieces) for compress, _ in self.own])
+        turns = -(-PADS // max(1, len(pieces)))  # of each piece
+        out = []
+        for compress, pads in self.own:
+            total = 0
+            for i, piece in enumerate(pieces):
+                for t in range(turns):
+                    pad, alone = pads[(i * turns + t) % len(pads)]
+                    total += len(compress(pad + b" " + piece)) - alone
+            out.append(total / turns)
+        return np.array(out)
 
 
 def _identified(model: Model, margin: float):

@@ -180,10 +180,10 @@ def by_hand(model, text):
     for lang, (data, pads) in model.items():
         one = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
         size = lambda x, one=one: len(one.compress(x))
-        if len(made) < langid.SHORT:
-            out[lang] = sum(size(p + b" " + made) - size(p) for p in pads) / len(pads)
-        else:
-            out[lang] = sum(size(made[i : i + langid.PIECE]) for i in range(0, len(made), langid.PIECE))
+        pieces = [made[i : i + langid.PIECE] for i in range(0, len(made), langid.PIECE)]
+        turns = math.ceil(langid.PADS / len(pieces))
+        after = itertools.cycle(pads)
+        out[lang] = sum(size(p + b" " + x) - size(p) for x in pieces for p in itertools.islice(after, turns)) / turns
     return out
 
 

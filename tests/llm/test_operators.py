@@ -284,6 +284,10 @@ def test_language_sample(spark):
     late = [(i, "opening " * 600 + "later " * 6000, "aa") for i in range(20)]
     model = langid.fit(spark.createDataFrame(late, "doc_id long, text string, lang string"), F.lit(True))
     assert model["aa"][0].count(b"later") > model["aa"][0].count(b"opening")
+    parts = [f"part{x} " * 2000 for x in "abcdefgh"]  # a long text is read all over, a short one whole
+    model = langid.fit(spark.createDataFrame([(1, "".join(parts), "aa"), (2, "one short text of few words", "bb")], "doc_id long, text string, lang string"), F.lit(True))
+    assert all(p.split()[0].encode() in b" ".join([model["aa"][0], *model["aa"][1]]) for p in parts) and model["bb"][0].endswith(b"of few words")
+    assert langid.spread(b"abc", 3) == b"abc" and len(langid.spread(b"x" * 5000, 501)) == 501 and langid.spread(b"xyz", 0) == b""
 
 
 def test_packing(spark):
