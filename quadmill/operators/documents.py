@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import dealt
+
 #: Namespaces that a missing prefix can be filled in from.
 NAMESPACES = {
     "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "rdfs": "http://www.w3.org/2000/01/rdf-schema#", "owl": "http://www.w3.org/2002/07/owl#",
@@ -199,27 +201,45 @@ def scan(text: str, scanner: re.Pattern, plain: re.Pattern | None = None) -> tup
     return line, start, length, group, np.stack([begins, ends])
 
 
+#: What is gathered before a batch goes out: documents, and characters of their texts.
+DOCUMENTS, CHARACTERS = 1000, 1 << 20
+
+
 def _scanned(kind: str):
     """kind: plain, text (with what stands there) or delta (with places relative to the token before)."""
     names = ["path", "line", "start", "length", "type", "modifiers", *{"plain": [], "text": ["text"], "delta": ["delta_line", "delta_start"]}[kind]]
 
+    def gathered(made: list[tuple]) -> pa.RecordBatch:
+        """Tokens of many documents as one batch."""
+        paths, numbers, words = zip(*made, strict=True)
+        whose = np.repeat(np.arange(len(made), dtype=np.int32), [x.shape[1] for x in numbers])
+        columns = [pa.DictionaryArray.from_arrays(pa.array(whose), pa.array(paths, pa.string())).cast(pa.string()), *map(pa.array, np.concatenate(numbers, axis=1))]
+        if kind == "text":
+            columns.insert(6, pa.array([w for own in words for w in own], pa.string()))
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = _compiled(LEXERS if kind == "text" else SCANNERS)
         plain = {} if kind == "text" else {lang: re.compile(p) for lang, p in PLAIN.items()}
+        made, held = [], 0
         for batch in batches:
-            for path, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for path, lang, text in zip(*(batch.column(i) for i in range(3)), strict=True):
+                path, lang, text = path.as_py(), lang.as_py(), text.as_py()
                 if text is None or SAME.get(lang, lang) not in compiled:
                     continue
                 scanner, types, modifiers = compiled[SAME.get(lang, lang)]
                 line, start, length, group, places = scan(text, scanner, plain.get(SAME.get(lang, lang)))
-                columns = [pa.array(x.astype(np.int32)) for x in (line, start, length, types[group], modifiers[group])]
-                if kind == "text":
-                    columns.append(pa.array([text[a:b] for a, b in places.T.tolist()], pa.string()))
-                elif kind == "delta":
+                columns = [line, start, length, types[group], modifiers[group]]
+                if kind == "delta":
                     down = np.diff(line, prepend=0)
-                    columns += [pa.array(x.astype(np.int32)) for x in (down, np.where(down == 0, np.diff(start, prepend=0), start))]
-                whose = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(line), dtype=np.int32)), pa.array([path], pa.string())).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([whose, *columns], names=names)
+                    columns += [down, np.where(down == 0, np.diff(start, prepend=0), start)]
+                made.append((path, np.stack(columns).astype(np.int32), [text[a:b] for a, b in places.T.tolist()] if kind == "text" else None))
+                held += len(text)
+                if len(made) >= DOCUMENTS or held >= CHARACTERS:
+                    yield gathered(made)
+                    made, held = [], 0
+        if made:
+            yield gathered(made)
 
     return run
 
@@ -229,17 +249,17 @@ PLACES = "path string, line int, start int, length int, type int, modifiers int"
 
 def tokens(docs: DataFrame) -> DataFrame:
     """path, line, start, length, type (a number of TOKEN_TYPES), modifiers, text (of the first line): words as the language has them, for edits."""
-    return docs.select("path", "lang", "text").mapInArrow(_scanned("text"), PLACES + ", text string")
+    return dealt(docs.select("path", "lang", "text"), "path", "text").mapInArrow(_scanned("text"), PLACES + ", text string")
 
 
 def semantic_tokens(docs: DataFrame) -> DataFrame:
     """path, line, start, length, type (a number of TOKEN_TYPES), modifiers: what is coloured in each line."""
-    return docs.select("path", "lang", "text").mapInArrow(_scanned("plain"), PLACES)
+    return dealt(docs.select("path", "lang", "text"), "path", "text").mapInArrow(_scanned("plain"), PLACES)
 
 
 def delta_tokens(docs: DataFrame) -> DataFrame:
     """path, line, start, delta_line, delta_start, length, type, modifiers: each place relative to the token before, as the scan comes by it."""
-    made = docs.select("path", "lang", "text").mapInArrow(_scanned("delta"), PLACES + ", delta_line int, delta_start int")
+    made = dealt(docs.select("path", "lang", "text"), "path", "text").mapInArrow(_scanned("delta"), PLACES + ", delta_line int, delta_start int")
     return made.select("path", "line", "start", "delta_line", "delta_start", "length", "type", "modifiers")
 
 

@@ -44,3 +44,15 @@ def appended(tables: list[DataFrame]) -> DataFrame:
     made = tables[0].sparkSession.read.schema(tables[0].schema).parquet(*paths)
     made._paths = paths
     return made
+
+
+#: Tasks for each core, where rows are dealt.
+SHARES = 4
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The same rows over some tasks for each core, for work that is long for its bytes.
+
+    A small file is one task's, whatever is made of its rows, and partitions told by their bytes alone are joined again; a number of them stays.
+    """
+    return df.repartition(SHARES * df.sparkSession.sparkContext.defaultParallelism, *keys)

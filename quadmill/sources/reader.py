@@ -17,7 +17,7 @@ from ..plans.datalog import encode_datalog
 from ..plans.shex import encode_shex
 from ..plans.sparql_encode import encode_sparql
 from ..plans.sparql_parser import fold_tag
-from ..session import written
+from ..session import dealt, written
 from .jsonld import parse_jsonld
 from .rdf_text import Quad, parse_text
 from .rdf_xml import parse_rdf_xml, parse_trix
@@ -51,9 +51,27 @@ OUTCOME = f"path string, lang string, accepted boolean, warnings array<string>,
 ROW = pa.struct([("s", pa.string()), ("p", pa.string()), ("o", pa.string()), ("g", pa.string()), ("src_offset", pa.int64())])
 
 
+#: What is gathered before a batch goes out: documents, and characters of their facts.
+DOCUMENTS, CHARACTERS = 1000, 4 << 20
+
+
+def _outcomes(made: list[tuple]) -> pa.RecordBatch:
+    """Outcomes of many documents, their facts in one array: a batch of its own for each would cost far more than small documents do."""
+    path, lang, good, warnings, errors, facts = zip(*made, strict=True)
+    quads = [q for own in facts for q in own]
+    sizes = np.fromiter(map(len, facts), dtype=np.int64, count=len(facts))
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    offset = np.arange(len(quads)) - np.repeat(ends[:-1], sizes)
+    rows = pa.StructArray.from_arrays([*(pa.array(c, pa.string()) for c in (zip(*quads, strict=True) if quads else [[]] * 4)), pa.array(offset, pa.int64())], fields=list(ROW))
+    columns = [(path, pa.string()), (lang, pa.string()), (good, pa.bool_()), (warnings, pa.list_(pa.string())), (errors, pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays([*(pa.array(v, k) for v, k in columns), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)], names=["path", "lang", "accepted", "warnings", "errors", "facts"])
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    made, held = [], 0
     for batch in batches:
-        for path, lang, base, content in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for path, lang, base, content in zip(*(batch.column(i) for i in range(4)), strict=True):
+            path, lang, base, content = path.as_py(), lang.as_py(), base.as_py(), content.as_py()
             rows, warnings, errors, good = [], [], [], True
             try:
                 rows, warnings = parse_document(content or b"", lang, base)
@@ -61,16 +79,21 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 good, errors = False, [f"{lang.upper()}-UTF8-001: {e}"]
             except (ValueError, KeyError, TypeError, AttributeError, RecursionError) as e:
                 good, errors = False, [str(e)]
-            columns = [([path], pa.string()), ([lang], pa.string()), ([good], pa.bool_()), ([warnings], pa.list_(pa.string())), ([errors], pa.list_(pa.string()))]
-            facts = pa.StructArray.from_arrays([*(pa.array(c, pa.string()) for c in zip(*rows, strict=True)), pa.array(range(len(rows)), pa.int64())] if rows else [pa.array([], f.type) for f in ROW], fields=list(ROW))
-            yield pa.RecordBatch.from_arrays([*(pa.array(v, k) for v, k in columns), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), facts)], names=["path", "lang", "accepted", "warnings", "errors", "facts"])
+            made.append((path, lang, good, warnings, errors, rows))
+            held += len(path or "") + sum(len(x) for x in errors) + sum(len(x or "") for q in rows for x in q)
+            if len(made) >= DOCUMENTS or held >= CHARACTERS:
+                yield _outcomes(made)
+                made, held = [], 0
+    if made:
+        yield _outcomes(made)
 
 
 def parse(documents: DataFrame) -> DataFrame:
-    """Outcomes of documents (path, content, and lang and base where they are not told by path)."""
+    """Outcomes of documents (path, content, and lang and base where they are not told by path), dealt to all tasks."""
     lang = F.coalesce(F.col("lang"), language_of(F.col("path"))) if "lang" in documents.columns else language_of(F.col("path"))
     base = F.col("base") if "base" in documents.columns else F.lit(None).cast("string")
-    return documents.select("path", lang.alias("lang"), base.alias("base"), F.col("content").cast("binary").alias("content")).where("lang IS NOT NULL").mapInArrow(_parsed, OUTCOME)
+    own = documents.select("path", lang.alias("lang"), base.alias("base"), F.col("content").cast("binary").alias("content")).where("lang IS NOT NULL")
+    return dealt(own, "path", "content").mapInArrow(_parsed, OUTCOME)
 
 
 PARSES_TO = "<urn:x-rdf-iri:parses-to>"
