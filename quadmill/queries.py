@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import iri as I
@@ -16,6 +16,7 @@ from .plans.mapping import Facts, mapped
 from .plans.shex import validate
 from .plans.sparql import Engine, sparql
 from .plans.update import update
+from .session import dealt
 from .sources import reader, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -150,6 +151,15 @@ def accept_reject_split(spark, sf_dir):
 
 # -- sources and sinks: facts written and read again
 
+#: Rows of a table whose facts share a document: larger tables make more documents, not larger ones, as each is parsed whole.
+SHARED = 64
+
+
+def shared(key: Column, extension: str) -> Column:
+    """The name of the document that holds the facts of a key."""
+    return F.concat(F.floor(key / SHARED).cast("string"), F.lit(extension))
+
+
 CUSTOMER_SQL = """SELECT '<urn:t:customer:' || c_custkey || '>' AS s, '<urn:t:c_name>' AS p, '"' || c_name || '"' AS o FROM customer UNION ALL SELECT '<urn:t:customer:' || c_custkey || '>', '<urn:t:c_nationkey>', '<urn:t:nation:' || c_nationkey || '>' FROM customer"""
 
 
@@ -158,10 +168,15 @@ def customer_facts(spark, sf_dir) -> DataFrame:
     return m.quads("<urn:t:c_name>").union(m.quads("<urn:t:c_nationkey>"))
 
 
+def customer_key(column: str) -> Column:
+    """The number of the customer whose fact a term or a line begins with."""
+    return F.regexp_extract(column, r"^<urn:t:customer:(\d+)>", 1).cast("long")
+
+
 @register(CUSTOMER_SQL)
 def nt_roundtrip(spark, sf_dir):
-    """Lines grouped into documents by hash, parsed again."""
-    docs = sinks.ntriples(customer_facts(spark, sf_dir)).groupBy(F.concat(F.lit("d"), (F.xxhash64("value") % 16).cast("string"), F.lit(".nt")).alias("path")).agg(F.array_join(F.sort_array(F.collect_list("value")), "\n").alias("content"))
+    """Lines grouped into documents by customer, parsed again."""
+    docs = sinks.ntriples(customer_facts(spark, sf_dir)).groupBy(shared(customer_key("value"), ".nt").alias("path")).agg(F.array_join(F.sort_array(F.collect_list("value")), "\n").alias("content"))
     return reader.facts_of(reader.parse(docs)).select("s", "p", "o")
 
 
@@ -169,13 +184,13 @@ def nt_roundtrip(spark, sf_dir):
 def nq_roundtrip(spark, sf_dir):
     key = F.regexp_extract("s", r":(\d+)>$", 1).cast("long") % 3
     facts = customer_facts(spark, sf_dir).withColumn("g", F.concat(F.lit("<urn:g:"), key.cast("string"), F.lit(">")))
-    docs = sinks.nquads(facts).groupBy(F.concat(F.lit("d"), (F.xxhash64("value") % 16).cast("string"), F.lit(".nq")).alias("path")).agg(F.array_join(F.sort_array(F.collect_list("value")), "\n").alias("content"))
+    docs = sinks.nquads(facts).groupBy(shared(customer_key("value"), ".nq").alias("path")).agg(F.array_join(F.sort_array(F.collect_list("value")), "\n").alias("content"))
     return reader.facts_of(reader.parse(docs)).select("s", "p", "o", "g")
 
 
 @register(CUSTOMER_SQL)
 def turtle_roundtrip(spark, sf_dir):
-    facts = customer_facts(spark, sf_dir).withColumn("doc_id", F.concat((F.xxhash64("s") % 16).cast("string"), F.lit(".ttl")))
+    facts = customer_facts(spark, sf_dir).withColumn("doc_id", shared(customer_key("s"), ".ttl"))
     docs = sinks.turtle(facts, {"t": "urn:t:", "c": "urn:t:customer:"}).select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
     return reader.facts_of(reader.parse(docs)).select("s", "p", "o")
 
@@ -183,7 +198,7 @@ def turtle_roundtrip(spark, sf_dir):
 @register(CUSTOMER_SQL.replace(" AS o FROM", " AS o, CASE WHEN c_custkey % 3 > 0 THEN '<urn:g:' || c_custkey % 3 || '>' END AS g FROM").replace("'>' FROM", "'>', CASE WHEN c_custkey % 3 > 0 THEN '<urn:g:' || c_custkey % 3 || '>' END FROM"))
 def trig_blocks(spark, sf_dir):
     key = F.regexp_extract("s", r":(\d+)>$", 1).cast("long") % 3
-    facts = customer_facts(spark, sf_dir).withColumn("g", F.when(key > 0, F.concat(F.lit("<urn:g:"), key.cast("string"), F.lit(">")))).withColumn("doc_id", F.concat((F.xxhash64("s") % 8).cast("string"), F.lit(".trig")))
+    facts = customer_facts(spark, sf_dir).withColumn("g", F.when(key > 0, F.concat(F.lit("<urn:g:"), key.cast("string"), F.lit(">")))).withColumn("doc_id", shared(customer_key("s"), ".trig"))
     docs = sinks.trig(facts, {"t": "urn:t:"}).select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
     return reader.facts_of(reader.parse(docs)).select("s", "p", "o", "g")
 
@@ -191,8 +206,8 @@ def trig_blocks(spark, sf_dir):
 @register("SELECT doc_id, text FROM documents")
 def literal_roundtrip(spark, sf_dir):
     """Texts as literals through Turtle's short and long quotes."""
-    d = table(spark, sf_dir, "documents")
-    facts = d.select(F.concat((F.col("doc_id") % 8).cast("string"), F.lit(".ttl")).alias("doc_id"), F.concat(F.lit("<urn:d:"), F.col("doc_id").cast("string"), F.lit(">")).alias("s"), F.lit("<urn:text>").alias("p"), T.string(F.col("text")).alias("o"), F.lit(None).cast("string").alias("g"))
+    d = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    facts = d.select(shared(F.col("doc_id"), ".ttl").alias("doc_id"), F.concat(F.lit("<urn:d:"), F.col("doc_id").cast("string"), F.lit(">")).alias("s"), F.lit("<urn:text>").alias("p"), T.string(F.col("text")).alias("o"), F.lit(None).cast("string").alias("g"))
     docs = sinks.turtle(facts, {}).select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
     out = reader.facts_of(reader.parse(docs), canonical=False)
     return out.select(F.regexp_extract("s", r"(\d+)>$", 1).cast("long").alias("doc_id"), T.lexical(F.col("o")).alias("text"))

@@ -3,6 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quadmill import queries as Q
 from quadmill.operators import documents as D
 from quadmill.sources import reader
 
@@ -45,3 +46,13 @@ def test_tokens_share_a_batch_and_stay_apart():
         alone = [b for i in range(200) for b in D._scanned(kind)(iter([own.slice(i, 1)]))]
         assert len(together) == 1
         assert pa.Table.from_batches(together).to_pylist() == pa.Table.from_batches(alone).to_pylist()
+
+
+def test_larger_tables_make_more_documents(spark, monkeypatch):
+    """Round trips write no document of more than a fixed number of rows."""
+    seen, parse = [], reader.parse
+    monkeypatch.setattr(reader, "parse", lambda docs: seen.append(docs) or parse(docs))
+    for name in ("literal_roundtrip", "nt_roundtrip", "nq_roundtrip", "turtle_roundtrip", "trig_blocks"):
+        Q.QUERIES[name](spark, "/root/testdata/sf0.01")
+        statements = F.size(F.regexp_extract_all("content", F.lit(r"(?m)<urn:text>|c_name>|t:c_name "), F.lit(0)))
+        assert seen[-1].agg(F.max(statements)).first()[0] <= Q.SHARED, name
