@@ -36,9 +36,9 @@ def relabelled(facts: DataFrame, order: str = "src_offset") -> DataFrame:
     names = first.select(F.col("doc_id").alias("d_"), F.col("label").alias("l_"), F.concat(F.lit("_:c"), (F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1).cast("string")).alias("n_"))
     out = facts
     for c in ("s", "o", "g"):
-        # Other terms meet no label; they are dealt by their facts, so a common one fills no task.
+        # Merged: names grow with the documents, and a broadcast of them would be held whole by every task. Other terms meet no label; they are dealt by their facts, so a common one fills no task.
         term = F.coalesce(F.when(T.is_bnode(F.col(c)), F.col(c)), F.concat(F.lit(" "), F.pmod(F.xxhash64(*QUAD), F.lit(997)).cast("string")))
-        out = out.join(names, (F.col("doc_id") == F.col("d_")) & (term == F.col("l_")), "left").withColumn(c, F.coalesce("n_", c)).drop("d_", "l_", "n_")
+        out = out.join(names.hint("merge"), (F.col("doc_id") == F.col("d_")) & (term == F.col("l_")), "left").withColumn(c, F.coalesce("n_", c)).drop("d_", "l_", "n_")
     return out
 
 

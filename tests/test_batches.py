@@ -56,3 +56,10 @@ def test_larger_tables_make_more_documents(spark, monkeypatch):
         Q.QUERIES[name](spark, "/root/testdata/sf0.01")
         statements = F.size(F.regexp_extract_all("content", F.lit(r"(?m)<urn:text>|c_name>|t:c_name "), F.lit(0)))
         assert seen[-1].agg(F.max(statements)).first()[0] <= Q.SHARED, name
+
+
+def test_labels_are_not_broadcast(spark):
+    """The names of blank nodes grow with the documents: no executor holds them all."""
+    docs = spark.range(8).select(F.col("id").cast("string").alias("path"), F.lit("ttl").alias("lang"), F.lit("_:x <b:b> _:y .").alias("content"))
+    facts = reader.facts_of(reader.parse(docs))
+    assert facts._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") == 3
