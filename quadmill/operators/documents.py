@@ -174,31 +174,45 @@ def _compiled(scanners: dict[str, str]) -> dict[str, tuple[re.Pattern, np.ndarra
 
 
 def scan(text: str, scanner: re.Pattern, plain: re.Pattern | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """line, start, length, group and offset (in characters) of each token; those of several lines count to the end of their first.
+    """line, start, length, group and offset (in characters) of each token; those of several lines count to the end of their first."""
+    _, line, start, length, group, places = scan_all([text], scanner, plain)[:6]
+    return line, start, length, group, places
 
-    Only matches are told one by one; lines and UTF-16 columns come from the places of line feeds and of wide characters.
+
+def scan_all(texts: list[str], scanner: re.Pattern, plain: re.Pattern | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, str]:
+    """The same of many texts, with the number of each token's text before and the texts in one, to which the offsets are, after.
+
+    Only matches are told one by one; lines and UTF-16 columns come from the places of line feeds and of wide characters in all texts together.
     """
-    matches = list((plain or scanner).finditer(text))
+    matches, counts = [], []
+    for text in texts:
+        own = list((plain or scanner).finditer(text))
+        matches += own
+        counts.append(len(own))
     numbers = lambda values: np.fromiter(values, dtype=np.int64, count=len(matches))
-    begins, ends = numbers(map(re.Match.start, matches)), numbers(map(re.Match.end, matches))
+    whose = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    bases = np.cumsum(sizes + 1) - sizes - 1
+    begins, ends = numbers(map(re.Match.start, matches)) + bases[whose], numbers(map(re.Match.end, matches)) + bases[whose]
     if plain is None:
         group = numbers(map(attrgetter("lastindex"), matches))
     else:
         words = list(map(re.Match.group, matches))
         kinds = {w: scanner.match(w).lastindex for w in set(words)}
         group = numbers(map(kinds.__getitem__, words))
-    if text.isascii():
-        feeds, wide = np.flatnonzero(np.frombuffer(text.encode(), dtype=np.uint8) == 10), None
+    whole = "\n".join(texts)  # the line feed between two ends the last line of the first
+    if whole.isascii():
+        feeds, wide = np.flatnonzero(np.frombuffer(whole.encode(), dtype=np.uint8) == 10), None
     else:
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         feeds, wide = np.flatnonzero(points == 10), np.concatenate([[0], np.cumsum(points > 0xFFFF)])
     line = np.searchsorted(feeds, begins)
-    ends = np.minimum(ends, np.append(feeds, len(text))[line])
+    ends = np.minimum(ends, np.append(feeds, len(whole))[line])
     starts = np.concatenate([[0], feeds + 1])[line]
     start, length = begins - starts, ends - begins
     if wide is not None:
         start, length = start + wide[begins] - wide[starts], length + wide[ends] - wide[begins]
-    return line, start, length, group, np.stack([begins, ends])
+    return whose, line - np.searchsorted(feeds, bases)[whose], start, length, group, np.stack([begins, ends]), whole
 
 
 #: What is gathered before a batch goes out: documents, and characters of their texts.
@@ -209,37 +223,39 @@ def _scanned(kind: str):
     """kind: plain, text (with what stands there) or delta (with places relative to the token before)."""
     names = ["path", "line", "start", "length", "type", "modifiers", *{"plain": [], "text": ["text"], "delta": ["delta_line", "delta_start"]}[kind]]
 
-    def gathered(made: list[tuple]) -> pa.RecordBatch:
-        """Tokens of many documents as one batch."""
-        paths, numbers, words = zip(*made, strict=True)
-        whose = np.repeat(np.arange(len(made), dtype=np.int32), [x.shape[1] for x in numbers])
-        columns = [pa.DictionaryArray.from_arrays(pa.array(whose), pa.array(paths, pa.string())).cast(pa.string()), *map(pa.array, np.concatenate(numbers, axis=1))]
-        if kind == "text":
-            columns.insert(6, pa.array([w for own in words for w in own], pa.string()))
-        return pa.RecordBatch.from_arrays(columns, names=names)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = _compiled(LEXERS if kind == "text" else SCANNERS)
         plain = {} if kind == "text" else {lang: re.compile(p) for lang, p in PLAIN.items()}
-        made, held = [], 0
+
+        def gathered(lang: str, made: list[tuple[str, str]]) -> pa.RecordBatch:
+            """Tokens of many documents of one language as one batch."""
+            scanner, types, modifiers = compiled[lang]
+            paths, texts = zip(*made, strict=True)
+            whose, line, start, length, group, places, whole = scan_all(list(texts), scanner, plain.get(lang))
+            columns = [line, start, length, types[group], modifiers[group]]
+            if kind == "delta":
+                first = np.flatnonzero(np.diff(whose, prepend=-1))
+                down, right = np.diff(line, prepend=0), np.diff(start, prepend=0)
+                down[first], right[first] = line[first], start[first]
+                columns += [down, np.where(down == 0, right, start)]
+            arrays = [pa.DictionaryArray.from_arrays(pa.array(whose), pa.array(paths, pa.string())).cast(pa.string()), *(pa.array(c.astype(np.int32)) for c in columns)]
+            if kind == "text":
+                arrays.insert(6, pa.array([whole[a:b] for a, b in places.T.tolist()], pa.string()))
+            return pa.RecordBatch.from_arrays(arrays, names=names)
+
+        made: dict[str, list[tuple[str, str]]] = {}
+        count = held = 0
         for batch in batches:
-            for path, lang, text in zip(*(batch.column(i) for i in range(3)), strict=True):
-                path, lang, text = path.as_py(), lang.as_py(), text.as_py()
-                if text is None or SAME.get(lang, lang) not in compiled:
+            for path, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                lang = SAME.get(lang, lang)
+                if text is None or lang not in compiled:
                     continue
-                scanner, types, modifiers = compiled[SAME.get(lang, lang)]
-                line, start, length, group, places = scan(text, scanner, plain.get(SAME.get(lang, lang)))
-                columns = [line, start, length, types[group], modifiers[group]]
-                if kind == "delta":
-                    down = np.diff(line, prepend=0)
-                    columns += [down, np.where(down == 0, np.diff(start, prepend=0), start)]
-                made.append((path, np.stack(columns).astype(np.int32), [text[a:b] for a, b in places.T.tolist()] if kind == "text" else None))
-                held += len(text)
-                if len(made) >= DOCUMENTS or held >= CHARACTERS:
-                    yield gathered(made)
-                    made, held = [], 0
-        if made:
-            yield gathered(made)
+                made.setdefault(lang, []).append((path, text))
+                count, held = count + 1, held + len(text)
+                if count >= DOCUMENTS or held >= CHARACTERS:
+                    yield from (gathered(*x) for x in made.items())
+                    made, count, held = {}, 0, 0
+        yield from (gathered(*x) for x in made.items())
 
     return run
 

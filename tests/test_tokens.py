@@ -82,3 +82,16 @@ def test_delta_tokens_and_wide_characters(spark):
     assert sorted(own) == sorted(tuple(r) for r in D.delta_encoded(D.semantic_tokens(docs)).collect())
     places = {(r[0], r[1], r[2]): r[5] for r in own}
     assert places["a", 0, 8] == 5 and places["a", 0, 16] == 3 and places["a", 1, 5] == 3 and places["a", 3, 6] == 8 and places["c", 0, 0] == 9
+
+
+def test_texts_scanned_together_are_scanned_apart():
+    rng = random.Random(112)
+    parts = ["a", "e:p", '"s\\"', "'q'", "\n", "\r\n", " ", "é", "😀", "# c", "<u:x>", "<u", "@en", "?x", "12"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(20))) for _ in range(400)]
+    for lang, (scanner, _, _) in D._compiled(D.SCANNERS).items():
+        plain = re.compile(D.PLAIN[lang])
+        whose, *columns, places, whole = D.scan_all(texts, scanner, plain)
+        for i, text in enumerate(texts):
+            *alone, own = D.scan(text, scanner, plain)
+            assert all((c[whose == i] == x).all() for c, x in zip(columns, alone, strict=True))
+            assert [whole[a:b] for a, b in places[:, whose == i].T.tolist()] == [text[a:b] for a, b in own.T.tolist()]
