@@ -97,7 +97,8 @@ def canonical(t: Column) -> Column:
     tail = suffix(t)
     head = F.substring(t, F.lit(1), _closing(t))
     literal = F.when(tail == f"^^<{XSD}string>", head).when(F.startswith(tail, F.lit("@")), F.concat(head, F.lit("@"), fold_tag(F.substring(tail, F.lit(2), F.length(tail))))).otherwise(t)
-    return F.when(is_literal(t), literal).when(is_iri(t) | is_bnode(t), t).otherwise(wrap_iri(t))
+    # What stands as it is, as most terms do, is told first.
+    return F.when(is_iri(t) | is_bnode(t) | is_literal(t) & F.endswith(t, F.lit('"')) & (F.length(t) > 1), t).when(is_literal(t), literal).otherwise(wrap_iri(t))
 
 
 def _of(t: Column, *names: str) -> Column:

@@ -57,6 +57,24 @@ def canonicalise(facts: DataFrame) -> DataFrame:
     return deduplicated(relabelled(normalised(facts)))
 
 
+def canonicalise_rows(documents: DataFrame) -> DataFrame:
+    """The same for documents that are a row each, in that row: documents has facts (structs with s, p, o, g and src_offset, of one parser), which become canonical."""
+    node = lambda c: F.coalesce(T.is_bnode(c), F.lit(False))
+    blind = lambda c: F.when(T.is_bnode(c), "_:").otherwise(c)
+    fact = lambda f, how: F.struct(*(how(f[c]).alias(c) for c in QUAD), f["src_offset"].alias("src_offset"))
+
+    def places(c: str, i: int) -> Column:
+        return F.transform(F.filter("facts", lambda f: node(f[c])), lambda f: F.struct(blind(f["s"]).alias("k1"), f["p"].alias("k2"), blind(f["o"]).alias("k3"), blind(f["g"]).alias("k4"), f["src_offset"].alias("k5"), F.lit(i).alias("k6"), f[c].alias("label")))
+
+    name = lambda c: F.when(node(c), F.concat(F.lit("_:c"), (F.array_position("names", c) - 1).cast("string"))).otherwise(c)
+    alike = lambda f, i: F.coalesce(reduce(lambda a, b: a & b, [f[c].eqNullSafe(F.get("facts", i - 1)[c]) for c in QUAD]), F.lit(False))
+    out = documents.withColumn("facts", F.transform("facts", lambda f: fact(f, T.canonical)))
+    out = out.withColumn("names", F.array_distinct(F.transform(F.array_sort(F.concat(*(places(c, i) for i, c in enumerate(("s", "o", "g"))))), lambda x: x["label"])))
+    out = out.withColumn("facts", F.array_sort(F.when(F.size("names") == 0, F.col("facts")).otherwise(F.transform("facts", lambda f: fact(f, name)))))
+    # Sorted, equal quads are neighbours, the earliest first.
+    return out.withColumn("facts", F.filter("facts", lambda f, i: (i == 0) | ~alike(f, i))).drop("names")
+
+
 def violations(facts: DataFrame) -> DataFrame:
     """What breaks the rules of positions: the fact, the place and what is wrong there."""
     shape = lambda c: T.is_iri(c) & F.endswith(c, F.lit(">")) & (F.length(c) > 2) | T.is_bnode(c) & (F.length(c) > 2)

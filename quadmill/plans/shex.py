@@ -67,13 +67,14 @@ class Parser:
     def __init__(self, text: str, base: str | None = None):
         self.schema = Schema(base=base)
         self.tokens, at = [], 0
-        while at < len(text):
-            m = TOKEN.match(text, at)
-            if not m:
-                raise ShexError("SHEX-SYNTAX-001", f"unexpected {text[at]!r}", at)
+        for m in TOKEN.finditer(text):
+            if m.start() != at:
+                break
             if m.lastgroup != "skip":
                 self.tokens.append((m.lastgroup, m[0], at))
             at = m.end()
+        if at < len(text):
+            raise ShexError("SHEX-SYNTAX-001", f"unexpected {text[at]!r}", at)
         self.tokens.append(("end", "", at))
         self.i = 0
 

@@ -110,10 +110,26 @@ def parse_iris(documents: DataFrame) -> DataFrame:
     return made.select("path", "lang", "accepted", "warnings", "errors", F.when(F.col("accepted"), F.array("fact")).otherwise(F.array().cast(f"array<{FACT}>")).alias("facts"))
 
 
+#: Documents of so many facts at most are canonicalised where they stand.
+FACTS = 256
+
+
 def facts_of(outcomes: DataFrame, canonical: bool = True) -> DataFrame:
-    """doc_id, s, p, o, g, src_offset, parser of all accepted documents."""
-    rows = outcomes.where("accepted").select(F.col("path").alias("doc_id"), F.explode("facts").alias("f"), F.col("lang").alias("parser")).select("doc_id", "f.s", "f.p", "f.o", "f.g", "f.src_offset", "parser")
-    return O.canonicalise(rows) if canonical else rows
+    """doc_id, s, p, o, g, src_offset, parser of all accepted documents.
+
+    A document's outcome is one row as a rule, which is made canonical by itself. Those of more facts, or of several rows, are merged; which these
+    are is told first. Outcomes are written for that, so nothing is parsed again.
+    """
+    columns = ["path", "f.s", "f.p", "f.o", "f.g", "f.src_offset", "lang"]
+    # The outer form, as Spark infers of the other that arrays aren't empty, and tells that by making them once more.
+    exploded = lambda df: df.select("path", F.explode_outer("facts").alias("f"), "lang").where("f IS NOT NULL").select(*columns).toDF("doc_id", *O.QUAD, "src_offset", "parser")
+    good = outcomes.where("accepted").select("path", "lang", "facts")
+    if not canonical:
+        return exploded(good)
+    held = written(good.withColumns({"size": F.size("facts"), "key": F.xxhash64("path")}))
+    odd = written(held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size")).where((F.col("n") > 1) | (F.col("size") > FACTS)).select("key"))
+    alone, others = (held.join(odd, "key", how) for how in ("left_anti", "left_semi"))
+    return exploded(O.canonicalise_rows(alone)).unionByName(O.canonicalise(exploded(others)))
 
 
 def read_files(spark: SparkSession, path: str, base: str | None = None) -> DataFrame:

@@ -171,3 +171,15 @@ def test_plain_statements_are_no_shortcut(monkeypatch):
             m.setattr(rdf_text.TextParser, "plain", lambda self: False)
             assert [told(t, base) for t in texts] == fast
     assert sum(isinstance(x, str) for x in fast) == 4
+
+
+def test_a_request_is_cut_into_words_once(monkeypatch):
+    from quadmill.plans import sparql_encode
+
+    made, parser = [], sparql_encode.Parser
+    monkeypatch.setattr(sparql_encode, "Parser", lambda *a: made.append(a) or parser(*a))
+    for text in ("BASE <http://b/> PREFIX e: <x#> SELECT * { ?x e:p <y> }", "PREFIX e: <http://b/x#> BASE <http://b/> INSERT DATA { <a> e:p <y> }"):
+        made.clear()
+        facts = sparql_encode.encode_sparql(text)
+        assert len(made) == 1
+        assert [f[2] for f in facts if f[1].endswith(("prefix>", "base>"))] == ['"http://b/"', '"e -> http://b/x#"']
