@@ -36,28 +36,35 @@ class Stars(Facts):
 
     @classmethod
     def of(cls, facts: DataFrame, sets: int = SETS, values: int = VALUES) -> Stars:
-        """Lays facts out; the tables are written beside other working tables. Repeated quads count once."""
-        quads = written(facts.select(*QUAD).distinct())
-        cells = quads.groupBy("s", "g", "p").agg(F.count(F.lit(1)).alias("n"))
-        key = [F.bit_xor(F.xxhash64("p")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "p")).alias("h2")]  # of a set, whatever its order
-        subjects = written(cells.groupBy("s", "g").agg(*key, F.count(F.lit(1)).alias("size"), F.max("n").alias("most")).where((F.col("size") <= PREDICATES) & (F.col("most") <= values)))
+        """Lays facts out; the tables are written beside other working tables. Repeated quads count once, but for what very many values are.
+
+        Facts are dealt by subject once: those that a row can hold are gathered there, and tables are made of these rows.
+        """
+        raw = written(facts.select(*QUAD).withColumn("key", F.xxhash64("s", "g")))
+        # By hashes: subjects that share one are only taken together for larger than they are.
+        cells = raw.select("key", F.xxhash64("p").alias("cell")).repartition("key").groupBy("key", "cell").count()
+        sizes = cells.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("count").alias("most"))
+        large = written(sizes.where((F.col("size") > PREDICATES) | (F.col("most") > values)).select("key"))
+        others = written(raw.join(large, "key", "left_semi").select(*QUAD).distinct())
+        held = raw.join(large, "key", "left_anti").groupBy("s", "g").agg(F.array_sort(F.collect_set(F.struct("p", "o"))).alias("cells"))
+        predicates = lambda cells: F.array_distinct(F.transform(cells, lambda x: x["p"]))
+        again = F.filter("cells", lambda x, i: (i > 0) & (F.get("cells", i - 1)["p"] == x["p"]))  # cells are sorted
+        subjects = written(held.select("*", predicates("cells").alias("own")).select("s", "g", "cells", F.xxhash64("own").alias("h1"), F.xxhash64(F.lit(1), "own").alias("h2"), F.size("own").alias("size"), predicates(again).alias("several")))
         frequent = subjects.groupBy("h1", "h2", "size").count().orderBy(F.desc("count"), "h1", "h2", "size").limit(sets)
         kinds = [(i, r.h1, r.h2, r["size"]) for i, r in enumerate(frequent.collect())]
-        numbers = F.broadcast(quads.sparkSession.createDataFrame(kinds, "number int, h1 long, h2 long, size long"))
-        homes = written(subjects.join(numbers, ["h1", "h2", "size"]).select("s", "g", "number"))
-        placed = written(_same_subject(quads, homes, "inner"))
-        rest = written(_same_subject(quads, homes.drop("number"), "left_anti"))
-        several = placed.groupBy("number", "s", "g", "p").count().groupBy("number", "p").agg((F.max("count") > 1).alias("several"))
-        columns: dict[int, dict[str, tuple[str, bool]]] = {}
-        for r in several.orderBy("number", "p").collect():  # of PREDICATES for each of SETS at most
-            own = columns.setdefault(r.number, {})
-            own[r.p] = (f"c{len(own)}", r.several)
+        numbers = F.broadcast(facts.sparkSession.createDataFrame(kinds, "number int, h1 long, h2 long, size int"))
+        placed = subjects.join(numbers, ["h1", "h2", "size"])
+        told = placed.groupBy("number").agg(F.first(predicates("cells")).alias("own"), F.array_distinct(F.flatten(F.collect_set("several"))).alias("several"))
+        columns = {r.number: {p: (f"c{i}", p in r.several) for i, p in enumerate(r.own)} for r in told.orderBy("number").collect()}  # PREDICATES for each of SETS at most
         tables = []
-        for number, own in columns.items():
-            cell = lambda p: F.when(F.col("p") == p, F.col("o"))
-            made = [(F.collect_list if many else F.max)(cell(p)).alias(c) for p, (c, many) in own.items()]
-            tables.append((written(placed.where(F.col("number") == number).groupBy("s", "g").agg(*made)), own))
-        return cls(quads, tables, rest, {r.p for r in rest.select("p").distinct().limit(PREDICATES * SETS).collect()})
+        for number, h1, h2, size in kinds:
+            own = columns[number]
+            cell = lambda p: F.transform(F.filter("cells", lambda x: x["p"] == p), lambda x: x["o"])
+            made = [(cell(p) if many else F.get(cell(p), F.lit(0))).alias(c) for p, (c, many) in own.items()]
+            tables.append((written(subjects.where((F.col("h1") == h1) & (F.col("h2") == h2) & (F.col("size") == size)).select("s", "g", *made)), own))
+        quads = lambda rows: rows.select("s", "g", F.explode("cells").alias("x")).select("s", "x.p", "x.o", "g").union(others)
+        rest = written(quads(subjects.join(numbers, ["h1", "h2", "size"], "left_anti")))
+        return cls(quads(subjects), tables, rest, {r.p for r in rest.select("p").distinct().limit(PREDICATES * SETS).collect()})
 
     def save(self, path: str) -> None:
         """Keeps the layout in a folder, from which ``load`` reads it."""

@@ -44,3 +44,15 @@ def test_layouts_agree(spark, tmp_path, monkeypatch):
     again = Stars.load(spark, f"{tmp_path}/stars")
     for text, told in zip(texts[:3], want, strict=False):
         assert rows(sparql(spark, made, text)) == rows(sparql(spark, again, text)) == told
+
+
+def test_facts_are_dealt_by_subject_once(spark, monkeypatch):
+    """Strings are shuffled to gather a subject's facts, and for nothing else where no subject is large."""
+    seen, keep = [], stars.written
+    monkeypatch.setattr(stars, "written", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    facts = [(f"<s:{i}>", f"<urn:p{j}>", f'"{i % 7}.{k}"', None) for i in range(40) for j in range(3 + i % 2) for k in range(1 + j % 2)]
+    Stars.of(spark.createDataFrame(facts, "s string, p string, o string, g string"))
+    gathered = [p for p in seen if "collect_set" in p]
+    tables = seen[seen.index(gathered[0]) + 1 :]
+    assert len(gathered) == 1 and len(tables) == 3
+    assert not any("hashpartitioning" in p and "LeftAnti" not in p for p in tables[:2])
