@@ -15,7 +15,7 @@ from ..functions import terms as T
 from ..functions.iri import resolve_text
 from ..session import written
 from . import bags
-from .sparql_parser import LOCAL, PN, RDF, XSD, fold_tag, quote, typed
+from .sparql_parser import LOCAL, PN, RDF, XSD, Words, fold_tag, quote, typed
 
 TOKEN = re.compile(
     rf"""(?P<skip>(?:\s+|\#[^\n]*|/\*.*?\*/)+)
@@ -29,6 +29,7 @@ TOKEN = re.compile(
     |(?P<op>\^\^|[{{}}()\[\]|;,.@*+?~$&^!=-])""",
     re.X | re.S,
 )
+WORDS = Words(TOKEN)
 KINDS = {"IRI": "iri", "LITERAL": "literal", "NONLITERAL": "nonliteral", "BNODE": "bnode"}
 SPACE = "urn:x-shex-syntax:"
 MANY = bags.MANY
@@ -66,38 +67,27 @@ class Parser:
 
     def __init__(self, text: str, base: str | None = None):
         self.schema = Schema(base=base)
-        self.tokens, at = [], 0
-        for m in TOKEN.finditer(text):
-            if m.start() != at:
-                break
-            if m.lastgroup != "skip":
-                self.tokens.append((m.lastgroup, m[0], at))
-            at = m.end()
+        self.pieces, at = WORDS.cut(text)
         if at < len(text):
             raise ShexError("SHEX-SYNTAX-001", f"unexpected {text[at]!r}", at)
-        self.tokens.append(("end", "", at))
+        self.tokens = WORDS.tokens(self.pieces)
         self.i = 0
 
     def fail(self, message: str):
-        raise ShexError("SHEX-SYNTAX-001", f"{message}, found {self.tokens[self.i][1]!r}", self.tokens[self.i][2])
+        raise ShexError("SHEX-SYNTAX-001", f"{message}, found {self.tokens[self.i][1]!r}", WORDS.offset(self.pieces, self.i))
 
     def op(self, *s: str) -> str | None:
-        kind, text, _ = self.tokens[self.i]
-        if kind == "op" and text in s:
+        key = self.tokens[self.i][2]
+        if key in s:
             self.i += 1
-            return text
+            return key
         return None
 
     def need(self, s: str) -> None:
         if not self.op(s):
             self.fail(f"expected {s!r}")
 
-    def word(self, *names: str) -> str | None:
-        kind, text, _ = self.tokens[self.i]
-        if kind == "word" and text.upper() in names:
-            self.i += 1
-            return text.upper()
-        return None
+    word = op
 
     def iri(self) -> str | None:
         kind, text, _ = self.tokens[self.i]

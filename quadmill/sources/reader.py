@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +49,8 @@ def parse_document(content: bytes, lang: str, base: str | None) -> tuple[list[Qu
 
 
 FACT = "struct<s:string,p:string,o:string,g:string,src_offset:bigint>"
-OUTCOME = f"path string, lang string, accepted boolean, warnings array<string>, errors array<string>, facts array<{FACT}>"
+CHECKED = "path string, lang string, accepted boolean, warnings array<string>, errors array<string>"
+OUTCOME = f"{CHECKED}, facts array<{FACT}>"
 ROW = pa.struct([("s", pa.string()), ("p", pa.string()), ("o", pa.string()), ("g", pa.string()), ("src_offset", pa.int64())])
 
 
@@ -55,23 +58,26 @@ ROW = pa.struct([("s", pa.string()), ("p", pa.string()), ("o", pa.string()), ("g
 DOCUMENTS, CHARACTERS = 1000, 4 << 20
 
 
-def _outcomes(made: list[tuple]) -> pa.RecordBatch:
+def _outcomes(made: list[tuple], with_facts: bool) -> pa.RecordBatch:
     """Outcomes of many documents, their facts in one array: a batch of its own for each would cost far more than small documents do."""
     path, lang, good, warnings, errors, facts = zip(*made, strict=True)
+    columns = [(path, pa.string()), (lang, pa.string()), (good, pa.bool_()), (warnings, pa.list_(pa.string())), (errors, pa.list_(pa.string()))]
+    names, arrays = ["path", "lang", "accepted", "warnings", "errors"], [pa.array(v, k) for v, k in columns]
+    if not with_facts:
+        return pa.RecordBatch.from_arrays(arrays, names=names)
     quads = [q for own in facts for q in own]
     sizes = np.fromiter(map(len, facts), dtype=np.int64, count=len(facts))
     ends = np.concatenate([[0], np.cumsum(sizes)])
     offset = np.arange(len(quads)) - np.repeat(ends[:-1], sizes)
     rows = pa.StructArray.from_arrays([*(pa.array(c, pa.string()) for c in (zip(*quads, strict=True) if quads else [[]] * 4)), pa.array(offset, pa.int64())], fields=list(ROW))
-    columns = [(path, pa.string()), (lang, pa.string()), (good, pa.bool_()), (warnings, pa.list_(pa.string())), (errors, pa.list_(pa.string()))]
-    return pa.RecordBatch.from_arrays([*(pa.array(v, k) for v, k in columns), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)], names=["path", "lang", "accepted", "warnings", "errors", "facts"])
+    return pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)], names=[*names, "facts"])
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parsed(batches: Iterator[pa.RecordBatch], with_facts: bool = True) -> Iterator[pa.RecordBatch]:
     made, held = [], 0
     for batch in batches:
-        for path, lang, base, content in zip(*(batch.column(i) for i in range(4)), strict=True):
-            path, lang, base, content = path.as_py(), lang.as_py(), base.as_py(), content.as_py()
+        for path, lang, base, content in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+            content = content.as_py()  # a large document is held by itself
             rows, warnings, errors, good = [], [], [], True
             try:
                 rows, warnings = parse_document(content or b"", lang, base)
@@ -79,21 +85,31 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 good, errors = False, [f"{lang.upper()}-UTF8-001: {e}"]
             except (ValueError, KeyError, TypeError, AttributeError, RecursionError) as e:
                 good, errors = False, [str(e)]
+            rows = rows if with_facts else []
             made.append((path, lang, good, warnings, errors, rows))
-            held += len(path or "") + sum(len(x) for x in errors) + sum(len(x or "") for q in rows for x in q)
+            held += len(path or "") + sum(map(len, errors)) + sum(map(len, filter(None, chain.from_iterable(rows))))
             if len(made) >= DOCUMENTS or held >= CHARACTERS:
-                yield _outcomes(made)
+                yield _outcomes(made, with_facts)
                 made, held = [], 0
     if made:
-        yield _outcomes(made)
+        yield _outcomes(made, with_facts)
 
 
-def parse(documents: DataFrame) -> DataFrame:
-    """Outcomes of documents (path, content, and lang and base where they are not told by path), dealt to all tasks."""
+def _read(documents: DataFrame, deal: bool) -> DataFrame:
     lang = F.coalesce(F.col("lang"), language_of(F.col("path"))) if "lang" in documents.columns else language_of(F.col("path"))
     base = F.col("base") if "base" in documents.columns else F.lit(None).cast("string")
     own = documents.select("path", lang.alias("lang"), base.alias("base"), F.col("content").cast("binary").alias("content")).where("lang IS NOT NULL")
-    return dealt(own, "path", "content").mapInArrow(_parsed, OUTCOME)
+    return dealt(own, "path", "content") if deal else own
+
+
+def parse(documents: DataFrame, deal: bool = True) -> DataFrame:
+    """Outcomes of documents (path, content, and lang and base where they are not told by path), dealt to all tasks unless they are already."""
+    return _read(documents, deal).mapInArrow(_parsed, OUTCOME)
+
+
+def check(documents: DataFrame, deal: bool = True) -> DataFrame:
+    """Outcomes without their facts: documents are parsed and encoded as a whole all the same, but what they say stays where it was made."""
+    return _read(documents, deal).mapInArrow(partial(_parsed, with_facts=False), CHECKED)
 
 
 PARSES_TO = "<urn:x-rdf-iri:parses-to>"

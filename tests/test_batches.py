@@ -63,3 +63,18 @@ def test_labels_are_not_broadcast(spark):
     docs = spark.range(8).select(F.col("id").cast("string").alias("path"), F.lit("ttl").alias("lang"), F.lit("_:x <b:b> _:y .").alias("content"))
     facts = reader.facts_of(reader.parse(docs))
     assert facts._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") == 3
+
+
+def test_checks_are_outcomes_without_facts(spark):
+    """What an editor asks for crosses no boundary with the facts, and stays the same."""
+    docs = spark.range(60).coalesce(1).select(F.col("id").cast("string").alias("path"), F.element_at(F.array(F.lit("ttl"), F.lit("sparql"), F.lit("shex")), (F.col("id") % 3 + 1).cast("int")).alias("lang"), F.element_at(F.array(*map(F.lit, ["<a:a> <b:b> 1 .", "SELECT * WHERE { ?x <a:a> ?y } GROUP BY ?x", "<u:S> { <u:p> IRI }", "<a:a>", "﻿", "\\"])), (F.col("id") % 6 + 1).cast("int")).alias("content"))
+    made, checked = reader.parse(docs), reader.check(docs)
+    assert "facts" not in checked.columns
+    assert sorted(map(str, checked.collect())) == sorted(map(str, made.drop("facts").collect()))
+    assert checked.where("accepted").count() and checked.where("NOT accepted").count()
+
+
+def test_documents_dealt_before_are_not_dealt_again(spark):
+    docs = spark.range(64).repartition(5).select(F.col("id").cast("string").alias("path"), F.lit("ttl").alias("lang"), F.lit("<a:a> <b:b> 1 .").alias("content"))
+    for made in (reader.parse(docs, deal=False), reader.check(docs, deal=False)):
+        assert made.select(F.spark_partition_id().alias("t")).distinct().count() == 5

@@ -183,3 +183,48 @@ def test_a_request_is_cut_into_words_once(monkeypatch):
         facts = sparql_encode.encode_sparql(text)
         assert len(made) == 1
         assert [f[2] for f in facts if f[1].endswith(("prefix>", "base>"))] == ['"http://b/"', '"e -> http://b/x#"']
+
+
+def words_one_by_one(token, text):
+    """(kind, word, offset) of all words, and where the first stands that is none."""
+    out, at = [], 0
+    while at < len(text) and (m := token.match(text, at)):
+        if m.lastgroup != "skip":
+            out.append((m.lastgroup, m[0], at))
+        at = m.end()
+    return out, at
+
+
+def test_words_found_together_are_those_found_one_by_one(monkeypatch):
+    import random
+
+    from quadmill.plans import shex, sparql_parser
+
+    monkeypatch.setattr(sparql_parser, "REMEMBERED", 40)
+    rng = random.Random(3)
+    parts = ["SELECT", "a", "true", "e:", "e:x", ":", "e:x.y", "a-b:c-d", "?v", "@en", "@en-us", "@", "12", "1.5e3", "-", "+", ".", ";", ",", "{", "}", "(", ")", "[", "]", "<u:x>", "<", ">", '"s"', "'", '"""x"y"""', "#c\n", "/*c*/", " ", "\n", "\u00a0", "é", "éa:b", "_:b", "^^", "&&", "||", "%41", "\\", "~", "$", "x" * 70]
+    whole = 0
+    for token in (sparql_parser.TOKEN, shex.TOKEN):
+        words = sparql_parser.Words(token)
+        for _ in range(3000):
+            text = "".join(rng.choice([x, x + " "]) for x in rng.choices(parts, k=rng.randint(0, 9)))
+            pieces, at = words.cut(text)
+            want, end = words_one_by_one(token, text)
+            assert at == end, text
+            if end == len(text):
+                whole += 1
+                found = words.tokens(pieces)
+                assert [(kind, word) for kind, word, _ in found[:-2]] == [x[:2] for x in want], text
+                assert [words.offset(pieces, n) for n in range(len(found) - 1)] == [*(x[2] for x in want), len(text)]
+            assert len(words) <= 40 and all(len(x) <= sparql_parser.LONGEST for x in words)
+    assert whole > 1000
+
+
+def test_a_word_seen_before_is_not_told_again(monkeypatch):
+    from quadmill.plans import shex
+
+    asked, missing = [], shex.Words.__missing__
+    monkeypatch.setattr(shex.Words, "__missing__", lambda self, text: asked.append(text) or missing(self, text))
+    for n in range(100_000, 100_050):
+        parse_shex(f"PREFIX e: <http://e/> <http://e/S> CLOSED EXTRA e:p {{ e:p IRI {{{n},}} ; e:q [ 1 2 ] ? }}")
+    assert len(asked) < 50 + 30
