@@ -598,7 +598,7 @@ def vocab_lookup(spark, sf_dir):
 @register("SELECT 'd' || c_custkey AS path, 'error' AS severity FROM customer WHERE c_custkey % 2 = 0")
 def doc_diagnostics(spark, sf_dir):
     docs = rdf_docs(spark, sf_dir).select("path", "lang", F.when(F.col("path").rlike("[02468]$"), F.col("text")).otherwise(F.replace("text", F.lit("foaf:nick"), F.lit("z:nick"))).alias("content"))
-    return D.diagnostics(reader.parse(docs)).select("path", "severity")
+    return D.diagnostics(reader.check(docs)).select("path", "severity")
 
 
 @register("SELECT doc_id AS path, length(text) - length(replace(text, chr(10), '')) AS line FROM documents")

@@ -228,3 +228,26 @@ def test_a_word_seen_before_is_not_told_again(monkeypatch):
     for n in range(100_000, 100_050):
         parse_shex(f"PREFIX e: <http://e/> <http://e/S> CLOSED EXTRA e:p {{ e:p IRI {{{n},}} ; e:q [ 1 2 ] ? }}")
     assert len(asked) < 50 + 30
+
+
+def test_usual_declarations_say_what_others_say(monkeypatch):
+    """Declarations in one match are those taken word by word: the same facts, the same errors at the same places."""
+    from quadmill.sources import rdf_text
+
+    heads = ["@prefix e: <u:e> .", "@prefix e:<u:e>.", "@prefix : <u:n> .\n@prefix e: <u:e> .", "@prefix e: # c\n <u:e> .", "@prefix e: <rel> .", "@prefix e: <u:\\u0041> .", "@prefix e: <u:1> . @prefix e: <u:2> .", "@prefix e-f: <u:e> . @prefix e: <u:3> .", "@prefix e: <u:e> .5", "@prefix e: <u:e>", "@prefix e <u:e> .", "@prefix e: <u:a b> .", "@prefixe: <u:e> .", "@prefix e: <u:e> . @base <u:/b> .", "PREFIX e: <u:e>", "@prefix e.f: <u:e> ."]
+    tails = [" e:x e:y 1 .", "\ne:x e:y e:z . @prefix e: <u:9> .\ne:x e:y 'z' .", "", " .", " <a> e:y 2 ."]
+    matched = []
+
+    def told(text, lang, base):
+        try:
+            return rdf_text.parse_text(text, lang, base)
+        except rdf_text.RdfError as e:
+            return str(e)
+
+    cases = [(h + t, lang, base) for h in heads for t in tails for lang in ("ttl", "trig", "n3") for base in ("http://b/", None)]
+    declarations = rdf_text.TextParser.declarations
+    monkeypatch.setattr(rdf_text.TextParser, "declarations", lambda self: matched.append(declarations(self)) or matched[-1])
+    fast = [told(*c) for c in cases]
+    monkeypatch.setattr(rdf_text.TextParser, "declarations", lambda self: False)
+    assert [told(*c) for c in cases] == fast
+    assert sum(matched) > 100 and sum(isinstance(x, str) for x in fast) > 50
