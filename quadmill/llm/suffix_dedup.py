@@ -5,8 +5,8 @@ the windows that share an anchor. (1) Runs are dealt by anchor hash as packed ar
 bytes are one class: all but the class' smallest document lose them whole. A task that deals decides so of
 what it holds itself, and only each class' smallest document goes on, so a passage in a third of all
 documents sends one run for each FLUSH bytes of text. Classes that stay are open where they may share a window
-with another document's: around its anchor a window has length - K bytes, so two that share one agree in at least
-half of these on one side, and in the K before or after the anchor where half is K or more. (2) The bytes of open classes, one run each, meet by anchor and are examined by interval
+with another document's: two that share one agree in all bytes around its anchor, so in two thirds of these
+at least, those of one of its SIDES. (2) The bytes of open classes, one run each, meet by anchor and are examined by interval
 expansion on the transform of a block of them; a window whose interval holds a smaller document is removed.
 (3) Each document is cut by its removed ranges.
 
@@ -23,6 +23,7 @@ rows with one id don't remove each other's strings; repeated rows are cut alike;
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 from .bwt import shared_intervals
 from .common import U64, Scratch, mix, parts, small_batches
 
-K, CHUNK, BLOCK = 16, 1 << 20, 1 << 20
-FLUSH, HOT, FINER, HELD = 8 << 20, 2048, 4, 400_000
+K, CHUNK, BLOCK = 16, 1 << 16, 1 << 17
+FLUSH, HOT, FINER, HELD, SIDES = 16 << 20, 2048, 4, 400_000, 3
 OPEN = np.dtype([("key", "<u8"), ("start", "<u4"), ("n", "<u2"), ("hot", "u1")])
 GONE = np.dtype([("start", "<u4"), ("end", "<u4")])
 #: The same with the document they belong to: its id and its tag, 31 bits of a hash of id and text.
@@ -44,69 +45,83 @@ OWNER = [("doc", "<i8"), ("tag", "<i4")]
 OWN_OPEN, OWN_GONE = np.dtype(OWNER + OPEN.descr), np.dtype(OWNER + GONE.descr)
 
 
-def fold(a: np.ndarray, b: np.ndarray, step: int) -> np.ndarray:
-    """Hashes of the strings that a's at i and b's at i + step make together."""
-    n = min(len(a), len(b) - step)
-    if n <= 0:
-        return a[:0]
+def fold(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of the pairs of a and b; order counts."""
     with np.errstate(over="ignore"):
-        x = a[:n] * U64(0x9E3779B97F4A7C15) + b[step : step + n]
-        return (x ^ (x >> U64(29))) * U64(0xBF58476D1CE4E5B9)
+        x = a * U64(0x9E3779B97F4A7C15)
+        x += b
+        x ^= x >> U64(29)
+        x *= U64(0xBF58476D1CE4E5B9)
+        return x
 
 
 def hashes(text: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
-    """For each length the hash of the string of that length at each place."""
-    by, have = {1: (text.astype(U64) + U64(1)) * U64(0xD6E8FEB86659FD93)}, 1
-    while have * 2 <= max(lengths):
-        by[have * 2] = fold(by[have], by[have], have)
-        have *= 2
-    out = []
-    for n in lengths:
-        bits = [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
-        h, at = by[bits[0]], bits[0]
-        for b in bits[1:]:
-            h, at = fold(h, by[b], at), at + b
-        out.append(h)
-    return out
+    """For each length, a power of two from 8 on, the hash of the string of that length at each place."""
+    h, have, by = np.ndarray(max(0, len(text) - 7), dtype="<u8", buffer=text, strides=(1,)) * U64(0xD6E8FEB86659FD93), 8, {}
+    h ^= h >> U64(32)
+    h *= U64(0xD6E8FEB86659FD93)
+    while True:
+        by[have] = h
+        if have >= max(lengths):
+            return [by[n] for n in lengths]
+        h, have = fold(h[:-have], h[have:]), 2 * have
 
 
 def runs(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(document, first window in it, windows, anchor hash, hash of the windows, hashes of the K bytes before and after the anchor) of each run.
+    """(document, first window in it, windows, anchor hash, hash of the bytes, hashes of its SIDES) of each run.
 
-    starts: of the documents in text, with the end. A hash of 0 stands for less than K bytes on that side.
+    starts: of the documents in text, with the end. A hash of 0 stands for a side that is not whole in the run.
     """
-    none = np.empty(0, dtype=np.int64)
     n = len(text) - length + 1
     if n <= 0:
-        return none, none, none, none.view(U64), none.view(U64), none.astype("<u2"), none.astype("<u2")
-    gram, whole = hashes(text, (K, length))
-    w = length - K + 1
+        none = np.empty(0, dtype="<u4")
+        return none, none, none.astype("<u2"), none.astype(U64), none.astype(U64), *[none.astype("<u2")] * SIDES
+    block = 1 << (length.bit_length() - 1)
+    gram, wide = hashes(text, (K, block))
     # The hash's upper bits, then the place: the least is the leftmost of equal ones.
-    least = (gram & ~U64(0xFFFFFF)) | np.arange(len(gram), dtype=U64)
-    have = 1
+    least = gram & ~U64(0xFFFFFF)
+    least |= np.arange(len(gram), dtype=U64)
+    w, have = length - K + 1, 1
     while have < w:
         step = min(have, w - have)
         least = np.minimum(least[:-step], least[step:])
         have += step
-    anchor = (least[:n] & U64(0xFFFFFF)).astype(np.int64)
-    doc_len = np.diff(starts)
-    doc = np.repeat(np.arange(len(doc_len)), doc_len)[:n]
-    inside = np.arange(n) + length <= starts[doc + 1]
-    cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (inside[1:] != inside[:-1]) | (doc[1:] != doc[:-1])) + 1
-    first = np.concatenate([[0], cut])
-    count = np.diff(np.concatenate([first, [n]]))
-    with np.errstate(over="ignore"):
-        total = np.add.reduceat(mix(whole[:n]), first)
-    real = inside[first]
-    first, count, total = first[real], count[real], total[real]
-    place = anchor[first]
-
-    def side(at: np.ndarray, inside: np.ndarray) -> np.ndarray:
-        own = (gram[np.where(inside, at, 0)] >> U64(40)).astype("<u2")
-        return np.where(inside, np.maximum(own, 1), 0).astype("<u2")
-
-    sides = side(place - K, place - K >= first), side(place + K, place + 2 * K <= first + count - 1 + length)
-    return doc[first], first - starts[doc[first]], count, mix(gram[place]), mix(total + (place - first).astype(U64)), *sides
+    new = least[1:n] != least[: n - 1]
+    # Windows across the end of a document are runs of their own.
+    edges = np.concatenate([starts[1:-1], np.maximum(starts[1:] - length + 1, starts[:-1])]) - 1
+    new[edges[(edges >= 0) & (edges < n - 1)]] = True
+    first = np.concatenate([[0], np.flatnonzero(new) + 1])
+    count = np.diff(np.append(first, n))
+    doc = np.searchsorted(starts, first, side="right") - 1
+    real = first + length <= starts[doc + 1]
+    first, count, doc = first[real], count[real], doc[real]
+    place = (least[first] & U64(0xFFFFFF)).astype(np.int64)
+    size = count - 1 + length
+    # All of a run's bytes lie in a few blocks, the first and the last at its ends.
+    whole = wide[first]
+    steps = -(-(2 * length - K) // block) - 1
+    for i in range(1, steps + 1):
+        whole = fold(whole, wide[first + (size - block) * i // steps])
+
+    def side(before: int, after: int) -> np.ndarray:
+        """Of the bytes from some before the anchor to some after it."""
+        inside = np.flatnonzero((place - before >= first) & (place + K + after <= first + size))
+        at, parts = place[inside] - before, -(-(before + after) // K)
+        own = gram[at]
+        for i in range(1, parts + 1):
+            own = fold(own, gram[at + (before + after) * i // parts])
+        made = np.zeros(len(first), dtype="<u2")
+        made[inside] = np.maximum((own >> U64(40)).astype("<u2"), 1)
+        return made
+
+    return doc.astype("<u4"), (first - starts[doc]).astype("<u4"), count.astype("<u2"), mix(gram[place]), mix(whole + size.astype(U64)), *(side(*x) for x in sides(length))
+
+
+def sides(length: int) -> list[tuple[int, int]]:
+    """(bytes before the anchor, bytes after it): each window holds all of one of them around its anchor, which one goes by the anchor's place in it."""
+    most = length - K
+    cuts = [(most + 1) * i // SIDES for i in range(SIDES + 1)]
+    return [(lo, most + 1 - hi) for lo, hi in zip(cuts, cuts[1:], strict=False)]
 
 
 def _joined(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -118,6 +133,11 @@ def planes(x: np.ndarray) -> bytes:
     return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
 
 
+def turned(x: np.ndarray) -> np.ndarray:
+    """The planes as rows."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T)
+
+
 def unplanes(data: bytes, dtype: np.dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(dtype.itemsize, -1).T).reshape(-1).view(dtype)
 
@@ -145,38 +165,51 @@ def _deal(length: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, turn = [], 0, TaskContext.get().partitionId()
 
-        def row(bucket: int, at: np.ndarray, ids, tags, doc, start, n, *hashed) -> tuple:
-            """at is in the order of documents."""
-            own = doc[at]
-            new = np.concatenate([[True], own[1:] != own[:-1]])
-            docs, where = own[new], start[at].astype(np.int64)
+        def rows(bucket: np.ndarray, ids, tags, doc, start, n, *hashed) -> list[list]:
+            """Columns of a row for each bucket; runs are in the order of buckets, then of documents."""
+            edge = np.concatenate([[True], bucket[1:] != bucket[:-1]])
+            new = edge | np.concatenate([[True], doc[1:] != doc[:-1]])
+            where = start.astype(np.int64)
             where[1:] -= np.where(new[1:], 0, where[:-1].copy())
-            keyed = (None, None, None)
+            first = np.flatnonzero(edge)
+            last = np.append(first[1:], len(doc))
+            of = np.cumsum(new) - 1  # a run's number among documents of a bucket
+
+            def cut(lo: np.ndarray, hi: np.ndarray, *of_bytes: np.ndarray) -> list[bytes]:
+                whole = np.concatenate(of_bytes)
+                return [np.ascontiguousarray(whole[:, i:j]).tobytes() for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
+
+            docs, firsts, lasts = doc[new], of[first], of[last - 1] + 1
+            keyed = [[None] * len(first)] * 3
             if hashed:
-                gram, whole, left, right = (x[at] for x in hashed)
+                gram, whole, *own = hashed
                 keys = (gram // U64(buckets)) & U64((1 << 40) - 1)
-                keyed = (planes(np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :5])), planes(np.ascontiguousarray(whole.view(np.uint8).reshape(-1, 8)[:, :6])), planes(left) + planes(right))
-            return (bucket, planes(ids[docs]), planes(tags[docs]), new.tobytes(), planes(where.astype("<u4")), planes(n[at].astype("<u2")), *keyed)
+                keyed = [cut(first, last, turned(keys)[:5]), cut(first, last, turned(whole)[:6]), cut(first, last, *map(turned, own))]
+            return [
+                bucket[first].tolist(), cut(firsts, lasts, turned(ids[docs])), cut(firsts, lasts, turned(tags[docs])), cut(first, last, new.view(np.uint8)[None]),
+                cut(first, last, turned(where.astype("<u4"))), cut(first, last, turned(n)), *keyed,
+            ]
 
         def out() -> pa.RecordBatch:
             nonlocal turn
             ids, tags = (np.concatenate([x[i] for x in held]) for i in (0, 1))
             base = np.cumsum([0, *(len(x[0]) for x in held)])
-            doc = np.concatenate([x[2] + b for x, b in zip(held, base, strict=False)])
-            start, n, gram, whole, left, right = (np.concatenate([x[i] for x in held]) for i in range(3, 9))
+            doc = np.concatenate([x[2] + np.uint32(b) for x, b in zip(held, base, strict=False)])
+            made = [np.concatenate([x[i] for x in held]) for i in range(3, 7 + SIDES)]
             held.clear()
+            gram, whole = made[2:4]
             lost = _elsewhere(gram, whole, ids[doc])
-            rows = []
+            columns = [[] for _ in range(9)]
             if lost.any():
                 turn += 1
-                rows.append(row(turn % buckets, np.flatnonzero(lost), ids, tags, doc, start, n))
-            kept = np.flatnonzero(~lost)
-            bucket = (gram[kept] % U64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            order, ends = kept[by], np.searchsorted(bucket[by], np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(ends)):
-                rows.append(row(int(b), order[ends[b] : ends[b + 1]], ids, tags, doc, start, n, gram, whole, left, right))
-            columns = list(zip(*rows, strict=True))
+                some = np.flatnonzero(lost)
+                columns = rows(np.full(len(some), turn % buckets), ids, tags, doc[some], *(x[some] for x in made[:2]))
+            bucket = (gram % U64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.uint32)
+            bucket[lost] = 0
+            kept = np.argsort(bucket, kind="stable")
+            kept = kept[~lost[kept]]
+            if len(kept):
+                columns = [x + y for x, y in zip(columns, rows(bucket[kept], ids, tags, doc[kept], *(x[kept] for x in made)), strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[1:]], names=["bucket", "ids", "tags", "docs", "starts", "ns", "keys", "wholes", "sides"])
 
         for batch in batches:
@@ -192,7 +225,7 @@ def _deal(length: int, buckets: int):
                     own = np.array([0, len(piece)]) if own is None else own
                     doc, start, *rest = runs(piece, own, length)
                     if len(doc):
-                        held.append((ids[at:to], tags[at:to], doc, start + lo, *rest))
+                        held.append((ids[at:to], tags[at:to], doc, start + np.uint32(lo), *rest))
                 size += len(text)
                 at = to
                 if size >= FLUSH:
@@ -206,8 +239,8 @@ def _deal(length: int, buckets: int):
 
 
 def _unpacked(rows: list[dict]) -> list[np.ndarray]:
-    """ids, tags, start, n, key, whole, left and right of the runs of some rows of _deal; rows without keys lack these."""
-    ids, tags, start, n, key, whole, left, right = made = [], [], [], [], [], [], [], []
+    """ids, tags, start, n, key, whole and sides of the runs of some rows of _deal; rows without keys lack these."""
+    ids, tags, start, n, key, whole, *own = made = [[] for _ in range(6 + SIDES)]
     for r in rows:
         doc = np.cumsum(np.frombuffer(r["docs"], dtype=np.uint8), dtype=np.int64) - 1
         ids.append(unplanes(r["ids"], np.dtype("<i8"))[doc])
@@ -222,39 +255,54 @@ def _unpacked(rows: list[dict]) -> list[np.ndarray]:
             raw[:, :width] = np.frombuffer(r[name], dtype=np.uint8).reshape(width, -1).T
             to.append(raw.reshape(-1).view(U64))
         if r["keys"] is not None:
-            sides = np.frombuffer(r["sides"], dtype=np.uint8).reshape(2, -1)
-            left.append(unplanes(sides[0].tobytes(), np.dtype("<u2")))
-            right.append(unplanes(sides[1].tobytes(), np.dtype("<u2")))
+            for to, x in zip(own, np.frombuffer(r["sides"], dtype=np.uint8).reshape(SIDES, -1), strict=True):
+                to.append(unplanes(x.tobytes(), np.dtype("<u2")))
     return [np.concatenate(x) if x else np.empty(0, dtype=U64) for x in made]
 
 
+def _by_class(key: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Runs in the order of their keys (40 bits), those of a class together."""
+    both = (key << U64(24)) | (whole & U64(0xFFFFFF))
+    order = np.argsort(both)
+    b, w = both[order], whole[order]
+    if ((b[1:] == b[:-1]) & (w[1:] != w[:-1])).any():  # a key's classes that agree in these bits
+        order = np.lexsort((whole, key))
+    return order
+
+
 def _matched(length: int, buckets: int, slots: int):
     """What each document loses whole, and its open runs: packed rows, one for each slot of documents and HELD runs."""
 
     def settled(bucket: int, rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-        ids, tags, start, n, key, whole, left, right = _unpacked(rows)
-        order = np.lexsort((start, ids, whole, key))
+        ids, tags, start, n, key, whole, *around = _unpacked(rows)
+        order = _by_class(key, whole)
+        # What shares no anchor with any other is neither lost nor open.
+        alone = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+        order = order[~(alone & np.append(alone[1:], True))]
+        if not len(order):
+            return np.empty(0, dtype=OWN_GONE), np.empty(0, dtype=OWN_OPEN)
         key_, whole_, doc_ = key[order], whole[order], ids[order]
         new_key = np.concatenate([[True], key_[1:] != key_[:-1]])
         new_class = new_key | np.concatenate([[True], whole_[1:] != whole_[:-1]])
         key_at, class_at = np.flatnonzero(new_key), np.flatnonzero(new_class)
         key_no, class_no = np.cumsum(new_key) - 1, np.cumsum(new_class) - 1
-        lost = doc_ > doc_[class_at][class_no]
+        lost = doc_ > np.minimum.reduceat(doc_, class_at)[class_no]
         classes = np.add.reduceat(new_class.astype(np.int64), key_at)
         several = (np.maximum.reduceat(doc_, key_at) > np.minimum.reduceat(doc_, key_at)) & (classes > 1)
         # A class is open once for each of its smallest document's runs.
         mask = ~lost & several[key_no]
-        some = order[mask]
-        near = np.zeros(len(ids), dtype=bool)
-        for side in (left, right) if (length - K + 1) // 2 >= K else ():
-            own = some[side[some] > 0]
-            own = own[np.lexsort((side[own], key[own]))]
+        some = np.flatnonzero(mask)
+        near = np.zeros(len(order), dtype=bool)
+        for side in around:
+            own = some[side[order[some]] > 0]
+            both = (key_[own] << U64(16)) | side[order[own]].astype(U64)
+            by = np.argsort(both)
+            own, both = own[by], both[by]
             if len(own):
-                first = np.flatnonzero(np.concatenate([[True], (key[own][1:] != key[own][:-1]) | (side[own][1:] != side[own][:-1])]))
-                apart = np.maximum.reduceat(ids[own], first) > np.minimum.reduceat(ids[own], first)
+                first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+                apart = np.maximum.reduceat(doc_[own], first) > np.minimum.reduceat(doc_[own], first)
                 near[own] |= np.repeat(apart, np.diff(np.append(first, len(own))))
-        if (length - K + 1) // 2 >= K:
-            mask &= near[order]
+        mask &= near
         at = order[mask]
         open_ = np.empty(len(at), dtype=OWN_OPEN)
         open_["doc"], open_["tag"], open_["key"], open_["start"], open_["n"] = ids[at], tags[at], key[at] * U64(buckets) + U64(bucket), start[at], n[at]
@@ -519,17 +567,15 @@ def _cut(length: int):
             made = []
             for text, whole, more in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
                 text = text or b""
-                found = [np.frombuffer(b, dtype=GONE) for b in [whole or b"", *(more or [])] if b]
-                if not found:
-                    made.append((len(text), 0, 0, text))
-                    continue
-                gone = np.concatenate(found)
-                edge = np.zeros(len(text) + 1, dtype=np.int64)
-                np.add.at(edge, gone["start"].astype(np.int64), 1)
-                np.subtract.at(edge, np.minimum(gone["end"].astype(np.int64) + length - 1, len(text)), 1)
-                hit = np.cumsum(edge[:-1]) > 0
-                spans = int(hit[0]) + int((hit[1:] & ~hit[:-1]).sum())
-                made.append((len(text), int(hit.sum()), spans, np.frombuffer(text, dtype=np.uint8)[~hit].tobytes()))
+                gone = sorted(struct.iter_unpack("<II", b"".join([whole or b"", *(more or [])])))
+                kept, removed, spans, at, to = [], 0, 0, 0, 0  # what is cut last goes from at to to
+                for start, end in gone:
+                    if start > to or not spans:
+                        kept.append(text[to:start])
+                        removed, spans, at = removed + to - at, spans + 1, start
+                    to = max(to, end + length - 1)
+                kept.append(text[to:])
+                made.append((len(text), removed + to - at, spans, b"".join(kept)))
             columns = list(zip(*made, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
