@@ -3,8 +3,8 @@
 Intervals of equal prefixes are extended backwards, one symbol a level and all of a level at once (after
 Beller et al. 2013): the prefixes common to neighbours come out by increasing length, and the expansion
 stops at the wanted one, so suffixes need to be sorted by that many symbols only. Intervals that hold one
-owner alone can never give a string shared by two: they are neither extended nor sorted any further. The
-sort doubles its symbols, so the expansion begins at the longest intervals that come out of it on the way.
+owner alone can never give a string shared by two and are not extended. The sort doubles its symbols, so the
+expansion begins at the longest intervals that come out of it on the way, and only these are sorted further.
 """
 
 from __future__ import annotations
@@ -52,9 +52,19 @@ class Suffixes:
         place = self.order[at]
         after = place + step
         # What a text lacks counts less than any symbol.
-        key = (self.rank[place] << 32) | np.where(after < len(self.rank), self.rank[np.minimum(after, len(self.rank) - 1)] + 1, 0)
-        by = np.argsort(key)
-        place, key = place[by], key[by]
+        if after.max() < len(self.rank):
+            then = self.rank[after] + 1
+        else:
+            then = np.where(after < len(self.rank), self.rank[np.minimum(after, len(self.rank) - 1)] + 1, 0)
+        bits, own = len(self.rank).bit_length(), len(place).bit_length()
+        key = (self.rank[place] << bits) | then
+        if 2 * bits + own < 64:  # numbers are sorted faster than their order is found
+            key = np.sort((key << own) | np.arange(len(place)))
+            by, key = key & ((1 << own) - 1), key >> own
+        else:
+            by = np.argsort(key)
+            key = key[by]
+        place = place[by]
         self.order[at] = place
         cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
         size = np.diff(np.append(cut, len(key)))
@@ -81,22 +91,22 @@ def shared_intervals(text: np.ndarray, owner: np.ndarray, length: int) -> tuple[
     Symbol 0 separates texts, ends the last and is part of no string. Outside these intervals suffixes need not be sorted.
     """
     none = np.empty(0, dtype=np.int64)
-    separators = np.concatenate([[0], np.cumsum(np.concatenate([text == 0, np.ones(8, dtype=bool)]))])
     s = Suffixes(text)
-    while True:
-        s.keep(s.hi - s.lo > 1)
-        if len(s.lo):
-            s.keep(separators[s.order[s.lo] + s.have] == separators[s.order[s.lo]])
-        if len(s.lo):
-            # A suffix that is sorted no more stands beside others of its owner, and so do all whose rank comes from it.
-            at, first = _spread(s.lo, s.hi)
-            held = owner[s.order[at]]
-            s.keep(np.minimum.reduceat(held, first) < np.maximum.reduceat(held, first))
-        if not len(s.lo):
-            return s.order, none, none
-        if 2 * s.have > length:
-            break
+    s.keep(s.hi - s.lo > 1)
+    while 2 * s.have <= length and len(s.lo):
         s.grow(s.have)
+        s.keep(s.hi - s.lo > 1)
+    if len(s.lo):
+        separators = np.concatenate([[0], np.cumsum(text == 0), np.full(s.have, len(text) + 1)])
+        place = s.order[s.lo]
+        s.keep(separators[place + s.have] == separators[place])
+    if len(s.lo):
+        # A suffix that is sorted no more stands beside others of its owner.
+        at, first = _spread(s.lo, s.hi)
+        held = owner[s.order[at]]
+        s.keep(np.minimum.reduceat(held, first) < np.maximum.reduceat(held, first))
+    if not len(s.lo):
+        return s.order, none, none
     lo, hi, have = s.lo, s.hi, s.have
     if have < length:
         s.grow(length - have)

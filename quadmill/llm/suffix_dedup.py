@@ -160,7 +160,7 @@ def _elsewhere(gram: np.ndarray, whole: np.ndarray, doc_id: np.ndarray) -> np.nd
 
 
 def _deal(length: int, buckets: int):
-    """Runs by bucket of their anchor, as one row of packed arrays for every FLUSH bytes and bucket; rows without keys are runs already lost."""
+    """Runs by bucket of their anchor, as one row of packed arrays for every FLUSH bytes and bucket; runs already lost are in rows of their own, without hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, turn = [], 0, TaskContext.get().partitionId()
@@ -180,15 +180,11 @@ def _deal(length: int, buckets: int):
                 return [np.ascontiguousarray(whole[:, i:j]).tobytes() for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
 
             docs, firsts, lasts = doc[new], of[first], of[last - 1] + 1
-            keyed = [[None] * len(first)] * 3
+            made = [new.view(np.uint8)[None], turned(where.astype("<u4")), turned(n)]
             if hashed:
                 gram, whole, *own = hashed
-                keys = (gram // U64(buckets)) & U64((1 << 40) - 1)
-                keyed = [cut(first, last, turned(keys)[:5]), cut(first, last, turned(whole)[:6]), cut(first, last, *map(turned, own))]
-            return [
-                bucket[first].tolist(), cut(firsts, lasts, turned(ids[docs])), cut(firsts, lasts, turned(tags[docs])), cut(first, last, new.view(np.uint8)[None]),
-                cut(first, last, turned(where.astype("<u4"))), cut(first, last, turned(n)), *keyed,
-            ]
+                made += [turned((gram // U64(buckets)) & U64((1 << 40) - 1))[:5], turned(whole)[:6], *map(turned, own)]
+            return [bucket[first].tolist(), [not hashed] * len(first), cut(firsts, lasts, turned(ids[docs]), turned(tags[docs])), cut(first, last, *made)]
 
         def out() -> pa.RecordBatch:
             nonlocal turn
@@ -199,7 +195,7 @@ def _deal(length: int, buckets: int):
             held.clear()
             gram, whole = made[2:4]
             lost = _elsewhere(gram, whole, ids[doc])
-            columns = [[] for _ in range(9)]
+            columns = [[] for _ in range(4)]
             if lost.any():
                 turn += 1
                 some = np.flatnonzero(lost)
@@ -210,7 +206,7 @@ def _deal(length: int, buckets: int):
             kept = kept[~lost[kept]]
             if len(kept):
                 columns = [x + y for x, y in zip(columns, rows(bucket[kept], ids, tags, doc[kept], *(x[kept] for x in made)), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[1:]], names=["bucket", "ids", "tags", "docs", "starts", "ns", "keys", "wholes", "sides"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "lost", "owners", "runs"])
 
         for batch in batches:
             ids, tags = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
@@ -238,26 +234,27 @@ def _deal(length: int, buckets: int):
     return run
 
 
-def _unpacked(rows: list[dict]) -> list[np.ndarray]:
-    """ids, tags, start, n, key, whole and sides of the runs of some rows of _deal; rows without keys lack these."""
-    ids, tags, start, n, key, whole, *own = made = [[] for _ in range(6 + SIDES)]
-    for r in rows:
-        doc = np.cumsum(np.frombuffer(r["docs"], dtype=np.uint8), dtype=np.int64) - 1
-        ids.append(unplanes(r["ids"], np.dtype("<i8"))[doc])
-        tags.append(unplanes(r["tags"], np.dtype("<i4"))[doc])
-        where = np.cumsum(unplanes(r["starts"], np.dtype("<u4")).astype(np.int64))
-        new = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-        carry = np.concatenate([[0], where])[new]
-        start.append(where - np.repeat(carry, np.diff(np.append(new, len(doc)))))
-        n.append(unplanes(r["ns"], np.dtype("<u2")))
-        for to, name, width in ((key, "keys", 5), (whole, "wholes", 6)) if r["keys"] is not None else ():
-            raw = np.zeros((len(doc), 8), dtype=np.uint8)
-            raw[:, :width] = np.frombuffer(r[name], dtype=np.uint8).reshape(width, -1).T
-            to.append(raw.reshape(-1).view(U64))
-        if r["keys"] is not None:
-            for to, x in zip(own, np.frombuffer(r["sides"], dtype=np.uint8).reshape(SIDES, -1), strict=True):
-                to.append(unplanes(x.tobytes(), np.dtype("<u2")))
-    return [np.concatenate(x) if x else np.empty(0, dtype=U64) for x in made]
+def _unpacked(rows: list[dict], hashed: bool) -> list[np.ndarray]:
+    """ids, tags, start, n, and with hashes key, whole and sides of the runs of some rows of _deal."""
+
+    def joined(name: str, kinds: list[tuple[str, int]]) -> list[np.ndarray]:
+        """Arrays of these kinds, of each of which so many planes are there."""
+        whole = sum(n for _, n in kinds)
+        planes = np.concatenate([np.frombuffer(r[name], dtype=np.uint8).reshape(whole, -1) for r in rows], axis=1)
+        made, at = [], 0
+        for kind, n in kinds:
+            raw = np.zeros((planes.shape[1], np.dtype(kind).itemsize), dtype=np.uint8)
+            raw[:, :n] = planes[at : at + n].T
+            made.append(raw.reshape(-1).view(kind))
+            at += n
+        return made
+
+    ids, tags = joined("owners", [("<i8", 8), ("<i4", 4)])
+    new, where, n, *more = joined("runs", [("u1", 1), ("<u4", 4), ("<u2", 2)] + ([("<u8", 5), ("<u8", 6)] + [("<u2", 2)] * SIDES if hashed else []))
+    doc = np.cumsum(new, dtype=np.int64) - 1  # each row begins with a document
+    where = np.cumsum(where.astype(np.int64))
+    carry = np.concatenate([[0], where])[np.flatnonzero(new)]
+    return [ids[doc], tags[doc], where - carry[doc], n, *more]
 
 
 def _by_class(key: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -274,7 +271,7 @@ def _matched(length: int, buckets: int, slots: int):
     """What each document loses whole, and its open runs: packed rows, one for each slot of documents and HELD runs."""
 
     def settled(bucket: int, rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-        ids, tags, start, n, key, whole, *around = _unpacked(rows)
+        ids, tags, start, n, key, whole, *around = _unpacked(rows, True)
         order = _by_class(key, whole)
         # What shares no anchor with any other is neither lost nor open.
         alone = np.concatenate([[True], key[order][1:] != key[order][:-1]])
@@ -328,9 +325,9 @@ def _matched(length: int, buckets: int, slots: int):
 
         def done(bucket: int, rows: list[dict]) -> None:
             nonlocal held
-            early, late = [r for r in rows if r["keys"] is None], [r for r in rows if r["keys"] is not None]
+            early, late = [r for r in rows if r["lost"]], [r for r in rows if not r["lost"]]
             if early:
-                ids, tags, start, n, *_ = _unpacked(early)
+                ids, tags, start, n = _unpacked(early, False)
                 gone.append(_ranges(ids, tags, start, n, np.arange(len(ids))))
             lost, left = settled(bucket, late) if late else (np.empty(0, dtype=OWN_GONE), np.empty(0, dtype=OWN_OPEN))
             gone.append(lost)
@@ -463,7 +460,7 @@ def expand(texts: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarra
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     sizes = np.array([len(t) for t in texts])
     text = np.frombuffer(b"\xff".join(texts) + b"\xff", dtype=np.uint8) + np.uint8(1)  # UTF-8 has no FF, which becomes 0
-    owner = np.repeat(docs, sizes + 1)
+    owner = np.repeat(np.unique(docs, return_inverse=True)[1].astype(np.int32), sizes + 1)
     order, lo, hi = shared_intervals(text, owner, length)
     if not len(lo):
         return lo, hi
@@ -588,17 +585,21 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     small_batches(spark)
     n = parts(spark)
     buckets = slots = n * FINER
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("tag"), F.col("text").cast("binary").alias("text"))
-    long_ = texts.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-    dealt = long_.mapInArrow(_deal(length, buckets), "bucket int, ids binary, tags binary, docs binary, starts binary, ns binary, keys binary, wholes binary, sides binary")
+    id_ = F.col("doc_id").cast("long").alias("id")  # under another name, else Spark drops it from one of the deals of texts and makes both
+    texts = docs.select(id_, F.xxhash64("doc_id", "text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("tag"), F.col("text").cast("binary").alias("text"))
+    long_ = texts.where(F.col("id").isNotNull() & (F.octet_length("text") >= length))
+    dealt = long_.mapInArrow(_deal(length, buckets), "bucket int, lost boolean, owners binary, runs binary")
     matched = dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_matched(length, buckets, slots), "slot int, gone binary, open binary")
     merged = matched.repartition(n, "slot").sortWithinPartitions("slot").mapInArrow(_merged, "doc_id long, tag int, gone binary, open binary")
     # Written, as both of what follows read it: else the runs would be dealt twice.
     by_doc = Scratch(spark).write(merged)
-    placed = texts.repartition(n, "doc_id", "tag")
-    opened = by_doc.where(F.col("open").isNotNull()).select("doc_id", "tag", "open")
-    contexts = placed.join(opened, ["doc_id", "tag"]).select("doc_id", "tag", "text", "open").mapInArrow(_contexts(length), "key long, doc_id long, tag int, starts binary, run binary")
+    # Both joins ask for rows with an id, so they read one and the same deal of the texts.
+    placed = texts.where(F.col("id").isNotNull()).repartition(n, "id", "tag")
+    nothing = F.lit(None)
+    bare = texts.where(F.col("id").isNull()).select("id", "text", nothing.cast("binary").alias("gone"), nothing.cast("array<binary>").alias("more"))
+    opened = by_doc.where(F.col("open").isNotNull()).select(id_, "tag", "open")
+    contexts = placed.join(opened, ["id", "tag"]).select("id", "tag", "text", "open").mapInArrow(_contexts(length), "key long, doc_id long, tag int, starts binary, run binary")
     found = contexts.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_expanded(length), "doc_id long, tag int, gone binary")
-    more = found.groupBy("doc_id", "tag").agg(F.collect_list("gone").alias("more"))
-    met = placed.join(by_doc.select("doc_id", "tag", "gone"), ["doc_id", "tag"], "left").join(more, ["doc_id", "tag"], "left")
-    return met.select("doc_id", "text", "gone", "more").mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    more = found.groupBy(id_, "tag").agg(F.collect_list("gone").alias("more"))
+    met = placed.join(by_doc.select(id_, "tag", "gone"), ["id", "tag"], "left").join(more, ["id", "tag"], "left")
+    return met.select("id", "text", "gone", "more").unionAll(bare).mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -201,6 +201,45 @@ def test_bounded_transform():
         assert got == {tuple(v) for v in groups.values() if len({int(owner[i]) for i in v}) > 1}
 
 
+
+def test_bounded_transform_of_a_large_block():
+    """Beyond some million symbols numbers of two ranks and a place don't fit in 64 bits."""
+    rng = np.random.default_rng(5)
+    text = rng.integers(1, 250, size=2_200_000).astype(np.uint8)
+    text[1_000_000] = text[-1] = 0
+    text[1_500_000:1_500_060] = text[700:760]
+    order, lo, hi = bwt.shared_intervals(text, np.repeat([0, 1], [1_000_001, 1_199_999]), 50)
+    assert {tuple(sorted(order[a:b].tolist())) for a, b in zip(lo, hi, strict=True)} == {(700 + i, 1_500_000 + i) for i in range(11)}
+
+
+@pytest.mark.parametrize("length", [35, 50, 64, 200])
+def test_windows_hold_a_side(length):
+    sides, most = suffix_dedup.sides(length), length - suffix_dedup.K
+    for at in range(most + 1):
+        assert any(before <= at and after <= most - at for before, after in sides)
+    assert all(3 * (before + after + 1) >= 2 * most for before, after in sides)
+
+
+def test_repeat_removal_opens_few_runs(spark, tmp_path):
+    """Passages of 40 bytes in pairs of documents share no window; few of their runs are open, and the texts are dealt once for both joins."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    some = lambda n: "".join(rng.choices(letters, k=n))
+    shared = [some(40) for _ in range(200)]
+    rows = [(i, some(60) + shared[i % 200] + some(60)) for i in range(400)]
+    texts = spark.createDataFrame([(i, i, t.encode()) for i, t in rows], "id long, tag int, text binary")
+    dealt = texts.mapInArrow(suffix_dedup._deal(50, 8), "bucket int, lost boolean, owners binary, runs binary")
+    matched = dealt.repartition(4, "bucket").sortWithinPartitions("bucket").mapInArrow(suffix_dedup._matched(50, 8, 8), "slot int, gone binary, open binary").collect()
+    n_open = sum(len(r.open or b"") for r in matched) // suffix_dedup.OWN_OPEN.itemsize
+    assert n_open < 100
+    both = some(70)
+    rows += [(i, some(60) + both + some(60)) for i in (400, 401)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents")
+    cut = suffix_dedup.remove_repeats(spark.read.parquet(f"{tmp_path}/documents"), 50)
+    assert {r.doc_id for r in cut.collect() if r.n_removed} == {401}
+    assert "ReusedExchange" in cut._jdf.queryExecution().executedPlan().toString()
+
+
 def test_line_dedup(spark):
     rng = random.Random(6)
     common = [prose(rng, 12) for _ in range(6)]
